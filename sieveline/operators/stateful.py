@@ -189,7 +189,8 @@ def batch_members(
     partition_by: Sequence[str] = (),
     origin_us: int | None = None,
 ):
-    """Adds ``batch_no`` per key under arrival-driven count-or-time batching.
+    """Adds ``batch_no`` per key under arrival-driven count-or-time batching, and
+    ``is_flush`` for the row that completes a batch.
 
     The first window starts at ``origin_us``, by default at the key's first event.
     """
@@ -198,7 +199,7 @@ def batch_members(
         layout = ordered_layout(df, list(partition_by), ["event_id"])
         flagged = apply_scan(layout, BatchScan(_micros(window_seconds), max_batch_size, origin_us))
         numbered = apply_scan(flagged, SumScan("_flush", "batch_no", "_through"))
-        return numbered.select(*df.columns, "batch_no")
+        return numbered.select(*df.columns, "batch_no", (F.col("_flush") == 1).alias("is_flush"))
 
     return run
 
@@ -208,6 +209,7 @@ def summarize_batches(
     keys: Sequence[str],
     prompt: str = "Analyze the following batch of events",
     source_id: str = "aggregation",
+    held: Column | None = None,
 ) -> DataFrame:
     """One event per batch; ``keys`` must bound a batch (number or window and chunk)."""
     summary = F.struct(
@@ -217,10 +219,11 @@ def summarize_batches(
         F.count("*").alias("batch_size"),
         F.min(F.coalesce("priority", F.lit(DEFAULT_PRIORITY))).alias("priority"),
         F.array_sort(F.collect_list(summary)).alias("events"),
+        *([] if held is None else [held.alias("is_held")]),
     )
     sources = F.array_distinct(F.transform("events", lambda e: e["source_id"]))
     return grouped.select(
-        *keys,
+        *[F.col(k).alias("batch_source" if k == "source_id" else k) for k in keys],
         F.lit(source_id).alias("source_id"),
         F.lit("DATA").alias("event_type"),
         "priority",
@@ -231,14 +234,20 @@ def summarize_batches(
         F.to_json(
             F.struct(F.lit(True).alias("aggregated"), F.col("batch_size").alias("event_count"), sources.alias("source_ids"))
         ).alias("metadata"),
+        *([] if held is None else ["is_held"]),
     )
 
 
 def batch_arrival(partition_by: Sequence[str] = (), prompt: str = "Analyze the following batch of events", **config):
-    """Batch events; the rows held at the end form the last batch."""
-    return lambda df: summarize_batches(
-        batch_members(partition_by=partition_by, **config)(df), [*partition_by, "batch_no"], prompt
-    )
+    """Batch events.  The rows held when the input ends form one more batch per
+    key, marked ``is_held``; it goes on through later filters like any other."""
+
+    def run(df: DataFrame) -> DataFrame:
+        members = batch_members(partition_by=partition_by, **config)(df)
+        keys = [*partition_by, "batch_no"]
+        return summarize_batches(members, keys, prompt, held=~F.max("is_flush"))
+
+    return run
 
 
 def batch_tumbling(

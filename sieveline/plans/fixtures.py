@@ -97,3 +97,16 @@ def suggestion_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("para"),
         F.explode(runs).alias("r"),
     ).select("doc_id", "para", "r.*")
+
+
+def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit entries from orders, in append order of the order key."""
+    return read_table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("seq"),
+        F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("timestamp"),
+        F.concat(F.lit("user-"), F.col("o_custkey").cast("string")).alias("actor"),
+        F.col("o_orderstatus").alias("action"),
+        F.col("o_orderpriority").alias("resource"),
+        F.concat(F.lit("tenant-"), (F.col("o_custkey") % 7).cast("string")).alias("tenant_id"),
+        F.when(F.col("o_orderkey") % 10 == 0, "denied").otherwise("success").alias("result"),
+    )

@@ -27,7 +27,7 @@ def read_capture(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame
     yields one row per element.  Any other format: one document per line.
     """
     if fmt == "json":
-        files = spark.read.option("wholetext", True).text(path)
+        files = spark.read.text(path, wholetext=True)
         doc = F.try_parse_json("value")
         packets = F.when(F.schema_of_variant(doc).startswith("ARRAY"), F.try_variant_get(doc, "$", "array<variant>"))
         return files.select(F.explode(F.coalesce(packets, F.array(doc))).alias("packet")).where(
