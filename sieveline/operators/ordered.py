@@ -1,10 +1,12 @@
 """Ordered scans that stay balanced when one key holds most of the rows.
 
-A stateful filter must see the rows of a key in time order.  ``groupBy(key)``
-or a window partitioned by the key would put a hot key into a single task, so
-the rows are range-partitioned on (key, order columns) instead: every task gets
-an equally large, contiguous run of the sorted data, and a hot key simply spans
-many tasks.  What crosses a partition border is one small state per partition:
+A stateful filter must see the rows of a key in time order.  Where the largest
+key has been counted and is small, a hash shuffle on the key and a sort within
+the task do; the scan then streams over the sorted rows.  A key beyond
+``MAX_KEY_ROWS`` must not end up in a single task, so then the rows are
+range-partitioned on (key, order columns) instead: every task gets an equally
+large, contiguous run of the sorted data, and a hot key simply spans many
+tasks.  What crosses a partition border is one small state per partition:
 
 1. the layout is range-partitioned, sorted and checkpointed once;
 2. a probe pass emits one summary row per partition: how the partition
@@ -24,11 +26,12 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, replace
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +39,9 @@ from sieveline.session import checkpoint_root
 
 KEY, TIME, PART = "_key", "_us", "_part"
 
+# A key with more rows than this is spread over several tasks.
+MAX_KEY_ROWS = 1_000_000
+
 _SUMMARY = "part int, first_key string, last_key string, payload binary"
 
 
@@ -47,29 +53,54 @@ def key_column(partition_by: Sequence[str | Column]) -> Column:
     return F.to_json(F.array(*[F.coalesce(c.cast("string"), F.lit("\u0000")) for c in cols]))
 
 
+def largest_key(df: DataFrame, keys: Sequence[str | Column]) -> int:
+    """Rows of the largest key; counts are combined before the shuffle."""
+    per_key = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    return per_key.agg(F.max("_n")).first()[0] or 0
+
+
+@dataclass(frozen=True)
+class Ordered:
+    """Rows sorted by key and order within their partitions.
+
+    ``spans`` tells that a key may continue in the next partition.
+    """
+
+    df: DataFrame
+    spans: bool
+
+    def with_columns(self, columns: dict[str, Column]) -> Ordered:
+        return replace(self, df=self.df.withColumns(columns))
+
+
 def ordered_layout(
     df: DataFrame,
     partition_by: Sequence[str | Column],
     order_by: Sequence[str | Column],
     time_col: str | None = "timestamp",
-) -> DataFrame:
-    """Range-partition and sort by (key, order), and cut the lineage there.
+) -> Ordered:
+    """Sort by (key, order), over as many tasks as the largest key needs.
 
-    The checkpoint also pins the sampled range borders, so that the probe and
-    the apply pass see the same partitions even after an executor is lost.
+    In the spanning layout the checkpoint pins the sampled range borders, so
+    that the probe and the apply pass see the same partitions even after an
+    executor is lost.
     """
-    checkpoint_root(df.sparkSession)
     order = [F.col(c) if isinstance(c, str) else c for c in order_by]
     df = df.withColumn(KEY, key_column(partition_by))
     if time_col is not None:
         df = df.withColumn(TIME, F.coalesce(F.unix_micros(F.col(time_col)), F.lit(0)))
         order = [F.col(TIME), *order]
-    return (
+    if largest_key(df, [KEY]) <= MAX_KEY_ROWS:
+        rows = df.repartition(KEY).sortWithinPartitions(F.col(KEY), *order).withColumn(PART, F.lit(0))
+        return Ordered(rows, spans=False)
+    checkpoint_root(df.sparkSession)
+    rows = (
         df.repartitionByRange(F.col(KEY), *order)
         .sortWithinPartitions(F.col(KEY), *order)
         .withColumn(PART, F.spark_partition_id())
         .checkpoint(eager=True)
     )
+    return Ordered(rows, spans=True)
 
 
 class Scan:
@@ -100,27 +131,25 @@ class Scan:
 
 
 class SumScan(Scan):
-    """Running sum before and including each row."""
+    """Running sum of integers before and including each row."""
 
-    def __init__(self, value: str, before: str = "_before", through: str = "_through", dtype: str = "long"):
+    def __init__(self, value: str, before: str = "_before", through: str = "_through"):
         self.columns = (value,)
-        self._np = np.int64 if dtype == "long" else np.float64
-        pa_type = pa.int64() if dtype == "long" else pa.float64()
-        self.outputs = ((before, pa_type), (through, pa_type))
+        self.outputs = ((before, pa.int64()), (through, pa.int64()))
 
     def start(self, key):
-        return self._np(0)
+        return 0
 
     def step(self, state, cols):
-        v = cols[self.columns[0]].astype(self._np)
+        v = cols[self.columns[0]].astype(np.int64)
         through = np.cumsum(v) + state
-        return {self.outputs[0][0]: through - v, self.outputs[1][0]: through}, through[-1]
+        return {self.outputs[0][0]: through - v, self.outputs[1][0]: through}, int(through[-1])
 
     def unknown(self):
-        return self._np(0)
+        return 0
 
     def absorb(self, acc, cols):
-        return acc + cols[self.columns[0]].astype(self._np).sum()
+        return acc + int(cols[self.columns[0]].astype(np.int64).sum())
 
     def resolve(self, acc, entry):
         return None if entry is None else entry + acc
@@ -416,9 +445,10 @@ def entry_states(layout: DataFrame, scan: Scan) -> dict[int, tuple[str, Any]]:
 _SPARK_TYPE = {pa.int64(): T.LongType(), pa.float64(): T.DoubleType(), pa.bool_(): T.BooleanType()}
 
 
-def apply_scan(layout: DataFrame, scan: Scan, entries: dict[int, tuple[str, Any]] | None = None) -> DataFrame:
-    """Append the scan's outputs to the layout's rows, keeping partitions and order."""
-    entries = entry_states(layout, scan) if entries is None else entries
+def apply_scan(ordered: Ordered, scan: Scan) -> Ordered:
+    """Append the scan's outputs to the rows, keeping partitions and order."""
+    layout = ordered.df
+    entries = entry_states(layout, scan) if ordered.spans else {}
     # Only borders inside a key carry state; the rest start fresh anyway.
     shared = layout.sparkSession.sparkContext.broadcast(entries)
     schema = T.StructType(
@@ -448,7 +478,7 @@ def apply_scan(layout: DataFrame, scan: Scan, entries: dict[int, tuple[str, Any]
                 names.append(n)
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return layout.mapInArrow(run, schema)
+    return replace(ordered, df=layout.mapInArrow(run, schema))
 
 
 def running_sum(
@@ -458,9 +488,16 @@ def running_sum(
     order_by: Sequence[str | Column],
     before: str = "_before",
     through: str = "_through",
-    dtype: str = "long",
 ) -> DataFrame:
-    """Exact running sum per key in the given order, balanced for hot keys."""
+    """Exact running sum of integers per key in the given order.
+
+    Small keys use a window function; with a hot key the sum runs as an
+    ordered scan over many tasks.
+    """
+    if largest_key(df, partition_by) <= MAX_KEY_ROWS:
+        w = Window.partitionBy(*partition_by).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.withColumn(through, F.sum(F.col(value).cast("long")).over(w)).withColumn(
+            before, F.col(through) - F.col(value)
+        )
     layout = ordered_layout(df, partition_by, order_by, time_col=None)
-    scan = SumScan(value, before, through, dtype)
-    return apply_scan(layout, scan).drop(KEY, PART)
+    return apply_scan(layout, SumScan(value, before, through)).df.drop(KEY, PART)

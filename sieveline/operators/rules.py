@@ -7,6 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,14 +93,13 @@ def filter_chain(filters: Sequence[Filter]) -> Filter:
     return lambda df: reduce(lambda d, f: d.transform(f), filters, df)
 
 
-def row_predicate_filter(predicate: Callable, columns: Sequence[str]) -> Filter:
+def row_predicate_filter(predicate: Callable[..., pd.Series], columns: Sequence[str]) -> Filter:
     """User filter from a vectorised predicate: pandas Series in, booleans out."""
-    from pyspark.sql.functions import pandas_udf
 
-    def call(*series):
+    @F.pandas_udf("boolean")
+    def test(*series: pd.Series) -> pd.Series:
         return predicate(*series)
 
-    test = pandas_udf(call, "boolean", F.PandasUDFType.SCALAR)
     return lambda df: df.where(test(*[F.col(c) for c in columns]))
 
 

@@ -2,8 +2,8 @@
 
 Ties of the timestamp are broken by event id.  ``partition_by=[]`` is one global
 state; any list of columns gives one state per key.  All of them run as ordered
-scans (see ``ordered.py``), so neither a hot key nor the global mode puts more
-than one partition's share of rows into a task.
+scans (see ``ordered.py``): a key too large for one task, the global one
+included, is spread over many.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from sieveline.operators.ordered import (
     AcceptScan,
     BatchScan,
     ClampScan,
+    Ordered,
     SumScan,
     apply_scan,
     ordered_layout,
@@ -38,7 +39,7 @@ def _micros(seconds: float) -> int:
 
 def _accept(df: DataFrame, keys: Sequence[str | Column], seconds: float, limit: int) -> DataFrame:
     layout = ordered_layout(df, keys, ["event_id"])
-    return apply_scan(layout, AcceptScan(_micros(seconds), limit)).drop(KEY, TIME, PART)
+    return apply_scan(layout, AcceptScan(_micros(seconds), limit)).df.drop(KEY, TIME, PART)
 
 
 def dedup_window(
@@ -104,7 +105,7 @@ def rate_limit_tumbling(max_events: int = 60, window: str = "1 minute", partitio
     return run
 
 
-def _sweep(df: DataFrame, window_seconds: float, keys: Sequence[str]) -> DataFrame:
+def _sweep(df: DataFrame, window_seconds: float, keys: Sequence[str]) -> Ordered:
     """Rows plus one 'leaves the look-back' marker each, counted by a running sum.
 
     A marker sorts behind rows of the same instant because the lower bound of
@@ -131,7 +132,7 @@ def velocity(window_seconds: float = 60, partition_by: Sequence[str] = ()):
     def run(df: DataFrame) -> DataFrame:
         swept = _sweep(df, window_seconds, partition_by)
         return (
-            swept.where("_kind = 0")
+            swept.df.where("_kind = 0")
             .withColumn("velocity", F.col("_count") / F.lit(float(window_seconds)))
             .select(*df.columns, "velocity")
         )
@@ -155,7 +156,7 @@ def adaptive_rate(
         row = F.col("_kind") == 0
         faster, slower = row & (v > high_velocity), row & (v < low_velocity)
         # Both scans use the partitions of the sweep: no second shuffle.
-        steps = _sweep(df, window_seconds, partition_by).withColumns(
+        steps = _sweep(df, window_seconds, partition_by).with_columns(
             {
                 "velocity": v,
                 "_factor": F.when(faster, F.lit(0.8)).when(slower, F.lit(1.2)).otherwise(F.lit(1.0)),
@@ -164,7 +165,7 @@ def adaptive_rate(
             }
         )
         rated = apply_scan(steps, ClampScan(base_rate, "_factor", "_lo", "_hi"))
-        return rated.where("_kind = 0").withColumn("sample_rate", F.col("_rate")).select(
+        return rated.df.where("_kind = 0").withColumn("sample_rate", F.col("_rate")).select(
             *df.columns, "velocity", "sample_rate"
         )
 
@@ -199,7 +200,7 @@ def batch_members(
         layout = ordered_layout(df, list(partition_by), ["event_id"])
         flagged = apply_scan(layout, BatchScan(_micros(window_seconds), max_batch_size, origin_us))
         numbered = apply_scan(flagged, SumScan("_flush", "batch_no", "_through"))
-        return numbered.select(*df.columns, "batch_no", (F.col("_flush") == 1).alias("is_flush"))
+        return numbered.df.select(*df.columns, "batch_no", (F.col("_flush") == 1).alias("is_flush"))
 
     return run
 
@@ -250,6 +251,24 @@ def batch_arrival(partition_by: Sequence[str] = (), prompt: str = "Analyze the f
     return run
 
 
+def batch_events(batches: DataFrame, keys: Sequence[str] = ("batch_no",)) -> DataFrame:
+    """Batches as canonical events, so that later filters and agents can take them."""
+    item = lambda e: F.struct(
+        e["event_id"].alias("event_id"), e["source_id"].alias("source_id"), e["timestamp"].alias("timestamp"),
+        e["event_type"].alias("event_type"), e["priority"].alias("priority"), F.try_parse_json(e["payload"]).alias("payload"),
+    )
+    payload = F.to_json(F.struct("batch_size", "window_prompt", F.transform("events", item).alias("events")))
+    return batches.select(
+        F.md5(F.concat_ws("|", F.lit("batch"), *[F.col(k).cast("string") for k in keys], F.element_at("events", 1)["event_id"])).alias("event_id"),
+        "source_id",
+        F.element_at("events", -1)["timestamp"].alias("timestamp"),
+        "event_type", "priority",
+        payload.alias("payload"),
+        "metadata",
+        F.lit(None).cast("string").alias("raw"),
+    )
+
+
 def batch_tumbling(
     window: str = "1 minute",
     max_batch_size: int = 50,
@@ -274,8 +293,8 @@ def batch_tumbling(
 def lazy_hours(df: DataFrame, seconds: float = 3600) -> DataFrame:
     """Adds ``hour_no``: an hour restarts at the first event an hour after its start."""
     layout = ordered_layout(df, [], ["event_id"])
-    marked = apply_scan(layout, AcceptScan(_micros(seconds), 1)).withColumn("_start", F.col("_accepted").cast("long"))
-    return apply_scan(marked, SumScan("_start", "_b", "hour_no")).select(*df.columns, "hour_no")
+    marked = apply_scan(layout, AcceptScan(_micros(seconds), 1)).with_columns({"_start": F.col("_accepted").cast("long")})
+    return apply_scan(marked, SumScan("_start", "_b", "hour_no")).df.select(*df.columns, "hour_no")
 
 
 def token_budget(

@@ -9,26 +9,31 @@ from pyspark.sql import functions as F
 
 from sieveline.functions.replies import delta_text, delta_tokens
 from sieveline.functions.text import action_block, parse_actions
-from sieveline.operators.ordered import running_sum
+from sieveline.operators.ordered import largest_key, running_sum
 
 PIECES = 1024
 
 
+def _joined(group: DataFrame, keys: Sequence[str | Column], order: Sequence[str], text: str, sep: str, alias: str) -> DataFrame:
+    parts = F.array_sort(F.collect_list(F.struct(*order, text)))
+    return group.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda x: x[text]), sep).alias(alias))
+
+
 def ordered_concat(
     df: DataFrame, keys: Sequence[str], order_by: Sequence[str], text: str, sep: str = "", alias: str = "text"
 ) -> DataFrame:
-    """Texts of a key joined in order, in two steps.
+    """Texts of a key joined in order.
 
-    A running count cuts a key's texts into runs of bounded length; runs are
-    joined in parallel, and only the joined pieces meet in the final row.
+    Where a key has many texts, a running count cuts them into runs of bounded
+    length; runs are joined in parallel, and only the joined pieces meet in
+    the final row.
     """
-    counted = running_sum(
-        df.where(F.col(text).isNotNull()).withColumn("_one", F.lit(1).cast("long")), "_one", list(keys), list(order_by)
-    )
-    piece = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_before", text))), lambda x: x[text]), sep)
-    pieces = counted.groupBy(*keys, F.floor(F.col("_before") / F.lit(PIECES)).alias("_run")).agg(piece.alias("_piece"))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_run", "_piece"))), lambda x: x["_piece"]), sep)
-    return pieces.groupBy(*keys).agg(whole.alias(alias))
+    df = df.where(F.col(text).isNotNull())
+    if largest_key(df, keys) <= PIECES:
+        return _joined(df, keys, order_by, text, sep, alias)
+    counted = running_sum(df.withColumn("_one", F.lit(1).cast("long")), "_one", list(keys), list(order_by))
+    run = counted.withColumn("_run", F.floor(F.col("_before") / F.lit(PIECES)))
+    return _joined(_joined(run, [*keys, "_run"], ["_before"], text, sep, "_piece"), keys, ["_run"], "_piece", sep, alias)
 
 
 def assemble_stream(chunks: DataFrame, key: str = "response_id", seq: str = "seq") -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sieveline.operators import ordered
 from sieveline.operators.ordered import (
     AcceptScan,
     BatchScan,
@@ -18,7 +19,9 @@ from sieveline.operators.ordered import (
 
 
 @pytest.fixture()
-def many_partitions(spark):
+def many_partitions(spark, monkeypatch):
+    # Every key counts as hot, and the range partitions are not coalesced.
+    monkeypatch.setattr(ordered, "MAX_KEY_ROWS", 0)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     yield
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
@@ -67,8 +70,8 @@ def test_accept_scan(spark, many_partitions, seed, n, span, window, limit):
                 kept.append(r[2])
                 want.add(r[0])
     layout = ordered_layout(to_df(spark, rows), ["k"], ["id"])
-    assert layout.select("_part").distinct().count() > 4
-    got = apply_scan(layout, AcceptScan(window * 1_000_000, limit)).where("_accepted").select("id").collect()
+    assert layout.df.select("_part").distinct().count() > 4
+    got = apply_scan(layout, AcceptScan(window * 1_000_000, limit)).df.where("_accepted").select("id").collect()
     assert {r[0] for r in got} == want
 
 
@@ -84,7 +87,7 @@ def test_batch_scan(spark, many_partitions, seed, n, span, window, limit):
                 want.add(r[0])
                 start, held = r[2], 0
     layout = ordered_layout(to_df(spark, rows), ["k"], ["id"])
-    got = apply_scan(layout, BatchScan(window * 1_000_000, limit)).where("_flush = 1").select("id").collect()
+    got = apply_scan(layout, BatchScan(window * 1_000_000, limit)).df.where("_flush = 1").select("id").collect()
     assert {r[0] for r in got} == want
 
 
@@ -93,7 +96,7 @@ def test_clamp_scan(spark, many_partitions):
     df = to_df(spark, rows).withColumn("lo", F.when(F.col("a") < 1, 0.1).otherwise(0.0)).withColumn(
         "hi", F.when(F.col("a") > 1, 1.0).otherwise(float("inf"))
     )
-    got = {r["id"]: r["_rate"] for r in apply_scan(ordered_layout(df, ["k"], ["id"]), ClampScan(0.5, "a", "lo", "hi")).collect()}
+    got = {r["id"]: r["_rate"] for r in apply_scan(ordered_layout(df, ["k"], ["id"]), ClampScan(0.5, "a", "lo", "hi")).df.collect()}
     for group in by_key(rows).values():
         r = 0.5
         for row in group:
@@ -117,6 +120,6 @@ def test_running_sum_over_hot_key(spark, many_partitions):
 def test_every_row_survives(spark, many_partitions):
     rows = make_rows(12, 300, 100)
     layout = ordered_layout(to_df(spark, rows), [], ["id"])
-    out = apply_scan(layout, SumScan("s"))
+    out = apply_scan(layout, SumScan("s")).df
     assert out.count() == 300
     assert np.isclose(out.agg(F.max("_through")).first()[0], sum(r[2] for r in rows))
