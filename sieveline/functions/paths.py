@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 # Keys that never resolve, and the event columns holding JSON text.
 GUARDED_KEYS = ("__proto__", "constructor", "prototype")
 JSON_COLUMNS = ("payload", "metadata")
+_PLAIN = re.compile(r"[A-Za-z0-9_ -]+")
 
 
 def _json_paths(segments: Sequence[str]) -> list[str]:
@@ -25,6 +27,13 @@ def _variant_at(column: str, segments: Sequence[str]) -> Column:
     return found[0] if len(found) == 1 else F.coalesce(*found)
 
 
+def _fast_text(column: str, segments: Sequence[str]) -> Column | None:
+    """Plain lookup, NULL for missing and null; None if the path needs care."""
+    if not all(_PLAIN.fullmatch(s) and not s.isdigit() for s in segments):
+        return None
+    return F.get_json_object(F.col(column), "$" + "".join(f"['{s}']" for s in segments))
+
+
 def path_present(path: str) -> Column:
     """True where the path resolves; an explicit JSON null counts as present."""
     head, *rest = path.split(".")
@@ -33,7 +42,8 @@ def path_present(path: str) -> Column:
     if rest:
         if head not in JSON_COLUMNS:
             return F.lit(False)
-        return _variant_at(head, rest).isNotNull()
+        slow, fast = _variant_at(head, rest).isNotNull(), _fast_text(head, rest)
+        return slow if fast is None else F.when(fast.isNotNull(), F.lit(True)).otherwise(slow)
     return F.col(head).isNotNull()
 
 
@@ -51,10 +61,16 @@ def path_text(path: str) -> Column:
         return F.col(head).cast("string")
     if head not in JSON_COLUMNS:
         return F.lit(None).cast("string")
+    # A plain lookup settles scalars without building the whole document;
+    # missing, null and nested values take the exact way.
+    fast = _fast_text(head, rest)
     doc = F.try_parse_json(F.col(head))
     values = [F.try_variant_get(doc, p, "string") for p in _json_paths(rest)]
     value = values[0] if len(values) == 1 else F.coalesce(*values)
-    return F.when(F.is_variant_null(_variant_at(head, rest)), "null").otherwise(value)
+    slow = F.when(F.is_variant_null(_variant_at(head, rest)), "null").otherwise(value)
+    if fast is None:
+        return slow
+    return F.when(fast.isNotNull() & ~fast.startswith("{") & ~fast.startswith("["), fast).otherwise(slow)
 
 
 def event_key(fields: Sequence[str]) -> Column:

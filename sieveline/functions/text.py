@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sieveline.functions.json import is_json, is_json_array
+
 # The white space that is trimmed, and the fence of action blocks.
-SPACE_CLASS = r"[\s\x0b\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+SPACES = (
+    " \t\n\x0b\x0c\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
 ACTION_FENCE = r"```json:actions\s*\r?\n([\s\S]*?)```"
 ACTION_TYPE = "array<struct<type:string,config:string,payload:string>>"
 
 
 def trim_all(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACE_CLASS}+|{SPACE_CLASS}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def is_blank(text: Column) -> Column:
@@ -20,21 +25,21 @@ def is_blank(text: Column) -> Column:
 
 
 def action_block(content: Column) -> Column:
-    """Text of the first fenced action block, NULL without one."""
-    found = F.regexp_extract(content, ACTION_FENCE, 1)
-    return F.when(content.rlike(ACTION_FENCE), found)
+    """Text of the first fenced action block, NULL without one or if it is empty."""
+    return F.nullif(F.regexp_extract(content, ACTION_FENCE, 1), F.lit(""))
 
 
 def parse_actions(block: Column) -> Column:
     """Array of requested actions; NULL if malformed or not a JSON array."""
-    is_array = F.schema_of_variant(F.try_parse_json(block)).startswith("ARRAY")
-    return F.when(is_array, F.from_json(block, ACTION_TYPE))
+    return F.when(is_json_array(block), F.from_json(block, ACTION_TYPE))
 
 
 def explode_actions(replies: DataFrame, content: str = "content") -> DataFrame:
     """One row per requested action: ``action_pos``, ``type``, ``config``, ``action_payload``."""
+    fenced = replies.where(F.col(content).contains("```json:actions"))
     return (
-        replies.withColumn("_actions", parse_actions(action_block(F.col(content))))
+        fenced.withColumn("_block", action_block(F.col(content)))
+        .withColumn("_actions", parse_actions(F.col("_block")))
         .select("*", F.posexplode("_actions").alias("action_pos", "_action"))
         .select(
             *[c for c in replies.columns],
@@ -65,7 +70,7 @@ def ndjson_lines(bodies: DataFrame, body: str = "body") -> DataFrame:
     return (
         lines.select(*keep, "line_no", trim_all(F.col("_line")).alias("record"))
         .where(F.col("record") != "")
-        .where(F.try_parse_json("record").isNotNull())
+        .where(is_json(F.col("record")))
     )
 
 

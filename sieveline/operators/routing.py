@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sieveline.functions.json import is_json
 from sieveline.functions.text import describe_action
 from sieveline.operators.joins import lookup_join
 from sieveline.operators.ordered import running_sum
@@ -131,7 +132,7 @@ def approval_outcome(
         yes = F.coalesce(F.schema_of_variant(F.try_variant_get(doc, "$.approved", "variant")) == "BOOLEAN", F.lit(False)) & (
             F.coalesce(F.try_variant_get(doc, "$.approved", "boolean"), F.lit(False))
         )
-        usable = in_time & (F.col("_r.status").between(200, 299)) & doc.isNotNull()
+        usable = in_time & (F.col("_r.status").between(200, 299)) & is_json(F.col("_r.body"))
         verdict = F.when(F.coalesce(usable, F.lit(False)), yes).otherwise(default)
     return joined.withColumn("is_approved", verdict).drop("_r")
 

@@ -20,7 +20,7 @@ Filter = Callable[[DataFrame], DataFrame]
 
 def rule_predicate(rule: Mapping[str, Any]) -> Column:
     """One content rule; within it match > regex > in > not_in > exists."""
-    text, present = path_text(rule["field"]), path_present(rule["field"])
+    text = path_text(rule["field"])  # NULL only where the field is missing
     if rule.get("match") is not None:
         test = text.contains(rule["match"])
     elif rule.get("regex") is not None:
@@ -30,8 +30,8 @@ def rule_predicate(rule: Mapping[str, Any]) -> Column:
     elif rule.get("not_in") is not None:
         test = ~text.isin([js_text(v) for v in rule["not_in"]])
     else:
-        return present
-    return F.coalesce(present & test, F.lit(False))
+        return path_present(rule["field"])
+    return F.coalesce(test, F.lit(False))
 
 
 def rules_predicate(rules: Sequence[Mapping[str, Any]], mode: str | None = "all") -> Column:
@@ -65,7 +65,7 @@ def trigger_predicate(trigger: Mapping[str, Any] | None) -> Column:
         test = text.rlike(trigger["regex"])
     else:
         test = truthy(trigger["field"])
-    return F.coalesce(path_present(trigger["field"]) & test, F.lit(False))
+    return F.coalesce(test, F.lit(False))
 
 
 def with_metadata_text(metadata: Column, name: str, value: Column) -> Column:

@@ -57,7 +57,7 @@ def sse_data_q(spark, sf_dir):
     f"WITH {EV} SELECT event_id, i.i AS line_no, CASE i.i WHEN 1 THEN payload ELSE props END AS record FROM ev, (VALUES (1), (3)) i(i)",
 )
 def ndjson_lines_q(spark, sf_dir):
-    body = F.concat(F.lit("\n  "), F.col("payload"), F.lit("\n{broken\n"), F.col("raw"), F.lit("\n   \n"))
+    body = F.concat(F.lit("\n  "), F.col("payload"), F.lit("\n{broken\n"), F.col("raw"), F.lit("\n   \n"), F.col("raw"), F.lit(" x\n1,2"))
     return ndjson_lines(load_events(spark, sf_dir).select("event_id", body.alias("body")))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sieveline.operators.access import write_audit
 from sieveline.operators.routing import dispatch_actions, tool_call_bodies, webhook_bodies
-from sieveline.functions.text import explode_actions
+from sieveline.functions.text import explode_actions, is_blank
 from sieveline.plans import fixtures
 from sieveline.plans.registry import EV, REPLY, query, sql_ts, ts_text
 from sieveline.schema import load_events, read_table
@@ -17,6 +17,7 @@ from sieveline.sources.normalize import (
     composite_status,
     fill_event_defaults,
     is_valid_event,
+    non_blank_lines,
     normalize_lines,
     poll_envelope,
     poll_once,
@@ -44,22 +45,21 @@ def src_text_lines(spark, sf_dir):
 @query(
     "src_normalize_json",
     f"""WITH {_LINES}, mixed AS (SELECT 'e' AS origin, event_id AS id, 0 AS line_no, props AS raw, props AS payload, json_extract_string(props, '$.k') AS k FROM events
-      UNION ALL SELECT 'd', doc_id, line_no, value, NULL, NULL FROM line WHERE {_NOT_BLANK} AND NOT json_valid(value))
+      UNION ALL SELECT 'd', doc_id, line_no, CASE WHEN doc_id % 5 = 0 THEN '42 ' || value WHEN doc_id % 5 = 1 THEN '{{"a":1}} ' || value ELSE value END, NULL, NULL FROM line WHERE {_NOT_BLANK})
       SELECT origin, id, line_no, 'feed-' || origin AS source_id, 'DATA' AS event_type, 3 AS priority, raw,
         CASE WHEN origin = 'e' THEN k ELSE raw END AS seen, payload IS NULL AS wrapped FROM mixed""",
 )
 def src_normalize_json(spark, sf_dir):
-    # The document lines are prose: none of them is a JSON document.
+    # The document lines are prose, some of them behind a JSON value.
+    lead = F.when(F.col("doc_id") % 5 == 0, F.lit("42 ")).when(F.col("doc_id") % 5 == 1, F.lit('{"a":1} ')).otherwise(F.lit(""))
     docs = fixtures.document_lines(spark, sf_dir).select(
-        F.lit("d").alias("origin"), F.col("doc_id").alias("id"), F.col("line_no").cast("bigint").alias("line_no"), "value"
+        F.lit("d").alias("origin"), F.col("doc_id").alias("id"), F.col("line_no").cast("bigint").alias("line_no"),
+        F.when(~is_blank(F.col("value")), F.concat(lead, F.col("value"))).otherwise(F.col("value")).alias("value"),
     )
     props = read_table(spark, sf_dir, "events").select(
         F.lit("e").alias("origin"), F.col("event_id").alias("id"), F.lit(0).cast("bigint").alias("line_no"), F.col("props").alias("value")
     )
-    from sieveline.sources.normalize import non_blank_lines
-
     lines = non_blank_lines(docs.unionByName(props))
-    lines = lines.where((F.col("origin") == "e") | F.try_parse_json("value").isNull())
     out = normalize_lines(lines, F.concat(F.lit("feed-"), F.col("origin")))
     wrapped = F.get_json_object("payload", "$.data").isNotNull()
     return out.select(
@@ -226,14 +226,14 @@ def src_validate(spark, sf_dir):
 
 @query(
     "src_decode_bus",
-    f"WITH {EV} SELECT event_id, source_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S.%g') AS at, CASE WHEN eid % 13 = 1 THEN '' ELSE CAST(k AS VARCHAR) END AS k FROM ev WHERE {_VALID} AND eid % 19 <> 0",
+    f"WITH {EV} SELECT event_id, source_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S.%g') AS at, CASE WHEN eid % 13 = 1 THEN '' ELSE CAST(k AS VARCHAR) END AS k FROM ev WHERE {_VALID} AND eid % 19 <> 0 AND eid % 23 <> 0",
 )
 def src_decode_bus(spark, sf_dir):
     n = F.col("n")
     wire = _maybe_broken(spark, sf_dir).withColumn(
         "payload", F.when(n % 13 == 2, F.lit("null")).otherwise(F.col("payload"))
     )
-    body = F.when(n % 19 == 0, F.lit("not json {")).otherwise(event_json())
+    body = F.when(n % 19 == 0, F.lit("not json {")).when(n % 23 == 0, F.concat(event_json(), F.lit(" x"))).otherwise(event_json())
     messages = wire.select(body.cast("binary").alias("value"))
     return decode_bus(messages).select(
         "event_id", "source_id", "event_type",

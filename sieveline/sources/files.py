@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sieveline.functions.json import is_json, is_json_array
 from sieveline.sources.normalize import non_blank_lines
 
 
@@ -29,8 +30,8 @@ def read_capture(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame
     if fmt == "json":
         files = spark.read.text(path, wholetext=True)
         doc = F.try_parse_json("value")
-        packets = F.when(F.schema_of_variant(doc).startswith("ARRAY"), F.try_variant_get(doc, "$", "array<variant>"))
-        return files.select(F.explode(F.coalesce(packets, F.array(doc))).alias("packet")).where(
+        packets = F.when(is_json_array(F.col("value")), F.try_variant_get(doc, "$", "array<variant>"))
+        return files.where(is_json(F.col("value"))).select(F.explode(F.coalesce(packets, F.array(doc))).alias("packet")).where(
             F.col("packet").isNotNull()
         ).select(F.to_json("packet").alias("value"))
-    return non_blank_lines(spark.read.text(path)).where(F.try_parse_json("value").isNotNull())
+    return non_blank_lines(spark.read.text(path)).where(is_json(F.col("value")))

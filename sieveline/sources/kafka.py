@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sieveline.functions.json import is_json
 from sieveline.schema import DEFAULT_PRIORITY, EVENT_SCHEMA
 from sieveline.sources.normalize import is_valid_event, normalize_lines
 
@@ -94,7 +95,7 @@ def decode_bus(records: DataFrame, value: str = "value") -> DataFrame:
     """Message bytes to validated events; broken or invalid messages are left out."""
     text = F.col(value).cast("string")
     wire = ", ".join(f"{f.name} string" for f in EVENT_SCHEMA.fields if f.name != "priority") + ", priority int"
-    parsed = records.where(F.try_parse_json(text).isNotNull()).select(F.from_json(text, wire).alias("e")).select("e.*")
+    parsed = records.where(is_json(text)).select(F.from_json(text, wire).alias("e")).select("e.*")
     return (
         parsed.where(is_valid_event())
         .withColumn("timestamp", F.try_to_timestamp("timestamp"))

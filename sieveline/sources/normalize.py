@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sieveline.functions.json import is_json, is_json_nested
 from sieveline.functions.text import is_blank
 from sieveline.schema import DEFAULT_PRIORITY, EVENT_TYPES
 
@@ -20,7 +21,7 @@ def non_blank_lines(lines: DataFrame, value: str = "value") -> DataFrame:
 
 def payload_of(text: Column) -> Column:
     """JSON text stays as it is; anything else is wrapped as ``{"data": text}``."""
-    return F.when(F.try_parse_json(text).isNotNull(), text).otherwise(F.to_json(F.struct(text.alias("data"))))
+    return F.when(is_json(text), text).otherwise(F.to_json(F.struct(text.alias("data"))))
 
 
 def normalize_lines(lines: DataFrame, source_id: str | Column, value: str = "value", as_json: bool = True) -> DataFrame:
@@ -50,8 +51,7 @@ def is_valid_event() -> Column:
         lambda a, b: a & b,
         [F.col(c).isNotNull() for c in ("event_id", "source_id", "timestamp", "event_type", "payload")],
     )
-    shape = F.schema_of_variant(F.try_parse_json("payload"))
-    nested = shape.startswith("OBJECT") | shape.startswith("ARRAY")
+    nested = is_json_nested(F.col("payload"))
     return F.coalesce(present & F.col("event_type").isin(*EVENT_TYPES) & nested, F.lit(False))
 
 

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from sieveline.functions.json import is_json
 from sieveline.functions.numbers import hash_sample
 from sieveline.functions.paths import key_parts
 from sieveline.operators.ordered import TIME as SCAN_TIME
@@ -243,7 +244,7 @@ def approval_stream(requests: DataFrame, replies: DataFrame, timeout_seconds: in
     )
     joined = q.join(r, in_time, "left_outer")
     yes = F.coalesce(F.get_json_object("r.body", "$.approved") == "true", F.lit(False))
-    usable = F.col("r.status").between(200, 299) & F.try_parse_json("r.body").isNotNull()
+    usable = F.col("r.status").between(200, 299) & is_json(F.col("r.body"))
     return joined.select(
         F.col("q.request_id").alias("request_id"),
         F.when(F.coalesce(usable, F.lit(False)), yes).otherwise(F.lit(not auto_deny)).alias("is_approved"),
