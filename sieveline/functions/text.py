@@ -34,13 +34,24 @@ def parse_actions(block: Column) -> Column:
     return F.when(is_json_array(block), F.from_json(block, ACTION_TYPE))
 
 
+def with_actions(replies: DataFrame, content: str = "content", alias: str = "actions") -> DataFrame:
+    """Adds the array of requested actions; the block is cut out only once per row."""
+    return (
+        replies.withColumn("_block", action_block(F.col(content)))
+        .withColumn(alias, parse_actions(F.col("_block")))
+        .drop("_block")
+    )
+
+
 def explode_actions(replies: DataFrame, content: str = "content") -> DataFrame:
     """One row per requested action: ``action_pos``, ``type``, ``config``, ``action_payload``."""
     fenced = replies.where(F.col(content).contains("```json:actions"))
     return (
-        fenced.withColumn("_block", action_block(F.col(content)))
-        .withColumn("_actions", parse_actions(F.col("_block")))
-        .select("*", F.posexplode("_actions").alias("action_pos", "_action"))
+        with_actions(fenced, content, "_actions")
+        # The outer form keeps the optimizer from testing the parsed array in a
+        # filter of its own, which would parse every text twice more.
+        .select("*", F.posexplode_outer("_actions").alias("action_pos", "_action"))
+        .where(F.col("_action").isNotNull())
         .select(
             *[c for c in replies.columns],
             "action_pos",
@@ -54,7 +65,7 @@ def explode_actions(replies: DataFrame, content: str = "content") -> DataFrame:
 def sse_data(bodies: DataFrame, body: str = "body") -> DataFrame:
     """Data records of a stored server-sent-event body, one row each."""
     keep = [c for c in bodies.columns if c != body]
-    lines = bodies.select(*keep, F.posexplode(F.split(F.col(body), "\n")).alias("line_no", "_line"))
+    lines = bodies.select(*keep, F.posexplode_outer(F.split(F.col(body), "\n")).alias("line_no", "_line"))
     data = trim_all(F.substring(F.col("_line"), 7, 2147483647))
     return (
         lines.where(F.col("_line").startswith("data: "))
@@ -66,7 +77,7 @@ def sse_data(bodies: DataFrame, body: str = "body") -> DataFrame:
 def ndjson_lines(bodies: DataFrame, body: str = "body") -> DataFrame:
     """Well-formed JSON records of a newline-delimited body, one row each."""
     keep = [c for c in bodies.columns if c != body]
-    lines = bodies.select(*keep, F.posexplode(F.split(F.col(body), "\n")).alias("line_no", "_line"))
+    lines = bodies.select(*keep, F.posexplode_outer(F.split(F.col(body), "\n")).alias("line_no", "_line"))
     return (
         lines.select(*keep, "line_no", trim_all(F.col("_line")).alias("record"))
         .where(F.col("record") != "")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.functions.replies import delta_text, delta_tokens
-from sieveline.functions.text import action_block, parse_actions
+from sieveline.functions.text import with_actions
 from sieveline.operators.ordered import largest_key, running_sum
 
 PIECES = 1024
@@ -56,7 +56,7 @@ def assemble_stream(chunks: DataFrame, key: str = "response_id", seq: str = "seq
         usage.join(texts, key, "left")
         .withColumn("content", F.coalesce("content", F.lit("")))
         .withColumn("tokens_used", F.coalesce("tokens_used", F.lit(0)))
-        .withColumn("actions", parse_actions(action_block(F.col("content"))))
+        .transform(with_actions)
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sieveline.functions.replies import usage_tokens
-from sieveline.functions.text import action_block, parse_actions
+from sieveline.functions.text import with_actions
 from sieveline.operators.access import audit_query
 from sieveline.operators.agent_bench import bench_errors, bench_ranking, bench_samples, bench_summary, bench_winners
 from sieveline.operators.metrics import (
@@ -240,7 +240,7 @@ def usage_tokens_q(spark, sf_dir):
 def response_log_q(spark, sf_dir):
     r = fixtures.replies(spark, sf_dir)
     requests = r.select("event_id", "source_id", "agent_id")
-    replies = r.where("error IS NULL").select("event_id", "agent_id", "content", "tokens", "latency_ms", parse_actions(action_block(F.col("content"))).alias("actions"))
+    replies = with_actions(r.where("error IS NULL").select("event_id", "agent_id", "content", "tokens", "latency_ms"))
     return response_log(requests, replies).drop("content")
 
 

@@ -12,7 +12,7 @@ from sieveline.plans.registry import EV, REPLY, query, sql_ts, ts_text
 from sieveline.schema import load_events, read_table
 from sieveline.session import scratch_path
 from sieveline.sources.files import read_capture, read_lines
-from sieveline.sources.kafka import decode_bus, encode_bus, event_json, kafka_events
+from sieveline.sources.kafka import decode_bus, encode_bus, event_json, kafka_events, replay_landed
 from sieveline.sources.normalize import (
     composite_status,
     fill_event_defaults,
@@ -105,6 +105,7 @@ def _kafka_rows(spark, sf_dir):
         F.col("event_id").alias("offset"),
         F.when(F.col("event_id") % 3 != 0, F.col("user_id").cast("string")).cast("binary").alias("key"),
         F.when(F.col("event_id") % 5 != 0, F.col("props")).cast("binary").alias("value"),
+        F.col("props").cast("binary").alias("fallback"),
         F.array(header("kind", F.col("event_type"))).alias("headers"),
         F.col("ts").cast("timestamp").alias("timestamp"),
     )
@@ -224,18 +225,42 @@ def src_validate(spark, sf_dir):
     return _maybe_broken(spark, sf_dir).select("event_id", is_valid_event().alias("is_valid"))
 
 
+@query(
+    "src_kafka",
+    f"""WITH {EV} SELECT 'topic-' || (user_id % 4) || '-0-' || event_id AS event_id, 'kafka-in' AS source_id, CAST(k AS VARCHAR) AS k FROM ev
+      WHERE user_id % 4 = 1 AND eid > 300 OR user_id % 4 = 2""",
+)
+def src_kafka(spark, sf_dir):
+    # Kafka itself needs its connector and brokers; these are landed records of four topics.
+    landed = _kafka_rows(spark, sf_dir).select(
+        F.concat(F.lit("topic-"), F.col("partition").cast("string")).alias("topic"), F.lit(0).alias("partition"), "offset", "key", "headers", "timestamp",
+        F.coalesce("value", "fallback").alias("value"),
+    )
+    config = {"id": "kafka-in", "topics": ["topic-1", "topic-2", "topic-9"], "committed": {"topic-1": 300}}
+    return replay_landed(landed, config).select("event_id", "source_id", F.get_json_object("payload", "$.k").alias("k"))
+
+
 @query(
     "src_decode_bus",
-    f"WITH {EV} SELECT event_id, source_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S.%g') AS at, CASE WHEN eid % 13 = 1 THEN '' ELSE CAST(k AS VARCHAR) END AS k FROM ev WHERE {_VALID} AND eid % 19 <> 0 AND eid % 23 <> 0",
+    f"""WITH {EV} SELECT event_id, source_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S.%g') AS at, CASE WHEN eid % 13 = 1 THEN '' ELSE CAST(k AS VARCHAR) END AS k FROM ev
+      WHERE {_VALID} AND eid % 19 <> 0 AND eid % 23 <> 0 AND eid % 29 <> 0 AND (eid % 31 <> 0 OR eid % 13 = 1)""",
 )
 def src_decode_bus(spark, sf_dir):
     n = F.col("n")
     wire = _maybe_broken(spark, sf_dir).withColumn(
         "payload", F.when(n % 13 == 2, F.lit("null")).otherwise(F.col("payload"))
     )
-    body = F.when(n % 19 == 0, F.lit("not json {")).when(n % 23 == 0, F.concat(event_json(), F.lit(" x"))).otherwise(event_json())
-    messages = wire.select(body.cast("binary").alias("value"))
-    return decode_bus(messages).select(
+    body = (
+        F.when(n % 19 == 0, F.lit("not json {"))
+        .when(n % 23 == 0, F.concat(event_json(), F.lit(" x")))
+        .when(n % 29 == 0, F.regexp_replace(event_json(), '"event_id":"([0-9]+)"', '"event_id":$1'))
+        .when(n % 31 == 0, F.regexp_replace(event_json(), '"payload":[{][^}]*[}]', r'"payload":"{}"'))
+        .otherwise(event_json())
+    )
+    # The topic as it would have landed.
+    path = scratch_path(spark, "topic")
+    wire.select(body.cast("binary").alias("value")).write.parquet(path)
+    return decode_bus(spark.read.parquet(path)).select(
         "event_id", "source_id", "event_type",
         F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSS").alias("at"),
         F.coalesce(F.get_json_object("payload", "$.k"), F.lit("")).alias("k"),

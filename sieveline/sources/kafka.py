@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.functions.json import is_json
-from sieveline.schema import DEFAULT_PRIORITY, EVENT_SCHEMA
-from sieveline.sources.normalize import is_valid_event, normalize_lines
+from sieveline.schema import DEFAULT_PRIORITY, EVENT_SCHEMA, EVENT_TYPES
+from sieveline.sources.normalize import normalize_lines
 
 # SASL mechanisms and the login module each of them needs.
 SASL_MECHANISMS = {
@@ -91,13 +92,42 @@ def kafka_events(records: DataFrame, source_id: str) -> DataFrame:
     return normalize_lines(base, source_id)
 
 
+def replay_landed(records: DataFrame, config: Mapping[str, Any]) -> DataFrame:
+    """Batch twin for landed Kafka records: subscribed topics, from the start or
+    behind the committed offsets of ``config["committed"]`` (topic to offset)."""
+    topics = config.get("topics") or [config["topic"]]
+    kept = records.where(F.col("topic").isin(list(topics)))
+    committed = config.get("committed") or {}
+    if not config.get("from_beginning") and committed:
+        done = F.create_map(*[F.lit(x) for pair in committed.items() for x in pair])
+        kept = kept.where(F.col("offset") > F.coalesce(F.try_element_at(done, F.col("topic")), F.lit(-1)))
+    return kafka_events(kept, config["id"])
+
+
+# The fields of the wire form that must be JSON strings.
+STRING_FIELDS = ("event_id", "source_id", "timestamp", "event_type")
+
+
 def decode_bus(records: DataFrame, value: str = "value") -> DataFrame:
-    """Message bytes to validated events; broken or invalid messages are left out."""
+    """Message bytes to validated events; broken or invalid messages are left out.
+
+    Fields are read as VARIANT so that a number or a quoted object in the place
+    of a string or an object is told apart.
+    """
     text = F.col(value).cast("string")
-    wire = ", ".join(f"{f.name} string" for f in EVENT_SCHEMA.fields if f.name != "priority") + ", priority int"
-    parsed = records.where(is_json(text)).select(F.from_json(text, wire).alias("e")).select("e.*")
+    wire = ", ".join(f"{f} variant" for f in (*STRING_FIELDS, "payload", "metadata")) + ", priority int, raw string"
+    e = records.where(is_json(text)).select(F.from_json(text, wire).alias("e")).select("e.*")
+    strings = reduce(lambda a, b: a & b, [F.schema_of_variant(F.col(f)) == "STRING" for f in STRING_FIELDS])
+    decoded = e.where(F.coalesce(strings, F.lit(False))).select(
+        *[F.try_variant_get(f, "$", "string").alias(f) for f in STRING_FIELDS],
+        "priority",
+        F.to_json("payload").alias("payload"),
+        F.to_json("metadata").alias("metadata"),
+        "raw",
+    )
+    nested = F.col("payload").startswith("{") | F.col("payload").startswith("[")
     return (
-        parsed.where(is_valid_event())
+        decoded.where(F.col("event_type").isin(*EVENT_TYPES) & F.coalesce(nested, F.lit(False)))
         .withColumn("timestamp", F.try_to_timestamp("timestamp"))
         .select(*[f.name for f in EVENT_SCHEMA.fields])
     )
