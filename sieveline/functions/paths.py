@@ -43,7 +43,7 @@ def path_present(path: str) -> Column:
         if head not in JSON_COLUMNS:
             return F.lit(False)
         slow, fast = _variant_at(head, rest).isNotNull(), _fast_text(head, rest)
-        return slow if fast is None else F.when(fast.isNotNull(), F.lit(True)).otherwise(slow)
+        return slow if fast is None else F.coalesce(fast.isNotNull() | F.lit(None).cast("boolean"), slow)
     return F.col(head).isNotNull()
 
 
@@ -70,7 +70,10 @@ def path_text(path: str) -> Column:
     slow = F.when(F.is_variant_null(_variant_at(head, rest)), "null").otherwise(value)
     if fast is None:
         return slow
-    return F.when(fast.isNotNull() & ~fast.startswith("{") & ~fast.startswith("["), fast).otherwise(slow)
+    # Bound in a lambda, the lookup runs once per row; a filter would repeat it
+    # for every mention.
+    settled = lambda v: F.when(v.isNotNull() & ~v.startswith("{") & ~v.startswith("["), v).otherwise(slow)
+    return F.element_at(F.transform(F.array(fast), settled), 1)
 
 
 def event_key(fields: Sequence[str]) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from sieveline.functions.paths import js_text, path_present, path_text, truthy
 from sieveline.operators.joins import lookup_join
 from sieveline.schema import DEFAULT_PRIORITY
+from sieveline.session import checkpoint_root
 
 Filter = Callable[[DataFrame], DataFrame]
 
@@ -89,8 +90,24 @@ def tenant_isolation(tenants: DataFrame, tenant: Column) -> Filter:
 
 
 def filter_chain(filters: Sequence[Filter]) -> Filter:
-    """Ordered composition; a later filter sees only what earlier ones passed."""
-    return lambda df: reduce(lambda d, f: d.transform(f), filters, df)
+    """Ordered composition; a later filter sees only what earlier ones passed.
+
+    A stateful filter looks at its input twice (to count keys, then to run), so
+    what one stateful filter passed is checkpointed if another one follows.
+    """
+    filters = list(filters)
+    stateful = [getattr(f, "stateful", False) for f in filters]
+
+    def run(df: DataFrame) -> DataFrame:
+        for i, f in enumerate(filters):
+            df = df.transform(f)
+            if stateful[i] and any(stateful[i + 1 :]):
+                checkpoint_root(df.sparkSession)
+                df = df.checkpoint()
+        return df
+
+    run.stateful = any(stateful)
+    return run
 
 
 def row_predicate_filter(predicate: Callable[..., pd.Series], columns: Sequence[str]) -> Filter:

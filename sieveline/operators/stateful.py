@@ -28,11 +28,17 @@ from sieveline.operators.ordered import (
     ordered_layout,
     running_sum,
 )
+from sieveline.operators.rules import Filter
 from sieveline.schema import DEFAULT_PRIORITY
 
 MICROS = 1_000_000
 
 
+def _stateful(run: Filter) -> Filter:
+    run.stateful = True
+    return run
+
+
 def _micros(seconds: float) -> int:
     return round(seconds * MICROS)
 
@@ -67,7 +73,7 @@ def dedup_window(
             out = out.unionByName(keyless.withColumn("_accepted", F.lit(True)))
         return _finish(out, flag)
 
-    return run
+    return _stateful(run)
 
 
 def _finish(df: DataFrame, flag: str | None) -> DataFrame:
@@ -81,7 +87,7 @@ def rate_limit_sliding(
     flag: str | None = None,
 ):
     """Pass while fewer than ``max_events`` were passed in the last window."""
-    return lambda df: _finish(_accept(df, list(partition_by), window_seconds, max_events), flag)
+    return _stateful(lambda df: _finish(_accept(df, list(partition_by), window_seconds, max_events), flag))
 
 
 def rate_limit_tumbling(max_events: int = 60, window: str = "1 minute", partition_by: Sequence[str] = ()):
@@ -181,7 +187,7 @@ def adaptive_sample(keep_rate: bool = False, **config):
         kept = rated.where(urgent | (hash_sample(F.col("event_id")) < F.col("sample_rate")))
         return kept if keep_rate else kept.drop("velocity", "sample_rate")
 
-    return run
+    return _stateful(run)
 
 
 def batch_members(
@@ -248,7 +254,7 @@ def batch_arrival(partition_by: Sequence[str] = (), prompt: str = "Analyze the f
         keys = [*partition_by, "batch_no"]
         return summarize_batches(members, keys, prompt, held=~F.max("is_flush"))
 
-    return run
+    return _stateful(run)
 
 
 def batch_events(batches: DataFrame, keys: Sequence[str] = ("batch_no",)) -> DataFrame:
@@ -287,7 +293,7 @@ def batch_tumbling(
         chunked = ranked.withColumn("chunk", F.floor(F.col("_pos") / F.lit(max_batch_size)).cast("long"))
         return summarize_batches(chunked, [*partition_by, "window_start", "chunk"], prompt)
 
-    return run
+    return _stateful(run)
 
 
 def lazy_hours(df: DataFrame, seconds: float = 3600) -> DataFrame:

@@ -19,6 +19,7 @@ from sieveline.operators import stateful
 from sieveline.operators.routing import dispatch_actions, on_error, route_agents, unrouted
 from sieveline.operators.rules import Filter, content_filter, filter_chain, priority_router, project_for_agent
 from sieveline.operators.scoring import Scorer, offline_scorer, score
+from sieveline.session import checkpoint_root
 from sieveline.sources.normalize import union_sources
 
 # Known source kinds and the keys an agent must have.
@@ -49,7 +50,12 @@ def _windowed(c: Mapping[str, Any]) -> Filter:
         max_batch_size=c.get("max_batch_size") or 50,
     )
     keys = ["batch_source" if k == "source_id" else k for k in by] + ["batch_no"]
-    return lambda df: stateful.batch_events(batch(df), keys)
+
+    def run(df: DataFrame) -> DataFrame:
+        return stateful.batch_events(batch(df), keys)
+
+    run.stateful = True
+    return run
 
 
 # Defaults of the filter types.
@@ -161,15 +167,18 @@ class CompiledSpec:
         return rows.withColumns({"system_prompt": system, "max_per_hour": budget, "prompt": project_for_agent()})
 
     def run(self, sources: Mapping[str, DataFrame], scorer: Scorer = offline_scorer) -> dict[str, DataFrame]:
-        """All outputs of the plan, each lazily.
+        """All outputs of the plan.
 
         What a reply costs is known only after the call, so in batch every
         routed row is scored and rows beyond the hourly budget are cut after.
+        The replies are checkpointed: no output calls the scorer again.
         """
         events = self.filtered(sources)
         replies = score(self.requests(events), scorer).withColumn(
             "cost", F.when(F.col("error").isNull(), F.col("tokens")).otherwise(F.lit(0))
         )
+        checkpoint_root(replies.sparkSession)
+        replies = replies.checkpoint()
         budgeted = replies.transform(stateful.token_budget(tokens="cost"))
         sent = budgeted.where("is_sent")
         out = {

@@ -27,8 +27,27 @@ EVENT_SCHEMA = T.StructType(
 # nor a window key, and a MAP would lose the value types.
 
 
+# Tables that grow with the data, as opposed to lookup tables.
+FACT_TABLES = ("events", "lineitem", "orders", "documents")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a table that has fewer splits than there are cores.
+
+    A Parquet file is split at row groups only, so one file of one row group
+    would keep a single core busy.  A large table has splits enough and is left
+    alone.  Filters and column pruning pass through the repartitioning.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    # There are at least as many splits as files; only few files need planning.
+    if len(df.inputFiles()) >= cores or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(table) if name in FACT_TABLES else table
 
 
 def canonical_events(raw: DataFrame) -> DataFrame:
