@@ -124,6 +124,10 @@ class Scan:
     def absorb(self, acc: Any, cols: dict[str, np.ndarray]) -> Any:
         raise NotImplementedError
 
+    def pack(self, acc: Any) -> Any:
+        """What of the accumulator the summary row has to carry."""
+        return acc
+
     def resolve(self, acc: Any, entry: Any) -> Any:
         """Exit state for ``entry`` (None: not known yet), or None if the exit
         depends on it in a way only another run over the rows can tell."""
@@ -203,8 +207,14 @@ class AcceptScan(Scan):
     whole look-back consists of rows that are accepted whatever came before,
     which is the case when no row of that look-back has more than ``limit``
     rows in its own one.
+
+    With ``limit=1`` the exit is moreover a step function of the time from which
+    the first row may be accepted: one step per row of the first window, and
+    steps merge as their accept chains meet.
     """
 
+    MAX_CHAINS, MAX_STEPS = 1_000_000, 4096
+
     columns = (TIME,)
     outputs = (("_accepted", pa.bool_()),)
 
@@ -239,11 +249,50 @@ class AcceptScan(Scan):
     def unknown(self):
         # ``tail``: every row later than ``seen_from``, as far as a look-back of
         # a look-back can still reach.
-        return {"tail": np.empty(0, np.int64), "seen_from": None, "last": None, "known": None}
+        none = np.empty(0, np.int64)
+        return {
+            "tail": none, "seen_from": None, "last": None, "known": None,
+            "first": None, "from": none, "at": none, "closed": False,
+        }
+
+    def _follow(self, acc, us: np.ndarray) -> None:
+        """Carry the accept chain of every possible entry through these rows."""
+        if acc["from"] is None:
+            return
+        if acc["first"] is None:
+            acc["first"] = int(us[0])
+        if not acc["closed"]:
+            # An entry can block at most a window beyond the first row.
+            end = int(np.searchsorted(us, acc["first"] + self.window, side="right"))
+            acc["closed"] = end < len(us)
+            starts = np.unique(us[: end + 1])
+            if len(acc["from"]):
+                starts = starts[starts > acc["from"][-1]]
+            acc["from"] = np.concatenate([acc["from"], starts])
+            acc["at"] = np.concatenate([acc["at"], starts])
+        at = acc["at"]
+        while True:
+            nxt = np.searchsorted(us, at + self.window, side="left")
+            moved = nxt < len(us)
+            if not moved.any():
+                break
+            at[moved] = us[nxt[moved]]
+        if acc["closed"]:
+            ends = np.append(at[1:] != at[:-1], True)
+            acc["from"], acc["at"] = acc["from"][ends], at[ends]
+        if len(acc["from"]) > self.MAX_CHAINS:
+            acc["from"] = acc["at"] = None  # too dense: run again instead
+
+    def pack(self, acc):
+        few = acc["from"] is not None and len(acc["from"]) <= self.MAX_STEPS and self.limit == 1
+        steps = {"from": acc["from"], "at": acc["at"]} if few else {"from": None, "at": None}
+        return {"last": acc["last"], "known": acc["known"], "closed": acc["closed"], **steps}
 
     def absorb(self, acc, cols):
         us = cols[TIME]
         acc["last"] = int(us[-1])
+        if self.limit == 1 and acc["known"] is None:
+            self._follow(acc, us)
         if self.limit <= 0:
             acc["known"] = []
         if acc["known"] is not None:
@@ -291,7 +340,14 @@ class AcceptScan(Scan):
             return acc["known"]
         if entry and len(entry) >= self.limit and acc["last"] < entry[-self.limit] + self.window:
             return entry  # the whole run is rejected
-        return None
+        steps = acc["from"]
+        if steps is None or not len(steps):
+            return None
+        if entry is None:
+            # Once all chains have met, the exit is the same for every entry.
+            return [int(acc["at"][0])] if acc["closed"] and len(steps) == 1 else None
+        j = int(np.searchsorted(steps, entry[-1] + self.window, side="left")) if entry else 0
+        return [int(acc["at"][j])] if j < len(steps) else entry
 
 
 class BatchScan(Scan):
@@ -392,7 +448,7 @@ def _probe(scan: Scan, entries: dict[int, tuple[str, Any]] | None = None):
                 else:
                     acc = scan.absorb(acc, piece)
         if part is not None:
-            payload = pickle.dumps((known, state if known else acc))
+            payload = pickle.dumps((known, state if known else scan.pack(acc)))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([part], pa.int32()),

@@ -123,3 +123,21 @@ def test_every_row_survives(spark, many_partitions):
     out = apply_scan(layout, SumScan("s")).df
     assert out.count() == 300
     assert np.isclose(out.agg(F.max("_through")).first()[0], sum(r[2] for r in rows))
+
+
+@pytest.mark.parametrize("seed,span,window,rounds", [(1, 4_000, 20, 0), (2, 700, 3, 0), (3, 150, 60, 3)])
+def test_dense_key_needs_few_rounds(spark, many_partitions, monkeypatch, seed, span, window, rounds):
+    # No gap of a window anywhere: borders are settled by the step functions.
+    rnd = random.Random(seed)
+    rows = [(i, "hot", rnd.randrange(span), 1.0) for i in range(3000)]
+    kept, want = None, set()
+    for r in sorted(rows, key=lambda r: (r[2], r[0])):
+        if kept is None or r[2] - kept >= window:
+            kept = r[2]
+            want.add(r[0])
+    layout = ordered_layout(to_df(spark, rows), ["k"], ["id"])
+    jobs, original = [], type(spark.sparkContext).runJob
+    monkeypatch.setattr(type(spark.sparkContext), "runJob", lambda *a, **k: (jobs.append(1), original(*a, **k))[1])
+    got = apply_scan(layout, AcceptScan(window * 1_000_000, 1)).df.where("_accepted").select("id").collect()
+    assert {r[0] for r in got} == want
+    assert len(jobs) <= rounds
