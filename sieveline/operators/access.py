@@ -18,10 +18,10 @@ def tenant_access(requests: DataFrame, tenants: DataFrame, resource: str, allowe
 
 
 def _grants(users: DataFrame, roles: DataFrame) -> DataFrame:
-    """Distinct (user_id, permission)."""
+    """(user_id, permission) over all roles of a user."""
     held = users.select("user_id", F.explode("roles").alias("role"))
     given = roles.select(F.col("name").alias("role"), F.explode("permissions").alias("permission")).distinct()
-    return lookup_join(held, given, ["role"], salt_on=["user_id"]).select("user_id", "permission").distinct()
+    return lookup_join(held, given, ["role"], salt_on=["user_id"]).select("user_id", "permission")
 
 
 def has_permission(requests: DataFrame, users: DataFrame, roles: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.functions.numbers import round_js
+from sieveline.operators.joins import lookup_join
 from sieveline.operators.ordered import running_sum
 
 
@@ -106,8 +107,8 @@ def inflight(marks: DataFrame, order_by: Sequence[str]) -> DataFrame:
 
 
 def event_status(transitions: DataFrame, recent: DataFrame) -> DataFrame:
-    """Latest status of the events still in the recent list (at most its few rows)."""
-    kept = transitions.join(F.broadcast(recent.select("event_id")), "event_id", "left_semi")
+    """Latest status of the events still in the recent list."""
+    kept = lookup_join(transitions, recent.select("event_id").distinct(), ["event_id"], "left_semi")
     return kept.groupBy("event_id").agg(F.max_by("status", "seq").alias("status"))
 
 

@@ -39,10 +39,7 @@ def spread(df: DataFrame) -> DataFrame:
     alone.  Filters and column pruning pass through the repartitioning.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    # There are at least as many splits as files; only few files need planning.
-    if len(df.inputFiles()) >= cores or df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 
@@ -50,6 +51,18 @@ def checkpoint_root(spark: SparkSession) -> str:
     return current
 
 
+def ship_package() -> None:
+    """Let Python workers run this package's functions without having it installed.
+
+    Functions and classes then travel with the plan; state processors and data
+    sources start workers that see neither ``addPyFile`` archives nor paths
+    added by the driver.
+    """
+    import sieveline
+
+    cloudpickle.register_pickle_by_value(sieveline)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the checkpoint folder for a table written mid-plan."""
     return os.path.join(checkpoint_root(spark), f"{name}-{uuid.uuid4().hex}")
