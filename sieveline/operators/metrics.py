@@ -122,7 +122,8 @@ def recent_per_agent(responses: DataFrame, n: int = 30) -> DataFrame:
     from pyspark.sql import Window
 
     w = Window.partitionBy("agent_id").orderBy(F.desc("timestamp"), F.desc("event_id"))
-    return recent(responses, n).withColumn("panel_pos", F.row_number().over(w))
+    last = recent(responses, n, ("timestamp", "event_id", "agent_id"))
+    return last.withColumn("panel_pos", F.row_number().over(w).cast("bigint"))
 
 
 def response_log(requests: DataFrame, replies: DataFrame) -> DataFrame:

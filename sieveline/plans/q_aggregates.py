@@ -265,11 +265,7 @@ def recent_errors(spark, sf_dir):
 )
 def recent_responses(spark, sf_dir):
     good = fixtures.replies(spark, sf_dir).where("error IS NULL")
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("agent_id").orderBy(F.desc("timestamp"), F.desc("event_id"))
-    last = recent(good, 30, ("timestamp", "event_id", "agent_id"))
-    return last.select("event_id", "agent_id", F.row_number().over(w).cast("bigint").alias("panel_pos"))
+    return recent_per_agent(good, 30).select("event_id", "agent_id", "panel_pos")
 
 
 _AUDIT = """log AS (SELECT o_orderkey AS seq, strftime(o_orderdate, '%Y-%m-%dT00:00:00.000Z') AS timestamp, 'user-' || o_custkey AS actor, o_orderstatus AS action,
