@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from sieveline.llm import decontam
+from sieveline.llm.common import in_fold
+from sieveline.llm.langid import fit_languages, identify_language
+from sieveline.llm.mixing import mix
 from sieveline.llm.neardup import near_duplicates
+from sieveline.llm.toxicity import THRESHOLD as TOXIC
+from sieveline.llm.toxicity import fit_toxicity, toxicity
 from sieveline.plans.registry import query
 
 # Lower case for A-Z alone, and words between ASCII white space.
@@ -39,3 +47,92 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = comp
 )
 def op9_setsketch_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str):
+    """Labels are learned outside the held-out fold only."""
+    labels = table(spark, sf_dir, "labels").where(~in_fold("doc_id", 3, 1)).select("doc_id", "toxic")
+    return fit_toxicity(docs, labels)
+
+
+@query("op1_compression_toxicity")
+def op1_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    score = toxicity(toxicity_model(spark, docs, sf_dir), spark)
+    scored = docs.select("doc_id", in_fold("doc_id", 3, 1).alias("held_out"), score(F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= TOXIC).cast("int"))
+
+
+def language_model(spark: SparkSession, docs: DataFrame):
+    """Languages are learned outside the held-out fold only."""
+    return fit_languages(docs.where(~in_fold("doc_id", 5, 0)), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op3_unigram_language")
+def op3_unigram_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    identify = identify_language(language_model(spark, docs), spark)
+    found = docs.select("doc_id", in_fold("doc_id", 5, 0).alias("held_out"), identify(F.col("text")).alias("found"))
+    return found.select("doc_id", "held_out", "found.lang_pred", "found.score")
+
+
+def decontam_sql(source: str = "documents") -> str:
+    """CTEs ``items`` to ``leaks``: pairs of documents of ``source`` and benchmark items."""
+    units = "|".join(decontam.UNITS)
+    name, unit, number = "chr(57344)", "chr(57345)", "chr(57346)"
+
+    def mark(column: str) -> str:
+        clean = f"regexp_replace(coalesce({column}, ''), '[' || {name} || {unit} || {number} || ']', '', 'g')"
+        first = rf"regexp_replace({clean}, '([\p{{Ll}}\p{{N}},;:)] )(\p{{Lu}}\p{{Ll}}+)', '\1' || {name} || '\2', 'g')"
+        second = rf"regexp_replace({first}, '(' || {name} || '\p{{Lu}}\p{{Ll}}+ )(\p{{Lu}}\p{{Ll}}+)', '\1' || {name} || '\2', 'g')"
+        return rf"regexp_replace({second}, '(\p{{N}}) ?({units})\b', '\1 ' || {unit} || '\2', 'g')"
+
+    slots = rf"regexp_replace(regexp_replace(m, '([' || {name} || {unit} || '])\p{{L}}+', '\1', 'g'), '\p{{N}}+(?:[.,]\p{{N}}+)*', {number}, 'g')"
+    canon = rf"regexp_extract_all(lower({slots}), '[' || {name} || {unit} || {number} || ']|\p{{L}}+')"
+    raw = rf"regexp_extract_all(m, '[' || {name} || {unit} || ']?\p{{L}}+|\p{{N}}+(?:[.,]\p{{N}}+)*')"
+    grams = (
+        "CASE WHEN len(c) = 0 THEN [] WHEN len(c) < 8 THEN [array_to_string(c, ' ')]"
+        " ELSE list_transform(range(1, len(c) - 6), lambda i: array_to_string(c[i:i + 7], ' ')) END"
+    )
+    words = f"len(list_filter(c[pos + 1:pos + 8], lambda t: t NOT IN ({name}, {unit}, {number})))"
+    return f"""items AS (
+  SELECT item_id AS id, {canon} AS c, {raw} AS r FROM (SELECT item_id, {mark("text")} AS m FROM benchmark WHERE item_id IS NOT NULL)),
+texts AS (
+  SELECT doc_id AS id, {canon} AS c, {raw} AS r FROM (
+    SELECT doc_id, {mark("text")} AS m FROM {source} WHERE doc_id IS NOT NULL AND text IS NOT NULL)),
+item_grams AS (
+  SELECT id, pos, g, count(*) OVER (PARTITION BY id) AS n FROM (
+    SELECT id, c, unnest(range(len({grams}))) AS pos, unnest({grams}) AS g FROM items)
+  WHERE {words} >= least(4, ceil(len(c) / 2))),
+text_grams AS (SELECT id, unnest(range(len({grams}))) AS place, unnest({grams}) AS g FROM texts),
+runs AS (
+  SELECT t.id AS doc, i.id AS item, place - pos AS shift, list(DISTINCT pos) AS poss, max(n) AS n
+  FROM text_grams t JOIN item_grams i USING (g) GROUP BY ALL
+  HAVING count(DISTINCT pos) >= max(n) * 0.5 OR count(DISTINCT pos) >= 8),
+places AS (
+  SELECT DISTINCT doc, item, shift, unnest(range(a + 1, least(a + 8, len(i.r)) + 1)) AS pos
+  FROM (SELECT doc, item, shift, unnest(poss) AS a FROM runs) JOIN items i ON i.id = item),
+slots AS (
+  SELECT doc, item, shift, lower(i.r[pos]) AS v, lower(t.r[pos + shift]) AS f
+  FROM places JOIN items i ON i.id = item JOIN texts t ON t.id = doc
+  WHERE regexp_matches(i.r[pos], '^([' || {name} || {unit} || ']|\\p{{N}})')),
+agreed AS (
+  SELECT doc, item, shift, sum(k) AS k, bool_or(d) AS d FROM (
+    SELECT doc, item, shift, v, count(*) AS k, min(f) <> max(f) AS d FROM slots GROUP BY ALL) GROUP BY ALL),
+leaks AS (
+  SELECT doc AS doc_id, item AS item_id, max(struct_pack(n := len(poss), s := -shift, k := coalesce(k, 0))) AS b, max(n) AS item_windows
+  FROM runs LEFT JOIN agreed USING (doc, item, shift) WHERE d IS NULL OR NOT d GROUP BY ALL)"""
+
+
+@query(
+    "op8_template_decontamination",
+    f"""WITH {decontam_sql()}
+SELECT doc_id, item_id, CAST(b.n AS BIGINT) AS n_windows, CAST(item_windows AS BIGINT) AS item_windows, CAST(b.k AS BIGINT) AS n_slots FROM leaks""",
+)
+def op8_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op2_entropy_mixing")
+def op2_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
