@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sieveline.llm import decontam
+from sieveline.llm import chat, decontam, licenses
+from sieveline.llm.ann import search_nearest
 from sieveline.llm.common import in_fold
+from sieveline.llm.html import extract
 from sieveline.llm.langid import fit_languages, identify_language
 from sieveline.llm.mixing import mix
 from sieveline.llm.neardup import near_duplicates
+from sieveline.llm.tokencount import count_tokens
 from sieveline.llm.toxicity import THRESHOLD as TOXIC
 from sieveline.llm.toxicity import fit_toxicity, toxicity
 from sieveline.plans.registry import query
@@ -136,3 +139,69 @@ def op8_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_entropy_mixing")
 def op2_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
+
+
+@query("op4_license_signatures")
+def op4_license_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("detections")
+
+
+@query("op5_pretoken_counts")
+def op5_pretoken_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def _escaped_sql(column: str) -> str:
+    for control, code in chat.ESCAPES:
+        column = f"replace({column}, '{control}', '\\{code}')"
+    return column
+
+
+SAMPLE_TURN = "</s>[INST] ok [/INST]"
+
+
+@query(
+    "op6_reply_trees",
+    f"""WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{SAMPLE_TURN}' UNION ALL SELECT -1, 1, 'assistant', '{SAMPLE_TURN}')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('{chat.ROLE}{chat.END_ROLE}{chat.END}' || {_escaped_sql("role")} || {_escaped_sql("text")})) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id""",
+)
+def op6_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(SAMPLE_TURN).alias("text"))
+    return thread_digests(own.unionByName(more))
+
+
+def thread_digests(turns: DataFrame) -> DataFrame:
+    """Each conversation as a tree in which a turn answers the one before it; digests of what is read back."""
+    # A null id is a conversation of its own: trees are joined by key, which mustn't be null.
+    keyed = turns.select(F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("tree"), "turn", "role", "text")
+    order = Window.partitionBy("tree").orderBy(F.col("turn").asc_nulls_last(), F.col("role"), F.col("text"))
+    numbered = keyed.withColumn("node", F.row_number().over(order).cast("long"))
+    messages = numbered.select(
+        "tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score")
+    )
+    read = chat.read_back(chat.conversations(messages))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        F.expr("cast(nullif(tree, '') AS long)").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+@query("op7_tree_main_text")
+def op7_tree_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
+@query("op10_graph_neighbours")
+def op10_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search_nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
