@@ -140,10 +140,11 @@ def _rooted(nodes: DataFrame) -> DataFrame:
             break
         open_before = still
         above = now.select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.lit(True).alias("there"))
-        moved = now.join(above, ["tree", "up"], "left").select(
-            "tree", "node", F.when(F.col("up").isNull(), None).when(F.col("there"), F.col("next")).otherwise(F.col("up")).alias("up")
+        # Only messages whose root isn't known yet are joined again: in the end those of the deepest tree.
+        moved = now.where("up is not null").join(above, ["tree", "up"], "left").select(
+            "tree", "node", F.when(F.col("there"), F.col("next")).otherwise(F.col("up")).alias("up")
         )
-        now = stored(moved, "ups")
+        now = stored(now.where("up is null").unionByName(moved), "ups")
     return nodes.join(now.where("up is null").select("tree", "node"), ["tree", "node"])
 
 
