@@ -32,9 +32,9 @@ def sampled(df: DataFrame, key: str, bounds: dict, id_column: str) -> DataFrame:
     ``bounds`` maps a class to a rate; the expected number of rows is then bounded
     however large the table is, and the choice is the same at every run.
     """
-    rate = F.lit(0.0)
-    for value, share in bounds.items():
-        rate = F.when(F.col(key) == F.lit(value), F.lit(float(share))).otherwise(rate)
+    if not bounds:
+        return df.where(F.lit(False))
+    rate = F.try_element_at(F.create_map(*[F.lit(x) for pair in bounds.items() for x in (pair[0], float(pair[1]))]), F.col(key))
     return df.where(F.pmod(F.xxhash64(F.col(id_column)), F.lit(1 << 30)) < rate * F.lit(float(1 << 30)))
 
 

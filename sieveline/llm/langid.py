@@ -11,12 +11,12 @@ seen before come from a bounded cache.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType, DoubleType
 
@@ -262,17 +262,18 @@ def fit_languages(
         .groupBy("lang", "word")
         .count()
     )
+    # The sample is bounded, and so is what its languages' words add up to.
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))
     counts: dict[str, dict[str, float]] = {k: {} for k in total}
-    for lang in total:
-        top = counted.where(F.col("lang") == lang).orderBy(F.desc("count"), "word").limit(words)
-        counts[lang] = {r["word"]: float(r["count"]) for r in top.collect()}
+    for r in counted.withColumn("rank", rank).where(F.col("rank") <= words).collect():
+        counts[r["lang"]][r["word"]] = float(r["count"])
     return fit_pieces(vocabulary(vocabulary_path), {k: c for k, c in counts.items() if c})
 
 
 RESULT = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
 
-def identify_language(model: Model, spark) -> "Callable[[Column], Column]":  # noqa: F821
+def identify_language(model: Model, spark) -> Callable[[Column], Column]:
     """A column function from texts to (lang_pred, score); null texts and those without a letter are ``und`` with 0."""
     shared = spark.sparkContext.broadcast(model)
 

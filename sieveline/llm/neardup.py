@@ -39,6 +39,7 @@ BASE, RATE, TOP = 1.001, 50.0, 65535
 FLOOR = 0.53
 CHUNK = 100_000  # shingles sketched at once: stays in the processor's cache
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 2_000_000
+PAIRS = 4_000_000  # pairs counted at once
 DENSE = 16  # shingles in more sets than this are counted by matrix products
 
 _rng = np.random.default_rng(20240229)
@@ -155,9 +156,10 @@ def linked_sets(sets: list[np.ndarray]) -> np.ndarray:
     both = np.zeros((k, k))
     for size in range(2, min(DENSE, k) + 1):
         rows = owner[start[count == size][:, None] + np.arange(size)]
-        for i in range(size):
-            for j in range(i):
-                both += np.bincount(rows[:, i] * k + rows[:, j], minlength=k * k).reshape(k, k) if len(rows) else 0
+        i, j = np.tril_indices(size, -1)
+        for at in range(0, len(rows), most := max(1, PAIRS // len(i))):
+            part = rows[at : at + most]
+            both += np.bincount((part[:, i] * k + part[:, j]).ravel(), minlength=k * k).reshape(k, k)
     wide = np.flatnonzero(count > DENSE)
     for at in range(0, len(wide), 2048):
         part = wide[at : at + 2048]
