@@ -34,6 +34,25 @@ def _fast_text(column: str, segments: Sequence[str]) -> Column | None:
     return F.get_json_object(F.col(column), "$" + "".join(f"['{s}']" for s in segments))
 
 
+_UNSETTLED_NUMBER = r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$"
+
+
+def _number_text(x: Column) -> Column:
+    """Shortest text of a number: no trailing zeros, an exponent below 1e-6 and from 1e21 on."""
+    size, text = F.abs(x), x.cast("string")
+    plain = F.regexp_replace(F.regexp_replace(text.cast("decimal(38,20)").cast("string"), r"0+$", ""), r"\.$", "")
+    scientific = F.regexp_replace(F.regexp_replace(text, r"\.0E|E", "e"), r"e(?!-)", "e+")
+    return F.when((x == F.floor(x)) & (size < 1e21), x.cast("decimal(38,0)").cast("string")).when((size >= 1e-6) & (size < 1e16), plain).otherwise(scientific)
+
+
+def _node_text(node: Column) -> Column:
+    """Text of a VARIANT: numbers with a fraction or an exponent in their shortest form."""
+    text = F.try_variant_get(node, "$", "string")
+    kind = F.schema_of_variant(node)
+    real = kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT")
+    return F.when(F.is_variant_null(node), "null").when(real, _number_text(F.try_variant_get(node, "$", "double"))).otherwise(text)
+
+
 def path_present(path: str) -> Column:
     """True where the path resolves; an explicit JSON null counts as present."""
     head, *rest = path.split(".")
@@ -50,7 +69,8 @@ def path_present(path: str) -> Column:
 def path_text(path: str) -> Column:
     """Text form of the value at the path; missing is NULL, JSON null is 'null'.
 
-    Objects and arrays yield canonical (key-sorted) JSON text.
+    Objects and arrays yield canonical (key-sorted) JSON text, numbers their
+    shortest form: 100.0 and 1e2 are 100.
     """
     head, *rest = path.split(".")
     if any(s in GUARDED_KEYS for s in (head, *rest)):
@@ -64,15 +84,13 @@ def path_text(path: str) -> Column:
     # A plain lookup settles scalars without building the whole document;
     # missing, null and nested values take the exact way.
     fast = _fast_text(head, rest)
-    doc = F.try_parse_json(F.col(head))
-    values = [F.try_variant_get(doc, p, "string") for p in _json_paths(rest)]
-    value = values[0] if len(values) == 1 else F.coalesce(*values)
-    slow = F.when(F.is_variant_null(_variant_at(head, rest)), "null").otherwise(value)
+    slow = _node_text(_variant_at(head, rest))
     if fast is None:
         return slow
     # Bound in a lambda, the lookup runs once per row; a filter would repeat it
     # for every mention.
-    settled = lambda v: F.when(v.isNotNull() & ~v.startswith("{") & ~v.startswith("["), v).otherwise(slow)
+    whole = lambda v: ~v.rlike(_UNSETTLED_NUMBER) | ~v.rlike("[.eE]")
+    settled = lambda v: F.when(v.isNotNull() & ~v.startswith("{") & ~v.startswith("[") & whole(v), v).otherwise(slow)
     return F.element_at(F.transform(F.array(fast), settled), 1)
 
 

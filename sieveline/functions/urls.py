@@ -5,18 +5,54 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Host names and IPv4 ranges that must not be called.
-BLOCKED_HOSTS = ("localhost", "127.0.0.1", "::1", "0.0.0.0")
+# Host names that must not be called; the same as numbers for IPv4.
+BLOCKED_HOSTS = ("localhost", "::1")
+BLOCKED_IPV4 = (0x7F000001, 0)
+_LOOPBACK_V6 = r"^(0{0,4}:){2,7}0{0,3}1$"
+
+
+def _number(part: Column) -> Column:
+    """An IPv4 part in decimal, octal or hexadecimal digits, or NULL."""
+    return (
+        F.when(part.rlike("^0[xX][0-9a-fA-F]*$"), F.conv(F.concat(F.lit("0"), F.substring(part, 3, 20)), 16, 10))
+        .when(part.rlike("^0[0-7]+$"), F.conv(part, 8, 10))
+        .when(part.rlike("^(0|[1-9][0-9]*)$"), part)
+        .try_cast("bigint")
+    )
 
 
 def url_guard(url: Column) -> Column:
-    """Reason a URL is refused: 'invalid', 'protocol', 'host', 'private', or 'ok'."""
-    scheme = F.lower(F.try_parse_url(url, F.lit("PROTOCOL")))
-    host = F.lower(F.regexp_replace(F.try_parse_url(url, F.lit("HOST")), r"^\[|\]$", ""))
-    octets = F.transform(F.split(host, r"\."), lambda x: x.try_cast("int"))
-    numeric = (F.size(octets) == 4) & F.forall(octets, lambda x: x.isNotNull())
-    a, b = F.try_element_at(octets, F.lit(1)), F.try_element_at(octets, F.lit(2))
-    private = numeric & (
+    """Reason a URL is refused: 'invalid', 'protocol', 'host', 'private', or 'ok'.
+
+    Hosts are read as a browser does: user and port are left out, backslashes
+    count as slashes, and a host that ends in a number is an IPv4 address, with
+    up to four parts in any base, the last of which fills the remaining bytes.
+    """
+    clean = F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", "")
+    scheme = F.lower(F.nullif(F.regexp_extract(clean, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1), F.lit("")))
+    authority = F.regexp_extract(clean, r"^[^:]*:[/\\]*([^/\\?#]*)", 1)
+    place = F.regexp_replace(authority, "^.*@", "")
+    in_brackets = place.startswith("[")
+    host = F.lower(F.when(in_brackets, F.regexp_extract(place, r"^\[([0-9A-Fa-f:.]*)\]", 1)).otherwise(F.regexp_extract(place, "^([^:]*)", 1)))
+    port = F.regexp_extract(place, r"^(?:\[[^\]]*\]|[^:]*)(.*)$", 1)
+    good_port = port.rlike("^(:[0-9]*)?$") & (F.coalesce(F.nullif(F.substring(port, 2, 30), F.lit("")).try_cast("bigint"), F.lit(0)) <= 65535)
+    good_host = (host != "") & (in_brackets | ~host.rlike(r"[\x00-\x20<>^|%\[\]\x7f]"))
+
+    parts = F.split(F.regexp_replace(host, r"\.$", ""), r"\.")
+    is_ipv4 = ~in_brackets & F.element_at(parts, -1).rlike("^([0-9]+|0[xX][0-9a-fA-F]*)$")
+    numbers = F.transform(parts, _number)
+    n = F.size(parts)
+    last = F.element_at(numbers, -1)
+    fits = (
+        (n <= 4)
+        & F.forall(numbers, lambda x: x.isNotNull())
+        & F.forall(F.slice(numbers, 1, F.greatest(n - 1, F.lit(0))), lambda x: x <= 255)
+        & (last < F.pow(F.lit(256.0), 5 - n))
+    )
+    upper = F.aggregate(F.slice(numbers, 1, F.greatest(n - 1, F.lit(0))), F.lit(0).cast("bigint"), lambda a, x: a * 256 + x)
+    address = (upper * F.pow(F.lit(256.0), 5 - n)).cast("bigint") + last
+    a, b = F.shiftright(address, 24), F.shiftright(address, 16).bitwiseAND(255)
+    private = (
         (a == 10)
         | ((a == 172) & b.between(16, 31))
         | ((a == 192) & (b == 168))
@@ -26,8 +62,10 @@ def url_guard(url: Column) -> Column:
     return (
         F.when(scheme.isNull(), "invalid")
         .when(~scheme.isin("http", "https"), "protocol")
-        .when(host.isNull(), "invalid")
-        .when(host.isin(*BLOCKED_HOSTS), "host")
-        .when(F.coalesce(private, F.lit(False)), "private")
+        .when(~(good_host & good_port), "invalid")
+        .when(host.isin(*BLOCKED_HOSTS) | in_brackets & host.rlike(_LOOPBACK_V6), "host")
+        .when(is_ipv4 & ~F.coalesce(fits, F.lit(False)), "invalid")
+        .when(is_ipv4 & address.isin(*BLOCKED_IPV4), "host")
+        .when(is_ipv4 & F.coalesce(private, F.lit(False)), "private")
         .otherwise("ok")
     )

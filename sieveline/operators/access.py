@@ -21,7 +21,7 @@ def _grants(users: DataFrame, roles: DataFrame) -> DataFrame:
     """(user_id, permission) over all roles of a user."""
     held = users.select("user_id", F.explode("roles").alias("role"))
     given = roles.select(F.col("name").alias("role"), F.explode("permissions").alias("permission")).distinct()
-    return lookup_join(held, given, ["role"], salt_on=["user_id"]).select("user_id", "permission")
+    return lookup_join(held, given, ["role"]).select("user_id", "permission")
 
 
 def has_permission(requests: DataFrame, users: DataFrame, roles: DataFrame) -> DataFrame:
@@ -37,12 +37,10 @@ def has_permission(requests: DataFrame, users: DataFrame, roles: DataFrame) -> D
 
 
 def effective_permissions(users: DataFrame, roles: DataFrame) -> DataFrame:
-    """Sorted distinct permissions per user; 'admin' is not expanded."""
-    return (
-        _grants(users, roles)
-        .groupBy("user_id")
-        .agg(F.array_sort(F.collect_set("permission")).alias("permissions"))
-    )
+    """Sorted distinct permissions of every user, empty without a known role; 'admin' is not expanded."""
+    granted = _grants(users, roles).groupBy("user_id").agg(F.array_sort(F.collect_set("permission")).alias("permissions"))
+    everyone = users.select("user_id").distinct().join(granted, "user_id", "left")
+    return everyone.withColumn("permissions", F.coalesce("permissions", F.expr("cast(array() as array<string>)")))
 
 
 def user_by_key(requests: DataFrame, users: DataFrame) -> DataFrame:

@@ -4,33 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-BROADCAST_ROWS = 50_000
 
-
-def lookup_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: Sequence[str],
-    how: str = "inner",
-    salt_on: Sequence[str | Column] | None = None,
-    salts: int = 32,
-    broadcast_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
+def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """Join a large left side, possibly with hot keys, to a lookup table.
 
-    The right side is broadcast only after its rows have been counted.  Beyond
-    that, its rows are replicated over salts and the left rows spread over
-    them, so that one hot key is joined by many tasks.
+    No hint: Spark sends the lookup table to every executor if its bytes, as
+    estimated or as measured at run time, are below the session's threshold, and
+    otherwise shuffles both sides and splits those partitions of the left side
+    that turn out to be skewed.  Nothing is counted or copied beforehand.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type: {how}")
-    on = list(on)
-    if right.count() <= broadcast_rows:
-        return left.join(F.broadcast(right), on, how)
-    spread = [F.col(c) if isinstance(c, str) else c for c in (salt_on or left.columns)]
-    salted_left = left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    salted_right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted_left.join(salted_right, [*on, "_salt"], how).drop("_salt")
+    return left.join(right, list(on), how)

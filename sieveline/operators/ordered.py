@@ -160,12 +160,17 @@ class SumScan(Scan):
 
 
 class ClampScan(Scan):
-    """r := min(hi, max(lo, a*r)) per row.
+    """r := min(hi, max(lo, a*r)) per row, for factors a >= 0.
 
-    The family is closed under composition, so a partition is summarised by
-    one (a, lo, hi) triple whatever its length.
+    A run of rows is summarised by what it makes of the least and the greatest
+    possible rate, step by step as in a plain pass.  Each step keeps the order of
+    rates, rounding included, so once both meet, every entry has that exit.  A run
+    without any factor but 1 is a clamp between the two.  Any other is run again
+    with its true entry: results never depend on how rows are laid out.
     """
 
+    BOUND = 1e308
+
     outputs = (("_rate", pa.float64()),)
 
     def __init__(self, first: float, factor: str, lo: str, hi: str):
@@ -185,18 +190,21 @@ class ClampScan(Scan):
         return {"_rate": out}, r
 
     def unknown(self):
-        return (1.0, -np.inf, np.inf)
+        return (-self.BOUND, self.BOUND, False)
 
     def absorb(self, acc, cols):
-        a, lo, hi = acc
+        lo, hi, moved = acc
         arrays = [cols[c].astype(np.float64).tolist() for c in self.columns]
         for x, y, z in zip(*arrays):
-            a, lo, hi = a * x, min(z, max(y, x * lo)), min(z, max(y, x * hi))
-        return (a, lo, hi)
+            moved = moved or x != 1.0
+            lo, hi = min(z, max(y, x * lo)), min(z, max(y, x * hi))
+        return (lo, hi, moved)
 
     def resolve(self, acc, entry):
-        a, lo, hi = acc
-        return None if entry is None else min(hi, max(lo, a * entry))
+        lo, hi, moved = acc
+        if lo == hi:
+            return lo
+        return None if entry is None or moved else min(hi, max(lo, entry))
 
 
 class AcceptScan(Scan):

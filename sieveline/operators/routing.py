@@ -62,8 +62,18 @@ def dispatch_actions(actions: DataFrame, handlers: Sequence[tuple[str, str]]) ->
     return actions.withColumn("handler", F.try_element_at(table, F.col("type")))
 
 
-def alert_fanout(failed: DataFrame, handlers: Sequence[tuple[str, str]]) -> DataFrame:
-    """One ERROR event per failed send and handler."""
+# Fixed value: how the message of an alert begins.
+ALERT_MESSAGE = "LLM bridge unreachable for agent"
+ALERT_SOURCE = "engine:pipeline"
+
+
+def alert_fanout(failed: DataFrame, handlers: Sequence[tuple[str, str]], timestamp: str = "timestamp") -> DataFrame:
+    """One action request per failed send and handler: its payload holds a whole ERROR event.
+
+    The event's id is derived from the dropped event and the agent, its time is
+    the dropped event's, so that a rerun raises the same alert.
+    """
+    alert_id = F.concat(F.lit("alert-"), F.col("event_id"), F.lit("-"), F.col("agent_id"))
     pairs = F.array(*[F.struct(F.lit(t).alias("type"), F.lit(h).alias("handler")) for t, h in _handlers(handlers).items()])
     return failed.select("*", F.explode(pairs).alias("_h")).select(
         F.col("event_id").alias("dropped_event_id"),
@@ -72,9 +82,17 @@ def alert_fanout(failed: DataFrame, handlers: Sequence[tuple[str, str]]) -> Data
         F.lit("ERROR").alias("event_type"),
         F.to_json(
             F.struct(
-                F.concat(F.lit('Agent "'), F.col("agent_id"), F.lit('" is unreachable')).alias("message"),
-                F.col("error"),
-                F.col("event_id").alias("dropped_event_id"),
+                F.struct(
+                    alert_id.alias("event_id"),
+                    F.lit(ALERT_SOURCE).alias("source_id"),
+                    F.date_format(timestamp, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("timestamp"),
+                    F.lit("ERROR").alias("event_type"),
+                    F.struct(
+                        F.concat(F.lit(ALERT_MESSAGE + ' "'), F.col("agent_id"), F.lit('"')).alias("message"),
+                        F.col("error"),
+                        F.col("event_id").alias("dropped_event_id"),
+                    ).alias("payload"),
+                ).alias("event")
             )
         ).alias("payload"),
     )
@@ -102,7 +120,7 @@ def triggered_lookup(
     """
     first = lookup.groupBy(on).agg(F.min_by("result", "lookup_no").alias("payload"))
     hits = lookup_join(
-        primary.where(trigger_predicate(trigger)).drop("payload"), first, [on], salt_on=["event_id"]
+        primary.where(trigger_predicate(trigger)).drop("payload"), first, [on]
     )
     columns = [*primary.columns]
     base = primary.withColumn("ord", F.lit(0))
@@ -128,15 +146,19 @@ def approval_outcome(
         answer = F.lower(F.trim(F.col("_r.body"))).startswith("y")
         verdict = F.when(F.coalesce(in_time, F.lit(False)), F.coalesce(answer, F.lit(False))).otherwise(default)
     else:
-        doc = F.try_parse_json("_r.body")
-        yes = F.coalesce(F.schema_of_variant(F.try_variant_get(doc, "$.approved", "variant")) == "BOOLEAN", F.lit(False)) & (
-            F.coalesce(F.try_variant_get(doc, "$.approved", "boolean"), F.lit(False))
-        )
-        usable = in_time & (F.col("_r.status").between(200, 299)) & is_json(F.col("_r.body"))
-        verdict = F.when(F.coalesce(usable, F.lit(False)), yes).otherwise(default)
+        verdict = webhook_verdict(in_time, F.col("_r.status"), F.col("_r.body"), auto_deny)
     return joined.withColumn("is_approved", verdict).drop("_r")
 
 
+def webhook_verdict(in_time: Column, status: Column, body: Column, auto_deny: bool) -> Column:
+    """Approved only by a reply in time, of a good status, whose ``approved`` is the boolean true."""
+    given = F.try_variant_get(F.try_parse_json(body), "$.approved", "variant")
+    is_boolean = F.coalesce(F.schema_of_variant(given) == "BOOLEAN", F.lit(False))
+    yes = is_boolean & F.coalesce(F.try_variant_get(given, "$", "boolean"), F.lit(False))
+    usable = in_time & status.between(200, 299) & is_json(body)
+    return F.when(F.coalesce(usable, F.lit(False)), yes).otherwise(F.lit(not auto_deny))
+
+
 def webhook_bodies(actions: DataFrame) -> DataFrame:
     """Outbox rows for webhook actions: the payload is the body."""
     return actions.withColumn("body", F.to_json(F.try_parse_json("action_payload")))

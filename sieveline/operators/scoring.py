@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 SCORE_SCHEMA = "content string, tokens bigint, latency_ms double, error string"
+REPLY = ["content", "tokens", "latency_ms", "error"]
 Scorer = Callable[[pd.DataFrame], pd.DataFrame]
 
 
@@ -28,21 +30,81 @@ def score(requests: DataFrame, scorer: Scorer = offline_scorer) -> DataFrame:
     """Appends the reply columns.
 
     The scorer gets Arrow batches (event_id, agent_id, prompt, ...) and returns
-    content, tokens, latency_ms and error.  If it raises, the rows of that
-    batch come back with the error instead of failing the query.
+    content, tokens, latency_ms and error.  If it raises for a batch, its rows
+    are asked one by one: those that fail come back with the error.
     """
     columns = requests.columns
+    ask = _asking(scorer)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             frame = frame.reset_index(drop=True)
-            try:
-                reply = scorer(frame).reset_index(drop=True)
-            except Exception as error:  # noqa: BLE001 - user code
-                reply = pd.DataFrame({"content": None, "tokens": 0, "latency_ms": 0.0, "error": str(error)}, index=frame.index)
-            yield pd.concat([frame, reply[["content", "tokens", "latency_ms", "error"]]], axis=1)[
-                [*columns, "content", "tokens", "latency_ms", "error"]
-            ]
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema.fields)
-    return requests.mapInPandas(run, f"{fields}, {SCORE_SCHEMA}")
+            reply = ask(frame)
+            yield pd.concat([frame, reply[REPLY]], axis=1)[[*columns, *REPLY]]
+
+    return requests.mapInPandas(run, f"{_fields(requests)}, {SCORE_SCHEMA}")
+
+
+def _fields(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
+def _asking(scorer: Scorer) -> Scorer:
+    def ask(frame: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return scorer(frame).reset_index(drop=True)
+        except Exception as error:  # noqa: BLE001 - user code
+            if len(frame) > 1:
+                parts = (ask(frame.iloc[[i]].reset_index(drop=True)) for i in range(len(frame)))
+                return pd.concat(parts, ignore_index=True)
+            return pd.DataFrame({"content": None, "tokens": 0, "latency_ms": 0.0, "error": str(error)}, index=frame.index)
+
+    return ask
+
+
+def budget_hour(timestamp: Column) -> Column:
+    """Start of the aligned hour, in seconds since 1970."""
+    return F.floor(F.unix_seconds(timestamp) / 3600).cast("long") * 3600
+
+
+def score_in_budget(
+    requests: DataFrame, scorer: Scorer = offline_scorer, max_per_hour: str = "max_per_hour", used: DataFrame | None = None
+) -> DataFrame:
+    """Like ``score``, but no call is made for an agent whose budget of the hour is used up.
+
+    Adds ``tokens_before`` (tokens of the hour's earlier replies, failed ones
+    excluded) and ``is_sent``; rows that aren't sent have no reply.  Agents with a
+    budget are asked event by event, in order of time and id, as what a call
+    costs is known only after it; an hour of an agent ends its calls at the
+    budget.  Agents without one are asked in batches.  ``used`` (agent_id, _hour
+    in seconds, _used) is what agents used of their hours before.
+    """
+    free = score(requests.where(F.col(max_per_hour).isNull()), scorer)
+    columns, ask = requests.columns, _asking(scorer)
+    order = ["agent_id", "_hour", "timestamp", "event_id"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, spent = None, 0
+        for frame in frames:
+            frame = frame.reset_index(drop=True)
+            replies, before, sent = [], [], []
+            for i, (agent, hour, cap, start) in enumerate(zip(frame["agent_id"], frame["_hour"], frame[max_per_hour], frame["_used"], strict=True)):
+                if (agent, hour) != key:
+                    key, spent = (agent, hour), start
+                before.append(spent)
+                sent.append(spent < cap)
+                if not sent[-1]:
+                    replies.append({"content": None, "tokens": None, "latency_ms": None, "error": None})
+                    continue
+                reply = ask(frame.loc[[i], columns].reset_index(drop=True)).iloc[0]
+                replies.append({c: reply[c] for c in REPLY})
+                spent += int(reply["tokens"] or 0) if pd.isna(reply["error"]) else 0
+            out = pd.concat([frame[columns], pd.DataFrame(replies, columns=REPLY)], axis=1)
+            out["tokens"] = out["tokens"].astype("Int64")
+            yield out.assign(tokens_before=before, is_sent=sent)
+
+    timed = requests.where(F.col(max_per_hour).isNotNull()).withColumn("_hour", budget_hour(F.col("timestamp")))
+    timed = timed.withColumn("_used", F.lit(0)) if used is None else timed.join(used, ["agent_id", "_hour"], "left").fillna(0, ["_used"])
+    ordered = timed.repartition("agent_id", "_hour").sortWithinPartitions(*order)
+    capped = ordered.mapInPandas(run, f"{_fields(requests)}, {SCORE_SCHEMA}, tokens_before bigint, is_sent boolean")
+    return capped.unionByName(free.withColumns({"tokens_before": F.lit(None).cast("bigint"), "is_sent": F.lit(True)}))

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sieveline.operators.routing import on_error
 from sieveline.operators.rules import project_for_agent, row_predicate_filter
 from sieveline.operators.scoring import offline_scorer, score
 from sieveline.operators.stateful import summarize_batches
 from sieveline.plans import fixtures
+from sieveline.plans.live import start_spec
 from sieveline.plans.q_sources import _ACTIONS
-from sieveline.plans.q_stateful import _flushes, _greedy, _jump
+from sieveline.plans.q_stateful import _ADAPT, _RATE, _flushes, _greedy, _jump
 from sieveline.plans.registry import EV, REPLY, query, sql_ts, ts_text
 from sieveline.plans.spec import compile_spec
 from sieveline.schema import canonical_events, load_events
@@ -18,6 +23,8 @@ from sieveline.session import scratch_path
 from sieveline.sources.polling import EventFeed, SourceRegistry
 from sieveline.streaming.sinks import run_actions, write_outbox
 from sieveline.streaming.stateful import (
+    adaptive_sample_stream,
+    approval_stream,
     batch_members_stream,
     dedup_stream,
     rate_limit_stream,
@@ -45,11 +52,22 @@ def udf_source(spark, sf_dir):
     return raw.select(F.get_json_object("value", "$.event_id").alias("event_id"), F.get_json_object("value", "$.type").alias("type"))
 
 
-@query("udf_scorer", f"WITH {EV}, {REPLY} SELECT event_id, agent_id, 'Noted ' || event_id || '.' AS content, true AS has_tokens, false AS is_failed FROM reply")
+@query(
+    "udf_scorer",
+    f"""WITH {EV}, {REPLY} SELECT event_id, agent_id, CASE WHEN eid % 17 > 0 THEN 'Noted ' || event_id || '.' END AS content,
+      eid % 17 > 0 AS has_tokens, CASE WHEN eid % 17 = 0 THEN 'agent is down for ' || event_id END AS failure FROM reply""",
+)
 def udf_scorer(spark, sf_dir):
     requests = fixtures.replies(spark, sf_dir).withColumn("prompt", project_for_agent()).select("event_id", "agent_id", "prompt")
-    out = score(requests, offline_scorer)
-    return out.select("event_id", "agent_id", "content", (F.col("tokens") > 20).alias("has_tokens"), F.col("error").isNotNull().alias("is_failed"))
+
+    def failing(frame: pd.DataFrame) -> pd.DataFrame:
+        bad = frame.loc[frame["event_id"].astype("int64") % 17 == 0, "event_id"]
+        if len(bad):
+            raise RuntimeError(f"agent is down for {bad.iloc[0]}")
+        return offline_scorer(frame)
+
+    out = score(requests, failing)
+    return out.select("event_id", "agent_id", "content", (F.col("tokens") > 20).alias("has_tokens"), F.col("error").alias("failure"))
 
 
 @query(
@@ -73,13 +91,13 @@ def udf_action(spark, sf_dir):
 
 @query(
     "udf_metrics",
-    f"WITH {EV} SELECT count(*) AS events, count(*) FILTER (WHERE priority <= 2) AS urgent, {sql_ts('max(ts)')} AS last_event_at FROM ev WHERE kind <> 'click'",
+    f"WITH {EV} SELECT count(*) AS events, count(*) FILTER (WHERE priority <= 2) AS urgent, {sql_ts('max(ts)')} AS last_event_at FROM ev",
 )
 def udf_metrics(spark, sf_dir):
     from pyspark.sql import Observation
 
     seen = Observation("passed")
-    e = load_events(spark, sf_dir).where("event_type <> 'DATA'").observe(
+    e = load_events(spark, sf_dir).observe(
         seen, F.count("*").alias("events"), F.count_if(F.col("priority") <= 2).alias("urgent"), F.max("timestamp").alias("last_event_at")
     )
     e.write.format("noop").mode("overwrite").save()
@@ -108,19 +126,34 @@ def spec_scorer(requests: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"content": "ok", "tokens": 50 + n % 400, "latency_ms": 1.0, "error": (n % 17).map(lambda x: "timeout" if x == 0 else None)})
 
 
-@query(
-    "spec_compile",
-    f"""WITH RECURSIVE {EV}, c AS (SELECT * FROM ev WHERE kind IN ('error', 'purchase', 'click')), {_jump('source_id || kind', '7200 SECOND', 'c')},
+_SPEC_SQL = f"""WITH RECURSIVE {EV}, c AS (SELECT * FROM ev WHERE kind IN ('error', 'purchase', 'click')), {_jump('source_id || kind', '7200 SECOND', 'c')},
       d AS (SELECT k.* FROM k JOIN acc USING (key, ts)),
       r AS (SELECT d.*, a.agent_id, CASE WHEN eid % 17 = 0 THEN 0 ELSE 50 + eid % 400 END AS cost FROM d JOIN (VALUES ('triage', NULL), ('agent-1', 'src-1'), ('agent-1', 'src-2')) a(agent_id, src) ON a.src IS NULL OR a.src = d.source_id),
       b AS (SELECT *, coalesce(sum(cost) OVER (PARTITION BY agent_id, date_trunc('hour', ts) ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r)
-      SELECT event_id, agent_id, CAST(CASE WHEN eid % 17 = 0 THEN 50 + eid % 400 ELSE cost END AS BIGINT) AS tokens, eid % 17 = 0 AS is_failed FROM b WHERE agent_id <> 'triage' OR before < 1000""",
-)
+      SELECT event_id, agent_id, CAST(CASE WHEN eid % 17 = 0 THEN 50 + eid % 400 ELSE cost END AS BIGINT) AS tokens, eid % 17 = 0 AS is_failed FROM b WHERE agent_id <> 'triage' OR before < 1000"""
+
+
+@query("spec_compile", _SPEC_SQL)
 def spec_compile(spark, sf_dir):
     out = compile_spec({**_SPEC, "behavior": {"on_llm_unreachable": "passthrough"}}).run({"feed": load_events(spark, sf_dir)}, spec_scorer)
     return out["passed"].select("event_id", "agent_id", "tokens", F.col("error").isNotNull().alias("is_failed"))
 
 
+@query("failure_policies", f"""WITH {EV}, {REPLY} SELECT 'drop_and_alert' AS policy, event_id, agent_id, 'passed' AS part FROM reply WHERE error IS NULL
+  UNION ALL SELECT 'drop_and_alert', event_id, NULL, 'alerts' FROM reply, range(2) WHERE error IS NOT NULL
+  UNION ALL SELECT 'buffer_limited', event_id, agent_id, CASE WHEN error IS NULL THEN 'passed' ELSE 'retry' END FROM reply
+  UNION ALL SELECT 'passthrough', event_id, agent_id, 'passed' FROM reply""")
+def failure_policies(spark, sf_dir):
+    replies = fixtures.replies(spark, sf_dir)
+    rows = []
+    for policy in ("drop_and_alert", "buffer_limited", "passthrough"):
+        for part, df in on_error(replies, policy, fixtures.HANDLERS).items():
+            ids = F.col("dropped_event_id" if part == "alerts" else "event_id").alias("event_id")
+            agent = F.lit(None).cast("string") if part == "alerts" else F.col("agent_id")
+            rows.append(df.select(F.lit(policy).alias("policy"), ids, agent.alias("agent_id"), F.lit(part).alias("part")))
+    return reduce(DataFrame.unionByName, rows)
+
+
 # -- streaming twins -------------------------------------------------------------
 
 
@@ -154,6 +187,41 @@ def stream_rate_limit(spark, sf_dir):
     return drain(spark, s, "limit").select("event_id")
 
 
+@query(
+    "stream_sample",
+    f"""WITH RECURSIVE {EV}, {_RATE} SELECT ev.event_id FROM ev JOIN rec USING (event_id)
+      WHERE coalesce(priority <= 2, false) OR CAST(concat('0x', substr(md5(ev.event_id), 1, 8)) AS BIGINT) / 4294967296.0 < rate""",
+)
+def stream_sample(spark, sf_dir):
+    s = stream_events(spark, sf_dir).transform(adaptive_sample_stream(**_ADAPT))
+    return drain(spark, s, "sample").select("event_id")
+
+
+@query("stream_approvals", f"WITH {EV} SELECT event_id AS request_id FROM ev WHERE eid % 6 = 1 AND k * 2 <= 60")
+def stream_approvals(spark, sf_dir):
+    """Requests that are approved by then; denials wait for the watermark."""
+    e = stream_events(spark, sf_dir)
+    m = F.col("event_id").cast("bigint") % 6
+    wait = F.get_json_object("raw", "$.k").cast("int") * 2
+    requests = e.select(F.col("event_id").alias("request_id"), F.col("timestamp").alias("request_ts"))
+    replies = stream_events(spark, sf_dir).where(m != 0).select(
+        F.col("event_id").alias("request_id"),
+        (F.col("timestamp") + F.make_dt_interval(secs=wait)).alias("reply_ts"),
+        F.when(m == 4, 503).otherwise(200).alias("status"),
+        F.when(m.isin(1, 4), '{"approved":true}').when(m == 2, '{"approved":"true"}').otherwise("oops").alias("body"),
+    )
+    return drain(spark, approval_stream(requests, replies), "approvals").where("is_approved").select("request_id")
+
+
+@query("stream_spec", _SPEC_SQL)
+def stream_spec(spark, sf_dir):
+    """The specification of ``spec_compile``, run live over the stream of the table."""
+    plan = compile_spec({**_SPEC, "behavior": {"on_llm_unreachable": "passthrough"}})
+    out, checkpoint = scratch_path(spark, "live"), scratch_path(spark, "live-checkpoint")
+    start_spec(plan, spark, out, checkpoint, {"feed": stream_events(spark, sf_dir)}, spec_scorer).awaitTermination()
+    return spark.read.parquet(f"{out}/replies").where("is_sent").select("event_id", "agent_id", "tokens", F.col("error").isNotNull().alias("is_failed"))
+
+
 @query(
     "stream_batches",
     f"""WITH RECURSIVE {EV}, {_flushes('source_id', '6 HOUR', 10)} SELECT key AS batch_source, CAST(batch_no AS BIGINT) AS batch_no, count(*) AS batch_size,

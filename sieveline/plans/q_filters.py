@@ -166,14 +166,17 @@ def trigger_predicate_q(spark, sf_dir):
 
 
 # Every page is checked under its own URL and under rewritten hosts.
-_URL_FORMS = ["own", "10.1.2.3", "172.16.0.9", "172.32.0.9", "192.168.1.1", "169.254.169.254", "0.1.2.3", "localhost", "[::1]", "127.0.0.2", "8.8.8.8", "ftp"]
+_URL_FORMS = ["own", "10.1.2.3", "172.16.0.9", "172.32.0.9", "192.168.1.1", "169.254.169.254", "0.1.2.3", "localhost", "[::1]", "127.0.0.2", "8.8.8.8", "ftp",
+    "2130706433", "0x7f000001", "0300.0250.0.1", "127.1", "192.168.257", "u:p@10.0.0.1:8080", "256.1.1.1", "a_b.example", "[0:0:0:0:0:0:0:1]", "bad host"]
 
 
 @query(
     "url_guard",
     """WITH u AS (SELECT page_id, url, f.form FROM pages, (VALUES ('own'),('10.1.2.3'),('172.16.0.9'),('172.32.0.9'),('192.168.1.1'),
-        ('169.254.169.254'),('0.1.2.3'),('localhost'),('[::1]'),('127.0.0.2'),('8.8.8.8'),('ftp')) f(form))
-      SELECT page_id, form, CASE WHEN form = 'ftp' THEN 'protocol' WHEN form IN ('localhost', '[::1]') THEN 'host'
+        ('169.254.169.254'),('0.1.2.3'),('localhost'),('[::1]'),('127.0.0.2'),('8.8.8.8'),('ftp'),
+        ('2130706433'),('0x7f000001'),('0300.0250.0.1'),('127.1'),('192.168.257'),('u:p@10.0.0.1:8080'),('256.1.1.1'),('a_b.example'),('[0:0:0:0:0:0:0:1]'),('bad host')) f(form))
+      SELECT page_id, form, CASE WHEN form = 'ftp' THEN 'protocol' WHEN form IN ('localhost', '[::1]', '2130706433', '0x7f000001', '127.1', '[0:0:0:0:0:0:0:1]') THEN 'host'
+        WHEN form IN ('256.1.1.1', 'bad host') THEN 'invalid' WHEN form IN ('0300.0250.0.1', '192.168.257', 'u:p@10.0.0.1:8080') THEN 'private'
         WHEN form IN ('10.1.2.3','172.16.0.9','192.168.1.1','169.254.169.254','0.1.2.3') THEN 'private' ELSE 'ok' END AS verdict FROM u""",
 )
 def url_guard_q(spark, sf_dir):

@@ -221,7 +221,7 @@ _CHANGES = f"""{_COMMENT}, {{present}}, ch AS (
     UNION ALL SELECT 'edit', doc_id, created, NULL FROM cm WHERE created > '{_SINCE}'
     UNION ALL SELECT 'suggestion', doc_id, poll || '-12-31T00:00:00.000Z', NULL FROM present)"""
 
-_PRESENT = """present AS (SELECT DISTINCT 'doc-' || (l_suppkey % 90) AS doc_id, CAST(year(l_shipdate) AS INTEGER) AS poll, 's-' || (l_partkey % 40) AS suggestion_id FROM lineitem WHERE l_linenumber < 3)"""
+_PRESENT = """present AS (SELECT DISTINCT 'doc-' || (l_suppkey % 90) AS doc_id, CAST(year(l_shipdate) AS INTEGER) AS poll, 's-' || (l_partkey % 40) AS suggestion_id FROM lineitem)"""
 _CHANGES = _CHANGES.replace("{present}", _PRESENT)
 
 
@@ -258,7 +258,7 @@ def src_watch_types(spark, sf_dir):
 
 
 def suggestions_present(spark, sf_dir):
-    li = read_table(spark, sf_dir, "lineitem").where("l_linenumber < 3")
+    li = read_table(spark, sf_dir, "lineitem")
     return li.select(
         F.concat(F.lit("doc-"), (F.col("l_suppkey") % 90).cast("string")).alias("doc_id"),
         F.year("l_shipdate").alias("poll"),
@@ -283,15 +283,18 @@ def src_doc_new_suggestions(spark, sf_dir):
 @query(
     "src_doc_suggestion_ids",
     """SELECT DISTINCT l_orderkey AS doc_id, unnest([ 'ds-' || l_linenumber, 'ins-' || l_partkey, 'del-' || l_suppkey, 'ts-' || l_linenumber, 'obj-' || l_returnflag, 'ps-' || l_linestatus,
-        't1-' || l_partkey, 't2-' || l_suppkey, 't3-' || l_linenumber ]) AS suggestion_id FROM lineitem""",
+        't1-' || l_partkey, 't2-' || l_suppkey, 't3-' || l_linenumber, 't4-' || l_partkey, 't5-' || l_suppkey, 't6-' || l_linenumber ]) AS suggestion_id FROM lineitem""",
 )
 def src_doc_suggestion_ids(spark, sf_dir):
-    """Document bodies with every kind of pending change, the last in a table in a table in a table."""
+    """Document bodies with every kind of pending change, the last ones in tables nested six times."""
     q = lambda p, c: F.concat(F.lit('"' + p), F.col(c).cast("string"), F.lit('"'))
     para = lambda *x: F.concat(F.lit('{"paragraph":{"elements":['), *x, F.lit("]}}"))
     run = lambda field, ids: F.concat(F.lit('{"textRun":{"content":"x","' + field + '":['), ids, F.lit("]}}"))
     table = lambda inner: F.concat(F.lit('{"table":{"tableRows":[{"tableCells":[{"content":['), inner, F.lit("]}]}]}}"))
-    t3 = table(para(run("suggestedDeletionIds", q("t3-", "l_linenumber"))))
+    t6 = table(para(run("suggestedDeletionIds", q("t6-", "l_linenumber"))))
+    t5 = table(F.concat(t6, F.lit(","), para(run("suggestedInsertionIds", q("t5-", "l_suppkey")))))
+    t4 = table(F.concat(para(run("suggestedInsertionIds", q("t4-", "l_partkey"))), F.lit(","), t5))
+    t3 = table(F.concat(para(run("suggestedDeletionIds", q("t3-", "l_linenumber"))), F.lit(","), t4))
     t2 = table(F.concat(para(run("suggestedInsertionIds", q("t2-", "l_suppkey"))), F.lit(","), t3))
     t1 = table(F.concat(para(run("suggestedInsertionIds", q("t1-", "l_partkey"))), F.lit(","), t2))
     body = F.concat(

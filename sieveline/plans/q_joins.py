@@ -76,7 +76,8 @@ def triggered_lookup_q(spark, sf_dir):
 @query(
     "alert_fanout",
     f"""WITH {EV}, {REPLY} SELECT event_id AS dropped_event_id, h.type AS handler_type, h.handler, 'ERROR' AS event_type,
-      '{{"message":"Agent \\"' || agent_id || '\\" is unreachable","error":"' || error || '","dropped_event_id":"' || event_id || '"}}' AS payload
+      '{{"event":{{"event_id":"alert-' || event_id || '-' || agent_id || '","source_id":"engine:pipeline","timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z","event_type":"ERROR","payload":{{"message":"LLM bridge unreachable for agent \\"'
+      || agent_id || '\\"","error":"' || error || '","dropped_event_id":"' || event_id || '"}}}}}}' AS payload
       FROM reply JOIN (VALUES ('webhook', 'hook-new'), ('page', 'pager')) h(type, handler) ON error IS NOT NULL""",
 )
 def alert_fanout_q(spark, sf_dir):
@@ -111,7 +112,7 @@ def _users_roles(spark, sf_dir):
     users = c.select(
         F.col("c_custkey").alias("user_id"),
         F.array(
-            seg,
+            F.when(F.col("c_custkey") % 11 == 0, "RETIRED-ROLE").otherwise(seg),
             F.when(F.col("c_custkey") % 50 == 0, "ROOT").when(F.col("c_custkey") % 7 == 0, "NO-SUCH-ROLE").otherwise("VIEWER"),
         ).alias("roles"),
     )
@@ -125,9 +126,9 @@ def _users_roles(spark, sf_dir):
     return users, base.unionByName(fixed)
 
 
-_GRANTS = """u AS (SELECT c_custkey AS user_id, c_mktsegment AS seg,
+_GRANTS = """u AS (SELECT c_custkey AS user_id, CASE WHEN c_custkey % 11 <> 0 THEN c_mktsegment END AS seg,
     CASE WHEN c_custkey % 50 = 0 THEN 'ROOT' WHEN c_custkey % 7 = 0 THEN 'NO' ELSE 'VIEWER' END AS extra FROM customer),
-  g AS (SELECT user_id, 'read:' || lower(seg) AS p FROM u UNION SELECT user_id, 'edit:' || lower(substr(seg, 1, 1)) FROM u
+  g AS (SELECT user_id, 'read:' || lower(seg) AS p FROM u WHERE seg IS NOT NULL UNION SELECT user_id, 'edit:' || lower(substr(seg, 1, 1)) FROM u WHERE seg IS NOT NULL
     UNION SELECT user_id, 'admin' FROM u WHERE extra = 'ROOT' UNION SELECT user_id, unnest(['read:all', 'read:building']) FROM u WHERE extra = 'VIEWER')"""
 
 
@@ -147,7 +148,7 @@ def has_permission_q(spark, sf_dir):
     return has_permission(requests, *_users_roles(spark, sf_dir)).select("request_id", "wanted", "is_granted")
 
 
-@query("effective_permissions", f"WITH {_GRANTS} SELECT user_id, string_agg(p, ',' ORDER BY p) AS permissions FROM g GROUP BY 1")
+@query("effective_permissions", f"WITH {_GRANTS} SELECT u.user_id, coalesce(string_agg(p, ',' ORDER BY p), '') AS permissions FROM u LEFT JOIN g USING (user_id) GROUP BY 1")
 def effective_permissions_q(spark, sf_dir):
     out = effective_permissions(*_users_roles(spark, sf_dir))
     return out.select("user_id", F.array_join("permissions", ",").alias("permissions"))

@@ -227,16 +227,17 @@ def src_validate(spark, sf_dir):
 
 @query(
     "src_kafka",
-    f"""WITH {EV} SELECT 'topic-' || (user_id % 4) || '-0-' || event_id AS event_id, 'kafka-in' AS source_id, CAST(k AS VARCHAR) AS k FROM ev
-      WHERE user_id % 4 = 1 AND eid > 300 OR user_id % 4 = 2""",
+    f"""WITH {EV} SELECT 'topic-' || (user_id % 4) || '-' || (eid % 4) || '-' || event_id AS event_id, 'kafka-in' AS source_id, CAST(k AS VARCHAR) AS k FROM ev
+      WHERE user_id % 4 = 1 AND eid > CASE eid % 4 WHEN 0 THEN 300 WHEN 1 THEN 5000 WHEN 2 THEN 20 ELSE -1 END
+        OR user_id % 4 = 2 AND eid > 700 OR user_id % 4 = 3""",
 )
 def src_kafka(spark, sf_dir):
-    # Kafka itself needs its connector and brokers; these are landed records of four topics.
+    # Kafka itself needs its connector and brokers; these are landed records of four topics with four partitions each.
     landed = _kafka_rows(spark, sf_dir).select(
-        F.concat(F.lit("topic-"), F.col("partition").cast("string")).alias("topic"), F.lit(0).alias("partition"), "offset", "key", "headers", "timestamp",
+        F.concat(F.lit("topic-"), F.col("partition").cast("string")).alias("topic"), (F.col("offset") % 4).cast("int").alias("partition"), "offset", "key", "headers", "timestamp",
         F.coalesce("value", "fallback").alias("value"),
     )
-    config = {"id": "kafka-in", "topics": ["topic-1", "topic-2", "topic-9"], "committed": {"topic-1": 300}}
+    config = {"id": "kafka-in", "topics": ["topic-1", "topic-2", "topic-3", "topic-9"], "committed": {"topic-1": {0: 300, 1: 5000, 2: 20}, "topic-2": 700}}
     return replay_landed(landed, config).select("event_id", "source_id", F.get_json_object("payload", "$.k").alias("k"))
 
 

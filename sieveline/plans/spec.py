@@ -11,14 +11,14 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.functions.text import explode_actions
 from sieveline.operators import stateful
 from sieveline.operators.routing import dispatch_actions, on_error, route_agents, unrouted
 from sieveline.operators.rules import Filter, content_filter, filter_chain, priority_router, project_for_agent
-from sieveline.operators.scoring import Scorer, offline_scorer, score
+from sieveline.operators.scoring import Scorer, offline_scorer, score_in_budget
 from sieveline.session import checkpoint_root
 from sieveline.sources.normalize import union_sources
 
@@ -41,6 +41,11 @@ def register_filter(name: str, factory: Callable[[Mapping[str, Any]], Filter]) -
     _custom_filters[name] = factory
 
 
+def custom_filter(name: str | None) -> Callable[[Mapping[str, Any]], Filter] | None:
+    """The factory of a registered user filter."""
+    return _custom_filters.get(name)
+
+
 def _windowed(c: Mapping[str, Any]) -> Filter:
     by = list(c.get("partition_by", ()))
     batch = stateful.batch_arrival(
@@ -150,6 +155,11 @@ class CompiledSpec:
         return [(a["type"], a.get("name", a["type"])) for agent in self.agents for a in agent.get("actions") or ()]
 
     def filtered(self, sources: Mapping[str, DataFrame]) -> DataFrame:
+        from sieveline.plans.live import open_batch
+
+        spark = SparkSession.getActiveSession()
+        opened = {s["id"]: open_batch(spark, s) for s in self.spec["sources"] if s["id"] not in sources and "path" in s}
+        sources = {**opened, **sources}
         missing = [s["id"] for s in self.spec["sources"] if s["id"] not in sources]
         if missing:
             raise SpecError(f"no data for sources: {missing}")
@@ -169,17 +179,13 @@ class CompiledSpec:
     def run(self, sources: Mapping[str, DataFrame], scorer: Scorer = offline_scorer) -> dict[str, DataFrame]:
         """All outputs of the plan.
 
-        What a reply costs is known only after the call, so in batch every
-        routed row is scored and rows beyond the hourly budget are cut after.
-        The replies are checkpointed: no output calls the scorer again.
+        An agent whose budget of the hour is used up isn't called.  The replies
+        are checkpointed: no output calls the scorer again.
         """
         events = self.filtered(sources)
-        replies = score(self.requests(events), scorer).withColumn(
-            "cost", F.when(F.col("error").isNull(), F.col("tokens")).otherwise(F.lit(0))
-        )
+        replies = score_in_budget(self.requests(events), scorer)
         checkpoint_root(replies.sparkSession)
-        replies = replies.checkpoint()
-        budgeted = replies.transform(stateful.token_budget(tokens="cost"))
+        budgeted = replies.checkpoint()
         sent = budgeted.where("is_sent")
         out = {
             "events": events,

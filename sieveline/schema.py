@@ -36,8 +36,11 @@ def spread(df: DataFrame) -> DataFrame:
 
     A Parquet file is split at row groups only, so one file of one row group
     would keep a single core busy.  A large table has splits enough and is left
-    alone.  Filters and column pruning pass through the repartitioning.
+    alone, and so is any table on a cluster.  Filters and column pruning pass
+    through the repartitioning.
     """
+    if not df.sparkSession.sparkContext.master.startswith("local"):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 

@@ -94,13 +94,22 @@ def kafka_events(records: DataFrame, source_id: str) -> DataFrame:
 
 def replay_landed(records: DataFrame, config: Mapping[str, Any]) -> DataFrame:
     """Batch twin for landed Kafka records: subscribed topics, from the start or
-    behind the committed offsets of ``config["committed"]`` (topic to offset)."""
+    behind the committed offsets of ``config["committed"]``.
+
+    Offsets are committed per topic and partition, ``{topic: {partition: offset}}``;
+    a plain number holds for all partitions of its topic.  Partitions without a
+    committed offset are read from the start.
+    """
     topics = config.get("topics") or [config["topic"]]
     kept = records.where(F.col("topic").isin(list(topics)))
     committed = config.get("committed") or {}
     if not config.get("from_beginning") and committed:
-        done = F.create_map(*[F.lit(x) for pair in committed.items() for x in pair])
-        kept = kept.where(F.col("offset") > F.coalesce(F.try_element_at(done, F.col("topic")), F.lit(-1)))
+        done = F.lit(-1)
+        for topic, offsets in committed.items():
+            here = F.col("topic") == topic
+            for partition, offset in (offsets.items() if isinstance(offsets, Mapping) else [(None, offsets)]):
+                done = F.when(here if partition is None else here & (F.col("partition") == partition), F.lit(offset)).otherwise(done)
+        kept = kept.where(F.col("offset") > done)
     return kafka_events(kept, config["id"])
 
 

@@ -54,11 +54,22 @@ class PollReader(SimpleDataSourceStreamReader):
 
     ``poll(start, end)`` returns (texts, next cursor) for what lies between two
     cursors, or all there is when ``end`` is None.  A failing poll yields
-    nothing and keeps the cursor, so that the next trigger tries again.
+    nothing and keeps the cursor, so that the next trigger tries again; it is told
+    to ``on_status`` as 'degraded' with its error, the next good one as 'connected'.
     """
 
-    def __init__(self, poll: Callable[[int, int | None], tuple[list[str], int]], received_at: Callable[[], str]):
-        self._poll, self._now = poll, received_at
+    def __init__(
+        self,
+        poll: Callable[[int, int | None], tuple[list[str], int]],
+        received_at: Callable[[], str],
+        on_status: Callable[[str, str | None], None] | None = None,
+    ):
+        self._poll, self._now, self._tell, self._status = poll, received_at, on_status, None
+
+    def _report(self, status: str, error: str | None = None) -> None:
+        if self._tell is not None and (status != self._status or error):
+            self._tell(status, error)
+        self._status = status
 
     def initialOffset(self) -> dict:
         return {"cursor": 0}
@@ -66,8 +77,10 @@ class PollReader(SimpleDataSourceStreamReader):
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         try:
             texts, cursor = self._poll(start["cursor"], None)
-        except Exception:  # noqa: BLE001 - a failed poll is retried
+        except Exception as error:  # noqa: BLE001 - a failed poll is retried
+            self._report("degraded", str(error))
             return iter([]), start
+        self._report("connected")
         if not texts:
             return iter([]), start
         return iter([(t, self._now()) for t in texts]), {"cursor": cursor}
@@ -95,16 +108,22 @@ class _FeedReader(DataSourceReader):
         return [_RowGroup(self.path, i) for i in range(pq.ParquetFile(self.path).num_row_groups)]
 
     def read(self, partition: _RowGroup):
+        import pyarrow as pa
+        import pyarrow.compute as pc
         import pyarrow.parquet as pq
 
         group = pq.ParquetFile(partition.path).read_row_group(partition.number, columns=["event_id", "event_type", "ts"])
         for batch in group.to_batches():
-            for row in batch.to_pylist():
-                yield (json.dumps({"event_id": row["event_id"], "type": row["event_type"]}), row["ts"].isoformat())
+            kind = batch.column("event_type").dictionary_encode()
+            quoted = pa.array([json.dumps(k) for k in kind.dictionary.to_pylist()], pa.string()).take(kind.indices)
+            number = batch.column("event_id").cast(pa.string())
+            value = pc.binary_join_element_wise('{"event_id": ', number, ', "type": ', quoted, "}", "")
+            stamp = pc.strftime(batch.column("ts"), "%Y-%m-%dT%H:%M:%S")
+            yield pa.RecordBatch.from_arrays([value, stamp], names=["value", "received_at"])
 
 
 class EventFeed(DataSource):
-    """Example of a user source: raw event texts from a table, one task per row group."""
+    """Example of a user source: raw event texts from a table, one task per row group, in Arrow batches."""
 
     @classmethod
     def name(cls) -> str:

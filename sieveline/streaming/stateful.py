@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from sieveline.functions.json import is_json
 from sieveline.functions.numbers import hash_sample
 from sieveline.functions.paths import key_parts
 from sieveline.operators.ordered import TIME as SCAN_TIME
 from sieveline.operators.ordered import AcceptScan, BatchScan, key_column
+from sieveline.operators.routing import webhook_verdict
 
 _MICROS = 1_000_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -43,6 +43,7 @@ class _Accept:
     outputs = {"is_accepted": T.BooleanType()}
 
     def __init__(self, seconds: float, limit: int):
+        self.seconds = seconds
         self.scan = AcceptScan(round(seconds * _MICROS), limit)
 
     def start(self) -> tuple:
@@ -52,6 +53,10 @@ class _Accept:
         out, times = self.scan.step(list(state[0]), {SCAN_TIME: us})
         return {"is_accepted": out["_accepted"]}, ([int(t) for t in times],)
 
+    def expires(self, state: tuple) -> int:
+        """Time (micros) from which the state decides like no state."""
+        return (state[0][-1] if state[0] else 0) + round(self.seconds * _MICROS) + 1
+
 
 class _Batch:
     """Start and size of the open batch, and its number."""
@@ -60,6 +65,7 @@ class _Batch:
     outputs = {"batch_no": T.LongType(), "is_flush": T.BooleanType()}
 
     def __init__(self, seconds: float, limit: int):
+        self.seconds = seconds
         self.scan = BatchScan(round(seconds * _MICROS), limit)
 
     def start(self) -> tuple:
@@ -117,6 +123,8 @@ class _Processor(StatefulProcessor):
         state = tuple(self.state.get()) if self.state.exists() else self.fold.start()
         outputs, state = self.fold.step(state, rows[TIME].to_numpy(dtype=np.int64))
         self.state.update(state)
+        if self.ordered and hasattr(self.fold, "expires"):
+            self.handle.registerTimer(self.fold.expires(state) // 1000 + 1)
         for name, values in outputs.items():
             rows[name] = values
         return rows
@@ -147,6 +155,10 @@ class _Processor(StatefulProcessor):
         held = self._held()
         if held:
             yield from self._release(held[0], timerValues)
+        elif self.state.exists() and hasattr(self.fold, "expires"):
+            # No row at or before the watermark is left to come: a state that has run out is forgotten.
+            if self.fold.expires(tuple(self.state.get())) <= timerValues.getCurrentWatermarkInMs() * 1000:
+                self.state.clear()
 
     def close(self) -> None:
         pass
@@ -236,16 +248,15 @@ def window_summary_stream(window: str = "1 minute", partition_by: Sequence[str]
 
 
 def approval_stream(requests: DataFrame, replies: DataFrame, timeout_seconds: int = 60, auto_deny: bool = True, delay: str = "1 minute") -> DataFrame:
-    """Requests with their reply, or without one once the timeout has passed the watermark."""
+    """Requests with their first reply, or without one once the timeout has passed the watermark.
+
+    One row per request: later replies to a request are dropped before the join.
+    """
     q = requests.withWatermark("request_ts", delay).alias("q")
-    r = replies.withWatermark("reply_ts", delay).alias("r")
+    r = replies.withWatermark("reply_ts", delay).dropDuplicatesWithinWatermark(["request_id"]).alias("r")
     in_time = F.expr(
         f"q.request_id = r.request_id AND r.reply_ts >= q.request_ts AND r.reply_ts <= q.request_ts + interval {timeout_seconds} seconds"
     )
     joined = q.join(r, in_time, "left_outer")
-    yes = F.coalesce(F.get_json_object("r.body", "$.approved") == "true", F.lit(False))
-    usable = F.col("r.status").between(200, 299) & is_json(F.col("r.body"))
-    return joined.select(
-        F.col("q.request_id").alias("request_id"),
-        F.when(F.coalesce(usable, F.lit(False)), yes).otherwise(F.lit(not auto_deny)).alias("is_approved"),
-    )
+    verdict = webhook_verdict(F.col("r.request_id").isNotNull(), F.col("r.status"), F.col("r.body"), auto_deny)
+    return joined.select(F.col("q.request_id").alias("request_id"), verdict.alias("is_approved"))

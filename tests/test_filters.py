@@ -132,6 +132,19 @@ def test_tenants(spark, events):
         ("http://0.9.9.9/", "private"),
         ("http://127.0.0.2/", "ok"),
         ("http://10.example.com/", "ok"),
+        ("http://2130706433/", "host"),
+        ("http://0x7f000001/", "host"),
+        ("http://127.1:80", "host"),
+        ("http://0/", "host"),
+        ("http://010.1/", "ok"),
+        ("http://0xa.1/", "private"),
+        ("http://user@192.168.0.1\\x", "private"),
+        ("http://1.2.3.4.5/", "invalid"),
+        ("http://09.1/", "invalid"),
+        ("http://x:99999/", "invalid"),
+        ("http://", "invalid"),
+        ("http://a_b.example/a b|c", "ok"),
+        (" https://example.com ", "ok"),
     ],
 )
 def test_url_guard(spark, url, want):

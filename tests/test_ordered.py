@@ -104,7 +104,18 @@ def test_clamp_scan(spark, many_partitions):
                 r = max(0.1, 0.8 * r)
             elif row[3] > 1:
                 r = min(1.0, 1.2 * r)
-            assert got[row[0]] == pytest.approx(r, abs=1e-12)
+            assert got[row[0]] == r
+
+
+def test_clamp_scan_from_zero_and_without_steps(spark, many_partitions):
+    # Factors far above 1 on a rate of 0, and runs of rows that change nothing.
+    rows = [(i, "hot", i, 1.2 if i < 400 else 1.0) for i in range(600)]
+    df = to_df(spark, rows).withColumn("lo", F.lit(0.0)).withColumn("hi", F.lit(float("inf")))
+    got = apply_scan(ordered_layout(df, ["k"], ["id"]), ClampScan(0.0, "a", "lo", "hi")).df
+    assert {r["_rate"] for r in got.collect()} == {0.0}
+    scan = ClampScan(0.3, "a", "lo", "hi")
+    acc = scan.absorb(scan.unknown(), {"a": np.ones(5), "lo": np.full(5, 0.1), "hi": np.full(5, 0.25)})
+    assert [scan.resolve(acc, e) for e in (None, 0.3, 0.2, 0.0)] == [None, 0.25, 0.2, 0.1]
 
 
 def test_running_sum_over_hot_key(spark, many_partitions):

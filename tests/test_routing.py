@@ -49,10 +49,10 @@ def test_actions(spark):
 
 
 def test_failures(spark):
-    r = spark.createDataFrame([("1", "all", None), ("2", "all", "boom")], "event_id string, agent_id string, error string")
+    r = spark.createDataFrame([("1", "all", None, 0), ("2", "all", "boom", 0)], "event_id string, agent_id string, error string, s long").withColumn("timestamp", F.timestamp_seconds("s"))
     out = on_error(r, "drop_and_alert", [("webhook", "h"), ("page", "p")])
     assert out["passed"].count() == 1 and out["alerts"].count() == 2
-    assert json.loads(out["alerts"].first()["payload"])["dropped_event_id"] == "2"
+    assert json.loads(out["alerts"].first()["payload"])["event"]["payload"]["dropped_event_id"] == "2"
     assert on_error(r, "passthrough")["passed"].count() == 2
     assert on_error(r, "buffer_limited")["retry"].count() == 1
     assert alert_fanout(r, [("webhook", "a"), ("webhook", "b")]).select("handler").distinct().first()[0] == "b"
@@ -68,12 +68,17 @@ def test_triggered_lookup(spark):
     assert triggered_lookup(e, look, None, "key").count() == 3
 
 
-@pytest.mark.parametrize("bound", [50_000, 0])
+@pytest.mark.parametrize("bound", [10_000_000, 0])
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_lookup_join_both_ways(spark, how, bound):
     left = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(60)], "id int, k string")
-    right = spark.createDataFrame([("hot", 1), ("k3", 2)], "k string, v int")
-    got = lookup_join(left, right, ["k"], how, broadcast_rows=bound)
+    right = spark.sql("SELECT * FROM VALUES ('hot', 1), ('k3', 2) AS t(k, v)")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound or -1)
+    got = lookup_join(left, right, ["k"], how)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert ("BroadcastHashJoin" in plan) == bool(bound)
     assert sorted(map(str, got.collect())) == sorted(map(str, left.join(right, "k", how).select(*got.columns).collect()))
 
 
@@ -101,12 +106,12 @@ def test_approvals(spark, status, body, wait, strict, lenient):
 
 
 def test_entitlements(spark):
-    users = spark.createDataFrame([(1, ["admin"], "k1", 0), (2, ["viewer", "ghost"], "k2", 1), (3, ["custom"], "k2", 2)], "user_id int, roles array<string>, api_key string, user_no int")
+    users = spark.createDataFrame([(1, ["admin"], "k1", 0), (2, ["viewer", "ghost"], "k2", 1), (3, ["custom"], "k2", 2), (4, ["ghost"], None, 3), (5, [], None, 4)], "user_id int, roles array<string>, api_key string, user_no int")
     roles = spark.createDataFrame([("admin", ["admin"]), ("viewer", ["read"]), ("custom", ["write", "read"])], "name string, permissions array<string>")
     asked = spark.createDataFrame([(1, 1, "write"), (2, 2, "write"), (3, 2, "read"), (4, 9, "read")], "request_id int, user_id int, wanted string")
     got = {r["request_id"]: r["is_granted"] for r in has_permission(asked, users, roles).collect()}
     assert got == {1: True, 2: False, 3: True, 4: False}
-    assert {r["user_id"]: r["permissions"] for r in effective_permissions(users, roles).collect()} == {1: ["admin"], 2: ["read"], 3: ["read", "write"]}
+    assert {r["user_id"]: r["permissions"] for r in effective_permissions(users, roles).collect()} == {1: ["admin"], 2: ["read"], 3: ["read", "write"], 4: [], 5: []}
     keys = spark.createDataFrame([("k2",), ("zz",)], "api_key string")
     assert {r["api_key"]: r["user_id"] for r in user_by_key(keys, users).collect()} == {"k2": 2, "zz": None}
     tenants = spark.createDataFrame([("t", True, ["m1"]), ("u", True, None), ("off", False, None)], "id string, enabled boolean, models array<string>")

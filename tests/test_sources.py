@@ -70,6 +70,9 @@ def test_kafka_records(spark):
     assert json.loads(got["other-0-5"]["payload"]) == {"data": ""}
     assert replay_landed(df, {"id": "s", "topic": "t", "committed": {"t": 99}}).count() == 0
     assert replay_landed(df, {"id": "s", "topic": "t", "committed": {"t": 99}, "from_beginning": True}).count() == 1
+    assert replay_landed(df, {"id": "s", "topic": "t", "committed": {"t": {0: 500, 2: 98}}}).count() == 1
+    assert replay_landed(df, {"id": "s", "topic": "t", "committed": {"t": {0: 500}}}).count() == 1
+    assert replay_landed(df, {"id": "s", "topic": "t", "committed": {"t": {2: 99}}}).count() == 0
 
 
 def test_capture_files(spark, tmp_path):
@@ -122,7 +125,8 @@ def test_poll_reader_keeps_cursor_on_failure():
         stop = len(feed) if end is None else end
         return feed[start:stop], stop
 
-    reader = PollReader(poll, lambda: "now")
+    told = []
+    reader = PollReader(poll, lambda: "now", lambda *status: told.append(status))
     rows, after = reader.read(reader.initialOffset())
     assert [r[0] for r in rows] == ["a", "b", "c"] and after == {"cursor": 3}
     feed.append("d")
@@ -130,6 +134,9 @@ def test_poll_reader_keeps_cursor_on_failure():
     fail["on"] = True
     rows, same = reader.read(after)
     assert list(rows) == [] and same == after
+    fail["on"] = False
+    assert [r[0] for r in reader.read(after)[0]] == ["d"]
+    assert told == [("connected", None), ("degraded", "down"), ("connected", None)]
 
 
 def test_polling_stream(spark):

@@ -1,9 +1,13 @@
 """Specifications: checks, defaults, filters, and one full run."""
 
+import json
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from sieveline.operators.scoring import score
+from sieveline.plans import live
 from sieveline.plans import spec as sp
 from sieveline.schema import EVENT_SCHEMA
 
@@ -80,7 +84,10 @@ def test_custom_filter_and_missing_source(events):
 
 
 def test_full_run(events):
+    calls = events.sparkSession.sparkContext.accumulator(0)
+
     def scorer(pdf):
+        calls.add(len(pdf))
         out = pdf[["event_id"]].copy()
         out["content"] = '```json:actions\n[{"type":"webhook","payload":{}}]\n```'
         out["tokens"], out["latency_ms"] = 100, 1.0
@@ -92,6 +99,7 @@ def test_full_run(events):
         {**AGENT, "id": "only-t", "sources": ["t"]},
     ]
     out = sp.compile_spec({"sources": BASE["sources"], "agents": agents}).run({"s": events}, scorer)
+    assert calls.value == 11 + 20  # none behind the budget
     # 11 calls fit into 950 tokens, one of which failed and costs nothing.
     assert out["passed"].where("agent_id = 'all'").count() == 10
     assert out["over_budget"].count() == 49
@@ -103,6 +111,16 @@ def test_full_run(events):
     assert prompts["system_prompt"] == "Look." and prompts["agent_id"] == "default" and prompts["max_per_hour"] is None
 
 
+def test_one_failing_event_fails_alone(events):
+    def picky(pdf):
+        if (pdf["event_id"] == "007").any():
+            raise RuntimeError("seven")
+        return pd.DataFrame({"content": pdf["event_id"], "tokens": 1, "latency_ms": 1.0, "error": None})
+
+    out = score(events.select("event_id").withColumns({"agent_id": F.lit("a"), "prompt": F.lit("p")}), picky).collect()
+    assert [r["event_id"] for r in out if r["error"]] == ["007"] and all(r["content"] == r["event_id"] for r in out if not r["error"])
+
+
 def test_scorer_errors_are_rows(events):
     def broken(pdf):
         raise RuntimeError("no agent")
@@ -110,3 +128,32 @@ def test_scorer_errors_are_rows(events):
     asked = events.select("event_id").withColumns({"agent_id": F.lit("a"), "prompt": F.lit("p")})
     out = score(asked, broken).collect()
     assert len(out) == 60 and {r["error"] for r in out} == {"no agent"}
+
+
+def test_live_run_of_files_without_a_table_given(spark, tmp_path):
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    spec = {
+        "sources": [{"id": "s", "adapter": "native/log-tailer", "path": str(logs)}],
+        "filters": [{"type": "content-filter", "rules": [{"field": "payload.level", "in": ["error"]}]}, {"type": "dedup", "key_fields": ["payload.msg"]}],
+        "agent": {**AGENT, "token_budget": {"max_per_hour": 25}, "actions": [{"type": "webhook"}]},
+    }
+    plan = sp.compile_spec(spec)
+
+    def scorer(pdf):
+        return pd.DataFrame({"content": '```json:actions\n[{"type":"webhook","payload":{}}]\n```', "tokens": 10, "latency_ms": 1.0, "error": None}, index=pdf.index)
+
+    out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
+    for i in range(3):  # started anew for each file; state and budget go on
+        lines = [f'{{"level":"error","msg":"m{i}"}}', f'{{"level":"error","msg":"m{i}"}}', '{"level":"info","msg":"x"}', "plain text", '{"level":"error","msg":"m0"}']
+        (logs / f"{i}.log").write_text("\n".join(lines))
+        live.start_spec(plan, spark, out, ck, scorer=scorer).awaitTermination()
+    replies = spark.read.parquet(out + "/replies").collect()
+    assert sorted(json.loads(r["payload"])["msg"] for r in replies) == ["m0", "m1", "m2"]
+    assert all(r["is_sent"] for r in replies) and spark.read.parquet(out + "/actions").count() == 3
+    (logs / "4.log").write_text('{"level":"error","msg":"late"}')
+    live.start_spec(plan, spark, out, ck, scorer=scorer).awaitTermination()
+    assert [json.loads(r["payload"])["msg"] for r in spark.read.parquet(out + "/replies").where("not is_sent").collect()] == ["late"]
+    assert plan.filtered({}).count() == 4  # the same files as a table
+    with pytest.raises(sp.SpecError):
+        live.stream_filter({"type": "windowed-aggregation"})
