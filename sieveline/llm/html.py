@@ -156,11 +156,17 @@ def best_container(root: Node) -> Node | None:
     order = _measure(root)
     candidates: list[Node] = []
     for node in order:
-        own = sum(len(p.strip()) for p in node.parts if isinstance(p, str))
-        if node.name not in PARAGRAPH and not own or node.size < 1:
+        if node.name in PARAGRAPH:
+            size, commas = node.size, node.commas
+        elif node.name in CONTAINER:  # text outside any paragraph counts for what holds it
+            text = [p for p in node.parts if isinstance(p, str)]
+            inline = [p for p in node.parts if isinstance(p, Node) and not p.cut and p.name not in BLOCK and p.name != "a"]
+            size = sum(len(p.strip()) for p in text) + sum(p.size for p in inline)
+            commas = sum(p.count(",") for p in text) + sum(p.commas for p in inline)
+        else:
             continue
-        if node.name in PARAGRAPH or own >= 1 and node.name in CONTAINER:
-            points = min(1.0, node.size / 25) * (1 + node.commas + min(node.size / 100, 3.0))
+        if size:
+            points = min(1.0, size / 25) * (1 + commas + min(size / 100, 3.0))
             above, share = node.parent if node.name in PARAGRAPH else node, 1.0
             while above is not None and share > 1e-9:
                 if above.name in CONTAINER:

@@ -95,6 +95,14 @@ def test_main_text_of_odd_pages(page, text):
     assert html.main_text(page) == text
 
 
+def test_articles_in_parts_titles_outside_and_text_without_paragraphs():
+    parts = "<div id=c><div><p>part one, a, b, c.</p></div><div><p>part two, a, b, c.</p></div></div><div class=ad><p>buy, now, please</p></div>"
+    assert html.main_text(parts) == "part one, a, b, c. part two, a, b, c."
+    titled = "<main><h1>Title</h1><div class=body><p>one, two, three, long enough text.</p></div><div class='alert'>x, y</div></main>"
+    assert html.main_text(titled) == "Title one, two, three, long enough text."
+    assert html.main_text("<div><span>in a span, long enough, yes.</span><br>next</div><div class=footer>f, f</div>") == "in a span, long enough, yes. next"
+
+
 def test_pages_equal_the_articles_they_were_made_of(spark):
     from html import unescape
 
