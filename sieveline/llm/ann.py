@@ -195,7 +195,10 @@ def build_index(vectors: DataFrame, nearest: int = NEAREST, id_column: str = "ve
     )
     shards = distinct.groupBy("dim").agg(F.ceil(F.count("*") / SHARD_ROWS).cast("int").alias("shards"))
     dealt = distinct.join(shards, "dim").withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int"))
-    return stored(dealt.groupBy("dim", "shard").applyInPandas(_built, SHARD), "graphs")
+    # A shard takes many seconds but few bytes: without a number, small partitions would be put into one task.
+    tasks = 2 * int(shards.agg(F.sum("shards")).first()[0] or 1)
+    spread = dealt.repartition(tasks, "dim", "shard")
+    return stored(spread.groupBy("dim", "shard").applyInPandas(_built, SHARD), "graphs")
 
 
 def _valid(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
