@@ -156,3 +156,22 @@ def test_decontamination_runs_no_python(spark):
     bench = spark.createDataFrame([(7, ITEM)], "item_id long, text string")
     plan = decontam.contaminated(docs(spark, (1, ITEM)), bench)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def kept_ids(spark, bench, *rows):
+    items = spark.createDataFrame([(7 + i, t) for i, t in enumerate(bench)], "item_id long, text string")
+    return {r.doc_id for r in decontam.decontaminated(docs(spark, *rows), items).collect()}
+
+
+CHANCE = "Every boy in the class had picked 2 apples from the tall tree and walked for 2 hours along the dusty road"
+
+
+def test_one_slot_does_not_clear_a_copy(spark):
+    other = CHANCE.replace("2 apples", "3 apples").replace("2 hours", "5 hours")
+    days = "They had planned to stay for 5 days near the wide lake but came home after 3 days because the rain never ended"
+    table = "set a 1 then b 1 then c 1 then d 1 then e 1 then f 1 then g 1 then h 1"
+    exchanged = "set a 2 then b 3 then c 4 then d 5 then e 6 then f 7 then g 8 then h 9"
+    assert kept_ids(
+        spark, (ITEM, CHANCE, days, table), (1, f"Well, {ITEM.replace('12 baskets', '30 baskets')}."), (2, f"Before, {other}."), (3, "Nothing of the kind at all in this one"),
+        (4, days.replace("3 days", "3 weeks")), (5, exchanged), (6, "Of another kind"), (6, f"Once more, {other}."), (6, "And of a third kind, with 4 words more"),
+    ) == {3, 5}
