@@ -33,7 +33,16 @@ UNITS = (
     "l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week "
     "weeks month months year years percent dollar dollars cent cents euro euros degrees mph kmh watts volts bytes kb mb gb"
 ).split()
-NAME, UNIT, NUMBER = map(chr, (0xE000, 0xE001, 0xE002))  # of the private use area
+MORE_UNITS = (
+    "meter meters metre metres kilometer kilometers kilometre kilometres centimeter centimeters centimetre centimetres "
+    "millimeter millimeters millimetre millimetres kilogram kilograms milligram milligrams milliliter milliliters "
+    "millilitre millilitres tonne tonnes acre acres hectare hectares degree watt volt byte"
+).split()
+NUMBER_WORDS = (
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen "
+    "nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen"
+).split()
+NAME, UNIT, NUMBER, END = map(chr, (0xE000, 0xE001, 0xE002, 0xE003))  # of the private use area
 NUMBER_PATTERN = r"\p{N}+(?:[.,]\p{N}+)*"
 UNIT_PATTERN = rf"(\p{{N}}) ?({'|'.join(UNITS)})\b"
 NAME_PATTERN = r"([\p{Ll}\p{N},;:)] )(\p{Lu}\p{Ll}+)"
@@ -41,6 +50,16 @@ SECOND_NAME_PATTERN = rf"({NAME}\p{{Lu}}\p{{Ll}}+ )(\p{{Lu}}\p{{Ll}}+)"
 RAW_TOKEN = rf"([{NAME}{UNIT}]?\p{{L}}+|{NUMBER_PATTERN})"
 TOKEN = rf"([{NAME}{UNIT}{NUMBER}]|\p{{L}}+)"
 
+# The wide form: any capitalised words are a name and a run of them is one, numbers may be words. Possessive, so that long runs don't recurse.
+_WORD = rf"(?i:{'|'.join(NUMBER_WORDS)})(?!\p{{L}})"
+_CAPITAL = rf"(?!{_WORD})\p{{Lu}}\p{{Ll}}\p{{L}}*+"
+WIDE_NAME = rf"(?<!\p{{L}})({_CAPITAL}(?:[^\p{{L}}\p{{N}}]++{_CAPITAL})*+)"
+WIDE_NUMBER = (
+    rf"((?:\p{{N}}++(?:[.,]\p{{N}}++)*+|(?<!\p{{L}}){_WORD})(?:(?:[\s-]++|(?<=hundred|thousand)\s++and\s++){_WORD})*+)"
+)
+WIDE_UNIT = rf"({NUMBER}[^{END}]*+{END})[\s-]?({'|'.join(UNITS + MORE_UNITS)})(?!\p{{L}})"
+WIDE_SLOT = rf"[{NAME}{UNIT}{NUMBER}][^{END}]*+{END}"
+
 
 def marked(text: Column) -> Column:
     """The text with names and units marked by a private character in front; such characters of its own are dropped."""
@@ -60,6 +79,27 @@ def raw_tokens(text: Column) -> Column:
     return F.regexp_extract_all(marked(text), F.lit(RAW_TOKEN), 1)
 
 
+def wide_marked(text: Column) -> Column:
+    """The text with names, numbers and units between a private character of their kind and ``END``."""
+    clean = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{NAME}{UNIT}{NUMBER}{END}]", "")
+    named = F.regexp_replace(clean, WIDE_NAME, f"{NAME}$1{END}")
+    return F.regexp_replace(F.regexp_replace(named, WIDE_NUMBER, f"{NUMBER}$1{END}"), WIDE_UNIT, f"$1{UNIT}$2{END}")
+
+
+def wide_canonical_tokens(text: Column) -> Column:
+    """Lower-cased words and placeholders of the wide form; aligned with ``wide_raw_tokens``."""
+    slots = F.regexp_replace(wide_marked(text), rf"([{NAME}{UNIT}{NUMBER}])[^{END}]*+{END}", "$1")
+    return F.regexp_extract_all(F.lower(slots), F.lit(TOKEN), 1)
+
+
+def wide_raw_tokens(text: Column) -> Column:
+    return F.regexp_extract_all(wide_marked(text), F.lit(rf"({WIDE_SLOT}|\p{{L}}+)"), 1)
+
+
+#: Canonical and raw tokens of each form.
+PLAIN, WIDE = (canonical_tokens, raw_tokens), (wide_canonical_tokens, wide_raw_tokens)
+
+
 def _windows(tokens: str) -> Column:
     """Hashes of all windows; a shorter sequence is one window, an empty one has none."""
     return F.expr(
@@ -68,9 +108,19 @@ def _windows(tokens: str) -> Column:
     )
 
 
-def benchmark_windows(items: DataFrame, item_column: str, text_column: str) -> DataFrame:
+def _placed_windows(tokens: str, short: list[int]) -> Column:
+    """(place, window) of all windows, and of those of the lengths ``short``."""
+    placed = lambda windows: f"transform({windows}, (w, i) -> struct(i AS place, w AS window))"
+    own = [
+        f"CASE WHEN size({tokens}) > {n} THEN transform(sequence(1, size({tokens}) - {n - 1}), i -> xxhash64(slice({tokens}, i, {n}))) ELSE array() END"
+        for n in short
+    ]
+    return F.concat(F.transform(_windows(tokens), lambda w, i: F.struct(i.alias("place"), w.alias("window"))), *[F.expr(placed(w)) for w in own])
+
+
+def benchmark_windows(items: DataFrame, item_column: str, text_column: str, canonical=canonical_tokens) -> DataFrame:
     """(window, item_id, at, of): the windows of an item with enough words, and how many it has."""
-    tokens = items.select(F.col(item_column).alias("item_id"), canonical_tokens(F.col(text_column)).alias("tokens"))
+    tokens = items.select(F.col(item_column).alias("item_id"), canonical(F.col(text_column)).alias("tokens"))
     every = tokens.select("item_id", "tokens", F.posexplode(_windows("tokens")).alias("at", "window"))
     words = F.expr(
         f"size(filter(slice(tokens, at + 1, {WINDOW}), t -> t NOT IN ('{NAME}', '{UNIT}', '{NUMBER}')))"
@@ -137,6 +187,7 @@ def contaminated(
     item_column: str = "item_id",
     item_text_column: str = "text",
     lenient: bool = False,
+    form: tuple = PLAIN,
 ) -> DataFrame:
     """Pairs of documents and benchmark items that they repeat, perhaps with other numbers, units or names.
 
@@ -151,18 +202,26 @@ def contaminated(
 
     With ``lenient``, slots are consistent where the windows that match word for
     word, values included, suffice alone, or where ``MIN_AGREED`` of all slots are
-    filled as most places of their value.
+    filled as most places of their value. Items of ``MIN_WORDS`` tokens or more,
+    but fewer than a window, are then also found inside longer texts.
     """
+    canonical, raw = form
     items = items.where(F.col(item_column).isNotNull())
-    bench = stored(benchmark_windows(items, item_column, item_text_column), "benchmark")
+    bench = stored(benchmark_windows(items, item_column, item_text_column, canonical), "benchmark")
     if bench.count() <= BROADCAST_ROWS:
         bench = F.broadcast(bench)
     whole = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).where(
         "doc_id is not null and text is not null"
     )
-    windows = whole.select("doc_id", canonical_tokens(F.col("text")).alias("tokens")).select(
-        "doc_id", F.posexplode(_windows("tokens")).alias("place", "window")
-    )
+    short = []
+    if lenient:
+        sizes = items.select(F.size(canonical(F.col(item_text_column))).alias("n")).where(F.col("n").between(MIN_WORDS, WINDOW - 1))
+        short = sorted(r.n for r in sizes.distinct().collect())  # a few lengths at most
+    tokens = whole.select("doc_id", canonical(F.col("text")).alias("tokens"))
+    if short:
+        windows = tokens.select("doc_id", F.inline(_placed_windows("tokens", short)))
+    else:
+        windows = tokens.select("doc_id", F.posexplode(_windows("tokens")).alias("place", "window"))
     met = windows.join(bench, "window").select("doc_id", "item_id", (F.col("place") - F.col("at")).alias("shift"), "at", "of")
     runs = (
         met.groupBy("doc_id", "item_id", "shift")
@@ -172,9 +231,9 @@ def contaminated(
     runs = stored(runs, "runs")
     # The table of runs is small where few documents repeat items: its size decides how it is joined.
     values = whole.join(runs.select("doc_id").distinct(), "doc_id").select(
-        "doc_id", raw_tokens(F.col("text")).alias("own"), F.xxhash64("text").alias("row")
+        "doc_id", raw(F.col("text")).alias("own"), F.xxhash64("text").alias("row")
     )
-    given = items.select(F.col(item_column).alias("item_id"), raw_tokens(F.col(item_text_column)).alias("given"))
+    given = items.select(F.col(item_column).alias("item_id"), raw(F.col(item_text_column)).alias("given"))
     agreed = (_mostly_agreed if lenient else _all_agreed)(runs, values, given)
     found = (
         runs.join(agreed, ["doc_id", "item_id", "shift"], "left")
@@ -191,6 +250,7 @@ def contaminated(
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` that repeat no benchmark item, with all their columns. Rows with a null id stay."""
-    hit = stored(contaminated(docs, items, id_column, text_column, lenient=True).select(F.col("doc_id").alias(id_column)).distinct(), "leaks")
+    """The rows of ``docs`` that repeat no benchmark item, by either form, with all their columns. Rows with a null id stay."""
+    plain, wide = (contaminated(docs, items, id_column, text_column, lenient=True, form=form).select("doc_id") for form in (PLAIN, WIDE))
+    hit = stored(plain.union(wide).select(F.col("doc_id").alias(id_column)).distinct(), "leaks")
     return docs.join(hit, id_column, "left_anti")

@@ -4,6 +4,7 @@ import re
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from sieveline.llm import decontam, html, licenses
 from sieveline.llm.tokencount import Counter, count_tokens, load
@@ -175,3 +176,23 @@ def test_one_slot_does_not_clear_a_copy(spark):
         spark, (ITEM, CHANCE, days, table), (1, f"Well, {ITEM.replace('12 baskets', '30 baskets')}."), (2, f"Before, {other}."), (3, "Nothing of the kind at all in this one"),
         (4, days.replace("3 days", "3 weeks")), (5, exchanged), (6, "Of another kind"), (6, f"Once more, {other}."), (6, "And of a third kind, with 4 words more"),
     ) == {3, 5}
+
+
+def test_sentence_initial_names_number_words_full_units_and_short_items(spark):
+    clips = "Natalia sold clips to 48 of her friends. Natalia then sold half as many. Natalia has how many left?"
+    run = "He ran 5 kilometers before noon and 3 kilograms of ripe fruit were eaten on the way back home by all"
+    short = "what is the capital of France"
+    rows = [
+        (1, clips.replace("Natalia", "Boris")), (2, "So. " + clips.replace("Natalia", "Maria Luisa")), (3, run.replace("5 kilometers", "seven miles").replace("3 kilograms", "two hundred and six grams")),
+        (4, f"Now tell me, {short}, if you know."), (5, "what is the colour of the capital"), (6, "Boris sold hats to 48 of them. The rest was kept."),
+        (7, "one " * 30_000 + "Anna. " * 30_000), (8, "short one here indeed"), (9, run.lower()),
+    ]
+    assert kept_ids(spark, (clips, run, short, "short one here"), *rows) == {5, 6, 7, 8}
+
+
+def test_tokens_of_the_wide_form_are_aligned(spark):
+    texts = ["Five-and twenty-five 3.5km x12 McDonald's, one hundred and five miles. Anna Maria 1,200", "\ue000A\ue003 Ab\ue001 5 \ue002", "", "Ñez Óra. Twenty Five Days", "5 m, 1,2,3.. one-mile"]
+    frame = docs(spark, *enumerate(texts)).select(decontam.wide_canonical_tokens(F.col("text")).alias("c"), decontam.wide_raw_tokens(F.col("text")).alias("r"))
+    for r in frame.collect():
+        assert [c if c in "\ue000\ue001\ue002" else "" for c in r.c] == [x[0] if x[0] in "\ue000\ue001\ue002" else "" for x in r.r]
+    assert [len(x.c) for x in frame.collect()][0] == 13
