@@ -1,10 +1,11 @@
 """Approximate nearest neighbours by cosine: one navigable small-world graph per shard.
 
 Equal vectors are joined first and stand for their smallest ids, as many as a
-result can need. Distinct vectors are dealt into shards of bounded size; each
-shard's hierarchical graph is stored as flat arrays of neighbours. Blocks of
-queries meet every shard, and each query's results are merged. Scores are
-computed in double precision on the original vectors.
+result can need. Distinct vectors are dealt into shards of bounded size; vectors
+of one direction are one node of the shard's hierarchical graph, which is stored
+as flat arrays of neighbours. Blocks of queries meet every shard, and each query's
+results are merged. Every vector of every node found is scored in double precision
+on the original vectors before results are cut.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ SHARD_ROWS = 4096
 BLOCK_QUERIES = 512
 LINKS = 16  # per node and upper layer; twice as many on the lowest
 BUILD_WIDTH, SEARCH_WIDTH = 64, 96
+SAME = 1e-6  # unit vectors that differ by no more in any component, some float32 roundings, are one direction
 
 
 class Graph:
@@ -142,22 +144,42 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32)
 
 
+def _directions(unit: np.ndarray) -> np.ndarray:
+    """For each vector the first one of its direction: that within ``SAME`` of it in every component."""
+    weights = np.random.default_rng(0).standard_normal(unit.shape[1])
+    line = unit.astype(np.float64) @ weights  # vectors of one direction lie close together on it
+    order = np.argsort(line, kind="stable")
+    reach = 1.01 * SAME * np.abs(weights).sum()
+    lows, highs = np.searchsorted(line[order], line - reach), np.searchsorted(line[order], line + reach, "right")
+    owner = np.full(len(unit), -1, np.int32)
+    for i in range(len(unit)):
+        if owner[i] < 0:
+            near = order[lows[i] : highs[i]]
+            near = near[owner[near] < 0]
+            owner[near[np.abs(unit[near] - unit[i]).max(axis=1) <= SAME]] = i
+    return owner
+
+
 def _built(rows: pd.DataFrame) -> pd.DataFrame:
     """One shard's rows (dim, shard, vec_id, ids, v) as one row of flat arrays."""
     rows = rows.sort_values("vec_id")
     vectors = np.stack(rows["v"].to_numpy()).astype(np.float64)
-    graph = build(_unit(vectors), rows["vec_id"].to_numpy(np.int64))
+    unit = _unit(vectors)
+    owner = _directions(unit)
+    nodes, node = np.unique(owner, return_inverse=True)
+    graph = build(unit[nodes], rows["vec_id"].to_numpy(np.int64)[nodes])
     count = np.array([len(i) for i in rows["ids"]], np.int32)
     return pd.DataFrame(
         {
             "dim": [rows["dim"].iloc[0]], "shard": [rows["shard"].iloc[0]], "vectors": [vectors.tobytes()],
             "count": [count.tobytes()], "ids": [np.concatenate(rows["ids"].to_numpy()).astype(np.int64).tobytes()],
+            "nodes": [nodes.astype(np.int32).tobytes()], "node": [node.astype(np.int32).tobytes()],
             "levels": [graph.levels.tobytes()], "lowest": [graph.lowest.tobytes()], "upper": [graph.upper.tobytes()], "entry": [graph.entry],
         }
     )
 
 
-SHARD = "dim int, shard int, vectors binary, count binary, ids binary, levels binary, lowest binary, upper binary, entry int"
+SHARD = "dim int, shard int, vectors binary, count binary, ids binary, nodes binary, node binary, levels binary, lowest binary, upper binary, entry int"
 
 
 def _searched(nearest: int):
@@ -165,20 +187,31 @@ def _searched(nearest: int):
         out = []
         for s in shards.itertuples() if len(queries) else ():
             vectors = np.frombuffer(s.vectors).reshape(-1, s.dim)
-            graph = Graph(_unit(vectors), np.frombuffer(s.levels, np.int64))
-            graph.lowest = np.frombuffer(s.lowest, np.int32).reshape(len(vectors), -1)
+            nodes, node = np.frombuffer(s.nodes, np.int32), np.frombuffer(s.node, np.int32)
+            graph = Graph(_unit(vectors[nodes]), np.frombuffer(s.levels, np.int64))
+            graph.lowest = np.frombuffer(s.lowest, np.int32).reshape(len(nodes), -1)
             graph.upper = np.frombuffer(s.upper, np.int32).reshape(-1, LINKS)
             graph.entry = s.entry
-            norms = np.linalg.norm(vectors, axis=1)
-            ends = np.cumsum(np.frombuffer(s.count, np.int32))
-            ids = np.split(np.frombuffer(s.ids, np.int64), ends[:-1])
+            members = np.split(np.argsort(node, kind="stable"), np.cumsum(np.bincount(node))[:-1])
+            norms = np.sqrt((vectors * vectors).sum(axis=1))
+            count = np.frombuffer(s.count, np.int32)
+            starts, ids = np.cumsum(count) - count, np.frombuffer(s.ids, np.int64)
             wanted = np.stack(queries["v"].to_numpy()).astype(np.float64)
             units = _unit(wanted)
             for own, v, u in zip(queries["query_id"], wanted, units, strict=True):
-                found = graph.nearest(u, nearest + 1)
-                scores = vectors[found] @ v / (norms[found] * np.linalg.norm(v))
-                rows = [(-x, i) for x, k in zip(scores.tolist(), found, strict=True) for i in ids[k].tolist() if i != own]
-                out += [(own, i, -x) for x, i in sorted(rows)[:nearest]]
+                found = np.concatenate([members[k] for k in graph.nearest(u, max(SEARCH_WIDTH, nearest + 1))])
+                # Row by row, so that equal rows have equal scores wherever they stand.
+                scores = (vectors[found] * v).sum(axis=1) / (norms[found] * np.sqrt((v * v).sum()))
+                many = count[found]
+                named = ids[np.repeat(starts[found] - np.cumsum(many) + many, many) + np.arange(many.sum())]
+                scores = np.repeat(scores, many)
+                best = {}
+                for k in np.lexsort((named, -scores)):
+                    if named[k] != own and named[k] not in best:
+                        best[named[k]] = scores[k]
+                        if len(best) == nearest:
+                            break
+                out += [(own, i, x) for i, x in best.items()]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     return search

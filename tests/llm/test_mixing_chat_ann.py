@@ -154,6 +154,27 @@ def test_equal_vectors_and_odd_ones(spark):
     assert ann.search_nearest(frame.limit(0), F.col("vec_id") % 50 == 0).collect() == []
 
 
+def test_vectors_of_one_direction_go_by_double_cosine_and_smaller_id(spark, monkeypatch):
+    ship_package()
+    monkeypatch.setattr(ann, "SHARD_ROWS", 400)
+    rng = np.random.default_rng(8)
+    base, near = rng.standard_normal((2, 16)).astype(np.float32)
+    rows = [(i, rng.standard_normal(16).astype(np.float32).tolist()) for i in range(200)]
+    rows += [(200 + i, (base * np.float32(2.0 ** (i % 20))).tolist()) for i in range(40)]  # exact multiples: ties
+    rows += [(300 + i, (near * np.float32(1 + 0.37 * i)).tolist()) for i in range(300)]  # within a rounding of each other
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    out = ann.search_nearest(frame, F.col("vec_id").isin(200, 239, 300, 450, 7)).collect()
+    got = {}
+    for r in sorted(out, key=lambda r: (r.query_id, r["rank"])):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    v = np.array([x for _, x in rows], np.float64)
+    for q in got:
+        at = next(x for i, x in rows if i == q)
+        scores = (v * at).sum(axis=1) / (np.sqrt((v * v).sum(axis=1)) * np.sqrt((np.array(at) ** 2).sum()))
+        assert got[q] == [i for _, i in sorted((-s, i) for s, (i, _) in zip(scores.tolist(), rows, strict=True) if i != q)][:5]
+    assert got[200] == [201, 202, 203, 204, 205] and got[239] == [200, 201, 202, 203, 204]
+
+
 def test_pipeline_stages_and_odd_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES][:2] == ["language identification", "toxicity"]
