@@ -2,8 +2,9 @@
 
 A page becomes a tree. Every paragraph-like block passes points for its length
 and commas to its ancestors, halved with each step up; an ancestor's points are
-discounted by its link density. The best container is kept with those of its
-siblings that read like text of their own. Menus, footers, adverts, forms and
+discounted by its link density. The best container, or the article or main element
+that holds it, is kept with those of its siblings that read like text of their own;
+outside articles, with all siblings in its box that aren't dense with links. Menus, footers, adverts, forms and
 comments are cut before and inside.
 """
 
@@ -50,6 +51,8 @@ SIBLING_SHARE = 0.2
 PARENT_SHARE = 0.7
 LINK_BLOCKS = frozenset("ul ol div section table dl".split())
 LINK_SHARE = 0.75
+#: Something beside the best container is dense with links from this share on.
+DENSE = 0.5
 
 
 class Node:
@@ -203,7 +206,34 @@ def _links(node: Node) -> int:
     return count
 
 
-def _blocks(node: Node, out: list[list[str]]) -> None:
+def _holder(best: Node) -> Node:
+    """The outermost article that holds the node, else the nearest main, else the box around it, else the node."""
+    above = [best]
+    while above[-1].parent is not None:
+        above.append(above[-1].parent)
+    articles = [n for n in above if n.name == "article"]
+    mains = [n for n in above if n.name == "main"]
+    if articles or mains:
+        return articles[-1] if articles else mains[0]
+    return above[1] if len(above) > 1 and above[1].name in ("div", "section") else best
+
+
+def _reads_like_text(part: Node, most: float) -> bool:
+    """A container with a share of the best one's points in spite of its links."""
+    return part.score * (1 - part.links / max(part.size, 1)) > SIBLING_SHARE * most and part.score > 10
+
+
+def _dense_beside(best: Node, holder: Node) -> frozenset[int]:
+    """What stands beside the way from a holder other than an article to the best container, dense with links and of few points."""
+    dense, most = set(), best.score
+    while best is not holder and holder.name != "article":
+        beside = (p for p in best.parent.parts if isinstance(p, Node) and p is not best and not p.cut and p.size)
+        dense |= {id(p) for p in beside if p.links >= DENSE * p.size and not _reads_like_text(p, most)}
+        best = best.parent
+    return frozenset(dense)
+
+
+def _blocks(node: Node, out: list[list[str]], without: frozenset[int] = frozenset()) -> None:
     """Texts of the blocks of a subtree in page order; anything outside a block of its own starts one."""
     stack: list[tuple[Node, int]] = [(node, 0)]
     out.append([])
@@ -214,7 +244,7 @@ def _blocks(node: Node, out: list[list[str]]) -> None:
             part = at.parts[i]
             if isinstance(part, str):
                 out[-1].append(part)
-            elif not part.cut and not _link_list(part):
+            elif not part.cut and id(part) not in without and not _link_list(part):
                 if part.name in BLOCK:
                     out.append([])
                 elif part.name == "br":
@@ -232,15 +262,18 @@ def main_text(html: str | None) -> str:
     if best is None:
         return ""
     out: list[list[str]] = []
+    holder = _holder(best)
+    without, most = _dense_beside(best, holder), max(best.score, holder.score)
+    best = holder
     siblings = best.parent.parts if best.parent is not None else [best]
     for part in siblings:
         if part is best:
-            _blocks(best, out)
+            _blocks(best, out, without)
         elif isinstance(part, Node) and not part.cut and best.parent.name != "html":
             dense = part.links / max(part.size, 1)
             long = part.name == "p" and part.size > 80 and dense < 0.25
             title = part.name in ("h1", "h2", "h3") and dense < 0.5 and siblings.index(part) < siblings.index(best)
-            if part.name != "header" and (title or long or part.score * (1 - dense) > SIBLING_SHARE * best.score and part.score > 10):
+            if part.name != "header" and (title or long or _reads_like_text(part, most)):
                 _blocks(part, out)
     texts = (SPACES.sub(" ", "".join(b)).strip() for b in out)
     return " ".join(t for t in texts if t)

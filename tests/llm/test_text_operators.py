@@ -104,6 +104,20 @@ def test_articles_in_parts_titles_outside_and_text_without_paragraphs():
     assert html.main_text("<div><span>in a span, long enough, yes.</span><br>next</div><div class=footer>f, f</div>") == "in a span, long enough, yes. next"
 
 
+def test_short_parts_of_an_article_are_kept():
+    part = "<p>" + "many words of it, and more, and more, " * 8 + "</p>"
+    text = ("many words of it, and more, and more, " * 8).strip()
+    long = " ".join([text] * 20)
+    assert html.main_text(f"<body><article><section>{part * 20}</section><section>{part}</section></article></body>") == f"{long} {text}"
+    rest = "<h2>Short head</h2><p>Short line.</p><ul><li>an item</li></ul><table><tr><td>a cell</td></tr></table><blockquote>said</blockquote>"
+    whole = f"A lead. {long} Short head Short line. an item a cell said"
+    links = "<div><a href=/a>more of this</a><a href=/b>more of that</a></div>"
+    for name in ("article", "main", "div"):
+        beside = "" if name == "article" else links
+        assert html.main_text(f"<body><{name}><div>A lead.</div><div>{part * 20}</div>{rest}{beside}<nav>menu</nav></{name}><div>{links}</div></body>") == whole
+    assert html.main_text(f"<body><article><div><section>{part * 20}</section></div><div>End.</div></article><p>Foot</p></body>") == f"{long} End."
+
+
 def test_pages_equal_the_articles_they_were_made_of(spark):
     from html import unescape
 
