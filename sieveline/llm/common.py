@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -16,14 +17,26 @@ def in_fold(id_column: str, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_column).cast("string")) % folds == fold, F.lit(False))
 
 
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below the shared checkpoint folder and read it back.
 
-    Cuts the lineage and survives lost executors.
+    Cuts the lineage and survives lost executors. ``forget`` deletes the table.
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[table] = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` returned, once nothing reads them any more."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(_PATHS.pop(table))
+        path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def sampled(df: DataFrame, key: str, bounds: dict, id_column: str) -> DataFrame:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sieveline.llm import chat, decontam, licenses
+from sieveline.llm import chat, codes, decontam, licenses
 from sieveline.llm.ann import search_nearest
 from sieveline.llm.common import in_fold
 from sieveline.llm.html import extract
@@ -205,3 +205,37 @@ def op7_tree_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_graph_neighbours")
 def op10_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def codes_sql(source: str = "embeddings", entries: int = codes.ENTRIES, rounds: int = codes.ROUNDS) -> str:
+    """The rounds of op13 spelled out, every part against every entry."""
+    near = """a{r} AS MATERIALIZED (SELECT id, p, min(struct_pack(d := d, e := e)) AS m FROM (
+  SELECT id, p, e, xx - 2 * list_inner_product(x, c) + list_inner_product(c, c) AS d FROM parts JOIN b{r} USING (p)) GROUP BY ALL)"""
+    mean = """b{n} AS MATERIALIZED (SELECT p, e, coalesce(new, c) AS c FROM b{r} LEFT JOIN (
+  SELECT p, e, list(CAST(floor(s / k) AS DOUBLE) ORDER BY i) AS new FROM (
+    SELECT p, m.e AS e, i, sum(CAST(x[i] AS BIGINT)) AS s, count(*) AS k
+    FROM a{r} JOIN parts USING (id, p), unnest(range(1, len(x) + 1)) u(i) GROUP BY ALL) GROUP BY ALL) USING (p, e))"""
+    steps = ",\n".join(x for r in range(rounds) for x in (near.format(r=r), mean.format(r=r, n=r + 1)))
+    return f"""WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS id, vec_id, label, list_transform(embedding, lambda v: floor(1024 * CAST(v AS DOUBLE))) AS q
+  FROM {source} WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+parts AS MATERIALIZED (
+  SELECT id, p, x, list_inner_product(x, x) AS xx FROM (
+    SELECT id, p, q[p * len(q) // 4 + 1:(p + 1) * len(q) // 4] AS x FROM kept, range(4) t(p))),
+b0 AS MATERIALIZED (SELECT p, id - 1 AS e, x AS c FROM parts WHERE id <= {entries}),
+{steps},
+{near.format(r=rounds)},
+books AS (
+  SELECT sha256(string_agg(CAST(CAST(v AS BIGINT) AS VARCHAR), ',' ORDER BY p, e, i)) AS codebooks_sha256
+  FROM (SELECT p, e, unnest(c) AS v, unnest(range(len(c))) AS i FROM b{rounds})),
+coded AS (
+  SELECT id, string_agg(printf('%02x', m.e), '' ORDER BY p) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a{rounds} GROUP BY id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded JOIN kept USING (id), books"""
+
+
+@query("op13_product_codes", codes_sql())
+def op13_product_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.compress_vectors(table(spark, sf_dir, "embeddings"))
+    digest = F.lit(codes.codebooks_digest(books)).alias("codebooks_sha256")
+    return codes.with_label_error(coded).select("vec_id", "code", "error", "label_error", digest)
