@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sieveline.llm import chat, codes, decontam, licenses
+from sieveline.llm.alignment import align_tokenizers
 from sieveline.llm.ann import search_nearest
 from sieveline.llm.common import in_fold
 from sieveline.llm.html import extract
@@ -239,3 +240,9 @@ def op13_product_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded, books = codes.compress_vectors(table(spark, sf_dir, "embeddings"))
     digest = F.lit(codes.codebooks_digest(books)).alias("codebooks_sha256")
     return codes.with_label_error(coded).select("vec_id", "code", "error", "label_error", digest)
+
+
+@query("op11_tokenizer_alignment")
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return align_tokenizers(table(spark, sf_dir, "documents"), *paths)[0]

@@ -52,7 +52,7 @@ def test_codes_equal_brute_force(spark, scale, entries):
     by_label = {}
     for r in got:
         by_label[r.label] = by_label.get(r.label, 0) + r.error
-    assert all(r.label_error == by_label[r.label] for r in got)
+    assert all(r.label_error == min(by_label[r.label], 2**63 - 1) for r in got)
 
 
 def test_bounds_spare_scans_and_change_nothing():
