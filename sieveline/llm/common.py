@@ -17,6 +17,8 @@ def in_fold(id_column: str, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_column).cast("string")) % folds == fold, F.lit(False))
 
 
+#: Keys with more than this part of all rows are joined apart, see ``joined_apart``.
+SHARE = 4096
 _PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
@@ -39,6 +41,21 @@ def forget(*tables: DataFrame) -> None:
         path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def joined_apart(rows: DataFrame, marks: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join ``rows`` with ``marks``, unique by ``keys``, however many rows one key holds.
+
+    The column ``rows`` of ``marks`` says how many rows hold the key. Keys with more than
+    a ``SHARE``-th of all counted rows are fewer than ``SHARE``: they are broadcast. The rest
+    is joined by a shuffle in which no key is large. ``how`` is inner or left. Both
+    tables should be stored.
+    """
+    most = max((marks.agg(F.sum("rows")).first()[0] or 0) // SHARE, 1)
+    hot = marks.where(F.col("rows") > most).drop("rows").withColumn("_hot", F.lit(True))
+    met = rows.join(F.broadcast(hot), keys, "left")
+    rest = met.where("_hot is null").select(rows.columns).join(marks.where(F.col("rows") <= most).drop("rows"), keys, how)
+    return met.where("_hot").drop("_hot").unionByName(rest)
+
+
 def sampled(df: DataFrame, key: str, bounds: dict, id_column: str) -> DataFrame:
     """Keep each row of class ``key`` with its class's rate, decided by a hash of the id.
 

@@ -14,6 +14,7 @@ from sieveline.llm.html import extract
 from sieveline.llm.langid import fit_languages, identify_language
 from sieveline.llm.mixing import mix
 from sieveline.llm.neardup import near_duplicates
+from sieveline.llm.recompression import remove_repeats
 from sieveline.llm.tokencount import count_tokens
 from sieveline.llm.toxicity import THRESHOLD as TOXIC
 from sieveline.llm.toxicity import fit_toxicity, toxicity
@@ -246,3 +247,21 @@ def op13_product_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
     return align_tokenizers(table(spark, sf_dir, "documents"), *paths)[0]
+
+
+@query(
+    "op12_recompression_dedup",
+    rf"""WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{SPACED}') AS ws FROM documents),
+w AS (
+  SELECT doc_id, unnest(range(1, len(gs) + 1)) AS p, unnest(gs) AS g FROM (
+    SELECT doc_id, list_transform(range(1, len(ws) - 48), lambda i: md5(array_to_string(ws[i:i + 49], ' '))) AS gs FROM t)),
+least AS (SELECT g, min(doc_id) AS low FROM w GROUP BY g),
+gone AS (SELECT DISTINCT doc_id, p + k AS pos FROM w JOIN least USING (g), range(50) r(k) WHERE low < doc_id),
+words AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS pos, unnest(ws) AS x FROM t),
+left_over AS (
+  SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY pos) AS s FROM words ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+FROM t LEFT JOIN left_over USING (doc_id)""",
+)
+def op12_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
