@@ -17,9 +17,10 @@ tasks.  What crosses a partition border is one small state per partition:
 
 Scans differ only in their state.  Sums and clamps compose in closed form, so
 step 3 is one pass.  The greedy scans (accept, batch) have *reset points* where
-the state no longer depends on anything earlier; a partition without a reset
-point is re-run with its true entry state, border by border, until all borders
-are known.  Nothing is approximated in any case.
+the state no longer depends on anything earlier, or a table of exits by entry.
+A partition with neither is run again with its entry state, all such partitions
+at once from guessed entries first, then border by border until all borders are
+known.  Nothing is approximated in any case.
 """
 
 from __future__ import annotations
@@ -219,9 +220,17 @@ class AcceptScan(Scan):
     With ``limit=1`` the exit is moreover a step function of the time from which
     the first row may be accepted: one step per row of the first window, and
     steps merge as their accept chains meet.
+
+    With a higher limit, number the accepted rows: the n-th is the later of the row
+    behind the one before and the first row a window after the (n - limit)-th. Both
+    keep the order of rows, and the later of two rows stays the later one. So the n-th
+    accepted row of any entry is the latest, over its first ``limit`` accepted rows j,
+    of what a run that starts with an empty state at row j accepts as its (n - j)-th.
+    The summary holds those runs' ends for each row that can be among the first.
     """
 
     MAX_CHAINS, MAX_STEPS = 1_000_000, 4096
+    MAX_ROWS, MAX_WORK, MAX_TABLE = 4_000_000, 500_000_000, 200_000
 
     columns = (TIME,)
     outputs = (("_accepted", pa.bool_()),)
@@ -260,7 +269,7 @@ class AcceptScan(Scan):
         none = np.empty(0, np.int64)
         return {
             "tail": none, "seen_from": None, "last": None, "known": None,
-            "first": None, "from": none, "at": none, "closed": False,
+            "first": None, "from": none, "at": none, "closed": False, "rows": [],
         }
 
     def _follow(self, acc, us: np.ndarray) -> None:
@@ -294,7 +303,62 @@ class AcceptScan(Scan):
     def pack(self, acc):
         few = acc["from"] is not None and len(acc["from"]) <= self.MAX_STEPS and self.limit == 1
         steps = {"from": acc["from"], "at": acc["at"]} if few else {"from": None, "at": None}
-        return {"last": acc["last"], "known": acc["known"], "closed": acc["closed"], **steps}
+        table = self._table(np.concatenate(acc["rows"])) if self.limit > 1 and acc["known"] is None and acc["rows"] else None
+        return {"last": acc["last"], "known": acc["known"], "closed": acc["closed"], "table": table, **steps}
+
+    def _table(self, us: np.ndarray) -> dict[str, np.ndarray] | None:
+        """Runs from an empty state at each row that an entry may accept first: numbers of accepted rows and the last times.
+
+        None where the table would be too large; the rows are run again instead.
+        """
+        n, limit = len(us), self.limit
+        k = min(int(np.searchsorted(us, us[0] + self.window, side="left")) + limit, n)
+        most = min(n, limit * (int(us[-1] - us[0]) // max(self.window, 1) + 2))
+        if k * most > self.MAX_WORK or 2 * limit * k > 50 * self.MAX_TABLE:
+            return None
+        free = np.append(np.searchsorted(us, us + self.window, side="left"), n)
+        ring = np.full((2 * limit, k), -1)
+        at, number, count = np.arange(k), 0, np.zeros(k, np.int64)
+        while (inside := at < n).any():
+            ring[number % (2 * limit), inside] = at[inside]
+            count += inside
+            number += 1
+            at = np.minimum(at + 1, n)
+            if number >= limit:
+                # A run that has left the rows stays outside.
+                before = np.where(inside, ring[(number - limit) % (2 * limit)], n)
+                at = np.maximum(at, free[before])
+        order = (count[None, :] + np.arange(2 * limit)[:, None]) % (2 * limit)  # the oldest of the last accepted rows first
+        rows = np.take_along_axis(ring, order, axis=0)
+        ends, group = np.unique(np.where(rows < 0, np.iinfo(np.int64).min, us[rows]), axis=1, return_inverse=True)
+        if ends.size > self.MAX_TABLE:
+            return None
+        return {"n": n, "times": us[:k].copy(), "count": count, "group": group.reshape(-1), "ends": ends}
+
+    def _through(self, table: dict[str, np.ndarray], entry: list[int]) -> list[int]:
+        """Exit state behind the rows of a table."""
+        limit, times = self.limit, table["times"]
+        held = [None] * (limit - len(entry)) + list(entry[-limit:])
+        first: list[int] = []
+        for e in held:
+            free = 0 if e is None else int(np.searchsorted(times, e + self.window, side="left"))
+            at = max(first[-1] + 1 if first else 0, free)
+            if at >= table["n"]:
+                break
+            first.append(at)
+        if not first:
+            return entry
+        x, j = np.array(first), np.arange(1, len(first) + 1)
+        count, ends = table["count"][x], table["ends"][:, table["group"][x]]
+        last = int((j + count - 1).min())
+        if len(first) < limit:
+            last = min(last, len(first))
+        out = [e for e in held[max(last, 0) :] if e is not None]
+        for number in range(max(last - limit + 1, 1), last + 1):
+            place = number - j - (count - 2 * limit)
+            fits = (place >= 0) & (number >= j)
+            out.append(int(ends[place[fits], np.flatnonzero(fits)].max()))
+        return out
 
     def absorb(self, acc, cols):
         us = cols[TIME]
@@ -306,6 +370,10 @@ class AcceptScan(Scan):
         if acc["known"] is not None:
             acc["known"] = self.step(acc["known"], cols)[1]
             return acc
+        if self.limit > 1 and acc["rows"] is not None:
+            acc["rows"].append(us)
+            if sum(map(len, acc["rows"])) > self.MAX_ROWS:
+                acc["rows"] = None
         if acc["seen_from"] is None:
             acc["seen_from"] = int(us[0])
         joined = np.concatenate([acc["tail"], us])
@@ -348,6 +416,8 @@ class AcceptScan(Scan):
             return acc["known"]
         if entry and len(entry) >= self.limit and acc["last"] < entry[-self.limit] + self.window:
             return entry  # the whole run is rejected
+        if acc["table"] is not None:
+            return None if entry is None else self._through(acc["table"], entry)
         steps = acc["from"]
         if steps is None or not len(steps):
             return None
@@ -363,8 +433,10 @@ class BatchScan(Scan):
     the batch holds ``limit`` rows; the flushing row belongs to its batch and
     its time starts the next one.  Marks flushing rows.
 
-    Reset point: a row a full window after its predecessor flushes whatever
-    the state was, and leaves an empty batch starting at its own time.
+    An unknown entry only decides which of the first ``limit`` rows flushes first;
+    from there on the run is the same for every entry. So a run of rows is
+    summarised by an exit table: the exit state for each possible first flush.
+    Chains of flushes from different rows merge, which keeps the table short.
     """
 
     columns = (TIME,)
@@ -394,26 +466,54 @@ class BatchScan(Scan):
             start, held, i = int(us[j]), 0, j + 1
         return {"_flush": out}, (start, held)
 
+    def _exits(self, us: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The state behind the rows for each place of a first flush; chains that meet go on as one."""
+        n, rows = len(us), np.arange(len(us))
+        by_time = np.searchsorted(us, us + self.window, side="left")
+        following = np.minimum(rows + max(self.limit, 1), np.maximum(by_time, rows + 1))
+        live, back = np.unique(at, return_inverse=True)
+        while (moves := following[live] < n).any():
+            live, merged = np.unique(np.where(moves, following[live], live), return_inverse=True)
+            back = merged[back]
+        return us[live[back]], n - 1 - live[back]
+
     def unknown(self):
-        return {"last": None, "known": None}
+        # An entry of the table stands for first flushes from ``place`` up to the next entry's
+        # place; ``before`` is the time of the row before its place.
+        none = np.empty(0, np.int64)
+        return {"n": 0, "first": None, "last": 0, "place": none, "before": none, "start": none, "held": none}
 
     def absorb(self, acc, cols):
-        us = cols[TIME]
-        if acc["known"] is not None:
-            acc["known"] = self.step(acc["known"], cols)[1]
-            return acc
-        prev = us if acc["last"] is None else np.concatenate([[acc["last"]], us])
-        gaps = np.flatnonzero(np.diff(prev) >= self.window)
-        acc["last"] = int(us[-1])
-        if len(gaps):
-            i = int(gaps[0]) + 1  # in prev
-            state = (int(prev[i]), 0)
-            rest = prev[i + 1 :]
-            acc["known"] = self.step(state, {TIME: rest})[1] if len(rest) else state
-        return acc
+        us = cols[TIME].astype(np.int64)
+        n, most = len(us), max(self.limit, 1)
+        start, held = acc["start"].copy(), acc["held"] + n
+        at = np.minimum(np.maximum(most - acc["held"], 1) - 1, np.searchsorted(us, acc["start"] + self.window, side="left"))
+        inside = at < n
+        new = np.arange(min(n, max(most - acc["n"], 0)))  # rows that may be the first to flush
+        exits = self._exits(us, np.append(at[inside], new)) if inside.any() or len(new) else (start[:0], held[:0])
+        known = int(inside.sum())
+        start[inside], held[inside] = exits[0][:known], exits[1][:known]
+        start, held = np.append(start, exits[0][known:]), np.append(held, exits[1][known:])
+        place = np.append(acc["place"], acc["n"] + new)
+        before = np.append(acc["before"], np.append(acc["last"], us)[new])
+        keep = np.append(True, (start[1:] != start[:-1]) | (held[1:] != held[:-1]))
+        table = {"place": place[keep], "before": before[keep], "start": start[keep], "held": held[keep]}
+        first = int(us[0]) if acc["first"] is None else acc["first"]
+        return {"n": acc["n"] + n, "first": first, "last": int(us[-1]), **table}
 
     def resolve(self, acc, entry):
-        return acc["known"]
+        if entry is None:
+            # One exit, whichever row flushes first, once a row must have flushed by count.
+            sure = acc["n"] >= max(self.limit, 1) and len(acc["start"]) == 1
+            return (int(acc["start"][0]), int(acc["held"][0])) if sure else None
+        start, held = entry
+        start = acc["first"] if start is None else start  # the key begins here
+        by_count, end = max(self.limit - held, 1) - 1, start + self.window
+        if by_count >= acc["n"] and acc["last"] < end:
+            return (start, held + acc["n"])  # nothing flushes
+        in_time = 1 + int(np.searchsorted(acc["before"][1:], end, side="left"))  # entries that time lets be reached
+        k = min(int(np.searchsorted(acc["place"], by_count, side="right")), in_time) - 1
+        return (int(acc["start"][k]), int(acc["held"][k]))
 
 
 def _segments(batch: pa.RecordBatch) -> Iterator[tuple[str, int, int]]:
@@ -470,40 +570,73 @@ def _probe(scan: Scan, entries: dict[int, tuple[str, Any]] | None = None):
     return run
 
 
+#: Passes from guessed entries go on while the last one settled this share of the partitions it ran.
+PRODUCTIVE = 0.1
+
+
 def entry_states(layout: DataFrame, scan: Scan) -> dict[int, tuple[str, Any]]:
     """Entry state of every partition that continues its predecessor's key.
 
-    The driver holds one summary per partition, never rows.
+    The driver holds one summary per partition, never rows. Partitions whose exit
+    depends on their entry in a way that the summary can't tell are run again, all at
+    once: those whose entry isn't known start from the last exit of their predecessor
+    for a guess. A partition is settled once it ran from its true entry, so guesses that
+    prove right settle it, too; states that are forgotten within a partition make nearly
+    all of them right at the second pass. Where passes settle little, as under a steady
+    overload that never forgets, the rest is run border by border.
     """
     needed = layout.select(PART, KEY, *scan.columns)
     rows = needed.mapInArrow(_probe(scan), _SUMMARY).collect()
     summaries = {r["part"]: (r["first_key"], r["last_key"], *pickle.loads(r["payload"])) for r in rows}
     order = sorted(summaries)
+    tried: dict[int, list[tuple[Any, Any]]] = {}  # exits of runs by their entries, one per pass
+    passes, before = 0, 0
     while True:
         entries: dict[int, tuple[str, Any]] = {}
-        rerun: dict[int, tuple[str, Any]] = {}
-        last_key, state = None, None  # state None: not known yet
+        due: dict[int, tuple[str, Any]] = {}
+        guesses: dict[int, tuple[str, Any]] = {}
+        last_key, state, guess = None, None, None  # state None: not known yet
         for p in order:
             first_key, this_last, known, value = summaries[p]
             continues = first_key == last_key
             entry = state if continues else scan.start(first_key)
+            assumed = entry if entry is not None else guess
             if continues:
                 entries[p] = (first_key, entry)
             if known:
                 state = value
-            elif entry is not None:
-                state = scan.resolve(value, entry)
-                if state is None:
-                    rerun[p] = (first_key, entry)
             else:
-                state = scan.resolve(value, None)
+                state = scan.resolve(value, entry)
+                ran = next((out for start, out in reversed(tried.get(p, ())) if _same(start, assumed)), None)
+                if state is None and entry is not None:
+                    state = ran
+                    if state is None:
+                        due[p] = (first_key, entry)
+                guess = ran
+                if state is None and ran is None and entry is None:
+                    guesses[p] = (first_key, assumed if assumed is not None else scan.start(first_key))
+                    guess = tried[p][-1][1] if p in tried else None
+            if state is not None:
+                guess = state
             last_key = this_last
-        if not rerun:
+        if not due:
             return entries
-        # Only the partitions whose entry has just become known run again.
-        again = needed.mapInArrow(_probe(scan, rerun), _SUMMARY).rdd
-        for r in layout.sparkSession.sparkContext.runJob(again, list, sorted(rerun)):
-            summaries[r["part"]] = (r["first_key"], r["last_key"], *pickle.loads(r["payload"]))
+        open_ = len(guesses) + len(due)
+        wide = passes < 2 or before - open_ >= PRODUCTIVE * before
+        again = {**guesses, **due} if wide else due
+        passes, before = passes + 1, open_
+        for r in _run_again(needed, scan, again):
+            tried.setdefault(r["part"], []).append((again[r["part"]][1], pickle.loads(r["payload"])[1]))
+
+
+def _same(a: Any, b: Any) -> bool:
+    return b is not None and bool(a == b)
+
+
+def _run_again(needed: DataFrame, scan: Scan, entries: dict[int, tuple[str, Any]]) -> list:
+    """Summaries of some partitions alone, run from the given entries."""
+    again = needed.mapInArrow(_probe(scan, entries), _SUMMARY).rdd
+    return needed.sparkSession.sparkContext.runJob(again, list, sorted(entries))
 
 
 _SPARK_TYPE = {pa.int64(): T.LongType(), pa.float64(): T.DoubleType(), pa.bool_(): T.BooleanType()}

@@ -44,7 +44,9 @@ def _micros(seconds: float) -> int:
 
 
 def _accept(df: DataFrame, keys: Sequence[str | Column], seconds: float, limit: int) -> DataFrame:
-    layout = ordered_layout(df, keys, ["event_id"])
+    # A row without a time is in nobody's window: it is a key of its own, and passes.
+    alone = F.when(F.col("timestamp").isNull(), F.col("event_id"))
+    layout = ordered_layout(df, [*keys, alone], ["event_id"])
     return apply_scan(layout, AcceptScan(_micros(seconds), limit)).df.drop(KEY, TIME, PART)
 
 
@@ -59,6 +61,7 @@ def dedup_window(
 
     A dropped duplicate does not extend the window.  Missing key fields count
     as '' and share one key; ``missing_key="pass"`` lets such events through.
+    Events without a time are nobody's duplicates.
     """
 
     def run(df: DataFrame) -> DataFrame:
@@ -86,7 +89,7 @@ def rate_limit_sliding(
     partition_by: Sequence[str] = (),
     flag: str | None = None,
 ):
-    """Pass while fewer than ``max_events`` were passed in the last window."""
+    """Pass while fewer than ``max_events`` were passed in the last window; events without a time pass uncounted."""
     return _stateful(lambda df: _finish(_accept(df, list(partition_by), window_seconds, max_events), flag))
 
 

@@ -91,6 +91,85 @@ def test_batch_scan(spark, many_partitions, seed, n, span, window, limit):
     assert {r[0] for r in got} == want
 
 
+@pytest.fixture()
+def runs(monkeypatch):
+    """Partitions that each further pass looks at."""
+    seen, run = [], ordered._run_again
+    monkeypatch.setattr(ordered, "_run_again", lambda df, scan, entries: seen.append(len(entries)) or run(df, scan, entries))
+    return seen
+
+
+def one_key(spark, seed, n, span):
+    rnd = random.Random(seed)
+    times = sorted(rnd.randrange(span) for _ in range(n))
+    df = spark.createDataFrame([(i, "hot", t) for i, t in enumerate(times)], "id long, k string, s long")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    layout = ordered_layout(df.withColumn("timestamp", F.timestamp_seconds("s")), ["k"], ["id"])
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert layout.df.select("_part").distinct().count() > 50
+    return times, layout
+
+
+@pytest.mark.parametrize("seed,span,window,limit", [(1, 6000, 60, 50), (2, 6000, 60, 7), (3, 900, 4000, 13), (4, 50, 3, 1), (5, 30, 2, 2000), (6, 6000, 0, 5)])
+def test_batches_without_pauses_need_one_probe(spark, many_partitions, runs, seed, span, window, limit):
+    times, layout = one_key(spark, seed, 6000, span)
+    want, start, held = set(), times[0], 0
+    for i, t in enumerate(times):
+        held += 1
+        if t - start >= window or held >= limit:
+            want.add(i)
+            start, held = t, 0
+    got = apply_scan(layout, BatchScan(window * 1_000_000, limit)).df.where("_flush = 1").select("id").collect()
+    assert {r[0] for r in got} == want and runs == []
+
+
+@pytest.mark.parametrize("seed,span,window,limit", [(1, 30_000, 60, 10), (2, 6000, 20, 3), (3, 40_000, 60, 5), (4, 900, 300, 70)])
+@pytest.mark.parametrize("table", [200_000, 0])
+def test_overloaded_limits_need_one_probe_or_few_runs(spark, many_partitions, runs, monkeypatch, seed, span, window, limit, table):
+    monkeypatch.setattr(AcceptScan, "MAX_TABLE", table)
+    times, layout = one_key(spark, seed, 12_000, span)
+    want, kept = set(), []
+    for i, t in enumerate(times):
+        if len(kept) < limit or kept[-limit] <= t - window:
+            kept.append(t)
+            want.add(i)
+    got = apply_scan(layout, AcceptScan(window * 1_000_000, limit)).df.where("_accepted").select("id").collect()
+    assert {r[0] for r in got} == want
+    # Without tables every pass settles a border at least, and guesses more.
+    assert runs == [] if table else len(runs) < 64
+
+
+def test_accept_table_equals_a_run_from_every_entry():
+    rng = np.random.default_rng(9)
+    for _ in range(2000):
+        n, limit, window = int(rng.integers(1, 40)), int(rng.integers(2, 7)), int(rng.integers(0, 25))
+        us = np.sort(rng.integers(100, 100 + int(rng.integers(1, 120)), n))
+        scan = AcceptScan(window, limit)
+        table = scan._table(us)
+        for _ in range(10):
+            entry = sorted(rng.integers(60, us[0] + 1, int(rng.integers(0, limit + 1))).tolist())
+            assert scan._through(table, entry) == scan.step(list(entry), {"_us": us})[1]
+
+
+def test_exit_table_equals_a_run_from_every_entry():
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        n, limit, window = int(rng.integers(1, 40)), int(rng.integers(0, 12)), int(rng.integers(0, 30))
+        us = np.sort(rng.integers(100, 100 + int(rng.integers(1, 200)), n))
+        scan, acc, at = BatchScan(window, limit), None, 0
+        acc = scan.unknown()
+        while at < n:
+            size = int(rng.integers(1, 9))
+            acc = scan.absorb(acc, {"_us": us[at : at + size]})
+            at += size
+        for start in range(60, 101, 3):
+            for held in range(max(limit, 1)):
+                want = scan.step((start, held), {"_us": us})[1]
+                assert scan.resolve(acc, (start, held)) == want
+                always = scan.resolve(acc, None)
+                assert always is None or always == want
+
+
 def test_clamp_scan(spark, many_partitions):
     rows = make_rows(9, 500, 10_000)
     df = to_df(spark, rows).withColumn("lo", F.when(F.col("a") < 1, 0.1).otherwise(0.0)).withColumn(
