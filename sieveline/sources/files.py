@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.functions.json import is_json, is_json_array
+from sieveline.functions.json import is_json
+from sieveline.sources.json_blocks import read_json_values
 from sieveline.sources.normalize import non_blank_lines
 
 
@@ -24,14 +25,11 @@ def stream_lines(spark: SparkSession, path: str, max_files: int = 100) -> DataFr
 def read_capture(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     """Exported captures as one JSON text per row.
 
-    ``json``: every file is one JSON document that may span lines; an array
-    yields one row per element.  Any other format: one document per line.
+    ``json``: files hold JSON documents one after another, each over as many lines
+    as it likes; an array yields one row per element. Files are read in parallel by
+    blocks, however large a document is (see ``json_blocks``). Text that isn't
+    JSON is left out. Any other format: one document per line.
     """
     if fmt == "json":
-        files = spark.read.text(path, wholetext=True)
-        doc = F.try_parse_json("value")
-        packets = F.when(is_json_array(F.col("value")), F.try_variant_get(doc, "$", "array<variant>"))
-        return files.where(is_json(F.col("value"))).select(F.explode(F.coalesce(packets, F.array(doc))).alias("packet")).where(
-            F.col("packet").isNotNull()
-        ).select(F.to_json("packet").alias("value"))
+        return read_json_values(spark, path).select("value").where(is_json(F.col("value")))
     return non_blank_lines(spark.read.text(path)).where(is_json(F.col("value")))

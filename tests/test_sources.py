@@ -1,12 +1,15 @@
 """Sources: normalisation, validation, Kafka mapping, captures, polling, registry."""
 
 import json
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource
 
 from sieveline.session import scratch_path
+from sieveline.sources import json_blocks as jb
 from sieveline.sources import normalize as n
 from sieveline.sources.files import read_capture, read_lines
 from sieveline.sources.kafka import decode_bus, encode_bus, kafka_events, kafka_options, replay_landed
@@ -75,12 +78,84 @@ def test_kafka_records(spark):
     assert replay_landed(df, {"id": "s", "topic": "t", "committed": {"t": {2: 99}}}).count() == 0
 
 
+def odd_value(rng, depth=0):
+    kind = rng.randrange(7 if depth < 4 else 4)
+    if kind < 4:
+        return [rng.randrange(100), rng.choice(["a,b", 'x"y', "[{", "back\\", '\\"', "]}", "\u00e9,", "line\nbreak", "", '\\\\",']), None, True][kind]
+    if kind < 6:
+        return {rng.choice("ab,[") + str(i): odd_value(rng, depth + 1) for i in range(rng.randrange(4))}
+    return [odd_value(rng, depth + 1) for _ in range(rng.randrange(5))]
+
+
+def odd_documents(rng, n):
+    """Text of JSON documents over lines, and the values that must come out."""
+    text, want = "", []
+    for _ in range(n):
+        doc = odd_value(rng)
+        text += json.dumps(doc, indent=rng.choice([None, 1, 2])) + rng.choice(["\n", "\n\n", " \r\n"])
+        want += doc if isinstance(doc, list) else [doc]
+    return text, [json.dumps(v) for v in want]
+
+
+def test_json_values_are_cut_alike_at_any_block_borders():
+    rng = random.Random(1)
+    for _ in range(1500):
+        text, want = odd_documents(rng, rng.randrange(1, 5))
+        records = text.encode().split(b",")
+        cuts = sorted(rng.sample(range(len(records) + 1), min(len(records), rng.randrange(5))))
+        state, out, held = jb.State(), [], []
+        for lo, hi in zip([0, *cuts], [*cuts, len(records)], strict=True):
+            if lo == hi:
+                continue
+            cutter, effects, values, middle = jb.Cutter(state), [jb.Effect(False), jb.Effect(True)], [], rng.randrange(lo, hi + 1)
+            for part in (records[lo:middle], records[middle:hi]):
+                if part:
+                    piece = b",".join(part) + b","
+                    values += cutter.add(piece)
+                    for e in effects:
+                        e.add(np.frombuffer(piece, np.uint8))
+            if values:
+                out += [b"".join(held) + values[0], *values[1:]]
+                held = []
+            held.append(b"".join(cutter.held))
+            state = jb.after(state, (effects[0].summary(), effects[1].summary()))
+            assert state == cutter.state
+        out.append(b"".join(held))
+        assert [json.dumps(json.loads(v)) for v in out if v.strip()] == want
+
+
+@pytest.mark.parametrize("block", [200, 5000, 1 << 27])
+def test_large_captures_are_read_by_blocks(spark, tmp_path, block):
+    rng, want = random.Random(block), []
+    for name in "abc":
+        text, values = odd_documents(rng, 60)
+        big = json.dumps([{"n": name + str(i), "t": "x" * rng.randrange(60) + ",["} for i in range(300)])
+        (tmp_path / f"{name}.json").write_text(text + big + "\n" + text)
+        want += values * 2 + [json.dumps(v) for v in json.loads(big)]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+    try:
+        got = read_capture(spark, str(tmp_path))
+        assert block > 5000 or got.rdd.getNumPartitions() > 8
+        found = [json.dumps(json.loads(r["value"])) for r in got.collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(found) == sorted(want)
+
+
+def test_broken_captures_lose_their_own_lines(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"f": "open\n}\n{"f": 1}\n]] }\n{"f": 2}\n42 errors\nnull\n[1, 2\n')
+    assert sorted(r["value"] for r in read_capture(spark, str(tmp_path)).collect()) == ["1", "2", "null", '{"f": 1}', '{"f": 2}']
+
+
 def test_capture_files(spark, tmp_path):
     (tmp_path / "a.json").write_text('[\n {"f": 1},\n {"f": 2}\n]')
     (tmp_path / "b.json").write_text('{\n "f": 3\n}')
     (tmp_path / "c.json").write_text('[{"f": 4},')
     got = sorted(json.loads(r["value"])["f"] for r in read_capture(spark, str(tmp_path)).collect())
-    assert got == [1, 2, 3]
+    assert got == [1, 2, 3, 4]  # what is whole in a file that was cut off
+    (tmp_path / "d.json").write_text('[\n{"f": 5}\n]\n[\n{"f": 6}, {"f": 7}\n]\n{\n"f": 8}')
+    got = sorted(json.loads(r["value"])["f"] for r in read_capture(spark, str(tmp_path)).collect())
+    assert got == [1, 2, 3, 4, 5, 6, 7, 8]
     (tmp_path / "l").mkdir()
     (tmp_path / "l" / "x.log").write_text('{"f":1}\nnope\n\n{"f":2}\n')
     assert read_capture(spark, str(tmp_path / "l"), "ek").count() == 2
