@@ -110,3 +110,27 @@ def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("tenant-"), (F.col("o_custkey") % 7).cast("string")).alias("tenant_id"),
         F.when(F.col("o_orderkey") % 10 == 0, "denied").otherwise("success").alias("result"),
     )
+
+
+def land_pages(pages: DataFrame, path: str) -> str:
+    """Write texts (page, value) as a folder per page, which ``PageFolder`` polls; pages must be few."""
+    pages.repartition("page").write.mode("append").partitionBy("page").text(path)
+    return path
+
+
+def append_lines(lines: DataFrame, path: str, lead: str = "", end: str = "\n", cut: bool = False) -> None:
+    """Append each bucket's lines (bucket, value) to its log file; ``cut`` empties the files first."""
+    import os
+
+    folder = path.removeprefix("file://")
+    os.makedirs(folder, exist_ok=True)
+
+    def append(rows) -> None:
+        texts: dict[int, list[str]] = {}
+        for r in rows:
+            texts.setdefault(r["bucket"], []).append(r["value"])
+        for bucket, own in texts.items():
+            with open(os.path.join(folder, f"bucket-{bucket}.log"), "w" if cut else "a", encoding="utf-8") as f:
+                f.write(lead + "\n".join(own) + end)
+
+    lines.repartition("bucket").foreachPartition(append)

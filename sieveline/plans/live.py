@@ -24,7 +24,8 @@ from sieveline.plans.spec import CompiledSpec, SpecError, custom_filter
 from sieveline.schema import EVENT_SCHEMA
 from sieveline.sources.files import read_capture, read_lines, stream_lines
 from sieveline.sources.kafka import read_kafka_stream
-from sieveline.sources.normalize import make_event, normalize_lines, union_sources
+from sieveline.sources.normalize import make_event, non_blank_lines, normalize_lines, union_sources
+from sieveline.sources.tail import tail_lines
 from sieveline.streaming import stateful
 
 COLUMNS = [f.name for f in EVENT_SCHEMA.fields]
@@ -37,13 +38,18 @@ def canonical_lines(lines: DataFrame, source_id: str) -> DataFrame:
 
 
 def open_stream(spark: SparkSession, source: Mapping[str, Any]) -> DataFrame:
-    """The streaming events of a source: a folder of log files, or Kafka topics."""
+    """The streaming events of a source: log files, or Kafka topics.
+
+    Whole files are read as they come to a folder; with ``follow`` the lines that are
+    added to files are.
+    """
     kind = source.get("adapter", "native/log-tailer")
     if kind == "kafka":
         events = read_kafka_stream(spark, source)
         return events.select(*[c for c in COLUMNS if c in events.columns])
     if kind in ("native/log-tailer", "native/stdin"):
-        return canonical_lines(stream_lines(spark, source["path"]), source["id"])
+        follow = non_blank_lines(tail_lines(spark, source["path"])) if source.get("follow") else stream_lines(spark, source["path"])
+        return canonical_lines(follow, source["id"])
     raise SpecError(f"source {source['id']}: a stream of kind {kind} is brought by the caller")
 
 

@@ -18,9 +18,10 @@ from sieveline.plans.q_sources import _ACTIONS
 from sieveline.plans.q_stateful import _ADAPT, _RATE, _flushes, _greedy, _jump
 from sieveline.plans.registry import EV, REPLY, query, sql_ts, ts_text
 from sieveline.plans.spec import compile_spec
-from sieveline.schema import canonical_events, load_events
+from sieveline.schema import canonical_events, load_events, read_table
 from sieveline.session import scratch_path
 from sieveline.sources.polling import EventFeed, SourceRegistry
+from sieveline.sources.tail import tail_lines
 from sieveline.streaming.sinks import run_actions, write_outbox
 from sieveline.streaming.stateful import (
     adaptive_sample_stream,
@@ -46,9 +47,12 @@ def udf_filter(spark, sf_dir):
 @query("udf_source", "SELECT CAST(event_id AS VARCHAR) AS event_id, event_type AS type FROM events")
 def udf_source(spark, sf_dir):
     registry = SourceRegistry()
-    registry.register(EventFeed, "events of a table as raw texts", ["example"])
+    registry.register(EventFeed, "event texts, page by page", ["example"])
     registry.install(spark)
-    raw = spark.read.format("event-feed").option("path", f"{sf_dir}/events.parquet").load()
+    text = F.to_json(F.struct("event_id", F.col("event_type").alias("type")))
+    pages = read_table(spark, sf_dir, "events").select((F.col("event_id") % 16).cast("int").alias("page"), text.alias("value"))
+    path = fixtures.land_pages(pages, scratch_path(spark, "pages"))
+    raw = spark.read.format("event-feed").option("path", path).option("step", 2).load()
     return raw.select(F.get_json_object("value", "$.event_id").alias("event_id"), F.get_json_object("value", "$.type").alias("type"))
 
 
@@ -245,6 +249,28 @@ def stream_windows(spark, sf_dir):
     return drain(spark, s, "windows").select("source_id", ts_text("window_start").alias("window_start"), "batch_size", "priority")
 
 
+def tail_rounds(spark, sf_dir, path, run):
+    """Lines of the events in four rounds, each followed by a run: there before, added, the last line ended and more, cut off and new."""
+    line = F.concat_ws(" ", "event_type", F.col("event_id").cast("string"))
+    lines = read_table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 4).alias("bucket"), line.alias("value"))
+    for k, how in enumerate([{}, {"end": ""}, {"lead": "\n"}, {"cut": True}]):
+        fixtures.append_lines(lines.where(F.col("event_id") % 4 == k).drop("event_id"), path, **how)
+        run()
+
+
+@query("stream_tail", "SELECT event_type || ' ' || event_id AS line FROM events WHERE event_id % 4 > 0")
+def stream_tail(spark, sf_dir):
+    """Log files that grow between triggers and are cut off once; what stood there before is left out."""
+    path, out, checkpoint = (scratch_path(spark, n) for n in ("logs", "tail", "tail-checkpoint"))
+
+    def run():
+        lines = tail_lines(spark, path, block_bytes=20_000)
+        lines.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+    tail_rounds(spark, sf_dir, path, run)
+    return spark.read.parquet(out).select(F.col("value").alias("line"))
+
+
 @query(
     "stream_outbox",
     f"WITH {EV}, {REPLY}, {_ACTIONS} SELECT event_id, agent_id, type, CASE type WHEN 'webhook' THEN 'hook-new' WHEN 'page' THEN 'pager' END AS handler FROM act",

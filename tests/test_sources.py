@@ -1,19 +1,22 @@
 """Sources: normalisation, validation, Kafka mapping, captures, polling, registry."""
 
 import json
+import os
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource
 
-from sieveline.session import scratch_path
+from sieveline.plans.live import start_spec
+from sieveline.plans.spec import compile_spec
+from sieveline.session import scratch_path, ship_package
 from sieveline.sources import json_blocks as jb
 from sieveline.sources import normalize as n
 from sieveline.sources.files import read_capture, read_lines
 from sieveline.sources.kafka import decode_bus, encode_bus, kafka_events, kafka_options, replay_landed
-from sieveline.sources.polling import RAW_SCHEMA, EventFeed, PollReader, SourceRegistry
+from sieveline.sources.polling import RAW_SCHEMA, EventFeed, Poller, PollingSource, PollStreamReader, SourceRegistry, poll_status
+from sieveline.sources.tail import ByteRange, TailReader, last_line_end, lines_of
 
 
 def lines(spark, *values):
@@ -191,53 +194,131 @@ def test_registry(spark):
         registry.get("nope")
 
 
-def test_poll_reader_keeps_cursor_on_failure():
-    feed, fail = ["a", "b", "c"], {"on": False}
+def counting():
+    """A poller of texts up to a count kept in a file, whose ranges fail where a file says so, and its source."""
 
-    def poll(start, end):
-        if fail["on"]:
-            raise OSError("down")
-        stop = len(feed) if end is None else end
-        return feed[start:stop], stop
+    class Counting(Poller):
+        def __init__(self, path):
+            self.path = path
 
-    told = []
-    reader = PollReader(poll, lambda: "now", lambda *status: told.append(status))
-    rows, after = reader.read(reader.initialOffset())
-    assert [r[0] for r in rows] == ["a", "b", "c"] and after == {"cursor": 3}
-    feed.append("d")
-    assert [r[0] for r in reader.readBetweenOffsets({"cursor": 1}, {"cursor": 3})] == ["b", "c"]
-    fail["on"] = True
-    rows, same = reader.read(after)
-    assert list(rows) == [] and same == after
-    fail["on"] = False
-    assert [r[0] for r in reader.read(after)[0]] == ["d"]
-    assert told == [("connected", None), ("degraded", "down"), ("connected", None)]
+        def newest(self):
+            with open(f"{self.path}/newest") as f:
+                return int(f.read())
 
+        def fetch(self, start, end):
+            for i in range(start, end):
+                yield f'{{"i":{i}}}'
+                if os.path.exists(f"{self.path}/broken-{i}"):
+                    raise OSError(f"no page {i}")
 
-def test_polling_stream(spark):
-    class Ticker(DataSource):
+    class CountingFeed(PollingSource):
         @classmethod
         def name(cls):
-            return "ticker-test"
-
-        def schema(self):
-            return RAW_SCHEMA
-
-        def simpleStreamReader(self, schema):
-            def poll(start, end):
-                stop = 5 if end is None else end
-                return [f'{{"i":{i}}}' for i in range(start, stop)], stop
-
-            return PollReader(poll, lambda: "now")
-
-    spark.dataSource.register(Ticker)
-    path = scratch_path(spark, "ticks")
-    q = (
-        spark.readStream.format("ticker-test").load().writeStream.format("parquet").option("path", path)
-        .option("checkpointLocation", scratch_path(spark, "ticks-ck")).start()
+            return "counting-test"
+
+        def poller(self):
+            return Counting(self.options["path"])
+
+    return Counting, CountingFeed
+
+
+def test_polling_stream_fetches_on_executors_and_repeats_what_failed(spark, tmp_path):
+    ship_package()
+    spark.dataSource.register(counting()[1])
+    out, checkpoint, status = (scratch_path(spark, n) for n in ("ticks", "ticks-ck", "ticks-status"))
+
+    def run(newest, broken=()):
+        for f in tmp_path.glob("broken-*"):
+            f.unlink()
+        if newest is not None:
+            (tmp_path / "newest").write_text(str(newest))
+        for i in broken:
+            (tmp_path / f"broken-{i}").write_text("")
+        stream = spark.readStream.format("counting-test").option("path", str(tmp_path)).option("step", 3).option("status", status).load()
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        return sorted(json.loads(r["value"])["i"] for r in spark.read.schema(RAW_SCHEMA).parquet(out).collect())
+
+    def told():
+        return {r["name"]: (r["status"], r["attempt"], r["error"]) for r in poll_status(spark, status).collect()}
+
+    assert run(10, [4]) == [0, 1, 2, 6, 7, 8, 9]  # the whole range 3 to 6 counts as failed
+    assert told() == {"range-3-6": ("degraded", 0, "no page 4")}
+    assert run(12, [4]) == [0, 1, 2, 6, 7, 8, 9, 10, 11]
+    assert told()["range-3-6"] == ("degraded", 1, "no page 4")
+    assert run(12) == list(range(12)) and told()["range-3-6"][:2] == ("connected", 2)
+    assert run(12) == list(range(12))
+    got = spark.read.format("counting-test").option("path", str(tmp_path)).option("start", 2).option("step", 4).load()
+    assert got.rdd.getNumPartitions() == 3 and got.count() == 10
+
+
+def test_a_poll_without_an_answer_keeps_the_cursor(tmp_path):
+    reader = PollStreamReader(counting()[0](str(tmp_path)), 0, 5, str(tmp_path / "status"))
+    (tmp_path / "newest").write_text("7")
+    assert reader.latestOffset() == {"cursor": 7, "again": "[]"}
+    (tmp_path / "newest").unlink()
+    assert reader.latestOffset() == {"cursor": 7, "again": "[]"}
+    assert json.loads((tmp_path / "status" / "newest.json").read_text())["status"] == "degraded"
+    (tmp_path / "newest").write_text("9")
+    assert reader.latestOffset()["cursor"] == 9
+    assert json.loads((tmp_path / "status" / "newest.json").read_text())["status"] == "connected"
+    assert [(p.start, p.end) for p in reader.partitions({"cursor": 0, "again": "[]"}, {"cursor": 7, "again": "[[1, 2, 1]]"})] == [(1, 2), (0, 5), (5, 7)]
+
+
+def test_ranges_of_a_file_give_each_line_once(tmp_path):
+    rng = random.Random(3)
+    for _ in range(200):
+        lines = ["x" * rng.randrange(12) + rng.choice(["", "é", "\r"]) for _ in range(rng.randrange(1, 20))]
+        text = ("\n".join(lines) + "\n").encode()
+        file = tmp_path / "f.log"
+        file.write_bytes(text + b"unfinished")
+        end = last_line_end(str(file))
+        assert end == len(text)
+        first = rng.choice([0, len(lines[0].encode()) + 1])
+        cuts = sorted({first, end, *(rng.randrange(first, end + 1) for _ in range(4))})
+        got = [line for lo, hi in zip(cuts, cuts[1:], strict=False) for line in lines_of(ByteRange(str(file), lo, hi, first))]
+        assert [line.decode() for line, _ in got] == lines[1 if first else 0 :]
+        assert all(text[at : at + len(line)] == line for line, at in got)
+
+
+def test_tail_offsets(tmp_path):
+    (tmp_path / "a.log").write_text("one\ntwo")
+    (tmp_path / ".hidden").write_text("x\n")
+    reader = TailReader({"path": str(tmp_path), "blockbytes": "4", "triggerbytes": "10"})
+    a, b = str(tmp_path / "a.log"), str(tmp_path / "b.log")
+    start = reader.initialOffset()
+    assert start == {"": 0, a: 4} and reader.latestOffset() == start
+    (tmp_path / "a.log").write_text("one\ntwo three\n")
+    (tmp_path / "b.log").write_text("new\n" * 9)
+    end = reader.latestOffset()
+    assert end == {"": 0, a: 14, b: 0}  # ten bytes at a time
+    assert [(p.start, p.end) for p in reader.partitions(start, end)] == [(4, 8), (8, 12), (12, 14)]
+    after = reader.latestOffset()
+    assert after == {"": 0, a: 14, b: 8}
+    (tmp_path / "a.log").write_text("cut\n")
+    cut = reader.latestOffset()
+    assert cut[a] == 4
+    assert [(p.file, p.start, p.first) for p in reader.partitions(after, cut)][:1] == [(a, 0, 0)]
+    (tmp_path / "a.log").write_text("a line beyond any trigger\n")
+    (tmp_path / "b.log").unlink()
+    assert reader.latestOffset() == {"": 0, a: 26}
+    assert TailReader({"path": str(tmp_path), "from": "start"}).initialOffset() == {"": 0}
+
+
+def test_a_specification_follows_log_files(spark, tmp_path):
+    ship_package()
+    (tmp_path / "logs").mkdir()
+    log = tmp_path / "logs" / "app.log"
+    log.write_text('{"level": "old"}\n')
+    plan = compile_spec(
+        {
+            "sources": [{"id": "logs", "adapter": "native/log-tailer", "path": str(tmp_path / "logs"), "follow": True}],
+            "filters": [{"type": "content-filter", "rules": [{"field": "payload.level", "in": ["error", "old"]}]}],
+            "agent": {"runtime": "direct-llm", "model": "p/m", "system_prompt": "x"},
+        }
     )
-    try:
-        q.processAllAvailable()
-    finally:
-        q.stop()
-    assert spark.read.parquet(path).count() == 5
+    for more in ("", '{"level": "error", "n": 1}\n{"level": "info"}\n\n{"level": "er', 'ror", "n": 2}\n'):
+        with log.open("a") as f:
+            f.write(more)
+        start_spec(plan, spark, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out" / "replies")).select("payload").collect()
+    assert sorted(json.loads(r[0])["n"] for r in got) == [1, 2]
