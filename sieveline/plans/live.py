@@ -27,6 +27,7 @@ from sieveline.sources.kafka import read_kafka_stream
 from sieveline.sources.normalize import make_event, non_blank_lines, normalize_lines, union_sources
 from sieveline.sources.tail import tail_lines
 from sieveline.streaming import stateful
+from sieveline.streaming.batches import batch_events_stream
 
 COLUMNS = [f.name for f in EVENT_SCHEMA.fields]
 
@@ -75,6 +76,13 @@ def _sampling(c: Mapping[str, Any], how: Mapping[str, Any]) -> Filter:
     )
 
 
+def _batches(c: Mapping[str, Any], how: Mapping[str, Any]) -> Filter:
+    return batch_events_stream(
+        c.get("partition_by") or ["source_id"], c.get("window_seconds", 60), c.get("max_batch_size") or 50,
+        c.get("summary_prompt") or "Analyze the following batch of events", **how,
+    )
+
+
 _STREAMS: dict[str, Callable[[Mapping[str, Any], Mapping[str, Any]], Filter]] = {
     "content-filter": lambda c, how: content_filter(c.get("rules", ()), c.get("mode")),
     "priority-router": lambda c, how: priority_router(
@@ -83,14 +91,15 @@ _STREAMS: dict[str, Callable[[Mapping[str, Any], Mapping[str, Any]], Filter]] =
     "dedup": _dedup,
     "rate-limiter": lambda c, how: stateful.rate_limit_stream(c.get("max_events_per_minute", 60), 60, c.get("partition_by", ["source_id"]), **how),
     "adaptive-sampling": _sampling,
+    "windowed-aggregation": _batches,
 }
 
 
 def stream_filter(config: Mapping[str, Any], mode: str = "arrival", delay: str = "1 minute") -> Filter:
     """The streaming form of a filter.
 
-    Without ``partition_by``, limits and rates hold per source, so that no group
-    takes the whole stream. Batches of events have no live form yet.
+    Without ``partition_by``, limits, rates and batches hold per source, so that no
+    group takes the whole stream.
     """
     kind = config.get("type")
     if kind in _STREAMS:

@@ -22,6 +22,7 @@ from sieveline.schema import canonical_events, load_events, read_table
 from sieveline.session import scratch_path
 from sieveline.sources.polling import EventFeed, SourceRegistry
 from sieveline.sources.tail import tail_lines
+from sieveline.streaming.batches import batch_events_stream
 from sieveline.streaming.sinks import run_actions, write_outbox
 from sieveline.streaming.stateful import (
     adaptive_sample_stream,
@@ -249,6 +250,31 @@ def stream_windows(spark, sf_dir):
     return drain(spark, s, "windows").select("source_id", ts_text("window_start").alias("window_start"), "batch_size", "priority")
 
 
+@query(
+    "stream_batch_events",
+    f"""WITH RECURSIVE {EV}, o AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY ts, event_id) AS i FROM ev),
+    m(source_id, i, event_id, priority, ts, opened, no, n) AS (
+      SELECT source_id, i, event_id, priority, ts, ts, CAST(0 AS BIGINT), 1 FROM o WHERE i = 1
+      UNION ALL SELECT o.source_id, o.i, o.event_id, o.priority, o.ts, CASE WHEN m.n < 10 AND o.ts < m.opened + INTERVAL 6 HOUR THEN m.opened ELSE o.ts END,
+        CASE WHEN m.n < 10 AND o.ts < m.opened + INTERVAL 6 HOUR THEN m.no ELSE m.no + 1 END,
+        CASE WHEN m.n < 10 AND o.ts < m.opened + INTERVAL 6 HOUR THEN m.n + 1 ELSE 1 END
+      FROM m JOIN o ON o.source_id = m.source_id AND o.i = m.i + 1),
+    b AS (SELECT source_id, no, count(*) AS batch_size, min(coalesce(priority, 3)) AS priority, string_agg(event_id, ',' ORDER BY i) AS ids,
+        min(opened) + INTERVAL 6 HOUR AS closes, max(ts) AS last_ts FROM m GROUP BY 1, 2)
+    SELECT source_id AS batch_source, batch_size, priority, ids, {sql_ts('last_ts')} AS at FROM b
+    WHERE closes <= (SELECT max(ts) FROM ev) - INTERVAL 1 MINUTE OR (batch_size = 10 AND last_ts <= (SELECT max(ts) FROM ev) - INTERVAL 1 MINUTE)""",
+)
+def stream_batch_events(spark, sf_dir):
+    """Batches with their members that the watermark has closed; open ones stay in the state."""
+    s = stream_events(spark, sf_dir).transform(batch_events_stream(["source_id"], 21_600, 10, mode="ordered"))
+    found = drain(spark, s, "batch-events")
+    ids = F.from_json("payload", "events array<struct<event_id:string>>")["events"]["event_id"]
+    return found.select(
+        F.get_json_object("metadata", "$.source_ids[0]").alias("batch_source"), F.get_json_object("payload", "$.batch_size").cast("long").alias("batch_size"),
+        "priority", F.array_join(ids, ",").alias("ids"), ts_text("timestamp").alias("at"),
+    )
+
+
 def tail_rounds(spark, sf_dir, path, run):
     """Lines of the events in four rounds, each followed by a run: there before, added, the last line ended and more, cut off and new."""
     line = F.concat_ws(" ", "event_type", F.col("event_id").cast("string"))
