@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,17 +14,25 @@ REPLY = ["content", "tokens", "latency_ms", "error"]
 Scorer = Callable[[pd.DataFrame], pd.DataFrame]
 
 
-def offline_scorer(requests: pd.DataFrame) -> pd.DataFrame:
+def record_scorer(one: Callable[[dict], dict]) -> Scorer:
+    """A scorer made of a function from a request to a reply, as plain records.
+
+    Agents with a budget are asked request by request; such a scorer is then called
+    without a frame around every request.
+    """
+
+    def scorer(requests: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([one(r) for r in requests.to_dict("records")], columns=REPLY)
+
+    scorer.one = one
+    return scorer
+
+
+@record_scorer
+def offline_scorer(request: dict) -> dict:
     """Deterministic stand-in for an agent: answers from the prompt alone."""
-    prompt = requests["prompt"].fillna("")
-    return pd.DataFrame(
-        {
-            "content": "Noted " + requests["event_id"].astype(str) + ".",
-            "tokens": (prompt.str.len() // 4).astype("int64"),
-            "latency_ms": 0.0,
-            "error": None,
-        }
-    )
+    prompt = request["prompt"] or ""
+    return {"content": f"Noted {request['event_id']}.", "tokens": len(prompt) // 4, "latency_ms": 0.0, "error": None}
 
 
 def score(requests: DataFrame, scorer: Scorer = offline_scorer) -> DataFrame:
@@ -62,6 +71,28 @@ def _asking(scorer: Scorer) -> Scorer:
     return ask
 
 
+def _asking_one(scorer: Scorer, columns: list[str]) -> Callable[[pd.DataFrame], Callable[[int], dict]]:
+    """For a frame, a function that asks for one of its rows; an error is a reply."""
+    one = getattr(scorer, "one", None)
+
+    def of(frame: pd.DataFrame) -> Callable[[int], dict]:
+        values = {c: frame[c].tolist() for c in columns} if one is not None else {}
+
+        def ask(i: int) -> dict:
+            try:
+                if one is not None:
+                    reply = one({c: v[i] for c, v in values.items()})
+                else:
+                    reply = scorer(frame[columns].iloc[i : i + 1].reset_index(drop=True)).iloc[0]
+                return {c: reply[c] for c in REPLY}
+            except Exception as error:  # noqa: BLE001 - user code
+                return {"content": None, "tokens": 0, "latency_ms": 0.0, "error": str(error)}
+
+        return ask
+
+    return of
+
+
 def budget_hour(timestamp: Column) -> Column:
     """Start of the aligned hour, in seconds since 1970."""
     return F.floor(F.unix_seconds(timestamp) / 3600).cast("long") * 3600
@@ -76,35 +107,63 @@ def score_in_budget(
     excluded) and ``is_sent``; rows that aren't sent have no reply.  Agents with a
     budget are asked event by event, in order of time and id, as what a call
     costs is known only after it; an hour of an agent ends its calls at the
-    budget.  Agents without one are asked in batches.  ``used`` (agent_id, _hour
+    budget, and what is left of it is told apart without looking at each row.
+    Agents without one are asked in batches.  ``used`` (agent_id, _hour
     in seconds, _used) is what agents used of their hours before.
     """
     free = score(requests.where(F.col(max_per_hour).isNull()), scorer)
-    columns, ask = requests.columns, _asking(scorer)
+    columns = requests.columns
+    asking = _asking_one(scorer, columns)
     order = ["agent_id", "_hour", "timestamp", "event_id"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, spent = None, 0
         for frame in frames:
             frame = frame.reset_index(drop=True)
-            replies, before, sent = [], [], []
-            for i, (agent, hour, cap, start) in enumerate(zip(frame["agent_id"], frame["_hour"], frame[max_per_hour], frame["_used"], strict=True)):
-                if (agent, hour) != key:
-                    key, spent = (agent, hour), start
-                before.append(spent)
-                sent.append(spent < cap)
-                if not sent[-1]:
-                    replies.append({"content": None, "tokens": None, "latency_ms": None, "error": None})
-                    continue
-                reply = ask(frame.loc[[i], columns].reset_index(drop=True)).iloc[0]
-                replies.append({c: reply[c] for c in REPLY})
-                spent += int(reply["tokens"] or 0) if pd.isna(reply["error"]) else 0
-            out = pd.concat([frame[columns], pd.DataFrame(replies, columns=REPLY)], axis=1)
-            out["tokens"] = out["tokens"].astype("Int64")
+            ask, caps = asking(frame), frame[max_per_hour].to_numpy()
+            out = frame[columns].assign(content=None, tokens=pd.Series(pd.NA, frame.index, "Int64"), latency_ms=float("nan"), error=None)
+            before, sent = np.zeros(len(frame), np.int64), np.zeros(len(frame), bool)
+            replies: list[dict] = []
+            same = (frame["agent_id"] == frame["agent_id"].shift()) & (frame["_hour"] == frame["_hour"].shift())
+            starts = np.flatnonzero(~same.to_numpy()).tolist()
+            for lo, hi in zip(starts, [*starts[1:], len(frame)], strict=True):
+                if (frame.at[lo, "agent_id"], frame.at[lo, "_hour"]) != key:
+                    key, spent = (frame.at[lo, "agent_id"], frame.at[lo, "_hour"]), int(frame.at[lo, "_used"])
+                i = lo
+                while i < hi:
+                    # Over the rows that the budget stops at once, to the next that it doesn't.
+                    allowed = np.flatnonzero(caps[i:hi] > spent) if caps[i] <= spent else [0]
+                    stop = i + int(allowed[0]) if len(allowed) else hi
+                    before[i:stop], i = spent, stop
+                    if i < hi:
+                        reply = ask(i)
+                        replies.append(reply)
+                        before[i], sent[i] = spent, True
+                        spent += int(reply["tokens"] or 0) if pd.isna(reply["error"]) else 0
+                        i += 1
+            if replies:
+                at = np.flatnonzero(sent)
+                told = pd.DataFrame(replies, columns=REPLY, index=at)
+                told["tokens"] = told["tokens"].astype("Int64")
+                for c in REPLY:
+                    out[c] = told[c].reindex(out.index)
             yield out.assign(tokens_before=before, is_sent=sent)
 
     timed = requests.where(F.col(max_per_hour).isNotNull()).withColumn("_hour", budget_hour(F.col("timestamp")))
     timed = timed.withColumn("_used", F.lit(0)) if used is None else timed.join(used, ["agent_id", "_hour"], "left").fillna(0, ["_used"])
-    ordered = timed.repartition("agent_id", "_hour").sortWithinPartitions(*order)
+    # A fixed number of tasks: calls take long, however few bytes their requests have.
+    tasks = 2 * requests.sparkSession.sparkContext.defaultParallelism
+    ordered = timed.repartition(tasks, "agent_id", "_hour").sortWithinPartitions(*order)
     capped = ordered.mapInPandas(run, f"{_fields(requests)}, {SCORE_SCHEMA}, tokens_before bigint, is_sent boolean")
     return capped.unionByName(free.withColumns({"tokens_before": F.lit(None).cast("bigint"), "is_sent": F.lit(True)}))
+
+
+def spent_in_hours(replies: DataFrame, used: DataFrame | None = None, keep_hours: int = 24) -> DataFrame:
+    """(agent_id, _hour, _used) after replies, from what was used before; hours long behind the newest one are forgotten."""
+    mine = replies.where("is_sent and error is null and max_per_hour is not null").select(
+        "agent_id", budget_hour(F.col("timestamp")).alias("_hour"), F.col("tokens").alias("_used")
+    )
+    every = mine if used is None else mine.unionByName(used)
+    summed = every.groupBy("agent_id", "_hour").agg(F.sum("_used").alias("_used"))
+    newest = summed.agg((F.max("_hour") - keep_hours * 3600).alias("_from"))
+    return summed.join(F.broadcast(newest), F.col("_hour") >= F.col("_from")).drop("_from")

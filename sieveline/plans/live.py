@@ -4,8 +4,8 @@
 
 Filters run as one streaming plan. Every micro-batch that passes them is routed
 and scored in ``foreachBatch``; replies and actions go to a folder per batch, so a
-replayed batch overwrites what it wrote. Budgets carry over from batch to batch:
-what an agent used in an hour is read from the stored replies.
+replayed batch overwrites what it wrote. Budgets carry over from batch to batch: each
+writes what agents used of the last day's hours, and the next one reads that alone.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from sieveline.functions.text import explode_actions
 from sieveline.operators.routing import dispatch_actions, on_error
 from sieveline.operators.rules import Filter, content_filter, priority_router
-from sieveline.operators.scoring import Scorer, budget_hour, offline_scorer, score_in_budget
+from sieveline.operators.scoring import Scorer, offline_scorer, score_in_budget, spent_in_hours
 from sieveline.plans.spec import CompiledSpec, SpecError, custom_filter
 from sieveline.schema import EVENT_SCHEMA
 from sieveline.sources.files import read_capture, read_lines, stream_lines
@@ -121,13 +121,13 @@ def live_events(
     return events
 
 
-def _used(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    """(agent_id, hour, used) from the replies of earlier batches."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+def _budgets(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    """(agent_id, _hour, _used) as the micro-batch before left it; nothing older is read."""
+    before = f"{path}/batch_id={batch_id - 1}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(before)
     if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
         return None
-    earlier = spark.read.parquet(path).where(F.col("batch_id") < batch_id).where("is_sent and error is null and max_per_hour is not null")
-    return earlier.groupBy("agent_id", budget_hour(F.col("timestamp")).alias("_hour")).agg(F.sum("tokens").alias("_used"))
+    return spark.read.schema("agent_id string, _hour long, _used long").parquet(before)
 
 
 def start_spec(
@@ -150,10 +150,18 @@ def start_spec(
 
     def each(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        replies = score_in_budget(plan.requests(batch), scorer, used=_used(session, f"{out}/replies", batch_id))
-        target = f"{out}/replies/batch_id={batch_id}"
-        replies.write.mode("overwrite").parquet(target)
-        sent = session.read.schema(replies.schema).parquet(target).where("is_sent")
+        used = _budgets(session, f"{out}/budgets", batch_id)
+        # Agents with and without a budget read the batch apart: the stream's plan runs once.
+        batch.persist()
+        try:
+            replies = score_in_budget(plan.requests(batch), scorer, used=used)
+            target = f"{out}/replies/batch_id={batch_id}"
+            replies.write.mode("overwrite").parquet(target)
+        finally:
+            batch.unpersist()
+        told = session.read.schema(replies.schema).parquet(target)
+        spent_in_hours(told, used).coalesce(1).write.mode("overwrite").parquet(f"{out}/budgets/batch_id={batch_id}")
+        sent = told.where("is_sent")
         parts = on_error(sent, plan.spec["behavior"]["on_llm_unreachable"], plan.handlers or [("none", "none")])
         if not plan.handlers:
             parts.pop("alerts", None)

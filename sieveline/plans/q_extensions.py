@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sieveline.operators.routing import on_error
 from sieveline.operators.rules import project_for_agent, row_predicate_filter
-from sieveline.operators.scoring import offline_scorer, score
+from sieveline.operators.scoring import offline_scorer, record_scorer, score
 from sieveline.operators.stateful import summarize_batches
 from sieveline.plans import fixtures
 from sieveline.plans.live import start_spec
@@ -126,9 +126,10 @@ _SPEC = {
 }
 
 
-def spec_scorer(requests: pd.DataFrame) -> pd.DataFrame:
-    n = requests["event_id"].astype("int64")
-    return pd.DataFrame({"content": "ok", "tokens": 50 + n % 400, "latency_ms": 1.0, "error": (n % 17).map(lambda x: "timeout" if x == 0 else None)})
+@record_scorer
+def spec_scorer(request: dict) -> dict:
+    n = int(request["event_id"])
+    return {"content": "ok", "tokens": 50 + n % 400, "latency_ms": 1.0, "error": None if n % 17 else "timeout"}
 
 
 _SPEC_SQL = f"""WITH RECURSIVE {EV}, c AS (SELECT * FROM ev WHERE kind IN ('error', 'purchase', 'click')), {_jump('source_id || kind', '7200 SECOND', 'c')},

@@ -1,12 +1,14 @@
 """Specifications: checks, defaults, filters, and one full run."""
 
 import json
+import shutil
+import time
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sieveline.operators.scoring import score
+from sieveline.operators.scoring import record_scorer, score, score_in_budget
 from sieveline.plans import live
 from sieveline.plans import spec as sp
 from sieveline.schema import EVENT_SCHEMA
@@ -135,7 +137,7 @@ def test_live_run_of_files_without_a_table_given(spark, tmp_path):
     logs.mkdir()
     spec = {
         "sources": [{"id": "s", "adapter": "native/log-tailer", "path": str(logs)}],
-        "filters": [{"type": "content-filter", "rules": [{"field": "payload.level", "in": ["error"]}]}, {"type": "dedup", "key_fields": ["payload.msg"]}],
+        "filters": [{"type": "content-filter", "rules": [{"field": "payload.level", "in": ["error"]}]}, {"type": "dedup", "key_fields": ["payload.msg"], "window_seconds": 600}],
         "agent": {**AGENT, "token_budget": {"max_per_hour": 25}, "actions": [{"type": "webhook"}]},
     }
     plan = sp.compile_spec(spec)
@@ -156,4 +158,64 @@ def test_live_run_of_files_without_a_table_given(spark, tmp_path):
     assert [json.loads(r["payload"])["msg"] for r in spark.read.parquet(out + "/replies").where("not is_sent").collect()] == ["late"]
     assert plan.filtered({}).count() == 4  # the same files as a table
     with pytest.raises(sp.SpecError):
-        live.stream_filter({"type": "windowed-aggregation"})
+        live.stream_filter({"type": "no-such-filter"})
+
+
+def test_live_budgets_need_no_earlier_replies_and_batches_run_once(spark, tmp_path):
+    rows = [(f"{i:03d}", "s", 60 * i, "DATA", 3, f'{{"n":{i}}}', None, None) for i in range(24)]
+    df = spark.createDataFrame(rows, "event_id string, source_id string, s long, event_type string, priority int, payload string, metadata string, raw string")
+    df = df.withColumn("timestamp", F.timestamp_seconds(F.col("s") + 1_700_000_000 // 3600 * 3600)).select(*live.COLUMNS)
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def every(n):
+        seen.add(1)
+        return True
+
+    plan = sp.compile_spec({"sources": [{"id": "s"}], "agents": [{**AGENT, "id": "capped", "token_budget": {"max_per_hour": 100}}, {**AGENT, "id": "free"}]})
+    feed, out, ck = (str(tmp_path / n) for n in ("feed", "out", "ck"))
+    scorer = record_scorer(lambda r: {"content": r["event_id"], "tokens": 10, "latency_ms": 0.0, "error": "down" if r["event_id"] == "003" else None})
+    sent = []
+    for half in range(2):
+        for k in range(6):  # two events a micro-batch
+            lo = 12 * half + 2 * k
+            df.where(F.col("event_id").cast("int").between(lo, lo + 1)).coalesce(1).write.mode("append").parquet(feed)
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(feed).where(every("event_id"))
+        live.start_spec(plan, spark, out, ck, {"s": stream}, scorer).awaitTermination()
+        replies = spark.read.parquet(out + "/replies")
+        sent += [r["event_id"] for r in replies.where("is_sent and agent_id = 'capped'").collect()]
+        assert replies.where("is_sent and agent_id = 'free'").count() == 12
+        shutil.rmtree(out + "/replies")
+    assert sorted(sent) == [f"{i:03d}" for i in range(11)]  # one failed call costs nothing
+    assert seen.value == 24
+    assert [tuple(r) for r in spark.read.parquet(out + "/budgets").where("batch_id = 11").select("agent_id", "_used").collect()] == [("capped", 100)]
+
+
+def test_budget_skips_to_rows_with_another_cap(spark):
+    rows = [("a", f"{i:02d}", i, 30 if i < 6 else 60, "p") for i in range(12)]
+    df = spark.createDataFrame(rows, "agent_id string, event_id string, s long, max_per_hour long, prompt string").withColumn("timestamp", F.timestamp_seconds("s"))
+    for scorer in (record_scorer(lambda r: {"content": r["prompt"], "tokens": 10, "latency_ms": 0.0, "error": None}), lambda f: f.assign(content="p", tokens=10, latency_ms=0.0, error=None)):
+        got = {r["event_id"]: (r["is_sent"], r["tokens_before"], r["content"]) for r in score_in_budget(df.drop("s"), scorer).collect()}
+        assert [i for i in sorted(got) if got[i][0]] == ["00", "01", "02", "06", "07", "08"]
+        assert got["04"] == (False, 30, None) and got["07"] == (True, 40, "p") and got["11"] == (False, 60, None)
+
+
+def test_windowed_aggregation_runs_live(spark, tmp_path):
+    rows = [(f"{i}", "s" if i < 7 else "t", 10 * i, "DATA", 1 + i % 3, f'{{"n":{i}}}', None, None) for i in range(9)]
+    df = spark.createDataFrame(rows, "event_id string, source_id string, s long, event_type string, priority int, payload string, metadata string, raw string")
+    df.withColumn("timestamp", F.timestamp_seconds("s")).select(*live.COLUMNS).coalesce(1).write.parquet(str(tmp_path / "feed"))
+    spec = {"sources": [{"id": "s"}], "filters": [{"type": "windowed-aggregation", "window_seconds": 1, "max_batch_size": 3, "summary_prompt": "Sum up."}], "agent": AGENT}
+    stream = spark.readStream.schema(df.withColumn("timestamp", F.timestamp_seconds("s")).select(*live.COLUMNS).schema).parquet(str(tmp_path / "feed"))
+    query = live.start_spec(sp.compile_spec(spec), spark, str(tmp_path / "out"), str(tmp_path / "ck"), {"s": stream}, trigger={"processingTime": "1 second"})
+    try:
+        # In event time every event is behind the window of the one before; the last ones leave by the clock.
+        schema = "event_id string, payload string, batch_id int"
+        for _ in range(90):
+            if (tmp_path / "out" / "replies").exists() and spark.read.schema(schema).parquet(str(tmp_path / "out" / "replies")).count() == 9:
+                break
+            time.sleep(1)
+    finally:
+        query.stop()
+    got = [json.loads(r["payload"]) for r in spark.read.parquet(str(tmp_path / "out" / "replies")).collect()]
+    assert sorted(e["payload"]["n"] for b in got for e in b["events"]) == list(range(9))
+    assert all(b["batch_size"] == 1 and b["window_prompt"] == "Sum up." for b in got)

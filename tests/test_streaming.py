@@ -1,13 +1,16 @@
 """Streaming twins over several micro-batches against the batch operators."""
 
+import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sieveline.operators.stateful import adaptive_rate, batch_members, dedup_window, rate_limit_sliding
 from sieveline.session import scratch_path
 from sieveline.streaming import stateful as st
+from sieveline.streaming.batches import batch_ends, batch_events_stream
 from sieveline.streaming.sinks import run_actions, write_outbox
 
 SCHEMA = "event_id string, source_id string, timestamp timestamp, event_type string, priority int, payload string"
@@ -129,3 +132,46 @@ def test_state_of_a_key_ends_with_its_window(spark):
 def test_unknown_mode(table):
     with pytest.raises(ValueError):
         table.transform(st.rate_limit_stream(mode="sometimes"))
+
+
+def test_batch_borders_in_any_cut():
+    rng = random.Random(5)
+    for _ in range(400):
+        us = sorted(rng.randrange(60) for _ in range(rng.randrange(1, 30)))
+        window, limit = rng.randrange(1, 15), rng.randrange(1, 7)
+        want, start = [], None
+        for t in us:
+            if start is None or len(want[-1]) == limit or t >= start + window:
+                want.append([])
+                start = t
+            want[-1].append(t)
+        got, open_, start, held, at = [], [], None, 0, 0
+        while at < len(us):
+            part = us[at : at + rng.randrange(1, 8)]
+            at += len(part)
+            for lo, hi, start, leaves in batch_ends(np.array(part), start, held, window, limit):
+                open_ += part[lo:hi]
+                held = len(open_)
+                if leaves:
+                    got.append(open_)
+                    open_, held = [], 0
+        assert got + ([open_] if open_ else []) == want
+
+
+def test_members_are_not_lost_over_micro_batches(spark, table):
+    stream = feed(spark, table, 60).transform(batch_events_stream(["source_id"], 9, 4, mode="ordered", delay="1 second"))
+    rows = drain(spark, stream).collect()
+    limit = table.agg((F.max(F.unix_millis("timestamp")) - 1000).alias("w")).first()["w"]
+    want, open_ = [], {}
+    for r in sorted(table.collect(), key=lambda r: (r["timestamp"], r["event_id"])):
+        at = round(r["timestamp"].timestamp() * 1000)
+        batch = open_.get(r["source_id"])
+        if batch is None or len(batch[1]) == 4 or at >= batch[0] + 9000:
+            batch = open_[r["source_id"]] = (at, [])
+            want.append(batch)
+        batch[1].append((r["event_id"], at))
+    closed = [[e for e, _ in m] for start, m in want if start + 9000 <= limit or (len(m) == 4 and m[-1][1] <= limit)]
+    got = [[e["event_id"] for e in json.loads(r["payload"])["events"]] for r in rows]
+    assert sorted(got) == sorted(closed) and len(got) > 20
+    with pytest.raises(ValueError):
+        batch_events_stream([])
