@@ -111,13 +111,19 @@ def stream_filter(config: Mapping[str, Any], mode: str = "arrival", delay: str =
 
 
 def live_events(
-    plan: CompiledSpec, spark: SparkSession, streams: Mapping[str, DataFrame] | None = None, mode: str = "arrival", delay: str = "1 minute"
+    plan: CompiledSpec,
+    spark: SparkSession,
+    streams: Mapping[str, DataFrame] | None = None,
+    mode: str = "arrival",
+    delay: str = "1 minute",
+    batch_mode: str | None = None,
 ) -> DataFrame:
     """The filtered stream; sources that the caller doesn't bring are opened."""
     given = streams or {}
     events = union_sources([given[s["id"]] if s["id"] in given else open_stream(spark, s) for s in plan.spec["sources"]])
     for config in plan.spec["filters"]:
-        events = events.transform(stream_filter(config, mode, delay))
+        own = (batch_mode or mode) if config.get("type") == "windowed-aggregation" else mode
+        events = events.transform(stream_filter(config, own, delay))
     return events
 
 
@@ -143,6 +149,9 @@ def start_spec(
 ):
     """Start the pipeline; returns the streaming query.
 
+    With a trigger that ends by itself, as the default does, batches of events are
+    decided in event time: a clock would keep the query going.
+
     Writes ``out``/replies (every routed row with its reply, ``is_sent`` false
     beyond the budget), ``out``/actions, and ``out``/alerts or ``out``/retry as the
     failure policy asks, each in a folder per micro-batch.
@@ -169,6 +178,8 @@ def start_spec(
         for name, rows in parts.items():
             rows.write.mode("overwrite").parquet(f"{out}/{name}/batch_id={batch_id}")
 
-    events = live_events(plan, spark, streams, mode, delay)
+    trigger = trigger or {"availableNow": True}
+    ends = "availableNow" in trigger or "once" in trigger
+    events = live_events(plan, spark, streams, mode, delay, "ordered" if ends else mode)
     writer = events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
-    return writer.trigger(**(trigger or {"availableNow": True})).start()
+    return writer.trigger(**trigger).start()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.operators.routing import on_error
@@ -14,15 +14,19 @@ from sieveline.operators.scoring import offline_scorer, record_scorer, score
 from sieveline.operators.stateful import summarize_batches
 from sieveline.plans import fixtures
 from sieveline.plans.live import start_spec
+from sieveline.plans import q_aggregates  # noqa: F401 - its SQL twins are shared
+from sieveline.plans.q_functions import suggestions_present
 from sieveline.plans.q_sources import _ACTIONS
 from sieveline.plans.q_stateful import _ADAPT, _RATE, _flushes, _greedy, _jump
-from sieveline.plans.registry import EV, REPLY, query, sql_ts, ts_text
+from sieveline.plans.registry import EV, ORACLES, REPLY, query, sql_ts, ts_text
 from sieveline.plans.spec import compile_spec
 from sieveline.schema import canonical_events, load_events, read_table
-from sieveline.session import scratch_path
+from sieveline.session import checkpoint_root, scratch_path
 from sieveline.sources.polling import EventFeed, SourceRegistry
 from sieveline.sources.tail import tail_lines
 from sieveline.streaming.batches import batch_events_stream
+from sieveline.streaming.documents import new_suggestions_stream
+from sieveline.streaming.replies import assemble_live
 from sieveline.streaming.sinks import run_actions, write_outbox
 from sieveline.streaming.stateful import (
     adaptive_sample_stream,
@@ -276,6 +280,49 @@ def stream_batch_events(spark, sf_dir):
     )
 
 
+@query("stream_doc_suggestions", ORACLES["src_doc_new_suggestions"])
+def stream_doc_suggestions(spark, sf_dir):
+    """Changes found poll by poll in a stream of snapshots, one micro-batch a year."""
+    polls = read_table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("doc-"), (F.col("l_suppkey") % 90).cast("string")).alias("doc_id"), F.year("l_shipdate").alias("poll")
+    ).distinct()
+    ids = suggestions_present(spark, sf_dir).groupBy("doc_id", "poll").agg(F.collect_set("suggestion_id").alias("suggestion_ids"))
+    table, path = polls.join(ids, ["doc_id", "poll"], "left"), scratch_path(spark, "snapshots")
+    checkpoint_root(spark)
+    table = table.checkpoint()
+    first, last = table.agg(F.min("poll"), F.max("poll")).first()
+    for year in range(first, last + 1):
+        table.where(F.col("poll") == year).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    found = drain(spark, new_suggestions_stream(stream), "new-suggestions")
+    return found.select("doc_id", F.col("poll").cast("int").alias("poll"), "suggestion_id")
+
+
+@query("stream_assemble", ORACLES["assemble_stream"])
+def stream_assemble(spark, sf_dir):
+    """Replies from chunks that come in three micro-batches, out of order."""
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    c = read_table(spark, sf_dir, "conversations").withColumns({"n": F.row_number().over(order) - 1, "is_last": F.lead("turn").over(order).isNull()})
+    n = F.col("n")
+    chunk = lambda seq, kind, text, tokens: F.struct(seq.cast("long").alias("seq"), F.lit(kind).alias("type"), text.alias("text"), tokens.cast("long").alias("tokens_used"))
+    nothing, none = F.lit(None).cast("string"), F.lit(None).cast("long")
+    said = F.when(F.col("role") != "system", F.col("text")).otherwise(F.lit(""))
+    parts = F.array_compact(
+        F.array(
+            chunk(2 * n, "text", said, none),
+            chunk(2 * n + 1, "usage", nothing, F.when(F.col("role") == "assistant", F.length("text"))),
+            F.when(F.col("is_last"), chunk(2 * n + 2, "done", nothing, none)),
+        )
+    )
+    chunks = c.select(F.col("conv_id").alias("response_id"), F.explode(parts).alias("p")).select("response_id", "p.*")
+    path = scratch_path(spark, "chunks")
+    for k in (2, 0, 1):
+        chunks.where(F.pmod(F.xxhash64("response_id", "seq"), F.lit(3)) == k).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    found = drain(spark, assemble_live(stream), "replies-live")
+    return found.select(F.col("response_id").cast("long").alias("response_id"), F.md5("content").alias("content"), F.length("content").cast("bigint").alias("n_chars"), "tokens_used")
+
+
 def tail_rounds(spark, sf_dir, path, run):
     """Lines of the events in four rounds, each followed by a run: there before, added, the last line ended and more, cut off and new."""
     line = F.concat_ws(" ", "event_type", F.col("event_id").cast("string"))

@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 import numpy as np
 import pytest
@@ -11,6 +12,8 @@ from sieveline.operators.stateful import adaptive_rate, batch_members, dedup_win
 from sieveline.session import scratch_path
 from sieveline.streaming import stateful as st
 from sieveline.streaming.batches import batch_ends, batch_events_stream
+from sieveline.streaming.documents import new_suggestions_stream
+from sieveline.streaming.replies import assemble_live, whole_reply
 from sieveline.streaming.sinks import run_actions, write_outbox
 
 SCHEMA = "event_id string, source_id string, timestamp timestamp, event_type string, priority int, payload string"
@@ -175,3 +178,38 @@ def test_members_are_not_lost_over_micro_batches(spark, table):
     assert sorted(got) == sorted(closed) and len(got) > 20
     with pytest.raises(ValueError):
         batch_events_stream([])
+
+
+def test_replies_wait_for_missing_chunks():
+    chunks = [(2, "done", None, None), (0, "text", "a", None), (0, "text", "again", None), (0, "usage", None, 5), (1, "text", "b", None)]
+    assert whole_reply(chunks) == ("ab", 5, True)
+    assert whole_reply(chunks[:4]) == ("a", 5, False)
+    assert whole_reply([(0, "text", "a", None), (1, "usage", None, 3), (2, "usage", None, None)]) == ("a", 3, False)
+    assert whole_reply([(0, "done", None, None)]) == ("", 0, True)
+
+
+def test_an_idle_reply_leaves_unfinished(spark):
+    path, out = scratch_path(spark, "chunks"), scratch_path(spark, "out")
+    rows = [("r", 0, "text", "half", None), ("s", 1, "done", None, None), ("s", 0, "text", "whole", None)]
+    spark.createDataFrame(rows, "response_id string, seq long, type string, text string, tokens_used long").coalesce(1).write.parquet(path)
+    stream = assemble_live(spark.readStream.schema("response_id string, seq long, type string, text string, tokens_used long").parquet(path), idle_seconds=1)
+    q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch_path(spark, "ck")).trigger(processingTime="1 second").start()
+    try:
+        for _ in range(90):
+            got = {r["response_id"]: (r["content"], r["is_whole"]) for r in spark.read.schema("response_id string, content string, is_whole boolean").parquet(out).collect()}
+            if len(got) == 2:
+                break
+            time.sleep(1)
+    finally:
+        q.stop()
+    assert got == {"r": ("half", False), "s": ("whole", True)}
+
+
+def test_suggestions_are_seeded_forgotten_and_found_again(spark):
+    path = scratch_path(spark, "snapshots")
+    polls = [[("d", 1, ["a"]), ("e", 1, None)], [("d", 3, ["c", None]), ("d", 2, ["a", "b"])], [("d", 2, ["z"]), ("d", 4, ["a", "c"]), ("e", 2, ["x"])]]
+    for rows in polls:
+        spark.createDataFrame(rows, "doc_id string, poll int, suggestion_ids array<string>").coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema("doc_id string, poll int, suggestion_ids array<string>").option("maxFilesPerTrigger", 1).parquet(path)
+    got = sorted(tuple(r) for r in drain(spark, new_suggestions_stream(stream)).collect())
+    assert got == [("d", 2, "b"), ("d", 3, "c"), ("d", 4, "a"), ("e", 2, "x")]
