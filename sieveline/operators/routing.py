@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.functions.json import is_json
@@ -13,6 +13,7 @@ from sieveline.functions.text import describe_action
 from sieveline.operators.joins import lookup_join
 from sieveline.operators.ordered import running_sum
 from sieveline.operators.rules import trigger_predicate
+from sieveline.session import checkpoint_root
 
 
 def _targets(agents: Sequence[Mapping[str, Any]]) -> Column:
@@ -98,13 +99,64 @@ def alert_fanout(failed: DataFrame, handlers: Sequence[tuple[str, str]], timesta
     )
 
 
-def on_error(replies: DataFrame, policy: str, handlers: Sequence[tuple[str, str]] = ()) -> dict[str, DataFrame]:
-    """Split replies by the failure policy into ``passed`` and what the policy asks for."""
+#: Failed requests that an agent's queue holds, and how often a request is asked at most.
+QUEUE_LIMIT, MAX_ATTEMPTS, RETRY_SECONDS = 100, 3, 60.0
+
+
+def buffer_failures(
+    replies: DataFrame,
+    limit: int = QUEUE_LIMIT,
+    max_attempts: int = MAX_ATTEMPTS,
+    retry_seconds: float = RETRY_SECONDS,
+    waiting: DataFrame | None = None,
+    now: Column | None = None,
+) -> dict[str, DataFrame]:
+    """Split replies into ``passed``, ``retry``, ``overflow`` and ``given_up``.
+
+    ``attempt`` says how often a request was asked before (0 without that column).
+    Failed ones wait, twice as long after each attempt, in a queue per agent, which
+    ``waiting`` is already in; of a queue's oldest events ``limit`` stay, the
+    rest overflows. What failed ``max_attempts`` times is given up.
+    """
+    tried = replies if "attempt" in replies.columns else replies.withColumn("attempt", F.lit(0))
+    bad = tried.where("error IS NOT NULL").withColumn("attempt", F.col("attempt") + 1)
+    pause = F.make_dt_interval(secs=F.lit(float(retry_seconds)) * F.pow(F.lit(2.0), F.col("attempt") - 1))
+    queue = bad.where(F.col("attempt") < max_attempts).withColumn("due_at", (F.current_timestamp() if now is None else now) + pause)
+    if waiting is not None:
+        queue = queue.unionByName(waiting.select(queue.columns))
+    oldest = Window.partitionBy("agent_id").orderBy(F.col("timestamp").asc_nulls_first(), "event_id")
+    # The rank limit is applied below the shuffle: a task gets a few rows of an agent from each other task.
+    kept = queue.withColumn("_rank", F.row_number().over(oldest)).where(F.col("_rank") <= limit).drop("_rank")
+    return {
+        "passed": replies.where("error IS NULL"),
+        "retry": kept,
+        "overflow": queue.join(kept.select("agent_id", "event_id"), ["agent_id", "event_id"], "left_anti").select(queue.columns),
+        "given_up": bad.where(F.col("attempt") >= max_attempts),
+    }
+
+
+def retried(requests: DataFrame, ask, limit: int = QUEUE_LIMIT, max_attempts: int = MAX_ATTEMPTS) -> dict[str, DataFrame]:
+    """Ask for requests, and for those that fail again and again until ``max_attempts``; the queue between two rounds is bounded.
+
+    ``ask`` appends reply columns to requests. Each round is checkpointed, so that no agent is asked
+    twice for the same attempt.
+    """
+    checkpoint_root(requests.sparkSession)
+    todo, out = requests.withColumn("attempt", F.lit(0)), {}
+    for _ in range(max_attempts):
+        parts = buffer_failures(ask(todo).checkpoint(), limit, max_attempts)
+        todo = parts.pop("retry").select(todo.columns)
+        out = {k: out[k].unionByName(v.select(out[k].columns)) if k in out else v for k, v in parts.items()}
+    return out
+
+
+def on_error(replies: DataFrame, policy: str, handlers: Sequence[tuple[str, str]] = (), **queue) -> dict[str, DataFrame]:
+    """Split replies by the failure policy into ``passed`` and what the policy asks for; ``queue`` goes to ``buffer_failures``."""
     good, bad = replies.where("error IS NULL"), replies.where("error IS NOT NULL")
     if policy == "drop_and_alert":
         return {"passed": good, "alerts": alert_fanout(bad, handlers)}
     if policy == "buffer_limited":
-        return {"passed": good, "retry": bad}
+        return buffer_failures(replies, **queue)
     if policy == "passthrough":
         return {"passed": replies}
     raise ValueError(f"unknown failure policy: {policy}")

@@ -11,6 +11,7 @@ writes what agents used of the last day's hours, and the next one reads that alo
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from datetime import datetime, timezone
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -127,13 +128,13 @@ def live_events(
     return events
 
 
-def _budgets(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    """(agent_id, _hour, _used) as the micro-batch before left it; nothing older is read."""
+def _before(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    """A table as the micro-batch before left it; nothing older is read."""
     before = f"{path}/batch_id={batch_id - 1}"
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(before)
     if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
         return None
-    return spark.read.schema("agent_id string, _hour long, _used long").parquet(before)
+    return spark.read.parquet(before)
 
 
 def start_spec(
@@ -153,17 +154,28 @@ def start_spec(
     decided in event time: a clock would keep the query going.
 
     Writes ``out``/replies (every routed row with its reply, ``is_sent`` false
-    beyond the budget), ``out``/actions, and ``out``/alerts or ``out``/retry as the
+    beyond the budget), ``out``/actions, and ``out``/alerts, or ``out``/retry,
+    ``out``/overflow and ``out``/given_up with the queue of failed requests, as the
     failure policy asks, each in a folder per micro-batch.
     """
 
+    behavior = plan.spec["behavior"]
+    policy = behavior["on_llm_unreachable"]
+    limits = {k: behavior[n] for k, n in (("limit", "retry_limit"), ("max_attempts", "max_attempts"), ("retry_seconds", "retry_seconds")) if n in behavior}
+
     def each(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        used = _budgets(session, f"{out}/budgets", batch_id)
+        session, now = batch.sparkSession, F.lit(datetime.now(timezone.utc))
+        used = _before(session, f"{out}/budgets", batch_id)
         # Agents with and without a budget read the batch apart: the stream's plan runs once.
         batch.persist()
         try:
-            replies = score_in_budget(plan.requests(batch), scorer, used=used)
+            requests, queue = plan.requests(batch).withColumn("attempt", F.lit(0)), dict(limits, now=now)
+            waiting = _before(session, f"{out}/retry", batch_id) if policy == "buffer_limited" else None
+            if waiting is not None:
+                # What is due is asked again with this micro-batch, the rest goes on waiting.
+                requests = requests.unionByName(waiting.where(F.col("due_at") <= now).select(requests.columns))
+                queue["waiting"] = waiting.where(F.col("due_at") > now)
+            replies = score_in_budget(requests, scorer, used=used)
             target = f"{out}/replies/batch_id={batch_id}"
             replies.write.mode("overwrite").parquet(target)
         finally:
@@ -171,7 +183,7 @@ def start_spec(
         told = session.read.schema(replies.schema).parquet(target)
         spent_in_hours(told, used).coalesce(1).write.mode("overwrite").parquet(f"{out}/budgets/batch_id={batch_id}")
         sent = told.where("is_sent")
-        parts = on_error(sent, plan.spec["behavior"]["on_llm_unreachable"], plan.handlers or [("none", "none")])
+        parts = on_error(sent, policy, plan.handlers or [("none", "none")], **(queue if policy == "buffer_limited" else {}))
         if not plan.handlers:
             parts.pop("alerts", None)
         parts["actions"] = dispatch_actions(explode_actions(parts.pop("passed")), plan.handlers)

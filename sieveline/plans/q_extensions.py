@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sieveline.operators.routing import on_error
+from sieveline.operators.routing import on_error, retried
 from sieveline.operators.rules import project_for_agent, row_predicate_filter
 from sieveline.operators.scoring import offline_scorer, record_scorer, score
 from sieveline.operators.stateful import summarize_batches
@@ -151,16 +151,28 @@ def spec_compile(spark, sf_dir):
 
 @query("failure_policies", f"""WITH {EV}, {REPLY} SELECT 'drop_and_alert' AS policy, event_id, agent_id, 'passed' AS part FROM reply WHERE error IS NULL
   UNION ALL SELECT 'drop_and_alert', event_id, NULL, 'alerts' FROM reply, range(2) WHERE error IS NOT NULL
-  UNION ALL SELECT 'buffer_limited', event_id, agent_id, CASE WHEN error IS NULL THEN 'passed' ELSE 'retry' END FROM reply
+  UNION ALL SELECT 'buffer_limited', event_id, agent_id, CASE WHEN error IS NULL THEN 'passed' WHEN i > 40 THEN 'overflow' WHEN eid % 34 = 0 THEN 'given_up' ELSE 'retried' END
+    FROM (SELECT *, row_number() OVER (PARTITION BY agent_id, error IS NULL ORDER BY ts, event_id) AS i FROM reply)
   UNION ALL SELECT 'passthrough', event_id, agent_id, 'passed' FROM reply""")
 def failure_policies(spark, sf_dir):
     replies = fixtures.replies(spark, sf_dir)
     rows = []
-    for policy in ("drop_and_alert", "buffer_limited", "passthrough"):
+    for policy in ("drop_and_alert", "passthrough"):
         for part, df in on_error(replies, policy, fixtures.HANDLERS).items():
             ids = F.col("dropped_event_id" if part == "alerts" else "event_id").alias("event_id")
             agent = F.lit(None).cast("string") if part == "alerts" else F.col("agent_id")
             rows.append(df.select(F.lit(policy).alias("policy"), ids, agent.alias("agent_id"), F.lit(part).alias("part")))
+
+    def ask(requests):
+        # An agent that is down at the first try is up again at the second, but for every other of these events.
+        first = F.col("attempt") == 0
+        still = F.when(F.col("event_id").cast("bigint") % 34 == 0, "still down")
+        return requests.withColumn("error", F.when(first, F.col("failure")).otherwise(still))
+
+    parts = retried(replies.withColumnRenamed("error", "failure"), ask, limit=40, max_attempts=2)
+    for part, df in parts.items():
+        name = F.when(F.col("attempt") > 0, "retried").otherwise("passed") if part == "passed" else F.lit(part)
+        rows.append(df.select(F.lit("buffer_limited").alias("policy"), "event_id", "agent_id", name.alias("part")))
     return reduce(DataFrame.unionByName, rows)
 
 

@@ -15,6 +15,7 @@ from sieveline.operators.routing import (
     alert_fanout,
     approval_outcome,
     dispatch_actions,
+    buffer_failures,
     on_error,
     route_agents,
     tool_call_bodies,
@@ -55,6 +56,15 @@ def test_failures(spark):
     assert json.loads(out["alerts"].first()["payload"])["event"]["payload"]["dropped_event_id"] == "2"
     assert on_error(r, "passthrough")["passed"].count() == 2
     assert on_error(r, "buffer_limited")["retry"].count() == 1
+    many = spark.createDataFrame([(f"{i:02d}", "a" if i < 9 else "b", None if i % 2 else "down", 0 if i < 8 else 2, i) for i in range(14)], "event_id string, agent_id string, error string, attempt int, s long")
+    many = many.withColumn("timestamp", F.timestamp_seconds("s")).drop("s")
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    parts = buffer_failures(many, limit=2, max_attempts=3, retry_seconds=30, now=at)
+    ids = {k: sorted(r["event_id"] for r in v.collect()) for k, v in parts.items()}
+    assert ids == {"passed": ["01", "03", "05", "07", "09", "11", "13"], "retry": ["00", "02"], "overflow": ["04", "06"], "given_up": ["08", "10", "12"]}
+    assert {(r["attempt"], str(r["due_at"])) for r in parts["retry"].collect()} == {(1, "2024-01-01 00:00:30")}
+    later = buffer_failures(many.where("event_id = '00'"), limit=2, waiting=parts["overflow"].unionByName(parts["retry"].where("event_id = '02'")), now=at)
+    assert sorted(r["event_id"] for r in later["retry"].collect()) == ["00", "02"] and sorted(r["event_id"] for r in later["overflow"].collect()) == ["04", "06"]
     assert alert_fanout(r, [("webhook", "a"), ("webhook", "b")]).select("handler").distinct().first()[0] == "b"
     with pytest.raises(ValueError):
         on_error(r, "ignore")

@@ -191,6 +191,26 @@ def test_live_budgets_need_no_earlier_replies_and_batches_run_once(spark, tmp_pa
     assert [tuple(r) for r in spark.read.parquet(out + "/budgets").where("batch_id = 11").select("agent_id", "_used").collect()] == [("capped", 100)]
 
 
+def test_failed_requests_are_asked_again_with_a_later_micro_batch(spark, tmp_path):
+    rows = [(f"{i}", "s", 60 * i, "DATA", 3, f'{{"n":{i}}}', None, None) for i in range(8)]
+    df = spark.createDataFrame(rows, "event_id string, source_id string, s long, event_type string, priority int, payload string, metadata string, raw string")
+    df = df.withColumn("timestamp", F.timestamp_seconds("s")).select(*live.COLUMNS)
+    behavior = {"on_llm_unreachable": "buffer_limited", "retry_limit": 2, "max_attempts": 3, "retry_seconds": 0}
+    plan = sp.compile_spec({"sources": [{"id": "s"}], "agent": {**AGENT, "token_budget": {"max_per_hour": 1000}}, "behavior": behavior})
+    # 0 fails once, 1 always; 2 to 5 fail in one micro-batch, which is more than the queue holds.
+    fails = {"0": 1, "1": 9, "2": 1, "3": 1, "4": 1, "5": 1}
+    scorer = record_scorer(lambda r: {"content": r["event_id"], "tokens": 1, "latency_ms": 0.0, "error": "down" if r["attempt"] < fails.get(r["event_id"], 0) else None})
+    feed, out, ck = (str(tmp_path / n) for n in ("feed", "out", "ck"))
+    for lo, hi in ((0, 1), (2, 2), (3, 5), (6, 6), (7, 7)):
+        df.where(F.col("event_id").cast("int").between(lo, hi)).coalesce(1).write.mode("append").parquet(feed)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(feed)
+    live.start_spec(plan, spark, out, ck, {"s": stream}, scorer).awaitTermination()
+    told = spark.read.parquet(out + "/replies").collect()
+    assert sorted((r["event_id"], r["attempt"]) for r in told if r["error"] is None) == [("0", 1), ("2", 1), ("3", 1), ("4", 1), ("6", 0), ("7", 0)]
+    assert [r["event_id"] for r in spark.read.parquet(out + "/overflow").collect()] == ["5"]
+    assert [(r["event_id"], r["attempt"]) for r in spark.read.parquet(out + "/given_up").collect()] == [("1", 3)]
+
+
 def test_budget_skips_to_rows_with_another_cap(spark):
     rows = [("a", f"{i:02d}", i, 30 if i < 6 else 60, "p") for i in range(12)]
     df = spark.createDataFrame(rows, "agent_id string, event_id string, s long, max_per_hour long, prompt string").withColumn("timestamp", F.timestamp_seconds("s"))
