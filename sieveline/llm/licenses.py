@@ -11,6 +11,7 @@ suppressed.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -104,6 +105,16 @@ def _keyword(name: str) -> str:
     return max((w for w in flat.split() if w != "|" and not w.endswith("licen")), key=len)
 
 
+SPDX = "spdx licen[cs]e identifier"
+PUBLISHED = "(?:as )?(?:published by the free software foundation )?"
+LATER = "or (?:at your option )?(?:any )?later"
+
+
+def _spoken(label: str) -> str:
+    """The words of an identifier."""
+    return label.replace("-", " ").replace(".", " ")
+
+
 def _dotted(version: str) -> str:
     return version.replace(" ", ".")
 
@@ -117,20 +128,29 @@ def rules() -> list[Rule]:
             found.append(Rule(label, 35, _keyword(name), f"licensed under (?:the )?(?:terms of the )?{name}"))
         for name in short:
             found.append(Rule(label, 30, _keyword(name), f"(?:licensed under|under|licen[cs]e) (?:the )?{name}"))
+        found.append(Rule(label, 55, "spdx", f"{SPDX} {_spoken(label)}"))
         for v in versions:
             exact = f"{label}-{_dotted(v)}"
+            later = f"{exact}-or-later"
             for name in long:
                 found.append(Rule(exact, 45, _keyword(name), f"{name} (?:v|version )?{v}"))
-                found.append(Rule(f"{exact}-or-later", 50, _keyword(name), f"{name} (?:v|version )?{v} or (?:\\(at your option\\) )?(?:any )?later"))
+                found.append(Rule(later, 50, _keyword(name), f"{name} {PUBLISHED}(?:either )?(?:v|version )?{v}(?: of the licen[cs]e)? {LATER}"))
             for name in short:
                 found.append(Rule(exact, 45, _keyword(name), f"{name} (?:v ?|version )?{v}"))
-                found.append(Rule(exact, 55, "spdx", f"spdx licen[cs]e identifier {name} {v}"))
+                found.append(Rule(later, 50, _keyword(name), f"{name} (?:v ?|version )?{v} {LATER}"))
+                for glue in ("v", ""):  # GPLv3, GPL3
+                    key = f"{name.split()[-1]}{glue}{v.split()[0]}"
+                    found.append(Rule(exact, 45, key, f"{name}{glue}{v}"))
+                    found.append(Rule(later, 50, key, f"{name}{glue}{v} {LATER}"))
+            found.append(Rule(exact, 56, "spdx", f"{SPDX} {_spoken(label)} {v}(?: 0)?(?: only)?"))
+            found.append(Rule(later, 57, "spdx", f"{SPDX} {_spoken(label)} {v}(?: 0)? or later"))
     for parts in CC_PARTS:
         label, abbreviated, named = "cc-" + "-".join(parts), "cc " + " ".join(parts), " ".join(CC_NAMES[p] for p in parts)
         found.append(Rule(label, 40, "cc", abbreviated))
         found.append(Rule(label, 40, "commons", f"creative commons {named}"))
         for v in CC_VERSIONS:
             found.append(Rule(f"{label}-{_dotted(v)}", 45, "cc", f"{abbreviated} {v}"))
+            found.append(Rule(f"{label}-{_dotted(v)}", 55, "spdx", f"{SPDX} {abbreviated} {v}"))
             found.append(Rule(f"{label}-{_dotted(v)}", 45, "commons", f"creative commons {named} {v}"))
             found.append(Rule(f"{label}-{_dotted(v)}", 45, "commons", f"creative commons {named} (?:international|unported|generic|version) (?:licen[cs]e )?{v}"))
     return sorted(found, key=lambda r: -r.priority)
@@ -150,11 +170,22 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 def resolve(found: list[tuple[int, int, Rule]]) -> list[tuple[int, int, Rule]]:
-    """Drop detections inside another of at least their priority; the first of equal spans stays."""
+    """Drop detections inside another of at least their priority; the first of equal spans stays.
+
+    Of the kept ones those that no other one holds are swept in order: their starts and
+    their ends both rise, so one look-up tells whether a detection lies inside any.
+    """
     kept: list[tuple[int, int, Rule]] = []
+    starts: list[int] = []
+    ends: list[int] = []
     for start, end, rule in sorted(found, key=lambda d: (-d[2].priority, d[0] - d[1], d[0], d[2].label)):
-        if not any(s <= start and end <= e for s, e, _ in kept):
-            kept.append((start, end, rule))
+        at = bisect_right(starts, start)
+        if at and ends[at - 1] >= end:
+            continue
+        kept.append((start, end, rule))
+        first = bisect_left(starts, start)
+        last = bisect_right(ends, end)
+        starts[first:last], ends[first:last] = [start], [end]
     return sorted(kept, key=lambda d: d[:2])
 
 

@@ -1,5 +1,6 @@
 """Licenses, token counts, main text, decontamination: odd rows, brute force, planted cases."""
 
+import random
 import re
 
 import public_tokenizers
@@ -53,6 +54,31 @@ def test_license_rules_priority_and_containment():
     assert labels("plain prose about a general and a public house") == []
 
 
+def test_license_spellings():
+    labels = lambda t: [r.label for _, _, r in licenses.detect(t.encode())["detections"]]
+    want = {
+        "GPLv2": "gpl-2", "GNU GPL3": "gpl-3", "LGPLv2.1+": "lgpl-2.1", "AGPLv3 or later": "agpl-3-or-later", "GPL 2 or any later": "gpl-2-or-later",
+        "GNU General Public License version 2 or (at your option) any later version": "gpl-2-or-later",
+        "the GNU General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version": "gpl-3-or-later",
+    }
+    identifiers = "MIT ISC Zlib Unlicense NCSA BSD-2-Clause BSD-3-Clause Apache-2.0 MPL-2.0 EPL-1.0 CC-BY-SA-4.0 CC0-1.0".split()
+    want |= {f"SPDX-License-Identifier: {i}": i.lower() for i in identifiers}
+    want |= {"SPDX-License-Identifier: GPL-2.0-only": "gpl-2", "SPDX-License-Identifier: LGPL-3.0-or-later": "lgpl-3-or-later"}
+    assert {t: labels(t) for t in want} == {t: [label] for t, label in want.items()}
+
+
+def test_resolving_equals_comparing_all_pairs():
+    rng = random.Random(1)
+    for _ in range(2000):
+        found = [(s, s + rng.randrange(1, 9), licenses.Rule(rng.choice("abc"), rng.randrange(4), "k", "p")) for s in (rng.randrange(30) for _ in range(rng.randrange(25)))]
+        kept = []
+        for start, end, rule in sorted(found, key=lambda d: (-d[2].priority, d[0] - d[1], d[0], d[2].label)):
+            if not any(s <= start and end <= e for s, e, _ in kept):
+                kept.append((start, end, rule))
+        assert licenses.resolve(found) == sorted(kept, key=lambda d: d[:2])
+    assert len(licenses.detect(b"mit license " * 50_000)["detections"]) == 50_000
+
+
 def test_every_keyword_is_in_its_matches():
     """A rule's keyword gates it, so each name must contain the keyword as a word."""
     for rule in licenses.rules():
