@@ -138,7 +138,7 @@ def rules() -> list[Rule]:
             for name in short:
                 found.append(Rule(exact, 45, _keyword(name), f"{name} (?:v ?|version )?{v}"))
                 found.append(Rule(later, 50, _keyword(name), f"{name} (?:v ?|version )?{v} {LATER}"))
-                for glue in ("v", ""):  # GPLv3, GPL3
+                for glue in ("v", "") if name.split()[-1].isalnum() else ():  # GPLv3, GPL3
                     key = f"{name.split()[-1]}{glue}{v.split()[0]}"
                     found.append(Rule(exact, 45, key, f"{name}{glue}{v}"))
                     found.append(Rule(later, 50, key, f"{name}{glue}{v} {LATER}"))
