@@ -39,12 +39,19 @@ CUT_WORDS = re.compile(
     r"gdpr|notices?|alerts?|announcement|overlay|paywall|pagination|pager|respond|discussion|feedback|survey|popup|modal|newsletter|subscribe|subscription|signup|sign-up|login|promo|promos|promotion|related|recommended|share|"
     r"sharing|social|sidebar|side-bar|sponsor|sponsored|menu|nav|navbar|navigation|footer|masthead|toolbar|widget|widgets|skip|skip-link)(?:$|[\s_-])"
 )
+#: Those of them that tell what an element is even where it holds most of a page.
+SURE_WORDS = re.compile(
+    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|breadcrumbs?|comments?|comment-?list|disqus|replies|respond|cookies?|consent|"
+    r"gdpr|pagination|pager|sidebar|side-bar|menu|nav|navbar|navigation|footer|masthead|toolbar|login|signup|sign-up)(?:$|[\s_-])"
+)
+#: An element that only another class word cuts is kept if it holds more than this share of the page's prose.
+MOST = 0.5
 PARAGRAPH = frozenset("p pre td blockquote li dd h2 h3 h4 figcaption".split())
 CONTAINER = frozenset("article main section div td blockquote body html".split())
 #: Layout words of wrappers, such as has-sidebar, say nothing about the element itself.
 LAYOUT = re.compile(r"(?:^|(?<=\s))(?:has|with|no|without|hide|show)[-_]\S+|\S+[-_](?:layout|enabled|disabled|active)(?=\s|$)")
 LIKELY = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|page|post|story|text)(?:$|[\s_-])")
-TAG = re.compile(r"<(?:!--.*?(?:--!?>|$)|(?=[!?])[^>]*(?:>|$)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$))", re.S)
+TAG = re.compile(r"<(?:!--.*?(?:--!?>|$)|(?=[!?])[^>]*(?:>|$)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"<]*\"|'[^'<]*')*+)(?:[\"'][^>]*)?(?:>|$))", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 SPACES = re.compile(r"[\s\x1c-\x1f]+")
 SIBLING_SHARE = 0.2
@@ -56,13 +63,13 @@ DENSE = 0.5
 
 
 class Node:
-    __slots__ = ("name", "parent", "parts", "marks", "cut", "score", "size", "links", "commas")
+    __slots__ = ("name", "parent", "parts", "marks", "cut", "doubtful", "score", "size", "links", "commas", "anchors")
 
     def __init__(self, name: str, parent: Node | None, attributes: str = "") -> None:
         self.name, self.parent = name, parent
         self.parts: list[Node | str] = []
-        self.marks, self.cut = "", name in CUT
-        self.score, self.size, self.links, self.commas = 0.0, 0, 0, 0
+        self.marks, self.cut, self.doubtful = "", name in CUT, False
+        self.score, self.size, self.links, self.commas, self.anchors = 0.0, 0, 0, 0, 0
         if name == "header":  # a page's header; an article's own belongs to it
             above = parent
             while above is not None and above.name not in ("article", "main"):
@@ -79,7 +86,9 @@ class Node:
         if self.name not in ("html", "body"):
             self.cut |= hidden or role in CUT_ROLES
             if self.name not in ("article", "main", "p", "h1"):
-                self.cut |= bool(CUT_WORDS.search(LAYOUT.sub(" ", self.marks)))
+                words = LAYOUT.sub(" ", self.marks)
+                if not self.cut and CUT_WORDS.search(words):
+                    self.cut, self.doubtful = True, not SURE_WORDS.search(words)
 
 
 def parse(html: str) -> Node:
@@ -135,6 +144,24 @@ def parse(html: str) -> Node:
     return root
 
 
+def _spare(root: Node) -> None:
+    """Keep elements that a doubtful class word cuts, such as overlay or feedback, where most of the page's prose is inside."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack.extend(p for p in node.parts if isinstance(p, Node) and (p.doubtful or not p.cut))
+    if not any(n.doubtful for n in order):
+        return
+    prose: dict[int, int] = {}
+    for node in reversed(order):
+        own = sum(len(p.strip()) for p in node.parts if isinstance(p, str))
+        prose[id(node)] = 0 if node.name == "a" else own + sum(prose.get(id(p), 0) for p in node.parts if isinstance(p, Node))
+    for node in order:
+        if node.doubtful and prose[id(node)] > MOST * prose[id(root)]:
+            node.cut = False
+
+
 def _measure(root: Node) -> list[Node]:
     """Sizes, link sizes and commas of every node without what is cut, children first; returns the nodes in order."""
     order, stack = [], [root]
@@ -151,14 +178,19 @@ def _measure(root: Node) -> list[Node]:
                 node.size += part.size
                 node.links += part.size if part.name == "a" else part.links
                 node.commas += part.commas
+                node.anchors += part.anchors + (part.name == "a")
     return order
 
 
 def best_container(root: Node) -> Node | None:
     """The node with the most points for the paragraphs below it, discounted by its links."""
+    _spare(root)
     order = _measure(root)
     candidates: list[Node] = []
+    holder: dict[int, Node | None] = {}  # the nearest container above
     for node in order:
+        up = node.parent
+        holder[id(node)] = up if up is None or up.name in CONTAINER else holder[id(up)]
         if node.name in PARAGRAPH:
             size, commas = node.size, node.commas
         elif node.name in CONTAINER:  # text outside any paragraph counts for what holds it
@@ -170,15 +202,14 @@ def best_container(root: Node) -> Node | None:
             continue
         if size:
             points = min(1.0, size / 25) * (1 + commas + min(size / 100, 3.0))
-            above, share = node.parent if node.name in PARAGRAPH else node, 1.0
+            above, share = holder[id(node)] if node.name in PARAGRAPH else node, 1.0
             while above is not None and share > 1e-9:
-                if above.name in CONTAINER:
-                    if not above.score:
-                        candidates.append(above)
-                        above.score = 5.0 * (above.name in ("article", "main")) + 2.0 * bool(LIKELY.search(above.marks)) + 1e-9
-                    above.score += points * share
-                    share /= 2
-                above = above.parent
+                if not above.score:
+                    candidates.append(above)
+                    above.score = 5.0 * (above.name in ("article", "main")) + 2.0 * bool(LIKELY.search(above.marks)) + 1e-9
+                above.score += points * share
+                share /= 2
+                above = holder[id(above)]
     if not candidates:
         return None
     points = {id(n): n.score * (1 - n.links / max(n.size, 1)) for n in candidates}
@@ -194,16 +225,7 @@ def best_container(root: Node) -> Node | None:
 
 def _link_list(node: Node) -> bool:
     """A block inside the article that is little but links, such as further reading."""
-    return node.name in LINK_BLOCKS and node.size > 0 and node.links > LINK_SHARE * node.size and _links(node) > 2
-
-
-def _links(node: Node) -> int:
-    count, stack = 0, [node]
-    while stack:
-        at = stack.pop()
-        count += at.name == "a"
-        stack.extend(p for p in at.parts if isinstance(p, Node))
-    return count
+    return node.name in LINK_BLOCKS and node.size > 0 and node.links > LINK_SHARE * node.size and node.anchors > 2
 
 
 def _holder(best: Node) -> Node:

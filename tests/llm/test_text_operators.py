@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import public_tokenizers
 import pytest
@@ -144,6 +145,31 @@ def test_short_parts_of_an_article_are_kept():
     assert html.main_text(f"<body><article><div><section>{part * 20}</section></div><div>End.</div></article><p>Foot</p></body>") == f"{long} End."
 
 
+def test_articles_in_unlucky_classes_are_kept():
+    part = "<p>" + "many words of it, and more, and more, " * 4 + "</p>"
+    text = ("many words of it, and more, and more, " * 4).strip()
+    menu = "<div class=menu><a href=/a>one</a> <a href=/b>two</a></div><div class=comments><p>I say, so, too, as ever.</p></div>"
+    for name in ("post feedback", "overlay", "survey", "story-discussion", "announcement", "widget-text", "content-related"):
+        assert html.main_text(f"<body>{menu}<div class='{name}'>{part * 5}</div></body>") == " ".join([text] * 5)
+        beside = f"<body><article>{part * 5}<div class='{name}'><p>Short, so, cut.</p></div></article></body>"
+        assert html.main_text(beside) == " ".join([text] * 5)
+    assert html.main_text(f"<body><div class=comments>{part * 9}</div><div id=x>{part}</div></body>") == text
+
+
+def test_open_quotes_lose_their_tag_alone():
+    assert html.main_text('<article><p class="x>one, two, three.</p><p title="a > b" class=\'y\'>four <a href="z">five</a></p></article>') == "one, two, three. four five"
+
+
+def test_deep_lists_and_long_pages_take_linear_time():
+    seconds = []
+    for n in (4000, 16_000):
+        start = time.process_time()
+        assert len(html.main_text("<body><div>" + "<ul><li>some, text " * n)) > 10 * n
+        seconds.append(time.process_time() - start)
+    assert seconds[1] < 8 * seconds[0] + 0.5
+    assert len(html.main_text("<article>" + "<p>a long page, with, commas and <b>words</b>.</p>" * 25_000 + "</article>")) > 900_000
+
+
 def test_pages_equal_the_articles_they_were_made_of(spark):
     from html import unescape
 
