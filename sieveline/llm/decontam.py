@@ -4,9 +4,9 @@ Numbers, units behind numbers and names inside sentences become typed
 placeholders; everything else is lower-cased words. Windows of eight canonical
 tokens are joined by hash with those of the benchmark items, so a question whose
 numbers, units or names were exchanged still meets its template. The values that
-fill the slots must then agree: where an item repeats a value, the document must
-repeat its own value at the same places. ``decontaminated`` asks less of them: one
-edited or chance value doesn't clear a document.
+fill the slots must then agree: where an item repeats a value, the document mostly
+repeats its own value at the same places, unless enough windows match word for word. One
+edited or chance value doesn't clear a document. ``decontaminated`` looks for the wide form, too.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ MIN_WORDS = 4
 #: An item is found in a document with this share of its windows, or this many of them in one run.
 MIN_SHARE = 0.5
 MIN_RUN = 8
-#: With ``lenient``, a run of windows that aren't verbatim needs this share of slots filled as most of their value's places.
+#: A run of windows that aren't verbatim needs this share of slots filled as most of their value's places.
 MIN_AGREED = 0.5
 #: Rows of the benchmark's windows (about 40 bytes each) up to which they are sent to every executor.
 BROADCAST_ROWS = 500_000
@@ -130,27 +130,8 @@ def benchmark_windows(items: DataFrame, item_column: str, text_column: str, cano
     return some.join(some.groupBy("item_id").agg(F.count("*").alias("of")), "item_id")
 
 
-def _all_agreed(runs: DataFrame, values: DataFrame, given: DataFrame) -> DataFrame:
-    """Slots of each run, and whether some value's places are filled differently."""
-    slots = (
-        runs.join(values, "doc_id")
-        .join(given, "item_id")
-        .select(
-            "doc_id", "item_id", "shift", "own", "given",
-            F.explode(F.expr(f"array_distinct(flatten(transform(ats, a -> sequence(a + 1, least(a + {WINDOW}, size(given))))))")).alias("at"),
-        )
-        .select("doc_id", "item_id", "shift", F.lower(F.expr("try_element_at(given, at)")).alias("value"), F.lower(F.expr("try_element_at(own, at + shift)")).alias("filled"))
-        .where(F.col("value").rlike(rf"^[{NAME}{UNIT}\p{{N}}]"))
-    )
-    return (
-        slots.groupBy("doc_id", "item_id", "shift", "value")
-        .agg(F.count("*").alias("n"), (F.min("filled") != F.max("filled")).alias("differ"))
-        .groupBy("doc_id", "item_id", "shift")
-        .agg(F.sum("n").alias("n_slots"), F.max("differ").alias("differ"))
-    )
-
-def _mostly_agreed(runs: DataFrame, values: DataFrame, given: DataFrame) -> DataFrame:
-    """As ``_all_agreed``, but verbatim windows suffice alone, and most slots decide otherwise; the best of the rows of an id counts."""
+def _agreed(runs: DataFrame, values: DataFrame, given: DataFrame) -> DataFrame:
+    """Slots of each run, and whether they differ: verbatim windows suffice alone, most slots decide otherwise; the best of the rows of an id counts."""
     run = ["doc_id", "item_id", "shift"]
     places = f"sequence(a + 1, least(a + {WINDOW}, size(given)))"
     same = F.expr(f"size(filter(ats, a -> forall({places}, p -> lower(try_element_at(given, p)) <=> lower(try_element_at(own, p + shift)))))")
@@ -186,7 +167,6 @@ def contaminated(
     text_column: str = "text",
     item_column: str = "item_id",
     item_text_column: str = "text",
-    lenient: bool = False,
     form: tuple = PLAIN,
 ) -> DataFrame:
     """Pairs of documents and benchmark items that they repeat, perhaps with other numbers, units or names.
@@ -197,13 +177,13 @@ def contaminated(
     at one offset with consistent slots; the best offset counts (ties: the
     smallest). Null and empty texts, rows with a null id, and null items are
     never part of a pair. Rows that share an id count as one document. Texts of
-    fewer tokens than a window are compared whole. Other columns are ignored;
-    empty tables give an empty result.
+    fewer tokens than a window are compared whole; items of ``MIN_WORDS`` tokens or
+    more, but fewer than a window, are also found inside longer texts. Other columns are
+    ignored; empty tables give an empty result.
 
-    With ``lenient``, slots are consistent where the windows that match word for
-    word, values included, suffice alone, or where ``MIN_AGREED`` of all slots are
-    filled as most places of their value. Items of ``MIN_WORDS`` tokens or more,
-    but fewer than a window, are then also found inside longer texts.
+    Slots are consistent where the windows that match word for word, values included,
+    suffice alone, or where ``MIN_AGREED`` of all slots are filled as most places of
+    their value: one edited or chance value clears nobody.
     """
     canonical, raw = form
     items = items.where(F.col(item_column).isNotNull())
@@ -213,10 +193,8 @@ def contaminated(
     whole = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).where(
         "doc_id is not null and text is not null"
     )
-    short = []
-    if lenient:
-        sizes = items.select(F.size(canonical(F.col(item_text_column))).alias("n")).where(F.col("n").between(MIN_WORDS, WINDOW - 1))
-        short = sorted(r.n for r in sizes.distinct().collect())  # a few lengths at most
+    sizes = items.select(F.size(canonical(F.col(item_text_column))).alias("n")).where(F.col("n").between(MIN_WORDS, WINDOW - 1))
+    short = sorted(r.n for r in sizes.distinct().collect())  # a few lengths at most
     tokens = whole.select("doc_id", canonical(F.col("text")).alias("tokens"))
     if short:
         windows = tokens.select("doc_id", F.inline(_placed_windows("tokens", short)))
@@ -234,7 +212,7 @@ def contaminated(
         "doc_id", raw(F.col("text")).alias("own"), F.xxhash64("text").alias("row")
     )
     given = items.select(F.col(item_column).alias("item_id"), raw(F.col(item_text_column)).alias("given"))
-    agreed = (_mostly_agreed if lenient else _all_agreed)(runs, values, given)
+    agreed = _agreed(runs, values, given)
     found = (
         runs.join(agreed, ["doc_id", "item_id", "shift"], "left")
         .where("differ is null or not differ")
@@ -251,6 +229,6 @@ def contaminated(
 
 def decontaminated(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` that repeat no benchmark item, by either form, with all their columns. Rows with a null id stay."""
-    plain, wide = (contaminated(docs, items, id_column, text_column, lenient=True, form=form).select("doc_id") for form in (PLAIN, WIDE))
+    plain, wide = (contaminated(docs, items, id_column, text_column, form=form).select("doc_id") for form in (PLAIN, WIDE))
     hit = stored(plain.union(wide).select(F.col("doc_id").alias(id_column)).distinct(), "leaks")
     return docs.join(hit, id_column, "left_anti")

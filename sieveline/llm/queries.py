@@ -109,7 +109,11 @@ item_grams AS (
   SELECT id, pos, g, count(*) OVER (PARTITION BY id) AS n FROM (
     SELECT id, c, unnest(range(len({grams}))) AS pos, unnest({grams}) AS g FROM items)
   WHERE {words} >= least(4, ceil(len(c) / 2))),
-text_grams AS (SELECT id, unnest(range(len({grams}))) AS place, unnest({grams}) AS g FROM texts),
+short AS (SELECT DISTINCT len(c) AS n FROM items WHERE len(c) BETWEEN 4 AND 7),
+text_grams AS (
+  SELECT id, unnest(range(len({grams}))) AS place, unnest({grams}) AS g FROM texts
+  UNION ALL SELECT id, unnest(range(len(s))), unnest(s) FROM (
+    SELECT id, list_transform(range(1, len(c) - n + 2), lambda i: array_to_string(c[i:i + n - 1], ' ')) AS s FROM texts, short WHERE len(c) > n)),
 runs AS (
   SELECT t.id AS doc, i.id AS item, place - pos AS shift, list(DISTINCT pos) AS poss, max(n) AS n
   FROM text_grams t JOIN item_grams i USING (g) GROUP BY ALL
@@ -122,11 +126,19 @@ slots AS (
   FROM places JOIN items i ON i.id = item JOIN texts t ON t.id = doc
   WHERE regexp_matches(i.r[pos], '^([' || {name} || {unit} || ']|\\p{{N}})')),
 agreed AS (
-  SELECT doc, item, shift, sum(k) AS k, bool_or(d) AS d FROM (
-    SELECT doc, item, shift, v, count(*) AS k, min(f) <> max(f) AS d FROM slots GROUP BY ALL) GROUP BY ALL),
+  SELECT doc, item, shift, sum(k) AS k, sum(most) AS most FROM (
+    SELECT doc, item, shift, v, sum(n) AS k, max(n) AS most FROM (
+      SELECT doc, item, shift, v, f, count(*) AS n FROM slots GROUP BY ALL) GROUP BY ALL) GROUP BY ALL),
+verbatim AS (
+  SELECT doc, item, shift, count(*) FILTER (same) AS same FROM (
+    SELECT doc, item, shift, a, bool_and(lower(i.r[p]) IS NOT DISTINCT FROM lower(t.r[p + shift])) AS same FROM (
+      SELECT doc, item, shift, a, unnest(range(a + 1, least(a + 8, len(i.r)) + 1)) AS p
+      FROM (SELECT doc, item, shift, unnest(poss) AS a FROM runs) JOIN items i ON i.id = item)
+    JOIN items i ON i.id = item JOIN texts t ON t.id = doc GROUP BY ALL) GROUP BY ALL),
 leaks AS (
   SELECT doc AS doc_id, item AS item_id, max(struct_pack(n := len(poss), s := -shift, k := coalesce(k, 0))) AS b, max(n) AS item_windows
-  FROM runs LEFT JOIN agreed USING (doc, item, shift) WHERE d IS NULL OR NOT d GROUP BY ALL)"""
+  FROM runs LEFT JOIN agreed USING (doc, item, shift) LEFT JOIN verbatim USING (doc, item, shift)
+  WHERE k IS NULL OR same >= n * 0.5 OR same >= 8 OR most >= k * 0.5 GROUP BY ALL)"""
 
 
 @query(

@@ -207,7 +207,7 @@ def test_exchanged_numbers_names_and_units_are_found(spark):
         (5, ITEM.upper()), (6, " ".join(ITEM.split()[:9])), (7, "short one here"), (8, "short one here indeed"), (None, ITEM), (10, None), (11, ""),
     )
     assert (1, 7) in got and (2, 7) in got and got[2, 7].n_slots >= 4
-    assert (3, 7) not in got  # the item repeats 12, the document has 30 and 12 in these places
+    assert (3, 7) in got  # the item repeats 12, the document has 30 and 12 in these places: most of it is word for word
     assert not {i for i, _ in got} & {4, 6, 8, 10, 11, None}
     assert (7, 9) in got
 
