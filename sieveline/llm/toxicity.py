@@ -15,6 +15,7 @@ the labelled sample, gives the probability of the toxic label.
 from __future__ import annotations
 
 import math
+import pickle
 import random
 import zlib
 from collections import Counter
@@ -23,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,10 +37,12 @@ TOXIC_ROWS, ORDINARY_ROWS = 2000, 3000
 FOLDS = 3
 LEVELS = 7
 BASE_BYTES = 65536
-#: A window is characteristic if it is in this many toxic texts, this often more frequent there, and so many deviations.
-MIN_TEXTS, MIN_LIFT, MIN_DEVIATIONS = 3, 8.0, 3.0
-TOP_WINDOWS = 120
-CACHE = 500_000
+#: A window is characteristic if it is this often more frequent in toxic texts, and so clearly that of
+#: all windows tested fewer than ``FALSE_FINDS`` are expected to look like that by chance.
+MIN_LIFT, FALSE_FINDS = 8.0, 1.0
+#: Ordinary windows that the common base is trained on, drawn at random, each at most so often.
+BASE_SAMPLES, REPEATS = 200_000, 20
+CACHE = 250_000
 FRAME = bytes(random.Random(5).randrange(128, 256) for _ in range(64))
 SETTINGS = {
     "window_log": 17, "hash_log": 16, "chain_log": 16, "search_log": 6, "min_match": 5, "target_length": 64,
@@ -60,17 +64,23 @@ def _trained(size: int, samples: list[bytes]) -> bytes:
 
 
 def characteristic(toxic: Counter, ordinary: Counter, n_toxic: int, n_ordinary: int) -> list[bytes]:
-    """Windows that tell toxic texts from ordinary ones, the clearest first."""
+    """Windows that tell toxic texts from ordinary ones, the clearest first.
+
+    Of the texts with a window at least as many are toxic as seen with a binomial
+    probability; it has to be below ``FALSE_FINDS`` over the number of windows tested.
+    """
+    total = n_toxic + n_ordinary
+    hit, miss = math.log(n_toxic / total), math.log(n_ordinary / total)
     found = []
     for w, k in toxic.items():
-        share, other = k / n_toxic, ordinary[w] / n_ordinary
-        if k < MIN_TEXTS or share <= MIN_LIFT * (ordinary[w] + 0.5) / n_ordinary:
+        n = k + ordinary[w]
+        if k / n_toxic <= MIN_LIFT * (n - k + 0.5) / n_ordinary:
             continue
-        p = (k + ordinary[w] + 1) / (n_toxic + n_ordinary + 2)
-        deviations = (share - other) / math.sqrt(p * (1 - p) * (1 / n_toxic + 1 / n_ordinary))
-        if deviations > MIN_DEVIATIONS:
-            found.append((-deviations, w))
-    return [w for _, w in sorted(found)[:TOP_WINDOWS]]
+        each = (math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * hit + (n - j) * miss for j in range(k, n + 1))
+        chance = sum(map(math.exp, each))
+        if chance * len(toxic) < FALSE_FINDS:
+            found.append((chance, w))
+    return [w for _, w in sorted(found)]
 
 
 def train_dictionaries(texts: Iterable[tuple[set[bytes], int]]) -> tuple[bytes, bytes]:
@@ -82,11 +92,11 @@ def train_dictionaries(texts: Iterable[tuple[set[bytes], int]]) -> tuple[bytes,
     clear = characteristic(toxic, ordinary, max(n[1], 1), max(n[0], 1))
     known = set(clear)
     rng = random.Random(1)
-    samples = [b" " + w + b" " for w in sorted(ordinary) if ordinary[w] > 1 and w not in known for _ in range(min(ordinary[w], 20))]
+    samples = [b" " + w + b" " for w in sorted(ordinary) if ordinary[w] > 1 and w not in known for _ in range(min(ordinary[w], REPEATS))]
     rng.shuffle(samples)
-    base = _trained(BASE_BYTES, samples[:200_000])
+    base = _trained(BASE_BYTES, samples[:BASE_SAMPLES])
     ours = b"".join(b" " + w for w in reversed(clear))  # the clearest last, where matches are cheapest
-    theirs = _trained(max(len(ours), 256), samples[:100_000])[-max(len(ours), 1) :]
+    theirs = _trained(max(len(ours), 256), samples[: BASE_SAMPLES // 2])[-max(len(ours), 1) :]
     return base + theirs + FRAME, base + ours + FRAME
 
 
@@ -99,19 +109,25 @@ def _compressed(dictionary: bytes) -> Callable[[bytes], int]:
 
 
 class Gains:
-    """Counts of a text's windows by the bytes that the toxic dictionary saves, with a bounded cache."""
+    """Counts of a text's windows by the bytes that the toxic dictionary saves.
+
+    Gains are held in two bounded generations: windows met again move to the younger
+    one, and the older one is dropped when the younger is full.
+    """
 
     def __init__(self, dictionaries: tuple[bytes, bytes]) -> None:
         self.ordinary, self.toxic = map(_compressed, dictionaries)
         self.known: dict[bytes, int] = {}
+        self.older: dict[bytes, int] = {}
 
     def features(self, found: set[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
+        if len(self.known) > CACHE // 2:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
         for w in found:
             if w not in known:
-                known[w] = min(max(self.ordinary(w) - self.toxic(w), 0), LEVELS)
+                gain = older.get(w)
+                known[w] = min(max(self.ordinary(w) - self.toxic(w), 0), LEVELS) if gain is None else gain
         counts = np.bincount(np.fromiter(map(known.__getitem__, found), np.int64, len(found)), minlength=LEVELS + 1)
         at_least = counts[::-1].cumsum()[::-1][1:]
         return np.concatenate([[1.0], np.log1p(at_least), [np.log1p(len(found))]])
@@ -137,8 +153,11 @@ class Model:
     weights: np.ndarray
 
 
-def fit(rows: list[tuple[str | None, int]]) -> Model:
-    """Dictionaries on all rows, the calibration on gains under dictionaries that haven't seen the row."""
+def fit(rows: Iterable[tuple[str | None, int]]) -> Model:
+    """Dictionaries on all rows, the calibration on gains under dictionaries that haven't seen the row.
+
+    Of a text only its distinct windows are held.
+    """
     texts = [(windows(t), int(label)) for t, label in rows]
     fold = [zlib.crc32(repr(sorted(found)[:50]).encode()) % FOLDS for found, _ in texts]  # copies share a fold
     x = np.zeros((len(texts), LEVELS + 2))
@@ -175,8 +194,15 @@ def fit_toxicity(
     some = sampled(known, "label", rates, "id")
     # At most toxic_rows + ordinary_rows ids, in expectation, are sent to the executors.
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(F.broadcast(some), "id")
-    found = rows.select("id", "text", "label").collect()
-    return fit([(r["text"], r["label"]) for r in sorted(found, key=lambda r: (str(r["id"]), r["text"] or ""))])
+    # One task learns, as a window's count over all texts decides; it reads them one by one.
+    learned = rows.select("text", "label").repartition(1).sortWithinPartitions("label", "text").mapInArrow(_fitted, "model binary").collect()
+    return Model(*pickle.loads(learned[0]["model"])) if learned else fit([])
+
+
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = ((t.as_py(), n.as_py()) for b in batches for t, n in zip(b.column(0), b.column(1), strict=True))
+    model = fit(rows)
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((model.dictionaries, model.weights))], pa.binary())], names=["model"])
 
 
 def toxicity(model: Model, spark) -> Callable:

@@ -2,9 +2,11 @@
 
 import itertools
 import random
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import zstandard
 from pyspark.sql import functions as F
 
 from sieveline.llm import langid, toxicity
@@ -50,6 +52,11 @@ def test_long_words_are_whole():
     assert found == ["y", "x", "und", "und", "und", "x"] and score[2] == score[4] == 0
 
 
+def test_digits_and_signs_that_are_no_letters_are_undetermined():
+    model = langid.fit_pieces(["▁", "a", "b"], {"x": {"ab": 3.0}})
+    assert langid.Scorer(model).predict(["²", "½ ①", "_", "a²"])[0] == ["und", "und", "und", "x"]
+
+
 def test_language_query_on_held_out_rows(spark):
     ship_package()
     out = op3_unigram_language(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").toPandas()
@@ -93,6 +100,38 @@ def test_toxic_dictionary_shortens_toxic_windows():
     assert np.mean([score(t + " " + rng.choice(bad)) >= 0.7 for t in fresh]) > 0.95
 
 
+def test_characteristic_windows_are_not_counted_but_tested():
+    rng = random.Random(2)
+    common = [b"w%d" % i for i in range(20_000)]
+    clear = [b"t%d" % i for i in range(400)]
+    toxic, ordinary = Counter(), Counter()
+    for i in range(6000):
+        words = set(rng.sample(common, 40)) | ({rng.choice(clear) for _ in range(15)} if i % 3 == 0 else set())
+        (toxic if i % 3 == 0 else ordinary).update(words)
+    found = toxicity.characteristic(toxic, ordinary, 2000, 4000)
+    assert set(clear) <= set(found) and len(set(found) - set(clear)) <= 3
+
+
+def test_scores_equal_plain_compression_without_a_cache(spark):
+    rows = [(("grumblefix " if i % 3 == 0 else "") + " ".join(f"w{(i * k) % 97}" for k in range(1, 30)), int(i % 3 == 0)) for i in range(200)]
+    model = toxicity.fit(rows)
+    settings = zstandard.ZstdCompressionParameters(**toxicity.SETTINGS)
+    held = [zstandard.ZstdCompressionDict(d) for d in model.dictionaries]
+
+    def plain(text):
+        counts = [0] * (toxicity.LEVELS + 1)
+        for w in toxicity.windows(text):
+            sizes = [len(zstandard.ZstdCompressor(dict_data=h, compression_params=settings).compress(toxicity.FRAME + b" " + w + b" ")) for h in held]
+            counts[min(max(sizes[0] - sizes[1], 0), toxicity.LEVELS)] += 1
+        x = [1.0, *(np.log1p(sum(counts[k:])) for k in range(1, toxicity.LEVELS + 1)), np.log1p(sum(counts))]
+        return 1 / (1 + np.exp(-np.clip(np.dot(x, model.weights), -30, 30)))
+
+    gains = toxicity.Gains(model.dictionaries)
+    for text, _ in rows[:6] + [("", 0), ("new words here", 0)]:
+        x = gains.features(toxicity.windows(text)) @ model.weights
+        assert np.isclose(1 / (1 + np.exp(-np.clip(x, -30, 30))), plain(text))
+
+
 def test_toxicity_of_odd_rows(spark):
     ship_package()
     docs = spark.createDataFrame([(1, None, 1), (2, "", 2), (None, "x", 3), (3, "y " * 100_000 + "z" * 200_000, 4)], "doc_id long, text string, toxic int")
