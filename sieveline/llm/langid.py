@@ -10,12 +10,15 @@ seen before come from a bounded cache.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType, DoubleType
@@ -27,10 +30,10 @@ SAMPLE_ROWS = 1000
 SAMPLE_WORDS = 40_000
 ROUNDS = 4
 UNDETERMINED = "und"
-WORD = re.compile(r"[^\W\d_]+")
+WORD = regex.compile(r"\p{L}+")
 MARK = "▁"
 LONG = 32  # words of more letters go through the rescaled pass
-CACHE = 400_000
+CACHE = 250_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -199,15 +202,20 @@ def fit_pieces(pieces: list[str], counts: dict[str, dict[str, float]], rounds: i
 
 
 class Scorer:
-    """Scores texts, with a bounded cache of words."""
+    """Scores texts, with a bounded cache of words; words met once are dropped from it first."""
 
     def __init__(self, model: Model) -> None:
         self.model, self.trie = model, Trie(model.pieces)
-        self._forget()
+        self.place: dict[str, int] = {}
+        self.rows = np.empty((0, len(model.languages)))
+        self.seen = np.empty(0, np.int64)
 
     def _forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.rows = np.empty((0, len(self.model.languages)))
+        keep = np.flatnonzero(self.seen > 1)
+        keep = keep if len(keep) <= CACHE // 2 else keep[:0]
+        words = list(self.place)
+        self.place = {words[i]: k for k, i in enumerate(keep.tolist())}
+        self.rows, self.seen = self.rows[keep], np.zeros(len(keep), np.int64)
 
     def log_likelihoods(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Sum of the words' log-probabilities for each text and language, and each text's number of words."""
@@ -218,12 +226,15 @@ class Scorer:
         if new:
             self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
             self.rows = np.concatenate([self.rows, word_scores(self.trie, new, self.model.log_p)])
+            self.seen = np.append(self.seen, np.zeros(len(new), np.int64))
         n = np.array([len(words) for words in split], np.int64)
         total = np.zeros((len(texts), len(self.model.languages)))
         place = self.place
         for i, words in enumerate(split):
             if words:
-                total[i] = self.rows[[place[w] for w in words]].sum(axis=0)
+                at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+                total[i] = self.rows[at].sum(axis=0)
+                self.seen[at] += 1
         return total, n
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -264,10 +275,19 @@ def fit_languages(
     )
     # The sample is bounded, and so is what its languages' words add up to.
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))
-    counts: dict[str, dict[str, float]] = {k: {} for k in total}
-    for r in counted.withColumn("rank", rank).where(F.col("rank") <= words).collect():
-        counts[r["lang"]][r["word"]] = float(r["count"])
-    return fit_pieces(vocabulary(vocabulary_path), {k: c for k, c in counts.items() if c})
+    kept = counted.withColumn("rank", rank).where(F.col("rank") <= words).select("lang", "word", F.col("count").cast("double"))
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, dict[str, float]] = {}
+        for batch in batches:
+            for lang, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                counts.setdefault(lang, {})[word] = n
+        model = fit_pieces(vocabulary(vocabulary_path), counts)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((model.languages, model.pieces, model.log_p))], pa.binary())], names=["model"])
+
+    # One task fits, as every round needs all words; the driver gets the probabilities alone.
+    learned = kept.repartition(1).sortWithinPartitions("lang", "word").mapInArrow(fitted, "model binary").collect()
+    return Model(*pickle.loads(learned[0]["model"])) if learned else fit_pieces(vocabulary(vocabulary_path), {})
 
 
 RESULT = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType())])
