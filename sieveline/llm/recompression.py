@@ -19,8 +19,9 @@ words, so it is the same wherever the window occurs. Rounds on Spark follow:
    document with a smaller id holds its name.
 4. Texts that hold repeated windows lose the words these cover.
 
-Keys and names that many rows hold are joined apart from the rest: those above a share of
-all rows are few by counting and are broadcast.
+Rounds 2 and 3 look for the smallest document of a name in two steps, first among
+``SALTS`` shares of the documents, then among the shares' smallest, so that a name
+that a third of all documents hold isn't one task's work.
 """
 
 from __future__ import annotations
@@ -31,16 +32,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.llm.common import forget, joined_apart, stored
 
 WINDOW = 50
-LEVELS = 5
+LEVELS = 3
 BLOCK = 200_000  # windows of a text recompressed at once
+CHUNK = 100_000  # words of several texts recompressed at once
 PIECE = 1 << 20  # bytes of a text split at once
-CACHE = 500_000
+SALTS = 16
 SPACES = b" \t\n\v\f\r"
 
 _rng = np.random.default_rng(20240412)
@@ -67,18 +70,10 @@ def pieces(text: bytes) -> Iterator[list[bytes]]:
         at = end
 
 
-class Words(dict):
-    """64-bit hashes of words, each made once while held."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, text: bytes) -> np.ndarray:
-        parts = [np.fromiter(map(self.__getitem__, words), np.uint64, len(words)) for words in pieces(text)]
-        return np.concatenate(parts) if parts else np.empty(0, np.uint64)
+def hashes(parts: list[list[bytes]]) -> np.ndarray:
+    """64-bit hashes of words."""
+    each = [np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) for words in parts]
+    return np.concatenate(each) if each else np.empty(0, np.uint64)
 
 
 class Sums:
@@ -138,30 +133,65 @@ def parse(words: np.ndarray, levels: int = LEVELS) -> Iterator[tuple[np.ndarray,
         yield name, start, np.append(start[1:], n), low, high
 
 
-def witnesses(words: np.ndarray, window: int = WINDOW, levels: int = LEVELS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one witness: its key, and the first and the last window that it stands for.
+def witnesses(words: np.ndarray, apart: np.ndarray | None = None, window: int = WINDOW, levels: int = LEVELS) -> np.ndarray:
+    """The key of each window's witness, 0 without any.
 
     The witness of a window is a symbol of the highest level that has a context inside
-    the window, that with the smallest key among them. Windows without any have key 0.
+    the window, that with the smallest key among them. ``apart`` marks words
+    that stand between texts: a context with one of them is outside.
     """
-    many = len(words) - window + 1
-    if many < 1:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    many = max(len(words) - window + 1, 0)
+    witness, open_ = np.zeros(many, np.uint64), np.ones(many, bool)
+    if not many:
+        return witness
     sums = Sums(words, 0)
-    witness = np.zeros(many, np.uint64)
-    open_ = np.ones(many, bool)
+    between = np.append(0, np.cumsum(apart)) if apart is not None else np.zeros(len(words) + 1, np.int64)
     for _, _, _, low, high in reversed(list(parse(words, levels))[1:]):
         inside = (low >= 0) & (high <= len(words)) & (high - low <= window)
         low, high = low[inside], high[inside]
-        first, last = np.maximum(high - window, 0), np.minimum(low, many - 1)
-        key = sums.of(low, high)
-        least = smallest_over(key, first, last, many)
+        inside = between[low] == between[high]
+        low, high = low[inside], high[inside]
+        least = smallest_over(sums.of(low, high), np.maximum(high - window, 0), np.minimum(low, many - 1), many)
         witness = np.where(open_, least, witness)
         open_ &= least == 0
         if not open_.any():
             break
-    at = np.flatnonzero(np.append(True, witness[1:] != witness[:-1]))
-    return witness[at].view(np.int64), at, np.append(at[1:], many) - 1
+    return witness
+
+
+def spans_of(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows with one witness: the text's place, the key, the first and the last window."""
+    out = []
+    held: list[tuple[int, int, np.ndarray]] = []
+
+    def flush() -> None:
+        size = np.array([len(w) for _, _, w in held])
+        words = np.concatenate([x for k, (_, _, w) in enumerate(held) for x in (w, mixed(np.array([k], np.uint64)))])
+        start = np.append(0, np.cumsum(size + 1)[:-1])
+        apart = np.zeros(len(words), bool)
+        apart[start + size] = True
+        witness = witnesses(words, apart)
+        owner = np.repeat(np.arange(len(held)), size + 1)[: len(witness)]
+        place = np.arange(len(witness)) - start[owner]
+        real = np.flatnonzero(place <= size[owner] - WINDOW)
+        if not len(real):
+            return
+        key, owner, place = witness[real].view(np.int64), owner[real], place[real]
+        at = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])))
+        last = np.append(at[1:], len(real)) - 1
+        text, base = np.array([t for t, _, _ in held])[owner], np.array([b for _, b, _ in held])[owner]
+        out.append((text[at], key[at], (base + place)[at], (base + place)[last]))
+
+    for number, own in enumerate(texts):
+        for base, words in blocks(own):
+            held.append((number, base, words))
+            if sum(len(w) for _, _, w in held) >= CHUNK:
+                flush()
+                held = []
+    if held:
+        flush()
+    none = np.empty(0, np.int64)
+    return tuple(np.concatenate([o[k] for o in out]) if out else none for k in range(4))
 
 
 def smallest_over(key: np.ndarray, first: np.ndarray, last: np.ndarray, many: int) -> np.ndarray:
@@ -195,84 +225,110 @@ def blocks(words: np.ndarray, window: int = WINDOW) -> Iterator[tuple[int, np.nd
         yield at, words[at : at + BLOCK + window - 1]
 
 
-TEXT = "doc_id long, print long, n_words long, d1 long, d2 long, kept_sha256 string, spans array<struct<key:long,first:int,last:int>>"
+TEXT = "row long, doc_id long, print long, n_words long, d1 long, d2 long, kept_sha256 string, spans array<struct<key:long,first:int,last:int>>"
 
 
-def _text_row(words: Words, text: bytes) -> tuple:
-    own = words.of(text)
+def _joined(parts: list[list[bytes]]) -> str:
+    """Digest of all words joined by one space."""
     digest = hashlib.sha256()
-    for k, part in enumerate(p for p in pieces(text) if p):
-        digest.update((b" " if k else b"") + b" ".join(part))
-    ends = np.array([0]), np.array([len(own)])
-    sums = [int(Sums(own, k).of(*ends).view(np.int64)[0]) for k in (0, 1)] if len(own) else [0, 0]
-    found = [(key, first + b, last + b) for b, part in blocks(own) for key, first, last in [witnesses(part)]]
-    return len(own), *sums, digest.hexdigest(), [np.concatenate([f[k] for f in found] or [np.empty(0, np.int64)]) for k in range(3)]
+    for k, words in enumerate(p for p in parts if p):
+        digest.update((b" " if k else b"") + b" ".join(words))
+    return digest.hexdigest()
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = Words()
+    row = TaskContext.get().partitionId() << 40
     for batch in batches:
         for at in range(0, batch.num_rows, 64):
             part = batch.slice(at, 64)
-            rows = [_text_row(words, t.as_py() or b"") for t in part.column(2).cast(pa.binary())]
-            *plain, spans = zip(*rows, strict=True)
-            key, first, last = (np.concatenate([s[k] for s in spans]) for k in range(3))
+            plain, words = [], []
+            for text in part.column(2).cast(pa.binary()):
+                split = list(pieces(text.as_py() or b""))
+                own = hashes(split)
+                ends = np.array([0]), np.array([len(own)])
+                sums = [int(Sums(own, k).of(*ends).view(np.int64)[0]) for k in (0, 1)] if len(own) else [0, 0]
+                row += 1
+                plain.append((row, len(own), *sums, _joined(split)))
+                words.append(own)
+            text, key, first, last = spans_of(words)
             flat = [pa.array(key, pa.int64()), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))]
-            offsets = pa.array(np.append(0, np.cumsum([len(s[0]) for s in spans])), pa.int32())
+            offsets = pa.array(np.searchsorted(text, np.arange(len(words) + 1)), pa.int32())
             lists = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(flat, names=["key", "first", "last"]))
+            rows, *others = (pa.array(c) for c in zip(*plain, strict=True))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), *(pa.array(c) for c in plain), lists],
-                names=["doc_id", "print", "n_words", "d1", "d2", "kept_sha256", "spans"],
+                [rows, part.column(0), part.column(1), *others, lists],
+                names=["row", "doc_id", "print", "n_words", "d1", "d2", "kept_sha256", "spans"],
             )
 
 
+NAMED = "row long, doc_id long, w1 long, w2 long, first int, last int"
+
+
 def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Names of the candidate windows of texts (doc_id, print, text, ranges)."""
-    words = Words()
+    """Names of the candidate windows of texts (row, doc_id, text, ranges); neighbours of one name, as inside a run of one word, are a row."""
     for batch in batches:
         texts, ranges = batch.column(2).cast(pa.binary()), batch.column(3)
         for at in range(batch.num_rows):
-            own = words.of(texts[at].as_py())
+            own = hashes(list(pieces(texts[at].as_py())))
             spans = ranges[at].values
             first, last = (spans.field(k).to_numpy() for k in ("first", "last"))
-            starts = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(first, last, strict=True)]))
+            edge = np.zeros(len(own) + 1, np.int64)
+            np.add.at(edge, first, 1)
+            np.add.at(edge, last + 1, -1)
+            starts = np.flatnonzero(np.cumsum(edge))
             for block, part in blocks(own):
                 s = starts[(starts >= block) & (starts < block + BLOCK)]
                 if not len(s):
                     continue
-                names = [Sums(part, k).of(s - block, s - block + WINDOW).view(np.int64) for k in (0, 1)]
-                ids = pa.array([batch.column(0)[at].as_py()] * len(s), pa.int64())
-                prints = pa.array(np.full(len(s), batch.column(1)[at].as_py()), pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [ids, prints, *map(pa.array, names), pa.array(s.astype(np.int32))], names=["doc_id", "print", "w1", "w2", "start"]
-                )
+                one, two = (Sums(part, k).of(s - block, s - block + WINDOW).view(np.int64) for k in (0, 1))
+                at_ = np.flatnonzero(np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]) | (np.diff(s) > 1)))
+                last = s[np.append(at_[1:], len(s)) - 1]
+                same = [pa.array(np.full(len(at_), batch.column(k)[at].as_py()), pa.int64()) for k in (0, 1)]
+                ends = [pa.array(e.astype(np.int32)) for e in (s[at_], last)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(one[at_]), pa.array(two[at_]), *ends], names=["row", "doc_id", "w1", "w2", "first", "last"])
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Numbers of removed words and digests of kept ones, of texts (doc_id, print, text, starts)."""
+    """Numbers of removed words and digests of kept ones, of texts (doc_id, print, text, ranges of windows)."""
     for batch in batches:
-        texts, starts = batch.column(2).cast(pa.binary()), batch.column(3)
+        texts, ranges = batch.column(2).cast(pa.binary()), batch.column(3)
         for at in range(batch.num_rows):
             parts = list(pieces(texts[at].as_py()))
             n = sum(map(len, parts))
             edge = np.zeros(n + 1, np.int64)
-            own = starts[at].values.to_numpy()
-            np.add.at(edge, own, 1)
-            np.add.at(edge, own + WINDOW, -1)
+            own = ranges[at].values
+            np.add.at(edge, own.field("first").to_numpy(), 1)
+            np.add.at(edge, own.field("last").to_numpy() + WINDOW, -1)
             keep = np.cumsum(edge[:n]) == 0
-            digest, place, some = hashlib.sha256(), 0, False
-            for words in parts:
-                left = [w for w, k in zip(words, keep[place : place + len(words)].tolist(), strict=True) if k]
-                place += len(words)
-                if left:
-                    digest.update((b" " if some else b"") + b" ".join(left))
-                    some = True
+            ends = np.cumsum([len(p) for p in parts])
+            left = [[w for w, k in zip(p, keep[e - len(p) : e].tolist(), strict=True) if k] for p, e in zip(parts, ends.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(at, 1), batch.column(1).slice(at, 1), pa.array([n - int(keep.sum())], pa.int64()), pa.array([digest.hexdigest()])],
+                [batch.column(0).slice(at, 1), batch.column(1).slice(at, 1), pa.array([n - int(keep.sum())], pa.int64()), pa.array([_joined(left)])],
                 names=["doc_id", "print", "n_removed", "sha"],
             )
 
 
+def _marked(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Mark rows whose key more than one document holds (``several``), and those for which one of these is smaller (``above``).
+
+    Smaller documents are sought within ``SALTS`` shares of the documents first. Rows that
+    find one there are done: they go on without what they were compared by, under their
+    text's row for a key, which spreads them. The others are compared across the shares.
+    """
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    share = Window.partitionBy(*keys, salt)
+    low = F.min("doc_id").over(share)
+    first = rows.withColumns({"low": low, "several": low < F.max("doc_id").over(share)})
+    done = F.col("low") < F.col("doc_id")
+    lead, *rest = keys
+    open_ = {"doc_id": F.when(~done, F.col("doc_id")), lead: F.when(done, F.col("row")).otherwise(F.col(lead))}
+    left = first.withColumns(open_ | {k: F.when(~done, F.col(k)) for k in rest}).drop("low")
+    across = Window.partitionBy(*keys, F.isnull("doc_id"))
+    least, most = F.min("doc_id").over(across), F.max("doc_id").over(across)
+    found = left.withColumns({"above": F.isnull("doc_id") | (least < F.col("doc_id")), "more": F.max("several").over(across) | (least < most)})
+    return found.withColumn("several", F.col("above") | F.col("more")).drop(*keys, "doc_id", "more")
+
+
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of each row: what is left once repeated passages are removed.
 
@@ -285,37 +341,28 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     whole = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text_column).alias("print"), F.col(text_column).cast("string").alias("text"))
     key, same = ["doc_id", "print"], ["d1", "d2", "n_words"]
     texts = stored(whole.mapInArrow(_parsed, TEXT), "parsed")
-    own = texts.where(f"n_words >= {WINDOW} and doc_id is not null")
+    slim = texts.drop("spans")
+    own = slim.where(f"n_words >= {WINDOW} and doc_id is not null")
     first = stored(own.groupBy(*same).agg(F.count("*").alias("rows"), F.min("doc_id").alias("first")), "first")
-    # Of texts with equal words only those with the smallest id are looked at; the others lose everything.
-    stand = joined_apart(own, first, same).where("doc_id = first").dropDuplicates(key)
-    spans = stored(stand.select(*key, F.explode("spans").alias("s")).select(*key, "s.key", "s.first", "s.last"), "spans")
-    shared = stored(
-        spans.where("key <> 0").groupBy("key").agg(F.count("*").alias("rows"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-        .where("low < high").select("key", "rows"),
-        "shared",
-    )
-    ranges = joined_apart(spans, shared, ["key"]).unionByName(spans.where("key = 0")).groupBy(*key).agg(
-        F.collect_list(F.struct("first", "last")).alias("ranges")
-    )
-    windows = stored(
-        whole.join(ranges, key).dropDuplicates(key).select(*key, "text", "ranges").mapInArrow(_named, "doc_id long, print long, w1 long, w2 long, start int"),
-        "windows",
-    )
-    repeated = stored(
-        windows.groupBy("w1", "w2").agg(F.count("*").alias("rows"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-        .where("low < high").select("w1", "w2", "rows", "low"),
-        "repeated",
-    )
-    starts = joined_apart(windows, repeated, ["w1", "w2"]).where("low < doc_id").groupBy(*key).agg(F.collect_list("start").alias("starts"))
+    # Of texts with equal words only those with the smallest id are looked at, once each; the others lose everything.
+    stand = stored(joined_apart(own, first, same).where("doc_id = first").groupBy(*key).agg(F.min("row").alias("row")), "stand")
+    spans = texts.select("row", "spans").join(stand.select("row", "doc_id"), "row").select("row", "doc_id", F.explode("spans").alias("s"))
+    # Windows without a witness are candidates by themselves: a key of their text's own, marked as shared.
+    alone = F.col("key") == 0
+    keyed = spans.select("row", "doc_id", "s.*").withColumns({"key": F.when(alone, F.col("row")).otherwise(F.col("key")), "alone": alone})
+    shared = _marked(keyed, ["key"]).where("several or alone")
+    ranges = shared.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+    candidates = whole.join(ranges.join(stand, "row"), key).dropDuplicates(key).select("row", "doc_id", "text", "ranges")
+    repeated = _marked(candidates.mapInArrow(_named, NAMED), ["w1", "w2"]).where("above")
+    gone = repeated.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("ranges")).join(stand, "row")
     cut = stored(
-        whole.join(starts, key).dropDuplicates(key).select(*key, "text", "starts").mapInArrow(_removed, "doc_id long, print long, n_removed long, sha string"),
+        whole.join(gone, key).dropDuplicates(key).select(*key, "text", "ranges").mapInArrow(_removed, "doc_id long, print long, n_removed long, sha string"),
         "cut",
     )
-    forget(spans, shared, windows, repeated)
+    forget(stand)
     nothing = F.lit(hashlib.sha256(b"").hexdigest())
     copy = F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False))
-    return joined_apart(texts.drop("spans"), first, same, "left").join(cut, key, "left").select(
+    return joined_apart(slim, first, same, "left").join(cut, key, "left").select(
         "doc_id", "n_words",
         F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
         F.when(copy, nothing).otherwise(F.coalesce("sha", "kept_sha256")).alias("kept_sha256"),

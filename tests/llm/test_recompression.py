@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from sieveline.llm import recompression
-from sieveline.llm.recompression import WINDOW, parse, remove_repeats, smallest_over, witnesses
+from sieveline.llm.recompression import WINDOW, hashes, parse, remove_repeats, smallest_over, spans_of, witnesses
 from sieveline.session import ship_package
 
 SCHEMA = "doc_id long, text string, print string, n_words int, spans string, start int, first int, rows int"
@@ -69,33 +69,33 @@ def test_removal_equals_brute_force(spark, seed):
     assert sum(r[2] > 0 for r in got) > 30
 
 
-def test_blocks_and_hot_keys_change_nothing(spark, monkeypatch):
+def test_blocks_and_salts_change_nothing(spark, monkeypatch):
     rows = corpus(3)
-    want = brute(rows)
-    texts = dict(rows)
-    for size in (7, 64):
-        monkeypatch.setattr(recompression, "BLOCK", size)
-        words = recompression.Words()
-        for t in list(texts.values())[:20]:
-            own = words.of(t.encode())
-            whole = {p: int(k) for key, a, b in [witnesses(own)] for k, x, y in zip(key, a, b, strict=True) for p in range(x, y + 1)}
-            cut = {s + p: int(k) for s, part in recompression.blocks(own) for key, a, b in [witnesses(part)] for k, x, y in zip(key, a, b, strict=True) for p in range(x, y + 1)}
-            assert cut == whole
-    assert run(spark, rows) == want
+    own = [hashes([t.encode().split()]) for _, t in rows[:25]]
+    want = [{k: v for k, v in enumerate(witnesses(w).view(np.int64).tolist())} for w in own]
+    for block, chunk in ((7, 100_000), (64, 1), (200_000, 300), (200_000, 100_000)):
+        monkeypatch.setattr(recompression, "BLOCK", block)
+        monkeypatch.setattr(recompression, "CHUNK", chunk)
+        got = [{} for _ in own]
+        for t, key, first, last in zip(*(c.tolist() for c in spans_of(own)), strict=True):
+            got[t].update(dict.fromkeys(range(first, last + 1), key))
+        assert got == want
+    monkeypatch.setattr(recompression, "BLOCK", 64)
+    for salts in (1, 50):
+        monkeypatch.setattr(recompression, "SALTS", salts)
+        assert run(spark, rows) == brute(rows)
 
 
 def test_equal_passages_have_equal_witnesses():
     rng = np.random.default_rng(4)
     known = 0
-    for trial in range(300):
+    for _ in range(300):
         size = int(rng.choice([2, 3, 40, 5000]))
-        passage = rng.integers(1, size + 1, WINDOW).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        seen = set()
+        words = lambda n: rng.integers(1, size + 1, n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)  # noqa: B023, E731
+        passage, seen = words(WINDOW), set()
         for _ in range(4):
-            sides = [rng.integers(1, size + 1, rng.integers(0, 90)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for _ in range(2)]
-            key, first, last = witnesses(np.concatenate([sides[0], passage, sides[1]]))
-            at = len(sides[0])
-            seen.add(int(key[np.flatnonzero((first <= at) & (last >= at))[0]]))
+            before = words(rng.integers(0, 90))
+            seen.add(int(witnesses(np.concatenate([before, passage, words(rng.integers(0, 90))]))[len(before)]))
         assert len(seen) == 1
         known += 0 not in seen
     assert known > 280
