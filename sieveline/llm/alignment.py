@@ -19,9 +19,8 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +31,12 @@ from pyspark.sql import functions as F
 from sieveline.llm.common import stored
 
 SPACE = "▁"
-CHUNK = re.compile(r"(?<=\S)(?=[ \n])")
+# Up to a character other than white space that a space or a line break follows.
+CHUNK = re.compile(r"\s*\S+(?:[^\S \n]\s*\S+)*(?:[^\S \n]\s*\Z)?|\s+")
 BYTE = re.compile(r"<0x([0-9A-F]{2})>")
-CACHE, LONG = 100_000, 48  # chunks held by a task, and the length beyond which a chunk isn't held
+CACHE = 400_000  # chunks held by a task; beyond it those seen once are forgotten
+RUN, TEXTS = 50_000, 500_000  # characters of chunks encoded, and of texts looked at, at once
+SIGNS = ";,|"  # before a group's first A token, before a further token, before its first B token
 SHIFT = 1 << 20  # more than the ids of either vocabulary
 PAIRS = 1_000_000  # id pairs that are sent to every executor; more are joined by a shuffle
 
@@ -57,42 +59,22 @@ def piece_bytes(piece: str) -> bytes:
     return bytes([int(byte[1], 16)]) if byte else piece.replace(SPACE, " ").encode()
 
 
-def refined(spans: list[tuple[int, int]], raw: list[bytes]) -> list[int]:
-    """Byte ends of tokens: their coarse spans where these fit the decoded bytes, else the decoded bytes."""
-    ends, at = [], 0
-    for (start, end), own in zip(spans, raw, strict=True):
-        at = end if start == at and end - start == len(own) else at + len(own)
-        ends.append(at)
-    return ends
+def refined(begin: np.ndarray, end: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Byte ends of tokens from the libraries' spans and the sizes of their decoded bytes.
 
-
-@dataclass(slots=True)
-class Aligned:
-    """A chunk's tokens: their numbers, groups as text, and links as (A id * SHIFT + B id)."""
-
-    n_a: int
-    n_b: int
-    n_groups: int
-    groups: str
-    links: tuple[int, ...]
-
-
-def align(a: list[int], a_ends: list[int], b: list[int], b_ends: list[int]) -> Aligned:
-    """Groups between common ends, and links between tokens whose byte ranges overlap."""
-    groups, links = [], []
-    i = j = i0 = j0 = 0
-    while i < len(a) and j < len(b):
-        links.append(a[i] * SHIFT + b[j])
-        x, y = a_ends[i], b_ends[j]
-        i, j = i + (x <= y), j + (y <= x)
-        if x == y:
-            groups.append(",".join(map(str, a[i0:i])) + "|" + ",".join(map(str, b[j0:j])))
-            i0, j0 = i, j
-    return Aligned(len(a), len(b), len(groups), ";".join(groups), tuple(links))
+    A coarse cut lies between tokens whose spans meet there and are as long as their
+    bytes. Among the tokens between two such cuts the bytes tell the ends.
+    """
+    fits = end - begin == size
+    clean = np.append(fits[:-1] & fits[1:] & (end[:-1] == begin[1:]), False)
+    total = np.cumsum(size)
+    last = np.maximum.accumulate(np.where(clean, np.arange(len(end)), -1))
+    base = np.where(last < 0, 0, end[last] - total[last])
+    return np.where(clean, end, total + base)
 
 
 class Aligner:
-    """Aligns chunks, each distinct one once while it is held."""
+    """Tokens, groups and links of chunks, each distinct chunk aligned once while it is held."""
 
     def __init__(self, byte_path: str, piece_path: str) -> None:
         import sentencepiece
@@ -102,53 +84,146 @@ class Aligner:
         self.bytes = Tokenizer.from_file(byte_path)
         self.bytes.encode_special_tokens = True
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=piece_path)
-        self.a_raw = {i: byte_level_bytes(t) if all(c in _BYTE_OF for c in t) else t.encode() for t, i in self.bytes.get_vocab().items()}
-        self.b_raw = [piece_bytes(self.pieces.id_to_piece(i)) for i in range(self.pieces.get_piece_size())]
-        normal = [self.pieces.id_to_piece(i) for i in range(self.pieces.get_piece_size()) if not self.pieces.is_control(i)]
-        if any(SPACE in p.lstrip(SPACE) or ("\n" in p and p != "\n") for p in normal):
+        entries = {i: t for t, i in self.bytes.get_vocab().items()}
+        self.a_raw = [byte_level_bytes(t) if all(c in _BYTE_OF for c in t) else t.encode() for t in (entries.get(i, "") for i in range(max(entries) + 1))]
+        names = [self.pieces.id_to_piece(i) for i in range(self.pieces.get_piece_size())]
+        self.b_raw = [piece_bytes(p) for p in names]
+        if any(SPACE in p.lstrip(SPACE) or ("\n" in p and p != "\n") for i, p in enumerate(names) if not self.pieces.is_control(i)):
             raise ValueError("the vocabulary has pieces across the border of a chunk")
-        self.known: dict[str, Aligned | None] = {}
-
-    def learn(self, chunks: list[str]) -> dict[str, Aligned | None]:
-        """Align chunks that begin with a space or a line break; None where a tokenizer's bytes aren't the chunk's."""
-        found: dict[str, Aligned | None] = {}
-        if not chunks:
-            return found
-        byte = self.bytes.encode_batch(chunks, add_special_tokens=False)
-        # The library puts a space before a text: it stands for a chunk's own space. Other chunks, and a
-        # space alone, are read behind a line break, which is always a token of its own.
-        spaced = [c[0] == " " and len(c) > 1 for c in chunks]
-        read = [c[1:] if s else "\n" + c for c, s in zip(chunks, spaced, strict=True)]
-        piece = self.pieces.encode(read, return_type="proto", num_threads=1)
-        for chunk, own_space, ours, theirs in zip(chunks, spaced, byte, piece, strict=True):
-            whole = chunk.encode()
-            a = ours.ids
-            a_raw = [self.a_raw[i] for i in a]
-            parts = theirs.pieces if own_space else theirs.pieces[2:]
-            b = [p.id for p in parts]
-            b_raw = [self.b_raw[i] for i in b]
-            if b"".join(a_raw) != whole or b"".join(b_raw) != whole:
-                found[chunk] = None
+        self.a_size, self.b_size = (np.array([len(r) for r in raw]) for raw in (self.a_raw, self.b_raw))
+        self.spelled = [sign + str(i) for i in range(max(len(self.a_raw), len(names))) for sign in SIGNS]
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.groups: list[str] = []
+        self.numbers = np.empty((0, 5), np.int64)  # n_a, n_b, n_groups, n_links (-1: bytes differ), first link
+        self.links = np.empty(0, np.int64)
+        self.seen = np.empty(0, np.int64)
+
+    def forget_rare(self) -> None:
+        """Keep the chunks seen more than once, unless they are most of all."""
+        keep = np.flatnonzero(self.seen > 1)
+        if len(keep) > CACHE // 2:
+            self.forget()
+            return
+        names, numbers = list(self.place), self.numbers[keep]
+        size = np.maximum(numbers[:, 3], 0)
+        start = np.cumsum(size) - size
+        links = self.links[np.arange(int(size.sum())) + np.repeat(numbers[:, 4] - start, size)]
+        groups = [self.groups[i] for i in keep.tolist()]
+        self.place = {names[i]: k for k, i in enumerate(keep.tolist())}
+        self.groups, self.links = groups, links
+        self.numbers = np.column_stack([numbers[:, :4], start])
+        self.seen = np.zeros(len(keep), np.int64)
+
+    def learn(self, chunks: list[str]) -> None:
+        """Align new chunks. Chunks that end in white space end their text and are read alone."""
+        runs: list[list[str]] = []
+        size = RUN
+        for c in chunks:
+            if c[-1].isspace():
+                runs.append([c])
                 continue
-            place = range(len(whole) + 1)
-            if len(whole) != len(chunk):
-                place = np.concatenate([[0], np.cumsum([len(c.encode()) for c in chunk])]).tolist()
-            a_spans = [(place[s], place[e]) for s, e in ours.offsets]
-            add = 1 if own_space else -1
-            b_spans = [(p.begin + add if k or not own_space else 0, p.end + add) for k, p in enumerate(parts)]
-            found[chunk] = align(a, refined(a_spans, a_raw), b, refined(b_spans, b_raw))
-        return found
-
-    def chunks(self, texts: list[str | None]) -> Iterator[tuple[list[str], dict[str, Aligned | None]]]:
-        """Each text's chunks with their alignments; texts that are null or empty have none."""
-        for text in texts:
-            chunks = CHUNK.split(" " + text) if text else []
-            if len(self.known) > CACHE:
-                self.known.clear()
-            missing = {c for c in chunks if c not in self.known}
-            new = self.learn(sorted(missing))
-            self.known.update((c, v) for c, v in new.items() if len(c) <= LONG)
-            yield chunks, new
+            if size + len(c) > RUN:
+                inner: list[str] = []
+                runs.append(inner)
+                size = 0
+            inner.append(c)
+            size += len(c)
+        numbers, links = [self.numbers], [self.links]
+        base = len(self.links)
+        for run in runs:
+            found = self.align(run)
+            parts = [(run, found)] if found is not None else [([c], self.align([c])) for c in run]
+            for own, got in parts:
+                self.place.update(zip(own, range(len(self.groups), len(self.groups) + len(own)), strict=True))
+                if got is None:
+                    self.groups.append("")
+                    numbers.append(np.array([[0, 0, 0, -1, 0]]))
+                    continue
+                texts, n, pairs = got
+                self.groups += texts
+                numbers.append(np.column_stack([n, base + np.append(0, np.cumsum(n[:, 3])[:-1])]))
+                links.append(pairs)
+                base += len(pairs)
+        self.numbers, self.links = np.concatenate(numbers), np.concatenate(links)
+        self.seen = np.append(self.seen, np.zeros(len(self.groups) - len(self.seen), np.int64))
+
+    def align(self, run: list[str]) -> tuple[list[str], np.ndarray, np.ndarray] | None:
+        """Groups as text and (n_a, n_b, n_groups, n_links) of each chunk, and all links in order.
+
+        None where a tokenizer's bytes aren't those of the chunks. The run is read
+        behind a word of its own, whose space B adds itself.
+        """
+        text = " x" + "".join(run)
+        whole = text.encode()
+        ours = self.bytes.encode(text, add_special_tokens=False)
+        theirs = self.pieces.encode(text[1:], return_type="proto").pieces
+        a_ids, b_ids = ours.ids, [p.id for p in theirs]
+        if b"".join([self.a_raw[i] for i in a_ids]) != whole or b"".join([self.b_raw[i] for i in b_ids]) != whole:
+            return None
+        a, b = np.array(a_ids), np.array(b_ids)
+        a_span = np.fromiter(chain.from_iterable(ours.offsets), np.int64, 2 * len(a)).reshape(-1, 2)
+        if len(whole) != len(text):
+            code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+            a_span = np.append(0, np.cumsum(1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)))[a_span]
+        b_span = np.array([[p.begin for p in theirs], [p.end for p in theirs]]).T + 1
+        b_span[0, 0] = 0  # the space that B adds
+        a_end, b_end = refined(*a_span.T, self.a_size[a]), refined(*b_span.T, self.b_size[b])
+        edge = np.cumsum([2, *(len(c) if c.isascii() else len(c.encode()) for c in run)])
+        # Links: every stretch between two ends of either kind lies in one token of each.
+        ends = np.union1d(a_end, b_end)
+        pairs = a[np.searchsorted(a_end, ends)] * SHIFT + b[np.searchsorted(b_end, ends)]
+        common = np.intersect1d(a_end, b_end, assume_unique=True)
+        cut = [np.searchsorted(e, edge, side="right") for e in (a_end, b_end, common, ends)]
+        n = np.column_stack([np.diff(c) for c in cut])
+        # Tokens in order of their groups, A's first, each behind its separator.
+        group = [np.searchsorted(common, e) for e in (a_end, b_end)]
+        lead = [np.append(True, g[1:] != g[:-1]) for g in group]
+        signs = np.concatenate([np.where(lead[0], 0, 1), np.where(lead[1], 2, 1)])
+        order = np.argsort(2 * np.concatenate(group) + np.repeat([0, 1], [len(a), len(b)]), kind="stable")
+        spelled = self.spelled
+        tokens = [spelled[k] for k in (np.concatenate([a, b]) * len(SIGNS) + signs)[order].tolist()]
+        at = (cut[0] + cut[1]).tolist()
+        texts = ["".join(tokens[lo:hi])[1:] for lo, hi in zip(at[:-1], at[1:], strict=True)]
+        return texts, n, pairs[cut[3][0] :]
+
+    def digests(self, texts: list[str | None]) -> list[tuple]:
+        """n_a, n_b, n_groups, n_links, digest and links of each text; zeros where it has no tokens."""
+        if len(self.place) > CACHE:
+            self.forget_rare()
+        split = [CHUNK.findall(" " + t) if t else [] for t in texts]
+        missing = {c for chunks in split for c in chunks if c not in self.place}
+        if missing:
+            self.learn(sorted(missing))
+        return [self._digest(chunks) for chunks in split]
+
+    def _digest(self, chunks: list[str]) -> tuple:
+        at = np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))
+        each = self.numbers[at]
+        np.add.at(self.seen, at, 1)
+        if not len(at) or each[:, 3].min() < 0:
+            return 0, 0, 0, 0, "", (np.empty(0, np.int64), np.empty(0, np.int64))
+        n = each[:, :4].sum(axis=0)
+        groups = self.groups
+        digest = hashlib.sha256(";".join([groups[i] for i in at.tolist()]).encode()).hexdigest()
+        size = each[:, 3]
+        rows = np.arange(n[3]) + np.repeat(each[:, 4] - (np.cumsum(size) - size), size)
+        return *n.tolist(), digest, np.unique(self.links[rows], return_counts=True)
+
+
+def _portions(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """Texts in order, as many at once as their length allows."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t or "")
+        if size > TEXTS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def _aligned(byte_path: str, piece_path: str):
@@ -156,40 +231,22 @@ def _aligned(byte_path: str, piece_path: str):
         aligner = Aligner(byte_path, piece_path)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):  # few texts' links at once
-                ids, texts = batch.column(0).slice(at, 64), batch.column(1).slice(at, 64).to_pylist()
-                out: list[list] = [[] for _ in range(7)]
-                for chunks, new in aligner.chunks(texts):
-                    row += 1
-                    for column, value in zip(out, (row, *_digest(chunks, new, aligner.known)), strict=True):
-                        column.append(value)
-                yield _batch(ids, out)
+            at = 0
+            for texts in _portions(batch.column(1).to_pylist()):
+                found = aligner.digests(texts)
+                plain = [pa.array(c, pa.string() if k == 4 else pa.int64()) for k, c in enumerate(zip(*(f[:5] for f in found), strict=True))]
+                links = [f[5] for f in found]
+                offsets = pa.array(np.append(0, np.cumsum([len(p) for p, _ in links])), pa.int32())
+                flat = [pa.array(np.concatenate([x[k] for x in links]), pa.int64()) for k in (0, 1)]
+                pairs = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(flat, names=["pair", "n"]))
+                rows = pa.array(np.arange(row, row + len(texts)), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), rows, *plain, pairs], names=NAMES)
+                at, row = at + len(texts), row + len(texts)
 
     return run
 
 
-def _digest(chunks: list[str], new: dict, known: dict) -> tuple:
-    """n_a, n_b, n_groups, n_links, digest and links of a text; zeros where a chunk has no alignment."""
-    each = Counter(chunks)
-    found = {c: new[c] if c in new else known[c] for c in each}
-    if not found or any(v is None for v in found.values()):
-        return 0, 0, 0, 0, "", (np.empty(0, np.int64), np.empty(0, np.int64))
-    n = [sum(getattr(found[c], name) * k for c, k in each.items()) for name in ("n_a", "n_b", "n_groups")]
-    digest = hashlib.sha256(";".join([found[c].groups for c in chunks]).encode()).hexdigest()
-    pairs = np.concatenate([found[c].links for c in each]).astype(np.int64)
-    times = np.repeat(list(each.values()), [len(found[c].links) for c in each])
-    distinct, place = np.unique(pairs, return_inverse=True)
-    count = np.bincount(place, weights=times).astype(np.int64)
-    return *n, int(times.sum()), digest, (distinct, count)
-
-
-def _batch(ids: pa.Array, out: list[list]) -> pa.RecordBatch:
-    *plain, links = out
-    offsets = pa.array(np.concatenate([[0], np.cumsum([len(p) for p, _ in links])]), pa.int32())
-    flat = [pa.array(np.concatenate([x[k] for x in links]), pa.int64()) for k in (0, 1)]
-    arrays = [pa.array(c, pa.string() if k == 5 else pa.int64()) for k, c in enumerate(plain)]
-    pairs = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(flat, names=["pair", "n"]))
-    return pa.RecordBatch.from_arrays([ids, *arrays, pairs], names=["doc_id", "row", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "links"])
+NAMES = ["doc_id", "row", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "links"]
 
 
 def align_tokenizers(

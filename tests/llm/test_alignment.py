@@ -1,11 +1,14 @@
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 
-from sieveline.llm.alignment import Aligner, align_tokenizers, byte_level_bytes, piece_bytes, refined
+from sieveline.llm import alignment
+from sieveline.llm.alignment import CHUNK, Aligner, align_tokenizers, byte_level_bytes, piece_bytes, refined
 from sieveline.session import ship_package
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -91,21 +94,41 @@ def test_chunks_give_the_tokens_of_the_whole_text(libraries):
     byte, piece = libraries
     aligner = Aligner(A, B)
     rng = random.Random(9)
-    for _ in range(3000):
-        text = "".join(rng.choice(ODD) for _ in range(rng.randrange(1, 12)))
-        ((chunks, new),) = aligner.chunks([text])
-        found = [new[c] if c in new else aligner.known[c] for c in chunks]
-        if any(f is None for f in found):
+    texts = ["".join(rng.choice(ODD) for _ in range(rng.randrange(1, 12))) for _ in range(3000)]
+    aligner.digests(texts)
+    for text in texts:
+        assert CHUNK.findall(" " + text) == re.split(r"(?<=\S)(?=[ \n])", " " + text)
+        at = [aligner.place[c] for c in CHUNK.findall(" " + text)]
+        if aligner.numbers[at, 3].min() < 0:
+            assert "▁" in text or b"".join(piece_bytes(piece.id_to_piece(i)) for i in piece.encode(text)) != (" " + text).encode()
             continue
-        ids = [g.split("|") for f in found for g in f.groups.split(";")]
+        ids = [g.split("|") for k in at for g in aligner.groups[k].split(";")]
         assert [int(t) for g, _ in ids for t in g.split(",")] == byte.encode(" " + text, add_special_tokens=False).ids
         assert [int(t) for _, g in ids for t in g.split(",")] == piece.encode(text)
 
 
+def test_rare_chunks_are_forgotten_and_nothing_changes(monkeypatch):
+    monkeypatch.setattr(alignment, "CACHE", 40)
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["the", "of", "naïve", "你好", f"w{rng.randrange(10**6)}", "a▁b"]) for _ in range(rng.randrange(1, 30))) for _ in range(120)]
+    small, large = Aligner(A, B), Aligner(A, B)
+    monkeypatch.setattr(small, "forget_rare", lambda own=small.forget_rare: kept.append(own()))
+    kept = []
+    got = [r for t in texts for r in small.digests([t])]
+    monkeypatch.setattr(alignment, "CACHE", 10**9)
+    for mine, theirs in zip(got, large.digests(texts), strict=True):
+        assert mine[:5] == theirs[:5] and all((x == y).all() for x, y in zip(mine[5], theirs[5], strict=True))
+    assert len(kept) > 3
+
+
 def test_coarse_spans_are_refined_inside_characters():
-    # Three tokens of one character that all carry its span, then a token whose span is exact.
-    assert refined([(0, 4), (0, 4), (0, 4), (4, 6)], [b"\xf0\x9f", b"\x98", b"\x80", b"ab"]) == [2, 3, 4, 6]
-    assert refined([(0, 0), (0, 3), (3, 4)], [b"\xe4", b"\xbd\xa0", b" "]) == [1, 3, 4]
+    def ends(spans, raw):
+        begin, end = np.array(spans).T
+        return refined(begin, end, np.array([len(r) for r in raw])).tolist()
+
+    # Three tokens of one character that all carry its span, between tokens whose spans are exact.
+    assert ends([(0, 1), (1, 2), (2, 6), (2, 6), (2, 6), (6, 8)], [b"x", b"y", b"\xf0\x9f", b"\x98", b"\x80", b"ab"]) == [1, 2, 4, 5, 6, 8]
+    assert ends([(0, 0), (0, 3), (3, 4), (4, 5)], [b"\xe4", b"\xbd\xa0", b" ", b"z"]) == [1, 3, 4, 5]
 
 
 def test_no_rows(spark):
