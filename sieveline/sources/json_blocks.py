@@ -47,7 +47,7 @@ def structure(data: np.ndarray, in_string: bool) -> tuple[np.ndarray, np.ndarray
     line = data == _LINE
     base = np.maximum.accumulate(np.where(line, through, -1))
     begun = np.where(base < 0, int(in_string), -base)  # quotes of the current line only
-    inside = ((through - quote + np.where(base < 0, begun, begun)) % 2).astype(bool) & ~line
+    inside = ((through - quote + begun) % 2).astype(bool) & ~line
     outside = ~inside & ~quote
     opens = outside & ((data == _ARRAY) | (data == ord("{")))
     closes = outside & ((data == ord("]")) | (data == ord("}")))
