@@ -10,6 +10,7 @@ writes what agents used of the last day's hours, and the next one reads that alo
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Mapping
 from datetime import datetime, timezone
 from typing import Any
@@ -137,6 +138,41 @@ def _before(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
     return spark.read.parquet(before)
 
 
+#: What of a filter's configuration its state depends on; everything else may change on an old checkpoint.
+_STATE_OF = {"dedup": "key_fields", "rate-limiter": None, "adaptive-sampling": None, "windowed-aggregation": None}
+
+
+def state_shape(plan: CompiledSpec, mode: str, batch_mode: str) -> list[str]:
+    """One line per filter that keeps state, in order: what an old checkpoint must have in common."""
+    lines = []
+    for config in plan.spec["filters"]:
+        kind = config["type"]
+        if kind in _STATE_OF:
+            own = config.get(_STATE_OF[kind]) if _STATE_OF[kind] else None
+            how = batch_mode if kind == "windowed-aggregation" else mode
+            lines.append(json.dumps({"filter": kind, "keys": own, "partition_by": list(config.get("partition_by") or ()), "mode": how}))
+    return lines
+
+
+def check_shape(spark: SparkSession, checkpoint: str, shape: list[str]) -> None:
+    """Refuse a specification whose state an old checkpoint doesn't hold, by name; note the shape of a new one.
+
+    Rules, windows, limits, agents and filters without state may change between runs.
+    """
+    path = f"{checkpoint}/state-shape"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        rows = [(i, line) for i, line in enumerate(shape)]
+        spark.createDataFrame(rows, "no int, line string").coalesce(1).write.json(path)
+        return
+    before = [r["line"] for r in spark.read.schema("no int, line string").json(path).orderBy("no").collect()]
+    for i in range(max(len(before), len(shape))):
+        old, new = (json.loads(x[i]) if i < len(x) else None for x in (before, shape))
+        if old != new:
+            name = (new or old)["filter"]
+            raise SpecError(f"filter {i + 1} with state ({name}) doesn't fit the checkpoint: it holds {old}, the specification asks for {new}")
+
+
 def start_spec(
     plan: CompiledSpec,
     spark: SparkSession,
@@ -151,7 +187,8 @@ def start_spec(
     """Start the pipeline; returns the streaming query.
 
     With a trigger that ends by itself, as the default does, batches of events are
-    decided in event time: a clock would keep the query going.
+    decided in event time: a clock would keep the query going. On an old checkpoint a changed
+    specification goes on with its state, or is refused by ``check_shape``.
 
     Writes ``out``/replies (every routed row with its reply, ``is_sent`` false
     beyond the budget), ``out``/actions, and ``out``/alerts, or ``out``/retry,
@@ -192,6 +229,7 @@ def start_spec(
 
     trigger = trigger or {"availableNow": True}
     ends = "availableNow" in trigger or "once" in trigger
+    check_shape(spark, checkpoint, state_shape(plan, mode, "ordered" if ends else mode))
     events = live_events(plan, spark, streams, mode, delay, "ordered" if ends else mode)
     writer = events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return writer.trigger(**trigger).start()

@@ -239,3 +239,25 @@ def test_windowed_aggregation_runs_live(spark, tmp_path):
     got = [json.loads(r["payload"]) for r in spark.read.parquet(str(tmp_path / "out" / "replies")).collect()]
     assert sorted(e["payload"]["n"] for b in got for e in b["events"]) == list(range(9))
     assert all(b["batch_size"] == 1 and b["window_prompt"] == "Sum up." for b in got)
+
+
+def test_a_changed_specification_on_an_old_checkpoint(spark, tmp_path):
+    rows = [(f"{i}", "s", 10 * i, "DATA", 3, f'{{"n":{i % 3},"k":"{"ab"[i % 2]}"}}', None, None) for i in range(12)]
+    df = spark.createDataFrame(rows, "event_id string, source_id string, s long, event_type string, priority int, payload string, metadata string, raw string")
+    df = df.withColumn("timestamp", F.timestamp_seconds("s")).select(*live.COLUMNS)
+    feed, out, ck = (str(tmp_path / n) for n in ("feed", "out", "ck"))
+
+    def run(lo, hi, filters):
+        df.where(F.col("event_id").cast("int").between(lo, hi)).coalesce(1).write.mode("append").parquet(feed)
+        plan = sp.compile_spec({"sources": [{"id": "s"}], "filters": filters, "agent": AGENT})
+        live.start_spec(plan, spark, out, ck, {"s": spark.readStream.schema(df.schema).parquet(feed)}).awaitTermination()
+        return sorted(int(r["event_id"]) for r in spark.read.parquet(out + "/replies").collect())
+
+    rule = lambda k: {"type": "content-filter", "rules": [{"field": "payload.k", "in": k}]}
+    dedup = {"type": "dedup", "key_fields": ["payload.n"], "window_seconds": 1000}
+    assert run(0, 3, [rule(["a"]), dedup]) == [0, 2]
+    # Another rule, one filter more and a longer window: what was seen stays known.
+    assert run(4, 9, [rule(["a", "b"]), {"type": "priority-router"}, {**dedup, "window_seconds": 2000}]) == [0, 2, 4]
+    for other in ([rule(["a"]), {**dedup, "key_fields": ["payload.k"]}], [rule(["a"])], [{"type": "rate-limiter"}, dedup]):
+        with pytest.raises(sp.SpecError, match="dedup|rate-limiter"):
+            run(10, 11, other)
