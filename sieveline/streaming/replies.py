@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from sieveline.functions.text import with_actions
+from sieveline.streaming.stateful import keep_state_in_rocksdb
 
 CHUNK = ["seq", "type", "text", "tokens_used"]
 _CHUNKS = "seq bigint, type string, text string, tokens_used bigint"
@@ -83,7 +84,7 @@ def assemble_live(chunks: DataFrame, key: str = "response_id", idle_seconds: flo
     pass for without a chunk leaves with what has come, ``is_whole`` false; this asks
     for the wall clock, so such a query has no end of its own (no ``availableNow``).
     """
-    slim = chunks.select(
+    slim = chunks.transform(keep_state_in_rocksdb).select(
         F.col(key).cast("string").alias("response_id"), F.col("seq").cast("long").alias("seq"), "type", "text", F.col("tokens_used").cast("long").alias("tokens_used")
     ).where("seq is not null")
     found = slim.groupBy("response_id").transformWithStateInPandas(

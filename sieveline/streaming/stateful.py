@@ -32,6 +32,14 @@ from sieveline.operators.routing import webhook_verdict
 
 _MICROS = 1_000_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def keep_state_in_rocksdb(df: DataFrame) -> DataFrame:
+    """State of several variables needs the RocksDB store, which isn't a session's default."""
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return df
+
+
 # The worker turns rows into named tuples, which lose names with a leading underscore.
 KEY, TIME = "group_key", "event_us"
 
@@ -167,9 +175,7 @@ class _Processor(StatefulProcessor):
 def _run(df: DataFrame, fold, keys: Sequence[str | Column], mode: str, delay: str) -> DataFrame:
     if mode not in ("arrival", "ordered"):
         raise ValueError(f"unknown mode: {mode}")
-    # This kind of state needs the RocksDB store.
-    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    carried = df.withColumns({KEY: key_column(keys), TIME: F.unix_micros("timestamp")})
+    carried = df.transform(keep_state_in_rocksdb).withColumns({KEY: key_column(keys), TIME: F.unix_micros("timestamp")})
     if mode == "ordered":
         carried = carried.withWatermark("timestamp", delay)
     # Timestamps travel as micros: state rows stay plain numbers and text.

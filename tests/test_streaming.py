@@ -213,3 +213,23 @@ def test_suggestions_are_seeded_forgotten_and_found_again(spark):
     stream = spark.readStream.schema("doc_id string, poll int, suggestion_ids array<string>").option("maxFilesPerTrigger", 1).parquet(path)
     got = sorted(tuple(r) for r in drain(spark, new_suggestions_stream(stream)).collect())
     assert got == [("d", 2, "b"), ("d", 3, "c"), ("d", 4, "a"), ("e", 2, "x")]
+
+
+STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+@pytest.fixture
+def plain_session(spark):
+    """A session that names no state store: Spark's default can't hold several variables."""
+    before = spark.conf.get(STORE)
+    spark.conf.set(STORE, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    yield spark
+    spark.conf.set(STORE, before)
+
+
+def test_replies_need_no_setting_of_the_session(plain_session):
+    path = scratch_path(plain_session, "chunks")
+    rows = [("a", 0, "text", "hi", None), ("a", 1, "done", None, None)]
+    plain_session.createDataFrame(rows, "response_id string, seq long, type string, text string, tokens_used long").coalesce(1).write.parquet(path)
+    stream = plain_session.readStream.schema("response_id string, seq long, type string, text string, tokens_used long").parquet(path)
+    assert [r["content"] for r in drain(plain_session, assemble_live(stream)).collect()] == ["hi"]
