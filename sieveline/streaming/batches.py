@@ -24,6 +24,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from sieveline.operators.ordered import key_column
 from sieveline.operators.stateful import batch_events
 from sieveline.schema import DEFAULT_PRIORITY
+from sieveline.streaming.stateful import keep_state_in_rocksdb
 
 _MICROS = 1_000_000
 MEMBER = "event_us bigint, event_id string, source_id string, event_type string, priority int, payload string"
@@ -145,7 +146,7 @@ def batch_events_stream(
 
     def run(df: DataFrame) -> DataFrame:
         at = F.coalesce(F.col("timestamp"), F.current_timestamp())
-        slim = df.withColumn("timestamp", at).select("timestamp", key_column(partition_by).alias("batch_key"), F.unix_micros("timestamp").alias("event_us"), *NAMES[1:])
+        slim = df.transform(keep_state_in_rocksdb).withColumn("timestamp", at).select("timestamp", key_column(partition_by).alias("batch_key"), F.unix_micros("timestamp").alias("event_us"), *NAMES[1:])
         if mode == "ordered":
             slim = slim.withWatermark("timestamp", delay)
         found = slim.groupBy("batch_key").transformWithStateInPandas(

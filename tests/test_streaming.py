@@ -233,3 +233,8 @@ def test_replies_need_no_setting_of_the_session(plain_session):
     plain_session.createDataFrame(rows, "response_id string, seq long, type string, text string, tokens_used long").coalesce(1).write.parquet(path)
     stream = plain_session.readStream.schema("response_id string, seq long, type string, text string, tokens_used long").parquet(path)
     assert [r["content"] for r in drain(plain_session, assemble_live(stream)).collect()] == ["hi"]
+
+
+def test_batches_need_no_setting_of_the_session(plain_session, table):
+    stream = feed(plain_session, table, 240).transform(batch_events_stream(["source_id"], 10, 20, mode="ordered"))
+    assert drain(plain_session, stream).count() > 0
