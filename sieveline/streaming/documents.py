@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from sieveline.streaming.stateful import keep_state_in_rocksdb
+
 
 class _Suggestions(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -51,7 +53,7 @@ def new_suggestions_stream(snapshots: DataFrame) -> DataFrame:
     no ids if nothing is pending. Polls of a document are compared in their order;
     one that arrives behind a later poll of another micro-batch is left out.
     """
-    slim = snapshots.select("doc_id", F.col("poll").cast("long").alias("poll"), F.col("suggestion_ids").cast("array<string>").alias("suggestion_ids"))
+    slim = snapshots.transform(keep_state_in_rocksdb).select("doc_id", F.col("poll").cast("long").alias("poll"), F.col("suggestion_ids").cast("array<string>").alias("suggestion_ids"))
     return slim.groupBy("doc_id").transformWithStateInPandas(
         statefulProcessor=_Suggestions(), outputStructType="doc_id string, poll bigint, suggestion_id string", outputMode="append", timeMode="None"
     )

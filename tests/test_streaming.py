@@ -238,3 +238,10 @@ def test_replies_need_no_setting_of_the_session(plain_session):
 def test_batches_need_no_setting_of_the_session(plain_session, table):
     stream = feed(plain_session, table, 240).transform(batch_events_stream(["source_id"], 10, 20, mode="ordered"))
     assert drain(plain_session, stream).count() > 0
+
+
+def test_suggestions_need_no_setting_of_the_session(plain_session):
+    path, fields = scratch_path(plain_session, "snapshots"), "doc_id string, poll long, suggestion_ids array<string>"
+    plain_session.createDataFrame([("d", 1, ["a"]), ("d", 2, ["a", "b"])], fields).coalesce(1).write.parquet(path)
+    stream = plain_session.readStream.schema(fields).parquet(path)
+    assert [r["suggestion_id"] for r in drain(plain_session, new_suggestions_stream(stream)).collect()] == ["b"]
