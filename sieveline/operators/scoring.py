@@ -51,7 +51,16 @@ def score(requests: DataFrame, scorer: Scorer = offline_scorer) -> DataFrame:
             reply = ask(frame)
             yield pd.concat([frame, reply[REPLY]], axis=1)[[*columns, *REPLY]]
 
-    return requests.mapInPandas(run, f"{_fields(requests)}, {SCORE_SCHEMA}")
+    return _spread_calls(requests).mapInPandas(run, f"{_fields(requests)}, {SCORE_SCHEMA}")
+
+
+def _call_tasks(requests: DataFrame) -> int:
+    """A fixed number of tasks: calls take long, however few bytes their requests have."""
+    return 2 * requests.sparkSession.sparkContext.defaultParallelism
+
+
+def _spread_calls(requests: DataFrame) -> DataFrame:
+    return requests if requests.isStreaming else requests.repartition(_call_tasks(requests))
 
 
 def _fields(df: DataFrame) -> str:
@@ -64,9 +73,21 @@ def _asking(scorer: Scorer) -> Scorer:
             return scorer(frame).reset_index(drop=True)
         except Exception as error:  # noqa: BLE001 - user code
             if len(frame) > 1:
-                parts = (ask(frame.iloc[[i]].reset_index(drop=True)) for i in range(len(frame)))
-                return pd.concat(parts, ignore_index=True)
-            return pd.DataFrame({"content": None, "tokens": 0, "latency_ms": 0.0, "error": str(error)}, index=frame.index)
+                return pd.DataFrame([ask_row(frame.iloc[i : i + 1]) for i in range(len(frame))], columns=REPLY)
+            return pd.DataFrame([failed(error)], columns=REPLY)
+
+    def ask_row(row: pd.DataFrame) -> tuple:
+        # A copy with an index of its own, as the scorer may write to it; no frame is made of its reply.
+        row = row.copy()
+        row.index = pd.RangeIndex(1)
+        try:
+            reply = scorer(row)
+        except Exception as error:  # noqa: BLE001 - user code
+            return failed(error)
+        return tuple(reply[c].iat[0] for c in REPLY)
+
+    def failed(error: Exception) -> tuple:
+        return None, 0, 0.0, str(error)
 
     return ask
 
@@ -151,9 +172,7 @@ def score_in_budget(
 
     timed = requests.where(F.col(max_per_hour).isNotNull()).withColumn("_hour", budget_hour(F.col("timestamp")))
     timed = timed.withColumn("_used", F.lit(0)) if used is None else timed.join(used, ["agent_id", "_hour"], "left").fillna(0, ["_used"])
-    # A fixed number of tasks: calls take long, however few bytes their requests have.
-    tasks = 2 * requests.sparkSession.sparkContext.defaultParallelism
-    ordered = timed.repartition(tasks, "agent_id", "_hour").sortWithinPartitions(*order)
+    ordered = timed.repartition(_call_tasks(requests), "agent_id", "_hour").sortWithinPartitions(*order)
     capped = ordered.mapInPandas(run, f"{_fields(requests)}, {SCORE_SCHEMA}, tokens_before bigint, is_sent boolean")
     return capped.unionByName(free.withColumns({"tokens_before": F.lit(None).cast("bigint"), "is_sent": F.lit(True)}))
 
