@@ -132,6 +132,11 @@ def test_scorer_errors_are_rows(events):
     assert len(out) == 60 and {r["error"] for r in out} == {"no agent"}
 
 
+def test_calls_are_spread_over_tasks(events):
+    asked = events.select("event_id").withColumns({"agent_id": F.lit("a"), "prompt": F.lit("p")}).coalesce(1)
+    assert score(asked).rdd.getNumPartitions() > 1
+
+
 def test_live_run_of_files_without_a_table_given(spark, tmp_path):
     logs = tmp_path / "logs"
     logs.mkdir()
