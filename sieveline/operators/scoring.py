@@ -17,8 +17,8 @@ Scorer = Callable[[pd.DataFrame], pd.DataFrame]
 def record_scorer(one: Callable[[dict], dict]) -> Scorer:
     """A scorer made of a function from a request to a reply, as plain records.
 
-    Agents with a budget are asked request by request; such a scorer is then called
-    without a frame around every request.
+    Such a scorer is called without a frame around every request, and as one that raises
+    fails alone, no request is asked twice.
     """
 
     def scorer(requests: pd.DataFrame) -> pd.DataFrame:
@@ -40,7 +40,8 @@ def score(requests: DataFrame, scorer: Scorer = offline_scorer) -> DataFrame:
 
     The scorer gets Arrow batches (event_id, agent_id, prompt, ...) and returns
     content, tokens, latency_ms and error.  If it raises for a batch, its rows
-    are asked one by one: those that fail come back with the error.
+    are asked one by one: those that fail come back with the error.  A
+    ``record_scorer`` is asked one by one from the start.
     """
     columns = requests.columns
     ask = _asking(scorer)
@@ -68,6 +69,17 @@ def _fields(df: DataFrame) -> str:
 
 
 def _asking(scorer: Scorer) -> Scorer:
+    one = getattr(scorer, "one", None)
+
+    def ask_records(frame: pd.DataFrame) -> pd.DataFrame:
+        replies = []
+        for request in frame.to_dict("records"):
+            try:
+                replies.append(dict(one(request)))
+            except Exception as error:  # noqa: BLE001 - user code
+                replies.append(dict(zip(REPLY, failed(error), strict=True)))
+        return pd.DataFrame(replies, columns=REPLY)
+
     def ask(frame: pd.DataFrame) -> pd.DataFrame:
         try:
             return scorer(frame).reset_index(drop=True)
@@ -89,7 +101,7 @@ def _asking(scorer: Scorer) -> Scorer:
     def failed(error: Exception) -> tuple:
         return None, 0, 0.0, str(error)
 
-    return ask
+    return ask if one is None else ask_records
 
 
 def _asking_one(scorer: Scorer, columns: list[str]) -> Callable[[pd.DataFrame], Callable[[int], dict]]:

@@ -69,11 +69,11 @@ def udf_source(spark, sf_dir):
 def udf_scorer(spark, sf_dir):
     requests = fixtures.replies(spark, sf_dir).withColumn("prompt", project_for_agent()).select("event_id", "agent_id", "prompt")
 
-    def failing(frame: pd.DataFrame) -> pd.DataFrame:
-        bad = frame.loc[frame["event_id"].astype("int64") % 17 == 0, "event_id"]
-        if len(bad):
-            raise RuntimeError(f"agent is down for {bad.iloc[0]}")
-        return offline_scorer(frame)
+    @record_scorer
+    def failing(request: dict) -> dict:
+        if int(request["event_id"]) % 17 == 0:
+            raise RuntimeError(f"agent is down for {request['event_id']}")
+        return offline_scorer.one(request)
 
     out = score(requests, failing)
     return out.select("event_id", "agent_id", "content", (F.col("tokens") > 20).alias("has_tokens"), F.col("error").alias("failure"))

@@ -132,6 +132,20 @@ def test_scorer_errors_are_rows(events):
     assert len(out) == 60 and {r["error"] for r in out} == {"no agent"}
 
 
+def test_record_scorers_are_asked_once_per_request(events, tmp_path):
+    def picky(request):
+        with open(tmp_path / f"{request['event_id']}-{time.time_ns()}", "x"):
+            pass
+        if request["event_id"] == "007":
+            raise RuntimeError("seven")
+        return {"content": request["event_id"], "tokens": 1, "latency_ms": 1.0, "error": None}
+
+    out = score(events.select("event_id").withColumns({"agent_id": F.lit("a"), "prompt": F.lit("p")}), record_scorer(picky)).collect()
+    assert [(r["event_id"], r["content"], r["error"]) for r in out if r["error"]] == [("007", None, "seven")]
+    assert len(out) == 60 and all(r["content"] == r["event_id"] for r in out if not r["error"])
+    assert len(list(tmp_path.iterdir())) == 60
+
+
 def test_calls_are_spread_over_tasks(events):
     asked = events.select("event_id").withColumns({"agent_id": F.lit("a"), "prompt": F.lit("p")}).coalesce(1)
     assert score(asked).rdd.getNumPartitions() > 1
