@@ -16,12 +16,14 @@ words, so it is the same wherever the window occurs. Rounds on Spark follow:
    windows occur once. Windows without any settled symbol, as inside long runs, stay
    candidates.
 3. Candidate windows are named exactly, by 128 bits; a window is repeated if a
-   document with a smaller id holds its name.
+   document with a smaller id holds its name. As equal windows have equal keys, neighbours
+   of one key travel as one row to where all of their key are compared.
 4. Texts that hold repeated windows lose the words these cover.
 
-Rounds 2 and 3 look for the smallest document of a name in two steps, first among
-``SALTS`` shares of the documents, then among the shares' smallest, so that a name
-that a third of all documents hold isn't one task's work.
+Windows without a key, and those of keys in more than ``HOT`` places, are dealt by their names
+instead. The smallest document of such a name is found in two steps, first among ``SALTS``
+shares of the documents, then among the shares' smallest, so that a name that a third
+of all documents hold isn't one task's work.
 """
 
 from __future__ import annotations
@@ -44,6 +46,8 @@ BLOCK = 200_000  # windows of a text recompressed at once
 CHUNK = 100_000  # words of several texts recompressed at once
 PIECE = 1 << 20  # bytes of a text split at once
 SALTS = 16
+HOT = 1000  # places of a key that are compared in one task
+PACK = 63  # windows in a row: their marks are bits of a long
 SPACES = b" \t\n\v\f\r"
 
 _rng = np.random.default_rng(20240412)
@@ -261,35 +265,57 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-NAMED = "row long, doc_id long, w1 long, w2 long, first int, last int"
+NAMED = "row long, doc_id long, key long, loose boolean, first int, last int, w1 array<long>, w2 array<long>"
 
 
 def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Names of the candidate windows of texts (row, doc_id, text, ranges); neighbours of one name, as inside a run of one word, are a row."""
+    """Names of the candidate windows of texts (row, doc_id, text, ranges with their keys).
+
+    A row holds up to ``PACK`` neighbours of one key. Loose windows are a row each under a key made
+    of their name; neighbours of one name, as inside a run of one word, share it.
+    """
     for batch in batches:
         texts, ranges = batch.column(2).cast(pa.binary()), batch.column(3)
         for at in range(batch.num_rows):
             own = hashes(list(pieces(texts[at].as_py())))
             spans = ranges[at].values
-            first, last = (spans.field(k).to_numpy() for k in ("first", "last"))
-            edge = np.zeros(len(own) + 1, np.int64)
-            np.add.at(edge, first, 1)
-            np.add.at(edge, last + 1, -1)
-            starts = np.flatnonzero(np.cumsum(edge))
+            first, last, key = (spans.field(k).to_numpy().astype(np.int64) for k in ("first", "last", "key"))
+            loose = spans.field("loose").to_numpy(zero_copy_only=False)
+            order = np.argsort(first, kind="stable")
+            first, last, key, loose = first[order], last[order], key[order], loose[order]
             for block, part in blocks(own):
-                s = starts[(starts >= block) & (starts < block + BLOCK)]
-                if not len(s):
+                here = (first >= block) & (first < block + BLOCK)
+                if not here.any():
                     continue
-                one, two = (Sums(part, k).of(s - block, s - block + WINDOW).view(np.int64) for k in (0, 1))
-                at_ = np.flatnonzero(np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]) | (np.diff(s) > 1)))
-                last = s[np.append(at_[1:], len(s)) - 1]
-                same = [pa.array(np.full(len(at_), batch.column(k)[at].as_py()), pa.int64()) for k in (0, 1)]
-                ends = [pa.array(e.astype(np.int32)) for e in (s[at_], last)]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(one[at_]), pa.array(two[at_]), *ends], names=["row", "doc_id", "w1", "w2", "first", "last"])
+                sums = [Sums(part, k) for k in (0, 1)]
+                for is_loose in (False, True):
+                    mine = here & (loose == is_loose)
+                    if not mine.any():
+                        continue
+                    size = (last - first + 1)[mine]
+                    s = np.repeat(first[mine] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
+                    one, two = (x.of(s - block, s - block + WINDOW).view(np.int64) for x in sums)
+                    if is_loose:
+                        start = np.flatnonzero(np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]) | (np.diff(s) > 1)))
+                        end = np.append(start[1:], len(s)) - 1
+                        keys, one, two, offsets = one[start], one[start], two[start], np.arange(len(start) + 1)
+                    else:
+                        place = np.arange(len(s)) - np.repeat(np.append(0, np.cumsum(size)[:-1]), size)
+                        start = np.flatnonzero(place % PACK == 0)
+                        end = np.append(start[1:], len(s)) - 1
+                        keys, offsets = np.repeat(key[mine], size)[start], np.append(start, len(s))
+                    same = [pa.array(np.full(len(start), batch.column(k)[at].as_py()), pa.int64()) for k in (0, 1)]
+                    flags = pa.array(np.full(len(start), is_loose))
+                    ends = [pa.array(s[e].astype(np.int32)) for e in (start, end)]
+                    names = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(w)) for w in (one, two)]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(keys), flags, *ends, *names], names=["row", "doc_id", "key", "loose", "first", "last", "w1", "w2"])
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Numbers of removed words and digests of kept ones, of texts (doc_id, print, text, ranges of windows)."""
+    """Numbers of removed words and digests of kept ones, of texts (doc_id, print, text, ranges of windows).
+
+    ``marks`` are bits for the windows from ``first``; without them all up to ``last`` are meant.
+    """
     for batch in batches:
         texts, ranges = batch.column(2).cast(pa.binary()), batch.column(3)
         for at in range(batch.num_rows):
@@ -297,8 +323,12 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = sum(map(len, parts))
             edge = np.zeros(n + 1, np.int64)
             own = ranges[at].values
-            np.add.at(edge, own.field("first").to_numpy(), 1)
-            np.add.at(edge, own.field("last").to_numpy() + WINDOW, -1)
+            first, last = (own.field(k).to_numpy().astype(np.int64) for k in ("first", "last"))
+            marks = own.field("marks").fill_null(0).to_numpy()
+            packed, bit = np.nonzero(np.right_shift(marks[:, None], np.arange(PACK)) & 1)
+            whole = marks == 0
+            np.add.at(edge, np.append(first[packed] + bit, first[whole]), 1)
+            np.add.at(edge, np.append(first[packed] + bit, last[whole]) + WINDOW, -1)
             keep = np.cumsum(edge[:n]) == 0
             ends = np.cumsum([len(p) for p in parts])
             left = [[w for w, k in zip(p, keep[e - len(p) : e].tolist(), strict=True) if k] for p, e in zip(parts, ends.tolist(), strict=True)]
@@ -308,25 +338,29 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _marked(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Mark rows whose key more than one document holds (``several``), and those for which one of these is smaller (``above``).
+def _repeated(named: DataFrame) -> DataFrame:
+    """(row, first, last, marks) of the windows that a smaller document holds, too.
 
-    Smaller documents are sought within ``SALTS`` shares of the documents first. Rows that
-    find one there are done: they go on without what they were compared by, under their
-    text's row for a key, which spreads them. The others are compared across the shares.
+    All places of a key meet in one task, those of loose windows first within ``SALTS`` shares of
+    the documents. Rows that find a smaller document there are done: they go on without what
+    they were compared by, under their text's row, which spreads them. What is left of the loose
+    ones is compared across the shares.
     """
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
-    share = Window.partitionBy(*keys, salt)
-    low = F.min("doc_id").over(share)
-    first = rows.withColumns({"low": low, "several": low < F.max("doc_id").over(share)})
-    done = F.col("low") < F.col("doc_id")
-    lead, *rest = keys
-    open_ = {"doc_id": F.when(~done, F.col("doc_id")), lead: F.when(done, F.col("row")).otherwise(F.col(lead))}
-    left = first.withColumns(open_ | {k: F.when(~done, F.col(k)) for k in rest}).drop("low")
-    across = Window.partitionBy(*keys, F.isnull("doc_id"))
-    least, most = F.min("doc_id").over(across), F.max("doc_id").over(across)
-    found = left.withColumns({"above": F.isnull("doc_id") | (least < F.col("doc_id")), "more": F.max("several").over(across) | (least < most)})
-    return found.withColumn("several", F.col("above") | F.col("more")).drop(*keys, "doc_id", "more")
+    salt = F.when(F.col("loose"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(0).cast("int")
+    met = named.withColumn("salt", salt).repartition("key", "salt")
+    each = met.select("*", F.posexplode("w1").alias("at", "one")).withColumn("two", F.col("w2")[F.col("at")]).drop("w1", "w2")
+    low = F.min("doc_id").over(Window.partitionBy("key", "salt", "one", "two"))
+    bit = F.when(low < F.col("doc_id"), F.expr("shiftleft(1L, at)")).otherwise(0)
+    found = each.withColumn("bit", bit).groupBy("key", "salt", "row", "doc_id", "loose", "first", "last")
+    share = found.agg(F.bit_or("bit").alias("marks"), F.min("one").alias("one"), F.min("two").alias("two")).where("loose or marks <> 0")
+    done = F.col("marks") != 0
+    left = share.select(
+        F.when(~done, F.col("row")).alias("row"), "first", "last", F.when(~F.col("loose"), F.col("marks")).alias("marks"),
+        F.when(~done, F.col("doc_id")).alias("doc_id"), F.when(done, F.col("row")).otherwise(F.col("one")).alias("one"), F.when(~done, F.col("two")).alias("two"),
+    )
+    least = F.min("doc_id").over(Window.partitionBy("one", "two", F.isnull("doc_id")))
+    above = left.withColumn("above", F.isnull("doc_id") | (least < F.col("doc_id"))).where("above")
+    return above.select(F.coalesce("row", "one").alias("row"), "first", "last", "marks")
 
 
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -346,20 +380,22 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     first = stored(own.groupBy(*same).agg(F.count("*").alias("rows"), F.min("doc_id").alias("first")), "first")
     # Of texts with equal words only those with the smallest id are looked at, once each; the others lose everything.
     stand = stored(joined_apart(own, first, same).where("doc_id = first").groupBy(*key).agg(F.min("row").alias("row")), "stand")
-    spans = texts.select("row", "spans").join(stand.select("row", "doc_id"), "row").select("row", "doc_id", F.explode("spans").alias("s"))
-    # Windows without a witness are candidates by themselves: a key of their text's own, marked as shared.
-    alone = F.col("key") == 0
-    keyed = spans.select("row", "doc_id", "s.*").withColumns({"key": F.when(alone, F.col("row")).otherwise(F.col("key")), "alone": alone})
-    shared = _marked(keyed, ["key"]).where("several or alone")
-    ranges = shared.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+    exploded = texts.select("row", "spans").join(stand.select("row", "doc_id"), "row").select("row", "doc_id", F.explode("spans").alias("s"))
+    spans = stored(exploded.select("row", "doc_id", "s.*"), "spans")
+    # Windows without a witness are candidates by themselves.
+    alone = spans.where("key = 0").withColumn("loose", F.lit(True))
+    marks = spans.where("key <> 0").groupBy("key").agg(F.count("*").alias("rows"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    several = stored(marks.where("low < high").select("key", "rows", (F.col("rows") > HOT).alias("loose")), "several")
+    shared = joined_apart(spans.where("key <> 0"), several, ["key"]).unionByName(alone)
+    ranges = shared.groupBy("row").agg(F.collect_list(F.struct("first", "last", "key", "loose")).alias("ranges"))
     candidates = whole.join(ranges.join(stand, "row"), key).dropDuplicates(key).select("row", "doc_id", "text", "ranges")
-    repeated = _marked(candidates.mapInArrow(_named, NAMED), ["w1", "w2"]).where("above")
-    gone = repeated.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("ranges")).join(stand, "row")
+    repeated = _repeated(candidates.mapInArrow(_named, NAMED))
+    gone = repeated.groupBy("row").agg(F.collect_list(F.struct("first", "last", "marks")).alias("ranges")).join(stand, "row")
     cut = stored(
         whole.join(gone, key).dropDuplicates(key).select(*key, "text", "ranges").mapInArrow(_removed, "doc_id long, print long, n_removed long, sha string"),
         "cut",
     )
-    forget(stand)
+    forget(stand, spans, several)
     nothing = F.lit(hashlib.sha256(b"").hexdigest())
     copy = F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False))
     return joined_apart(slim, first, same, "left").join(cut, key, "left").select(

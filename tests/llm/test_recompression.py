@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sieveline.llm import recompression
@@ -86,6 +87,22 @@ def test_blocks_and_salts_change_nothing(spark, monkeypatch):
         assert run(spark, rows) == brute(rows)
 
 
+def test_common_keys_are_dealt_by_names(spark, monkeypatch):
+    rows = corpus(4)[:80]
+    monkeypatch.setattr(recompression, "HOT", 2)
+    monkeypatch.setattr(recompression, "PACK", 5)
+    assert run(spark, rows) == brute(rows)
+
+
+def test_neighbours_of_a_key_travel_as_one_row():
+    words = [f"w{k}" for k in range(WINDOW + 99)] + ["x"] * 90
+    ranges = [{"first": 0, "last": 99, "key": 5, "loose": False}, {"first": WINDOW + 99, "last": WINDOW + 139, "key": 0, "loose": True}]
+    batch = pa.RecordBatch.from_pylist([{"row": 1, "doc_id": 2, "text": " ".join(words), "ranges": ranges}])
+    got = [r for b in recompression._named([batch]) for r in b.to_pylist()]
+    assert [(r["first"], r["last"], len(r["w1"]), len(r["w2"])) for r in got] == [(0, 62, 63, 63), (63, 99, 37, 37), (149, 189, 1, 1)]
+    assert [r["key"] for r in got] == [5, 5, got[2]["w1"][0]] and len(set(got[0]["w1"] + got[1]["w1"])) == 100
+
+
 def test_equal_passages_have_equal_witnesses():
     rng = np.random.default_rng(4)
     known = 0
