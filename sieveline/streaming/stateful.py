@@ -14,11 +14,15 @@ admission options (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``).
 
 from __future__ import annotations
 
+import pickle
+import tempfile
+import zlib
 from collections.abc import Iterator, Sequence
 from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -115,6 +119,26 @@ class _Rate:
         return {"velocity": velocity, "sample_rate": rates}, (rate, [int(t) for t in kept])
 
 
+def _chain(head: pd.DataFrame, rest: pd.DataFrame, chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    yield head
+    yield rest
+    yield from chunks
+
+
+def _by_time(us: np.ndarray, ids: np.ndarray | pa.ChunkedArray) -> np.ndarray:
+    """Places in order of time and id, null ids last; ids are looked at where times are equal only."""
+    order = np.argsort(us, kind="stable")
+    same = us[order[1:]] == us[order[:-1]]
+    if not same.any():
+        return order
+    tied = np.flatnonzero(np.append(same, False) | np.append(False, same))
+    places = order[tied]
+    texts = (ids.take(pa.array(places)) if isinstance(ids, pa.ChunkedArray) else pa.array(ids[places], pa.string())).to_pylist()
+    by = sorted(range(len(tied)), key=lambda k: (us[places[k]], texts[k] is None, texts[k] or ""))
+    order[tied] = places[by]
+    return order
+
+
 class _Processor(StatefulProcessor):
     def __init__(self, fold, row_schema: T.StructType, ordered: bool):
         self.fold, self.row_schema, self.ordered = fold, row_schema, ordered
@@ -126,16 +150,53 @@ class _Processor(StatefulProcessor):
         if self.ordered:
             self.buffer = handle.getListState("buffer", self.row_schema)
 
-    def _run(self, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([TIME, "event_id"], kind="stable", ignore_index=True)
-        state = tuple(self.state.get()) if self.state.exists() else self.fold.start()
-        outputs, state = self.fold.step(state, rows[TIME].to_numpy(dtype=np.int64))
+    def _decide(self, us: np.ndarray, ids: np.ndarray) -> dict[str, np.ndarray]:
+        """Outputs for rows of a key with these times and ids, in the order given."""
+        order = _by_time(us, ids)
+        state = self.state.get()
+        outputs, state = self.fold.step(self.fold.start() if state is None else tuple(state), us[order])
         self.state.update(state)
         if self.ordered and hasattr(self.fold, "expires"):
             self.handle.registerTimer(self.fold.expires(state) // 1000 + 1)
-        for name, values in outputs.items():
-            rows[name] = values
-        return rows
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return {name: np.asarray(values)[back] for name, values in outputs.items()}
+
+    def _told(self, rows: pd.DataFrame, outputs: dict[str, np.ndarray]) -> Iterator[pd.DataFrame]:
+        """The rows with their outputs; those that aren't accepted end here."""
+        accepted = outputs.get("is_accepted")
+        if accepted is not None and not accepted.all():
+            rows, outputs = rows[accepted], {name: values[accepted] for name, values in outputs.items()}
+        if len(rows):
+            yield rows.assign(**outputs)
+
+    def _run(self, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        yield from self._told(rows, self._decide(rows[TIME].to_numpy(dtype=np.int64), rows["event_id"].to_numpy()))
+
+    def _run_chunks(self, chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The same for a key's rows in chunks: of all but one, only times and ids are in memory."""
+        head = next(chunks)[self.names]
+        rest = next(chunks, None)
+        if rest is None:
+            yield from self._run(head)
+            return
+        times, ids, packed = [], [], 0
+        with tempfile.TemporaryFile() as file:
+            for chunk in _chain(head, rest, chunks):
+                times.append(chunk[TIME].to_numpy(dtype=np.int64))
+                ids.append(pa.array(chunk["event_id"], pa.string()))
+                part = zlib.compress(pickle.dumps(chunk[self.names], pickle.HIGHEST_PROTOCOL), 1)
+                pickle.dump(part, file, pickle.HIGHEST_PROTOCOL)
+                packed += 1
+            del head, rest, chunk
+            outputs = self._decide(np.concatenate(times), pa.chunked_array(ids))
+            file.seek(0)
+            at = 0
+            for k in range(packed):
+                end, part = at + len(times[k]), pickle.load(file)
+                own, at = {name: values[at:end] for name, values in outputs.items()}, end
+                if "is_accepted" not in own or own["is_accepted"].any():
+                    yield from self._told(pickle.loads(zlib.decompress(part)), own)
 
     def _release(self, rows: pd.DataFrame, timer_values) -> Iterator[pd.DataFrame]:
         watermark = timer_values.getCurrentWatermarkInMs() * 1000
@@ -145,18 +206,17 @@ class _Processor(StatefulProcessor):
         if len(held):
             self.handle.registerTimer(int(held[TIME].min()) // 1000 + 1)
         if due.any():
-            yield self._run(rows[due].copy())
+            yield from self._run(rows[due])
 
     def _held(self) -> list[pd.DataFrame]:
         kept = [tuple(r) for r in self.buffer.get()] if self.buffer.exists() else []
         return [pd.DataFrame(kept, columns=self.names)] if kept else []
 
     def handleInputRows(self, key, rows, timerValues):
-        fresh = [r for r in rows]
         if not self.ordered:
-            yield self._run(pd.concat(fresh, ignore_index=True)[self.names])
+            yield from self._run_chunks(iter(rows))
             return
-        merged = pd.concat([*self._held(), *[r[self.names] for r in fresh]], ignore_index=True)
+        merged = pd.concat([*self._held(), *[r[self.names] for r in rows]], ignore_index=True)
         yield from self._release(merged, timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):

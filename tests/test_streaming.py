@@ -5,6 +5,7 @@ import random
 import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -245,3 +246,55 @@ def test_suggestions_need_no_setting_of_the_session(plain_session):
     plain_session.createDataFrame([("d", 1, ["a"]), ("d", 2, ["a", "b"])], fields).coalesce(1).write.parquet(path)
     stream = plain_session.readStream.schema(fields).parquet(path)
     assert [r["suggestion_id"] for r in drain(plain_session, new_suggestions_stream(stream)).collect()] == ["b"]
+
+
+class _Kept:
+    """A value state outside of Spark that counts what it is asked."""
+
+    def __init__(self):
+        self.value, self.calls = None, []
+
+    def get(self):
+        self.calls.append("get")
+        return self.value
+
+    def update(self, value):
+        self.calls.append("update")
+        self.value = value
+
+
+def _alone(fold):
+    from pyspark.sql import types as T
+
+    names = ["event_id", "priority", st.KEY, st.TIME]
+    processor = st._Processor(fold, T.StructType([T.StructField(n, T.StringType()) for n in names]), False)
+    processor.state = _Kept()
+    return processor, lambda rows: pd.DataFrame(rows, columns=names)
+
+
+def test_rejected_rows_end_in_the_state_processor():
+    processor, frame = _alone(st._Accept(10, 1))
+    rows = frame([("b", None, "k", 0), ("a", 1.0, "k", 0), ("c", 2.0, "k", 9_000_000), ("d", 3.0, "k", 10_000_000)])
+    got = pd.concat(processor.handleInputRows(("k",), iter([rows]), None))
+    assert got["event_id"].tolist() == ["a", "d"] and got["is_accepted"].all()
+    assert processor.state.calls == ["get", "update"]
+    assert list(processor.handleInputRows(("k",), iter([rows]), None)) == []
+
+
+def test_chunks_of_a_key_are_not_put_together():
+    processor, frame = _alone(st._Accept(10, 2))
+    rows = [(f"{(i * 37) % 101:03d}" if i % 5 else None, float(i), "k", (i * 53 % 101) // 3 * 1_000_000) for i in range(101)]
+    got = list(processor.handleInputRows(("k",), (frame(rows[i : i + 10]) for i in range(0, 101, 10)), None))
+    assert len(got) > 1 and all(len(g) <= 10 for g in got)
+    want, accepted = [], []
+    for r in sorted(rows, key=lambda r: (r[3], r[0] is None, r[0] or "")):
+        if sum(t > r[3] - 10_000_000 for t in accepted) < 2:
+            accepted.append(r[3])
+            want.append(r[1])
+    assert sorted(pd.concat(got)["priority"]) == sorted(want)
+
+    processor, frame = _alone(st._Batch(10, 4))
+    got = pd.concat(processor.handleInputRows(("k",), (frame(rows[i : i + 10]) for i in range(0, 101, 10)), None))
+    whole, _ = _alone(st._Batch(10, 4))
+    one = pd.concat(whole.handleInputRows(("k",), iter([frame(rows)]), None))
+    assert got.sort_values("priority")["batch_no"].tolist() == one.sort_values("priority")["batch_no"].tolist()
