@@ -179,3 +179,8 @@ def test_redaction_and_texts(spark):
     ).first()
     assert row["d"] == "[Approval Required]\nAction: t\nPayload: " + "p" * 500 + "... [truncated]"
     assert row["s"] == "x"
+
+
+def test_url_guard_works_out_each_part_once(spark):
+    plan = spark.createDataFrame([("http://a",)], "u string").select(url_guard(F.col("u")).alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_") < 15 and plan.count("transform(") < 10
