@@ -10,7 +10,7 @@ from sieveline.functions.text import explode_actions, is_blank
 from sieveline.plans import fixtures
 from sieveline.plans.registry import EV, REPLY, query, sql_ts, ts_text
 from sieveline.schema import load_events, read_table
-from sieveline.session import scratch_path
+from sieveline.session import checkpoint_root, scratch_path
 from sieveline.sources.files import read_capture, read_lines
 from sieveline.sources.kafka import decode_bus, encode_bus, event_json, kafka_events, replay_landed
 from sieveline.sources.polling import EventFeed
@@ -322,6 +322,9 @@ _ACTIONS = """act AS (SELECT r.*, p.pos, p.type, p.tool FROM reply r JOIN (VALUE
 def sink_outbox(spark, sf_dir):
     actions = explode_actions(fixtures.replies(spark, sf_dir))
     hooks = dispatch_actions(actions, fixtures.HANDLERS).where("type = 'webhook' AND handler IS NOT NULL")
+    # Kept, as numbering reads them several times: replies are searched for actions once.
+    checkpoint_root(spark)
+    hooks = hooks.select("event_id", "agent_id", "timestamp", "action_pos", "config", "action_payload").checkpoint()
     bodies = webhook_bodies(hooks).select("event_id", "agent_id", F.lit("webhook").alias("kind"), "body")
     calls = tool_call_bodies(hooks, "lookup", ["timestamp", "event_id", "agent_id", "action_pos"])
     return bodies.unionByName(calls.select("event_id", "agent_id", F.lit("tool").alias("kind"), "body"))

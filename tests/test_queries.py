@@ -54,3 +54,8 @@ def test_every_oracle_has_a_query():
 
 def test_entry(spark):
     assert entry(spark).count() > 0
+
+
+def test_outbox_searches_replies_for_actions_once(spark):
+    plan = QUERIES["sink_outbox"](spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract" not in plan and "user_id" not in plan
