@@ -46,6 +46,7 @@ def keep_state_in_rocksdb(df: DataFrame) -> DataFrame:
 
 # The worker turns rows into named tuples, which lose names with a leading underscore.
 KEY, TIME = "group_key", "event_us"
+NO_TIME = np.iinfo(np.int64).min  # what a null time becomes as an integer
 
 
 class _Accept:
@@ -126,14 +127,15 @@ def _chain(head: pd.DataFrame, rest: pd.DataFrame, chunks: Iterator[pd.DataFrame
 
 
 def _by_time(us: np.ndarray, ids: np.ndarray | pa.ChunkedArray) -> np.ndarray:
-    """Places in order of time and id, null ids last; ids are looked at where times are equal only."""
+    """Places in order of time and id, nulls last; ids are looked at where times are equal only."""
+    us = np.where(us == NO_TIME, np.iinfo(np.int64).max, us)
     order = np.argsort(us, kind="stable")
     same = us[order[1:]] == us[order[:-1]]
     if not same.any():
         return order
     tied = np.flatnonzero(np.append(same, False) | np.append(False, same))
     places = order[tied]
-    texts = (ids.take(pa.array(places)) if isinstance(ids, pa.ChunkedArray) else pa.array(ids[places], pa.string())).to_pylist()
+    texts = (ids.take(pa.array(places)) if isinstance(ids, pa.ChunkedArray) else pa.array(ids[places], pa.string(), from_pandas=True)).to_pylist()
     by = sorted(range(len(tied)), key=lambda k: (us[places[k]], texts[k] is None, texts[k] or ""))
     order[tied] = places[by]
     return order
@@ -184,7 +186,7 @@ class _Processor(StatefulProcessor):
         with tempfile.TemporaryFile() as file:
             for chunk in _chain(head, rest, chunks):
                 times.append(chunk[TIME].to_numpy(dtype=np.int64))
-                ids.append(pa.array(chunk["event_id"], pa.string()))
+                ids.append(pa.array(chunk["event_id"], pa.string(), from_pandas=True))
                 part = zlib.compress(pickle.dumps(chunk[self.names], pickle.HIGHEST_PROTOCOL), 1)
                 pickle.dump(part, file, pickle.HIGHEST_PROTOCOL)
                 packed += 1

@@ -298,3 +298,11 @@ def test_chunks_of_a_key_are_not_put_together():
     whole, _ = _alone(st._Batch(10, 4))
     one = pd.concat(whole.handleInputRows(("k",), iter([frame(rows)]), None))
     assert got.sort_values("priority")["batch_no"].tolist() == one.sort_values("priority")["batch_no"].tolist()
+
+
+def test_rows_without_a_time_are_decided_last():
+    for cut in (1, 3):
+        processor, frame = _alone(st._Batch(10, 2))
+        rows = frame([("b", 1.0, "k", 5.0), ("c", 2.0, "k", None), ("a", 3.0, "k", None), ("d", 4.0, "k", 1.0)])
+        got = pd.concat(processor.handleInputRows(("k",), iter([rows[:cut], rows[cut:]]), None))
+        assert got.set_index("event_id")["batch_no"][["d", "b"]].tolist() == [0, 0] and got["batch_no"].tolist().count(0) == 2
