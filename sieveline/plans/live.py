@@ -129,6 +129,15 @@ def live_events(
     return events
 
 
+def in_one_file(few: DataFrame) -> DataFrame:
+    """Few rows that are written as one file.
+
+    They are shuffled: with ``coalesce`` one task would run the grouping of every
+    partition and hold the memory of them all until it ends.
+    """
+    return few.repartition(1)
+
+
 def _before(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
     """A table as the micro-batch before left it; nothing older is read."""
     before = f"{path}/batch_id={batch_id - 1}"
@@ -218,7 +227,7 @@ def start_spec(
         finally:
             batch.unpersist()
         told = session.read.schema(replies.schema).parquet(target)
-        spent_in_hours(told, used).coalesce(1).write.mode("overwrite").parquet(f"{out}/budgets/batch_id={batch_id}")
+        in_one_file(spent_in_hours(told, used)).write.mode("overwrite").parquet(f"{out}/budgets/batch_id={batch_id}")
         sent = told.where("is_sent")
         parts = on_error(sent, policy, plan.handlers or [("none", "none")], **(queue if policy == "buffer_limited" else {}))
         if not plan.handlers:

@@ -9,7 +9,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from sieveline.operators.scoring import spent_in_hours
 from sieveline.operators.stateful import adaptive_rate, batch_members, dedup_window, rate_limit_sliding
+from sieveline.plans import live
 from sieveline.session import scratch_path
 from sieveline.streaming import stateful as st
 from sieveline.streaming.batches import batch_ends, batch_events_stream
@@ -306,3 +308,15 @@ def test_rows_without_a_time_are_decided_last():
         rows = frame([("b", 1.0, "k", 5.0), ("c", 2.0, "k", None), ("a", 3.0, "k", None), ("d", 4.0, "k", 1.0)])
         got = pd.concat(processor.handleInputRows(("k",), iter([rows[:cut], rows[cut:]]), None))
         assert got.set_index("event_id")["batch_no"][["d", "b"]].tolist() == [0, 0] and got["batch_no"].tolist().count(0) == 2
+
+
+def test_what_agents_used_is_grouped_in_tasks_of_its_own(spark):
+    replies = spark.createDataFrame(
+        [(f"agent-{i % 3}", "2024-01-01 0%d:00:00" % (i % 2), 10, True, None, 100) for i in range(60)],
+        "agent_id string, timestamp string, tokens long, is_sent boolean, error string, max_per_hour long",
+    ).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    few = live.in_one_file(spent_in_hours(replies))
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "Coalesce" not in plan and plan.index("SinglePartition") < plan.index("HashAggregate")
+    assert few.rdd.getNumPartitions() == 1
+    assert sorted((r.agent_id, r._used) for r in few.collect()) == [(f"agent-{i}", 100) for i in range(3) for _ in range(2)]
