@@ -16,7 +16,6 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
@@ -103,7 +102,7 @@ class Trie:
             if not length:
                 piece[piece < 0] = len(self.pieces)
             hit = piece >= 0
-            found.append((word[hit], start[hit], piece[hit]))
+            found.append(tuple(x[hit].astype(np.int32) for x in (word, start, piece)))
             word, start, state = word[known], start[known], state[known]
             length += 1
         return found
@@ -170,16 +169,17 @@ def fit_pieces(pieces: list[str], counts: dict[str, dict[str, float]], rounds: i
     """Piece probabilities by expectation maximisation on word counts per language."""
     trie, languages = Trie(pieces), sorted(counts)
     words = sorted({w for c in counts.values() for w in c if len(w) < LONG})
-    weight = np.array([[counts[lang].get(w, 0.0) for lang in languages] for w in words]).reshape(len(words), len(languages))
+    weight = np.empty((len(words), len(languages)))
+    for k, lang in enumerate(languages):
+        weight[:, k] = [counts[lang].get(w, 0.0) for w in words]
     shape = (len(pieces) + 1, len(languages))
     p = np.full(shape, 1 / shape[0])
-    marked = [MARK + w for w in words]
-    size = np.array([len(w) for w in marked])
+    size = np.array([len(MARK) + len(w) for w in words])
     order = np.argsort(size, kind="stable")
     parts = []
     for at in range(0, len(order), 8192):
         part = order[at : at + 8192]
-        parts.append((part, trie.matches([marked[i] for i in part])))
+        parts.append((part, trie.matches([MARK + words[i] for i in part])))
     for _ in range(rounds):
         seen = np.zeros(shape)
         for part, found in parts:
@@ -294,19 +294,22 @@ RESULT = StructType([StructField("lang_pred", StringType()), StructField("score"
 
 
 def identify_language(model: Model, spark) -> Callable[[Column], Column]:
-    """A column function from texts to (lang_pred, score); null texts and those without a letter are ``und`` with 0."""
+    """A column function from texts to (lang_pred, score); null texts and those without a letter are ``und`` with 0.
+
+    Of an Arrow batch only a few texts at a time become Python strings.
+    """
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf(RESULT)
-    def identify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(RESULT)
+    def identify(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(shared.value)
         for texts in batches:
             found: list[str] = []
             scores: list[np.ndarray] = [np.empty(0)]
             for at in range(0, len(texts), 256):
-                lang, score = scorer.predict(texts.iloc[at : at + 256].tolist())
+                lang, score = scorer.predict(texts.slice(at, 256).to_pylist())
                 found += lang
                 scores.append(score)
-            yield pd.DataFrame({"lang_pred": found, "score": np.concatenate(scores)})
+            yield pa.StructArray.from_arrays([pa.array(found, pa.string()), pa.array(np.concatenate(scores))], names=RESULT.names)
 
     return identify

@@ -19,11 +19,10 @@ import pickle
 import random
 import zlib
 from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Collection, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -83,8 +82,8 @@ def characteristic(toxic: Counter, ordinary: Counter, n_toxic: int, n_ordinary:
     return [w for _, w in sorted(found)]
 
 
-def train_dictionaries(texts: Iterable[tuple[set[bytes], int]]) -> tuple[bytes, bytes]:
-    """The ordinary and the toxic dictionary from (windows, label) pairs."""
+def train_dictionaries(texts: Iterable[tuple[Collection[bytes], int]]) -> tuple[bytes, bytes]:
+    """The ordinary and the toxic dictionary from (distinct windows, label) pairs."""
     toxic, ordinary, n = Counter(), Counter(), [0, 0]
     for found, label in texts:
         n[label] += 1
@@ -92,7 +91,10 @@ def train_dictionaries(texts: Iterable[tuple[set[bytes], int]]) -> tuple[bytes,
     clear = characteristic(toxic, ordinary, max(n[1], 1), max(n[0], 1))
     known = set(clear)
     rng = random.Random(1)
-    samples = [b" " + w + b" " for w in sorted(ordinary) if ordinary[w] > 1 and w not in known for _ in range(min(ordinary[w], REPEATS))]
+    samples = []
+    for w in sorted(ordinary):
+        if ordinary[w] > 1 and w not in known:
+            samples += [b" " + w + b" "] * min(ordinary[w], REPEATS)
     rng.shuffle(samples)
     base = _trained(BASE_BYTES, samples[:BASE_SAMPLES])
     ours = b"".join(b" " + w for w in reversed(clear))  # the clearest last, where matches are cheapest
@@ -120,7 +122,7 @@ class Gains:
         self.known: dict[bytes, int] = {}
         self.older: dict[bytes, int] = {}
 
-    def features(self, found: set[bytes]) -> np.ndarray:
+    def features(self, found: Collection[bytes]) -> np.ndarray:
         if len(self.known) > CACHE // 2:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
@@ -156,20 +158,29 @@ class Model:
 def fit(rows: Iterable[tuple[str | None, int]]) -> Model:
     """Dictionaries on all rows, the calibration on gains under dictionaries that haven't seen the row.
 
-    Of a text only its distinct windows are held.
+    Of a text only the numbers of its distinct windows are held; each window is held once.
     """
-    texts = [(windows(t), int(label)) for t, label in rows]
-    fold = [zlib.crc32(repr(sorted(found)[:50]).encode()) % FOLDS for found, _ in texts]  # copies share a fold
-    x = np.zeros((len(texts), LEVELS + 2))
+    number: dict[bytes, int] = {}
+    held, labels, fold = [], [], []
+    for t, label in rows:
+        found = windows(t)
+        held.append(np.fromiter((number.setdefault(w, len(number)) for w in found), np.int32, len(found)))
+        labels.append(int(label))
+        fold.append(zlib.crc32(repr(sorted(found)[:50]).encode()) % FOLDS)  # copies share a fold
+    named = list(number)
+    del number
+    texts = lambda apart=None: (([named[i] for i in n.tolist()], label) for n, label, k in zip(held, labels, fold, strict=True) if k != apart)
+    x = np.zeros((len(held), LEVELS + 2))
     for f in range(FOLDS):
         if f in fold:
-            gains = Gains(train_dictionaries(t for t, k in zip(texts, fold, strict=True) if k != f))
-            for i, (found, _) in enumerate(texts):
+            gains = Gains(train_dictionaries(texts(f)))
+            for i, n in enumerate(held):
                 if fold[i] == f:
-                    x[i] = gains.features(found)
-    y = np.array([label for _, label in texts], float)
-    weights = calibrate(x, y) if len(texts) else np.r_[-30.0, np.zeros(LEVELS + 1)]
-    return Model(train_dictionaries(texts), weights)
+                    x[i] = gains.features([named[w] for w in n.tolist()])
+            del gains
+    y = np.array(labels, float)
+    weights = calibrate(x, y) if held else np.r_[-30.0, np.zeros(LEVELS + 1)]
+    return Model(train_dictionaries(texts()), weights)
 
 
 def fit_toxicity(
@@ -209,11 +220,12 @@ def toxicity(model: Model, spark) -> Callable:
     """A column function from texts to scores between 0 and 1; null and empty texts get the score of no windows."""
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         gains = Gains(shared.value.dictionaries)
         for texts in batches:
-            x = [gains.features(windows(t)) @ shared.value.weights for t in texts]
-            yield pd.Series(1 / (1 + np.exp(-np.clip(np.array(x, float), -30, 30))))
+            # Of an Arrow batch one text at a time becomes a Python string.
+            x = [gains.features(windows(t.as_py())) @ shared.value.weights for t in texts]
+            yield pa.array(1 / (1 + np.exp(-np.clip(np.array(x, float), -30, 30))))
 
     return score

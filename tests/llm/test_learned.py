@@ -2,12 +2,14 @@
 
 import itertools
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import zstandard
 from pyspark.sql import functions as F
+from pyspark.util import PythonEvalType
 
 from sieveline.llm import langid, toxicity
 from sieveline.llm.queries import op1_compression_toxicity, op3_unigram_language
@@ -151,3 +153,33 @@ def test_toxicity_query_on_held_out_rows(spark):
     n = held.toxic.sum()
     auc = (ranks[held.toxic == 1].sum() - n * (n + 1) / 2) / (n * (len(held) - n))
     assert len(out) == 1000 and auc > 0.85 and (held.toxic[held.predicted == 1] == 1).mean() > 0.8
+
+
+def _peak(run):
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_fits_hold_each_word_once():
+    rng = random.Random(6)
+    words = [f"word{i}" for i in range(2000)]
+    rows = [(" ".join(rng.sample(words, 1000)), i % 2) for i in range(300)]
+    assert _peak(lambda: toxicity.fit(iter(rows))) < 8_000_000  # 300,000 words in all, 2,000 distinct
+
+    letters = "abcdefgh"
+    pieces = sorted({"▁", *letters, *(a + b for a in letters for b in letters), *("▁" + a for a in letters)})
+    counts = {lang: {"".join(rng.choice(letters) for _ in range(20)): 1.0 for _ in range(5000)} for lang in "xyz"}
+    assert _peak(lambda: langid.fit_pieces(pieces, counts)) < 26_000_000
+
+
+def test_scores_read_arrow_batches(spark):
+    ship_package()
+    docs = spark.createDataFrame([("the and of",)], "text string")
+    model = langid.fit_pieces(["▁", "a", "b"], {"x": {"ab": 3.0}})
+    for score in (langid.identify_language(model, spark), toxicity.toxicity(toxicity.fit([]), spark)):
+        assert score.evalType == PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF
+        assert docs.select(score(F.col("text"))).count() == 1
