@@ -13,6 +13,7 @@ from sieveline.operators.scoring import spent_in_hours
 from sieveline.operators.stateful import adaptive_rate, batch_members, dedup_window, rate_limit_sliding
 from sieveline.plans import live
 from sieveline.session import scratch_path
+from sieveline.streaming import batches
 from sieveline.streaming import stateful as st
 from sieveline.streaming.batches import batch_ends, batch_events_stream
 from sieveline.streaming.documents import new_suggestions_stream
@@ -320,3 +321,111 @@ def test_what_agents_used_is_grouped_in_tasks_of_its_own(spark):
     assert "Coalesce" not in plan and plan.index("SinglePartition") < plan.index("HashAggregate")
     assert few.rdd.getNumPartitions() == 1
     assert sorted((r.agent_id, r._used) for r in few.collect()) == [(f"agent-{i}", 100) for i in range(3) for _ in range(2)]
+
+
+class _Store:
+    """State variables of one key outside of Spark; ``most`` is the largest write."""
+
+    def __init__(self):
+        self.values, self.timers, self.most = {}, set(), 0
+
+    def _variable(self, name):
+        store = self
+
+        class Variable:
+            exists = lambda _: name in store.values
+            get = lambda _: iter(store.values[name]) if isinstance(store.values[name], list) else store.values[name]
+            clear = lambda _: store.values.pop(name, None)
+            getValue = lambda _, place: store.values[name][place]
+            removeKey = lambda _, place: store.values[name].pop(place)
+
+            def update(self, value):
+                store.values[name] = value
+
+            def put(self, rows):
+                store.most = max(store.most, len(rows))
+                store.values[name] = list(rows)
+
+            def appendList(self, rows):
+                store.most = max(store.most, len(rows))
+                store.values.setdefault(name, []).extend(rows)
+
+            def updateValue(self, place, value):
+                store.values.setdefault(name, {})[place] = value
+
+        return Variable()
+
+    def getValueState(self, name, _):
+        return self._variable(name)
+
+    getListState = getValueState
+
+    def getMapState(self, name, *_):
+        return self._variable(name)
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+
+class _Clock:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = self.getCurrentProcessingTimeInMs = lambda: ms
+
+
+def _batched(rows, window, limit):
+    want = []
+    for r in sorted(rows, key=lambda r: (r[0], r[1] is None, r[1] or "")):
+        if not want or len(want[-1]) == limit or r[0] >= want[-1][0][0] + window:
+            want.append([])
+        want[-1].append(r)
+    return want
+
+
+@pytest.mark.parametrize("ordered", [True, False])
+def test_waiting_events_of_a_key_are_not_put_together(ordered, monkeypatch):
+    monkeypatch.setattr(batches, "RUN_ROWS", 900, raising=False)
+    monkeypatch.setattr(batches, "BLOCK_ROWS", 100, raising=False)
+    rng, store = random.Random(8), _Store()
+    processor = batches._Batches(3_000_000, 7, ordered)
+    processor.init(store)
+    rows = [(rng.randrange(600) * 1_000_000, rng.choice([None, f"{i:05d}"]), "s", "DATA", rng.choice([None, 1]), f"p{i}") for i in range(6000)]
+    frames = lambda part: (pd.DataFrame(part[i : i + 200], columns=batches.NAMES) for i in range(0, len(part), 200))
+    got = []
+    if ordered:
+        for part, watermark in ((rows[:4000], 0), (rows[4000:5950], 0), (rows[5950:], 0), ([], 200_000), ([], 200_500), ([], 700_000)):
+            if part:
+                got += processor.handleInputRows(("s",), frames(part), _Clock(watermark))
+            elif any(t <= watermark for t in store.timers):
+                store.timers = {t for t in store.timers if t > watermark}
+                got += processor.handleExpiredTimer(("s",), _Clock(watermark), None)
+        assert not store.values.get("blocks") and not store.values.get("waiting") and not store.values.get("runs")
+    else:
+        got += processor.handleInputRows(("s",), frames(rows), _Clock(5))
+        assert store.timers == {3005}
+        got += processor.handleExpiredTimer(("s",), _Clock(3005), None)
+    found = pd.concat(got, ignore_index=True)
+    assert found["batch_no"].tolist() == list(range(len(found)))
+    want = _batched(rows, 3_000_000, 7)
+    assert [[e["event_us"] for e in b] for b in found["events"]] == [[r[0] for r in b] for b in want]
+    assert sorted(e["payload"] for b in found["events"] for e in b) == sorted(r[5] for r in rows)
+    assert [e["event_id"] for b in found["events"] for e in b] == [r[1] for b in want for r in b]
+    # Neither was the key in one value of the state, nor each batch in a frame of its own.
+    assert store.most <= 100 and max(map(len, got)) < 300 and len(got) < len(found) / 5
+
+
+def test_many_events_of_a_key_in_a_micro_batch(spark):
+    path, rng = scratch_path(spark, "many"), random.Random(6)
+    rows = [(f"{i:05d}", "a" if i % 9 else "b", rng.randrange(3_000_000), "DATA", rng.choice([1, None]), "{}") for i in range(7000)]
+    table = spark.createDataFrame(rows, "event_id string, source_id string, ms long, event_type string, priority int, payload string")
+    table = table.select("event_id", "source_id", F.timestamp_millis("ms").alias("timestamp"), "event_type", "priority", "payload")
+    for k in range(2):
+        table.where(F.col("event_id").cast("int") % 2 == k).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(path)
+    # Nothing is late: the watermark is far behind, but for what the batches that have closed need.
+    got = drain(spark, stream.transform(batch_events_stream(["source_id"], 30, 6, mode="ordered", delay="40 minutes"))).collect()
+    limit, want = max(r[2] for r in rows) - 2_400_000, []
+    for source in "ab":
+        for b in _batched([(r[2], r[0]) for r in rows if r[1] == source], 30_000, 6):
+            if b[0][0] + 30_000 <= limit or (len(b) == 6 and b[-1][0] <= limit):
+                want.append([e for _, e in b])
+    assert sorted([e["event_id"] for e in json.loads(r["payload"])["events"]] for r in got) == sorted(want) and len(want) > 100
